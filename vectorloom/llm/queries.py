@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, secret_scan, toxicity
+from . import decontaminate, packing, secret_scan, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("factors")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op5_secrets": op5_secrets,
     "op6_packing": op6_packing,
     "op8_toxicity": op8_toxicity,
@@ -52,6 +57,20 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
+OP1 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS s FROM d WHERE len(w) >= 20),
+g AS (SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS g FROM s),
+r AS (SELECT doc_id, s FROM g QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, s) > 1),
+x AS (SELECT DISTINCT doc_id, unnest(generate_series(s, s + 19)) AS i FROM r),
+c AS (SELECT doc_id, list(i) AS cut FROM x GROUP BY doc_id),
+k AS (SELECT doc_id, w, coalesce(len(cut), 0) AS n, cut FROM d LEFT JOIN c USING (doc_id))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN n = 0 THEN w ELSE list_filter(w, lambda v, i: NOT list_contains(cut, i)) END, ' ')) AS kept_sha256
+FROM k
+"""
+
 ORACLE_SQL = {
+    "op1_substring_dedup": OP1,
     "op9_decontaminate": OP9,
 }
