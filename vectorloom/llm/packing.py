@@ -125,7 +125,7 @@ def pack(documents: DataFrame, vocabulary: str | None = None, ranks: str | None
         vocabulary, ranks = default_files()
     groups = max(1, round(documents.count() / group_rows))
 
-    def placed(key, table: pa.Table) -> pa.Table:
+    def placed(key, table):  # without hints, which Spark would have to know
         table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending")])
         bins, offsets = place(table["length"].to_numpy(), capacity)
         return table.drop_columns(["group"]).append_column("sequence_id", pa.array(bins + (key[0].as_py() << 40))).append_column("offset", pa.array(offsets))
