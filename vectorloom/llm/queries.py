@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, ngram_join, packing, secret_scan, substring_dedup, toxicity
+from . import ann_tree, chat_repair, decontaminate, license_scan, ngram_join, packing, pii_tagger, secret_scan, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,18 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("factors")
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_tagger.find(table(spark, sf_dir, "documents"))
+
+
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_tree.every_hundredth(table(spark, sf_dir, "embeddings"))
+
+
+def op4_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair_roles(table(spark, sf_dir, "conversations"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
@@ -35,13 +47,21 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_personal_data": op2_personal_data,
+    "op3_neighbours": op3_neighbours,
+    "op4_chat_repair": op4_chat_repair,
     "op5_secrets": op5_secrets,
     "op6_packing": op6_packing,
     "op7_ngram_join": op7_ngram_join,
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
+    "op10_licenses": op10_licenses,
 }
 
 ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
