@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.staging import stage, unstage
@@ -38,3 +38,59 @@ def connected_components(edges: DataFrame, src: str = "i", dst: str = "j") -> Da
         before = mark
     named = now.select(F.col("b").alias("id"), F.col("a").alias("component")).unionAll(now.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
     return named.unionAll(loops.join(named.select("id"), "id", "left_anti").select("id", F.col("id").alias("component")))
+
+
+def rank_components(components: DataFrame) -> DataFrame:
+    """(component, label): ranks from 0 by ascending component.
+
+    One row a component is ranked, by range: each range's rows, after those of the ranges before it.
+    """
+    distinct = components.select("component").distinct().repartitionByRange("component").withColumn("part", F.spark_partition_id())
+    before = distinct.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("part").orderBy("component"))
+    return distinct.withColumn("within", within).join(F.broadcast(before.select("part", "before")), "part").select("component", (F.col("within") + F.col("before") - 1).cast("long").alias("label"))
+
+
+def relabel(labels: DataFrame) -> DataFrame:
+    """(id, label) with labels counted from 0 in order of their smallest id."""
+    first = labels.groupBy("label").agg(F.min("id").alias("component"))
+    ranks = rank_components(first).withColumnRenamed("label", "new")
+    return labels.join(first.join(ranks, "component").select("label", "new"), "label").select("id", F.col("new").alias("label"))
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """Signed edges from either end."""
+    return edges.select("i", "j", "weight").unionAll(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "weight"))
+
+
+def across(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges with the labels of both ends: i, j, weight, a, b."""
+    return edges.join(labels.select(F.col("id").alias("i"), F.col("label").alias("a")), "i").join(labels.select(F.col("id").alias("j"), F.col("label").alias("b")), "j").select("i", "j", "weight", "a", "b")
+
+
+def contract(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Summed weights between different labels: i < j."""
+    a, b = F.col("a"), F.col("b")
+    return across(edges, labels).where(a != b).groupBy(F.least(a, b).alias("i"), F.greatest(a, b).alias("j")).agg(F.sum("weight").alias("weight"))
+
+
+def disagreement(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(cost): weights of positive edges that are cut and, without their sign, of negative ones that aren't."""
+    bad = ((F.col("weight") > 0) & (F.col("a") != F.col("b"))) | ((F.col("weight") < 0) & (F.col("a") == F.col("b")))
+    return across(edges, labels).agg(F.coalesce(F.sum(F.when(bad, F.abs("weight"))), F.lit(0.0)).alias("cost"))
+
+
+def jaccard_links(edges: DataFrame, least: float = 0.5) -> DataFrame:
+    """Positive edges (i < j) whose ends' open positive neighbourhoods overlap enough; parallel edges count each."""
+    ends = adjacency(edges.where("weight > 0")).groupBy("i", "j").agg(F.count(F.lit(1)).alias("m"))
+    degree = ends.groupBy(F.col("i").alias("v")).agg(F.sum("m").alias("d"))
+    pairs = edges.where("weight > 0 and i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+    left = ends.select("i", F.col("j").alias("w"), F.col("m").alias("m_i"))
+    right = ends.select(F.col("i").alias("j"), F.col("j").alias("w"), F.col("m").alias("m_j"))
+    common = pairs.join(left, "i").join(right, ["j", "w"]).groupBy("i", "j").agg(F.sum(F.least("m_i", "m_j")).alias("both"))
+    sized = pairs.join(common, ["i", "j"], "left").join(degree.select(F.col("v").alias("i"), F.col("d").alias("d_i")), "i").join(degree.select(F.col("v").alias("j"), F.col("d").alias("d_j")), "j")
+    both = F.coalesce("both", F.lit(0))
+    return sized.withColumn("jaccard", both / (F.col("d_i") + F.col("d_j") - both)).where(F.col("jaccard") >= least).select("i", "j", "jaccard")
+
+
+__all__ = ["across", "adjacency", "connected_components", "contract", "disagreement", "jaccard_links", "rank_components", "relabel"]
