@@ -25,7 +25,8 @@ def cluster_distances(p: DataFrame, labels: DataFrame, metric: Metric = EUCLIDEA
     """
     labelled = p.join(labels.select("id", "label"), "id")
     labelled = labelled if noise else labelled.where("label >= 0")
-    labelled = labelled.join(core, "id") if core is not None else labelled.withColumn("core", F.lit(0.0))
+    reach = core is not None
+    labelled = labelled.join(core, "id") if reach else labelled.withColumn("core", F.lit(0.0))
 
     def kernel(left, right, same):
         out = []
@@ -33,7 +34,7 @@ def cluster_distances(p: DataFrame, labels: DataFrame, metric: Metric = EUCLIDEA
             if not one.num_rows or not two.num_rows:
                 continue
             d = metric.block(matrix(one["features"]), matrix(two["features"]))
-            if core is not None:
+            if reach:
                 d = np.maximum(d, np.maximum.outer(one["core"].to_numpy(), two["core"].to_numpy()))
             ids, other = one["id"].to_numpy(), two["label"].to_numpy()
             apart = ids[:, None] != two["id"].to_numpy()[None, :] if same else np.ones(d.shape, bool)

@@ -8,18 +8,26 @@ from pyspark.sql import functions as F
 from ..plans.staging import stage, unstage
 
 
-def connected_components(edges: DataFrame, src: str = "i", dst: str = "j") -> DataFrame:
+#: Edges up to which components are found in one task, by disjoint sets.
+ONE_TASK = 200_000
+
+
+def connected_components(edges: DataFrame, src: str = "i", dst: str = "j", one_task: int = ONE_TASK) -> DataFrame:
     """(id, component) of every vertex that has an edge; a component is named by its smallest id.
 
     Alternates two contractions, each a grouped minimum and a join: every vertex passes its larger
     neighbours to the smallest vertex it knows, then its smaller ones. The number of rounds grows
     with the logarithm of the longest path. Each round's edges are written to the shared folder, so
-    that no lineage piles up and a lost executor costs one round. Self-loops keep their vertex.
+    that no lineage piles up and a lost executor costs one round. Self-loops keep their vertex. At most
+    ``one_task`` distinct edges go through one task instead, in a single pass.
     """
     i, j = F.col(src).cast("long"), F.col(dst).cast("long")
     pairs = edges.select(F.least(i, j).alias("a"), F.greatest(i, j).alias("b")).dropna()
     loops = pairs.where("a = b").select(F.col("a").alias("id")).distinct()
     now = stage(pairs.where("a < b").distinct(), "cc")
+    if one_task and now.count() <= one_task:
+        named = now.groupBy(F.lit("all")).applyInArrow(lambda t: _disjoint_sets(t), "id long, component long")
+        return named.unionAll(loops.join(named.select("id"), "id", "left_anti").select("id", F.col("id").alias("component")))
     before = None
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -40,6 +48,27 @@ def connected_components(edges: DataFrame, src: str = "i", dst: str = "j") -> Da
     return named.unionAll(loops.join(named.select("id"), "id", "left_anti").select("id", F.col("id").alias("component")))
 
 
+def _disjoint_sets(t):
+    import pyarrow as pa
+
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while parent[root] != root:
+            root = parent[root]
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    for a, b in zip(t["a"].to_pylist(), t["b"].to_pylist(), strict=True):
+        parent.setdefault(a, a)
+        parent.setdefault(b, b)
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return pa.table({"id": pa.array(list(parent), pa.int64()), "component": pa.array([find(x) for x in parent], pa.int64())})
+
+
 def rank_components(components: DataFrame) -> DataFrame:
     """(component, label): ranks from 0 by ascending component.
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +53,7 @@ def _prim(table: DataFrame, metric: Metric, weigh) -> DataFrame:
         u, v, w = zip(*edges, strict=True) if edges else ((), (), ())
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "w": pa.array(w, pa.float64())})
 
-    return table.groupBy(F.lit(0)).applyInArrow(lambda t: grow(t), EDGES)
+    return table.groupBy(F.lit("all")).applyInArrow(lambda t: grow(t), EDGES)
 
 
 def _boruvka(table: DataFrame, metric: Metric, weigh) -> DataFrame:
@@ -247,7 +248,7 @@ class HDBSCAN:
             labels, scores = density_labels(len(ids), edges, least)
             return pa.table({"id": pa.array(ids), "label": pa.array(labels.astype(np.int64)), "outlier_score": pa.array(scores)})
 
-        return self.tree(p).groupBy(F.lit(0)).applyInArrow(lambda t: fold(t), "id long, label long, outlier_score double")
+        return self.tree(p).groupBy(F.lit("all")).applyInArrow(lambda t: fold(t), "id long, label long, outlier_score double")
 
     def fit_predict(self, p: DataFrame) -> DataFrame:
         return self.fit(p).select("id", "label")
@@ -278,7 +279,7 @@ def dendrogram(edges: DataFrame) -> DataFrame:
         columns = list(zip(*rows, strict=True))
         return pa.table({k: pa.array(c, t) for k, c, t in zip(("node", "left", "right", "distance", "size"), columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)})
 
-    return edges.groupBy(F.lit(0)).applyInArrow(lambda t: fold(t), "node long, left long, right long, distance double, size long")
+    return edges.groupBy(F.lit("all")).applyInArrow(lambda t: fold(t), "node long, left long, right long, distance double, size long")
 
 
 def layer_at(p: DataFrame, edges: DataFrame, threshold: float, least: int) -> DataFrame:
@@ -293,6 +294,33 @@ def layer_at(p: DataFrame, edges: DataFrame, threshold: float, least: int) -> Da
     return whole.join(rank_components(large), "component", "left").select("id", "label")
 
 
+def cut_all(p: DataFrame, tree: DataFrame, thresholds: list[float], least: int) -> DataFrame:
+    """(cut, id, label) of every threshold, as ``layer_at`` labels them, in one pass over the tree's ascending edges."""
+
+    def fold(t):
+        every, ordered = ordered_edges(t.filter(pa.compute.is_valid(t["w"])))
+        ids = np.unique(t["u"].to_numpy())
+        at = np.searchsorted(ids, every)
+        forest, done, out = Forest(len(ids)), 0, []
+        for cut in np.argsort(thresholds, kind="stable").tolist():
+            while done < len(ordered) and ordered[done][2] <= thresholds[cut]:
+                a, b = (forest.find(int(at[x])) for x in ordered[done][:2])
+                if a != b:
+                    forest.unite(a, b)
+                done += 1
+            roots = np.array([forest.find(k) for k in range(len(ids))])
+            _, first, back, size = np.unique(roots, return_index=True, return_inverse=True, return_counts=True)
+            large = np.flatnonzero(size >= least)
+            rank = np.full(len(size), -1)
+            rank[large[np.argsort(first[large])]] = np.arange(len(large))
+            out.append((np.full(len(ids), cut), ids, rank[back]))
+        cuts, points, labels = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table({"cut": pa.array(cuts, pa.int32()), "id": pa.array(points), "label": pa.array(labels, pa.int64(), mask=labels < 0)})
+
+    rows = tree.select("u", "v", "w").unionAll(p.select("id", "id", F.lit(None).cast("double")))
+    return rows.groupBy(F.lit("all")).applyInArrow(lambda t: fold(t), "cut int, id long, label long")
+
+
 def near_duplicates(p: DataFrame, threshold: float, metric: Metric = EUCLIDEAN) -> DataFrame:
     """(component, id): groups of two or more points linked by distances up to a threshold, named by their smallest id."""
     if threshold <= 0:
@@ -370,8 +398,14 @@ class Layers:
         """The layer whose number of clusters is nearest to a target."""
         if target < 1:
             raise InvalidParameter("target", "has to be at least 1")
-        ids, edges = ordered_edges(self.tree.toArrow())
-        return layer_at(self.points, self.tree, best_threshold(len(ids), edges, self.min_cluster_size, target), self.min_cluster_size)
+        n, least = self.points.count(), self.min_cluster_size
+
+        def fold(t):
+            _, edges = ordered_edges(t)
+            return pa.table({"threshold": pa.array([best_threshold(n, edges, least, target)], pa.float64())})
+
+        found = self.tree.groupBy(F.lit("all")).applyInArrow(lambda t: fold(t), "threshold double").first()
+        return cut_all(self.points, self.tree, [found[0] if found else 0.0], least).select("id", "label")
 
 
 @dataclass(frozen=True)
@@ -399,10 +433,10 @@ class ProjectedHierarchy:
         tree = stage(spanning_tree(projected, self.metric, root=True), "layers-tree")
         weights = [r["w"] for r in tree.select("w").orderBy("w").collect()] if projected.count() <= FOLD else []
         thresholds = layer_thresholds(weights, self.max_layers, self.noise_level) if weights else [0.0]
-        found = [(t, stage(layer_at(p, tree, t, self.min_cluster_size), "layer")) for t in thresholds]
-        counts = [labels.agg(F.countDistinct("label")).first()[0] for _, labels in found]
-        order = sorted(range(len(found)), key=lambda k: (-counts[k], k))
-        return Layers(p, tree, [found[k][0] for k in order], [found[k][1] for k in order], self.min_cluster_size)
+        cuts = stage(cut_all(p, tree, thresholds, self.min_cluster_size), "layers-cuts")
+        counts = {r["cut"]: r["n"] for r in cuts.groupBy("cut").agg(F.countDistinct("label").alias("n")).collect()}
+        order = sorted(range(len(thresholds)), key=lambda k: (-counts[k], k))
+        return Layers(p, tree, [thresholds[k] for k in order], [cuts.where(F.col("cut") == k).select("id", "label") for k in order], self.min_cluster_size)
 
     def fit_predict(self, p: DataFrame) -> DataFrame:
         return self.fit(p).finest

@@ -93,7 +93,7 @@ class OPTICS:
             i, r, c = zip(*rows, strict=True)
             return pa.table({"pos": pa.array(np.arange(len(rows))), "id": pa.array(i, pa.int64()), "reachability": pa.array(r, pa.float64()), "core_distance": pa.array(c, pa.float64())})
 
-        return edges.unionByName(every).groupBy(F.lit(0)).applyInArrow(lambda t: run(t), ORDERING)
+        return edges.unionByName(every).groupBy(F.lit("all")).applyInArrow(lambda t: run(t), ORDERING)
 
 
 def extract_clusters(ordering: DataFrame, epsilon: float, by: Column | None = None) -> DataFrame:

@@ -76,7 +76,7 @@ class MiniBatchKMeans:
 
         from ..plans.staging import stage
 
-        out = stage(batch.select("seq", "features").groupBy(F.lit(0)).applyInArrow(lambda t: fold(t), "seq long, label long, state array<double>"), "minibatch")
+        out = stage(batch.select("seq", "features").groupBy(F.lit("all")).applyInArrow(lambda t: fold(t), "seq long, label long, state array<double>"), "minibatch")
         state = np.array(out.where("state is not null").first()["state"]).reshape(self.k, -1)
         self.counts, self.centroids = state[:, 0].astype(np.int64), state[:, 1:]
         return out.select("seq", "label")
