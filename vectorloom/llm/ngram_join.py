@@ -325,12 +325,12 @@ def join(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -
     alone = sets.withColumn("component", F.lit(None).cast("long"))
     links = stage(verify(candidate_pairs(alone, n, percent, False), sets, percent), "jaccard-links")
     free_shuffles(sets)
-    found = stage(connected_components(links, "x", "y"), "jaccard-found")
+    found = stage(connected_components(links, "x", "y", one_task=0), "jaccard-found")
     grouped = sets.join(found.select(F.col("id").alias("doc"), "component"), "doc", "left")
     more = stage(verify(candidate_pairs(grouped, n, percent, True), sets, percent), "jaccard-more")
     unstage(sets)
     every = found.select(F.col("id").alias("x"), F.col("component").alias("y")).unionByName(more)
-    final = connected_components(every, "x", "y").select(F.col("id").alias("class_id"), "component")
+    final = connected_components(every, "x", "y", one_task=0).select(F.col("id").alias("class_id"), "component")
     named = copies.join(final, "class_id", "left").select("set_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"))
     with_sets = known.join(named, ["set_id", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
