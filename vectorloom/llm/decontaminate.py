@@ -49,7 +49,7 @@ def window_hashes(tokens: Column, n: int) -> Column:
 
 def bitmap(hashes: list[int]) -> Callable[[Column], Column]:
     """A test that holds for each of these hashes and for few others: one bit each of a constant."""
-    size = max(16, 1 << (16 * len(hashes)).bit_length() - 6)
+    size = 1 << max(4, (16 * len(hashes)).bit_length() - 6)
     cells = [0] * size
     for h in hashes:
         cells[(h >> 6) & (size - 1)] |= 1 << (h & 63)
