@@ -320,6 +320,7 @@ def join(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -
     told = emit_sets(docs.where("doc_id is not null"), n, shingle).groupBy("to").applyInArrow(lambda t: count_bucket(t, n), ROWS)
     sets = classes.groupBy("to").cogroup(told.groupBy("to")).applyInArrow(lambda c, t: order_sets(c, t, percent), "doc long, n long, unique long, tokens binary")
     sets = stage(sets, "jaccard-sets")
+    del told  # or its shuffles would be kept for it
     free_shuffles(sets)
 
     alone = sets.withColumn("component", F.lit(None).cast("long"))
