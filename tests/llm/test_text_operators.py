@@ -315,6 +315,13 @@ def test_toxicity(spark):
     assert kept.columns == docs.columns and not {r["doc_id"] for r in kept.collect()} & {r["doc_id"] for r in found if r["predicted"]}
 
 
+def test_shouting_counts_the_whole_text():
+    at = 1 + toxicity.PATTERNS.index("shouting")
+    quiet, loud = "a quiet word " * 200, "SO LOUD A WORD " * 200
+    for text, shouted in ((f"{quiet} idiot {loud} {loud}", 1), (f"{loud} idiot {quiet} {quiet}", 0)):
+        assert toxicity.evidence(text, toxicity.words_of(text), {"idiot": 0})[at] == shouted
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     found = {r["doc_id"]: r["predicted"] for r in toxicity.report(documents(spark, [(1, "you idiot, you utter moron"), (2, "a fine day"), (3, None)]), none).collect()}

@@ -59,8 +59,8 @@ def evidence(text: str, words: list[str], lexicon: dict[str, int]) -> np.ndarray
     votes[[lexicon[w] for w in counts]] = 1
     hits, n = sum(counts.values()), len(words)
     address = any(b in counts and (a in ADDRESS or c in ADDRESS) for a, b, c in zip(["", *words], words, [*words[1:], ""], strict=False)) if hits else False
-    letters = sum(map(str.isalpha, text[:2000])) if hits else 0
-    shouting = hits > 0 and sum(map(str.isupper, text[:2000])) > 0.5 * letters > 0
+    letters = sum(map(str.isalpha, text)) if hits else 0
+    shouting = hits > 0 and sum(map(str.isupper, text)) > 0.5 * letters > 0
     votes[len(lexicon) :] = [hits == 0, hits >= 1, hits >= 2, hits >= 3, hits >= 5, hits > 0 and hits >= 0.01 * n, max(counts.values(), default=0) >= 2, address, shouting, hits > 0 and text.count("!") >= 3]
     return votes
 
