@@ -391,6 +391,28 @@ def test_licenses(spark):
     assert license_scan.scan(documents(spark, [])).count() == 0
 
 
+def test_short_license_notices(spark):
+    notices = {1: ("Distributed under LGPL-3.0.", "LGPL-3.0"), 2: ("BSD 3-Clause", "BSD-3-Clause"), 3: ("MPL-2.0", "MPL-2.0"), 4: ("Dedicated to everyone under CC0 1.0", "CC0-1.0"), 5: ("Released under the MIT terms", "MIT")}
+    rows = [(i, f"no such thing\n{text}\nthe version of this file") for i, (text, _) in notices.items()]
+    found = {(r["doc_id"], r["paragraph"]): r["family"] for r in license_scan.scan(documents(spark, rows)).collect()}
+    assert found == {(i, 1): family for i, (_, family) in notices.items()}
+
+
+def test_license_bound_is_sound():
+    model = license_scan.train(license_scan.samples())
+    most, needed = license_scan.most_added(model)
+    r = random.Random(4)
+    words = sorted({w for g in model.features for w in g.split()})
+    texts = [t for t, _ in license_scan.samples(copies=3, seed=9)] + [" ".join(r.choices(words, k=r.randint(1, 25))) for _ in range(3000)]
+    sure = 0
+    for text in texts:
+        at = [model.features[g] for g in license_scan.grams_of(text) if g in model.features]
+        if license_scan.soft((model.weights[at].sum(0) + model.bias)[None])[0][:-1].max() >= model.least:
+            sure += 1
+            assert sum(most[zlib.crc32(w.encode()) % license_scan.SLOTS] for w in license_scan.words_of(text)) >= needed
+    assert sure > 100
+
+
 def test_license_held_out():
     model = license_scan.train(license_scan.samples())
     fresh = license_scan.samples(copies=6, seed=77)

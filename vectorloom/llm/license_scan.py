@@ -1,9 +1,12 @@
 """License scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph is a line of a text. Those that hold a licence word (``WORDS``) are scored: distinct word
-1- and 2-grams are the sparse features of a logistic regression over licence families and an unknown
-class, trained on the driver from the templates below, cut and padded at random, and from sentences
-that use licence words without being licences. The least probability that a family needs is
+A paragraph is a line of a text, and every one is judged by the classifier: distinct word 1- and
+2-grams are the sparse features of a logistic regression over licence families and an unknown class,
+trained on the driver from the templates below, cut and padded at random, from short notices that
+name a licence, and from sentences that use licence words without being licences. A paragraph gives a
+row if it reaches a family's least probability or holds a licence word (``WORDS``). Full scores are
+only worked out where the sum over its words of the most that each may add, alone and with the word
+after it, lets a family reach that probability; no other paragraph can. The least probability that a family needs is
 calibrated on held-out samples, so that at most one in a hundred of the unknown passes; all others
 are ``unknown``. A family is confirmed when at least ``ALIKE`` of the word 2-grams of one of its
 templates stand in the paragraph.
@@ -17,7 +20,9 @@ rows; repeated rows are reported each; an empty table gives no rows; further col
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +31,8 @@ from pyspark.sql import functions as F
 
 FEATURES, ALIKE, COPIES = 1500, 0.6, 40
 UNKNOWN = "unknown"
+#: Slots that words and features are looked up by.
+SLOTS = 16384
 WORDS = r"(?i)licen[cs]|copyright|warrant|redistribut|permission|public domain|all rights|apache|mozilla|\bgnu\b|\bgpl|\bcc[ -]by|creative commons|spdx"
 #: Notices and opening sentences of licence families.
 TEMPLATES = {
@@ -71,6 +78,19 @@ ORDINARY = (
     "all rights of way across the farm remain open",
     "the company sells licences for its patents abroad",
 )
+#: Names of licences, and short notices that give nothing else.
+TERMS = {
+    "MIT": ("MIT",),
+    "Apache-2.0": ("Apache-2.0", "Apache 2.0"),
+    "GPL-3.0": ("GPL-3.0", "GPLv3"),
+    "LGPL-3.0": ("LGPL-3.0", "LGPLv3"),
+    "BSD-3-Clause": ("BSD-3-Clause", "BSD 3-Clause"),
+    "MPL-2.0": ("MPL-2.0", "MPL 2.0"),
+    "CC-BY-NC-4.0": ("CC-BY-NC-4.0",),
+    "CC-BY-4.0": ("CC-BY-4.0",),
+    "CC0-1.0": ("CC0-1.0", "CC0 1.0"),
+}
+NOTICES = ("{}", "Distributed under {}.", "Released under the {} terms", "Dedicated to everyone under {}", "SPDX-License-Identifier: {}")
 FILLER = "the of and to in that with for over under near report value method result table house water light number system order city music paper".split()
 
 
@@ -103,7 +123,14 @@ def samples(copies: int = COPIES, seed: int = 3) -> list[tuple[str, str]]:
 
     known = [(vary(t), f) for f, ts in TEMPLATES.items() for t in ts for _ in range(copies)]
     mixed = [(" ".join(r.permutation(t.split())[: int(r.integers(1, 5))].tolist() + [FILLER[int(k)] for k in r.integers(0, len(FILLER), 8)]), UNKNOWN) for ts in TEMPLATES.values() for t in ts for _ in range(copies // 2)]
-    return known + mixed + [(vary(t), UNKNOWN) for t in ORDINARY for _ in range(copies)]
+    ordinary = [(vary(t), UNKNOWN) for t in ORDINARY for _ in range(copies)]
+
+    def pad(text: str) -> str:
+        around = [[FILLER[int(k)] for k in r.integers(0, len(FILLER), int(r.integers(0, 8)))] for _ in range(2)]
+        return " ".join([*around[0], text, *around[1]])
+
+    short = [(pad(n.format(t)) if k % 2 else n.format(t), f) for f, ts in TERMS.items() for t in ts for n in NOTICES for k in range(max(1, copies // 10))]
+    return known + mixed + ordinary + short
 
 
 def train(labelled: list[tuple[str, str]], features: int = FEATURES, rounds: int = 300) -> Model:
@@ -144,19 +171,67 @@ def constant(values: list, kind: str, mark: str = "|") -> Column:
     return F.split(F.lit(mark.join(map(str, values))), "[|]").cast(f"array<{kind}>")
 
 
+def slot(gram: Column) -> Column:
+    return (F.crc32(gram.cast("binary")) % SLOTS).cast("int")
+
+
+def most_added(model: Model) -> tuple[list[float], float]:
+    """By slot, the most that a word there adds to any family's lead over unknown, and the sum without which none leads."""
+    leads = model.weights[:, :-1] - model.weights[:, -1:]
+    best = np.maximum(leads.max(1), 0.0)
+    alone: dict[str, float] = {}
+    after: dict[str, float] = {}
+    for gram, k in model.features.items():
+        word, *rest = gram.split(" ")
+        found = after if rest else alone
+        found[word] = max(found.get(word, 0.0), float(best[k]))
+    most = [0.0] * SLOTS
+    for word in {*alone, *after}:
+        at = zlib.crc32(word.encode()) % SLOTS
+        most[at] = max(most[at], round(alone.get(word, 0.0) + after.get(word, 0.0), 5))
+    return most, math.log(model.least / (1 - model.least)) - float((model.bias[:-1] - model.bias[-1]).max()) - 1e-3
+
+
+def places(features: dict[str, int]) -> list[Column]:
+    """Arrays that hold, by slot, the places of the features there; one array for each feature that shares a slot."""
+    held: dict[int, list[int]] = {}
+    for gram, k in features.items():
+        held.setdefault(zlib.crc32(gram.encode()) % SLOTS, []).append(k)
+    return [constant([held[s][j] if len(held.get(s, ())) > j else -1 for s in range(SLOTS)], "int") for j in range(max(map(len, held.values()), default=0))]
+
+
+def split_words(text: Column) -> Column:
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+", -1), "")
+
+
+def pairs_of(w: Column) -> Column:
+    """Distinct neighbours of an array of words."""
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 2, F.lit(0))), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))
+    return F.array_distinct(F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>")))
+
+
 def scan(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """Per licence paragraph: doc_id, paragraph (from 0), family, probability, similarity, confirmed."""
     model = model or train(samples())
     k = len(model.families) + 1
+    most, needed = most_added(model)
+    bounds = constant(most, "double")
+    reach = lambda t: F.aggregate(F.split(F.lower(t), "[^a-z0-9]+", -1), F.lit(0.0), lambda s, w: s + F.get(bounds, slot(w)))
     lines = documents.select("doc_id", F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1).alias("lines"))
     numbered = F.transform("lines", lambda t, i: F.struct(i.alias("paragraph"), t.alias("body")))
-    chosen = lines.where(F.exists("lines", lambda t: t.rlike(WORDS))).select("doc_id", F.explode_outer(F.filter(numbered, lambda x: x["body"].rlike(WORDS))).alias("x"))
-    chosen = chosen.select("doc_id", "x.paragraph", F.array_remove(F.split(F.lower("x.body"), "[^a-z0-9]+", -1), "").alias("w"))
-    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 2, F.lit(0))), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))).otherwise(F.array().cast("array<string>"))
-    chosen = chosen.withColumn("pairs", F.array_distinct(pairs)).withColumn("grams", F.array_union("w", "pairs"))
+    kept = lines.select("doc_id", F.filter(numbered, lambda x: x["body"].rlike(WORDS) | (reach(x["body"]) >= needed)).alias("kept"))
+    chosen = kept.select("doc_id", F.explode_outer("kept").alias("x")).where(F.col("x").isNotNull())
+    chosen = chosen.select("doc_id", "x.paragraph", F.col("x.body").rlike(WORDS).alias("worded"), split_words(F.col("x.body")).alias("w"))
+    chosen = chosen.withColumn("pairs", pairs_of(F.col("w"))).withColumn("grams", F.array_union("w", "pairs"))
     names = constant(list(model.features), "string")
     weights = constant(np.ravel(model.weights).tolist(), "double")
-    chosen = chosen.withColumn("at", F.filter(F.transform("grams", lambda g: (F.array_position(names, g) - 1).cast("int")), lambda a: a >= 0))
+    tables = places(model.features)
+
+    def place(g: Column) -> Column:
+        found = [F.get(t, slot(g)) for t in tables]
+        return F.coalesce(*[F.when(F.get(names, a) == g, a) for a in found], F.lit(-1))
+
+    chosen = chosen.withColumn("at", F.filter(F.transform("grams", place), lambda a: a >= 0))
     logits = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: F.get(constant(model.bias.tolist(), "double"), c) + F.aggregate("at", F.lit(0.0), lambda s, a: s + F.get(weights, a * k + c)))
     chosen = chosen.withColumn("logits", logits).withColumn("top", F.array_max("logits"))
     chosen = chosen.withColumn("odds", F.transform("logits", lambda x: F.exp(x - F.col("top"))))
@@ -175,4 +250,6 @@ def scan(documents: DataFrame, model: Model | None = None) -> DataFrame:
             similar = F.when(F.col("guess") == family, F.greatest(*shares, F.lit(0.0))).otherwise(similar)
     chosen = chosen.withColumn("similarity", similar)
     sure = F.col("probability") >= model.least
-    return chosen.select("doc_id", "paragraph", F.when(sure, F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability", "similarity", (sure & (F.col("similarity") >= ALIKE)).alias("confirmed"))
+    row = F.struct("doc_id", "paragraph", F.when(sure, F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability", "similarity", (sure & (F.col("similarity") >= ALIKE)).alias("confirmed"))
+    # through explode, as a filter on the score would be pushed down with a copy of every expression below it
+    return chosen.select(F.explode_outer(F.array(F.when(F.col("worded") | sure, row))).alias("row")).where(F.col("row").isNotNull()).select("row.*")
