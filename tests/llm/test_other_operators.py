@@ -101,6 +101,12 @@ def test_chat_edges(spark):
     assert chat_repair.repair_roles(conversations(spark, [])).count() == 0
 
 
+def test_chat_keeps_turns_of_different_unknown_roles(spark):
+    rows = [(1, 0, "tool", "x"), (1, 0, "function", "x"), (1, 0, "function", "x"), (1, 0, None, "x"), (2, 0, "tool", None), (2, 0, "tool", "")]
+    found = [(x["conv_id"], x["edit"]) for x in chat_repair.repair_roles(conversations(spark, rows)).collect()]
+    assert [sum(c == conv and edit != "insert" for c, edit in found) for conv in (1, 2)] == [3, 2]
+
+
 def test_pipeline(spark, tmp_path):
     words = [f"w{k}" for k in range(400)]
     r = np.random.default_rng(0)

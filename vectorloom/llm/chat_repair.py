@@ -124,7 +124,8 @@ def repair_roles(conversations: DataFrame) -> DataFrame:
     """Repaired turns: conv_id, turn, step, role, edit, cost, rendered."""
     role = F.lower(F.trim(F.col("role").cast("string")))
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, ROLES)), role), F.lit(0)).cast("int")
-    turns = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), rank.alias("rank"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).dropna().distinct()
+    given = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")).dropna(subset=["conv_id", "turn"]).distinct()
+    turns = given.select("conv_id", "turn", rank.alias("rank"), F.coalesce("text", F.lit("")).alias("text"))
     turns = turns.withColumn("run", F.floor(F.col("turn") / RUN).cast("long"))
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
