@@ -73,8 +73,9 @@ def rank_components(components: DataFrame) -> DataFrame:
     """(component, label): ranks from 0 by ascending component.
 
     One row a component is ranked, by range: each range's rows, after those of the ranges before it.
+    The ranges are read twice, so they are written first: made again they might be cut elsewhere.
     """
-    distinct = components.select("component").distinct().repartitionByRange("component").withColumn("part", F.spark_partition_id())
+    distinct = stage(components.select("component").distinct().repartitionByRange("component").withColumn("part", F.spark_partition_id()), "ranks")
     before = distinct.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     within = F.row_number().over(Window.partitionBy("part").orderBy("component"))
     return distinct.withColumn("within", within).join(F.broadcast(before.select("part", "before")), "part").select("component", (F.col("within") + F.col("before") - 1).cast("long").alias("label"))

@@ -29,7 +29,10 @@ EDGES = "u long, v long, w double"
 
 
 def spanning_tree(p: DataFrame, metric: Metric = EUCLIDEAN, core: DataFrame | None = None, root: bool = False) -> DataFrame:
-    """(u, v, w) of the minimum spanning tree, ties by (u, v); with core distances over mutual reachability; w rooted if asked."""
+    """(u, v, w) of the minimum spanning tree, ties by (u, v); with core distances over mutual reachability; w rooted if asked.
+
+    Edges are ordered by (w, u, v), under which the tree is the same by either plan.
+    """
     n = p.count()
     table = p.select("id", "features").join(core, "id") if core is not None else p.select("id", "features", F.lit(0.0).alias("core"))
     weigh = np.sqrt if root else (lambda d: d)
@@ -41,14 +44,20 @@ def _prim(table: DataFrame, metric: Metric, weigh) -> DataFrame:
         t = t.sort_by("id")
         ids, x, core = t["id"].to_numpy(), matrix(t["features"]), t["core"].to_numpy()
         n = len(ids)
-        best, source, out = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, bool)
+        place = np.arange(n)  # ids ascend, so places are compared for them
+        best, source, out = np.full(n, np.inf), np.full(n, n), np.zeros(n, bool)
         at, edges = 0, []
         for _ in range(n - 1):
             out[at] = True
             d = np.maximum(weigh(metric.block(x[at : at + 1], x)[0]), np.maximum(core[at], core))
-            nearer = ~out & (d < best)
+            low, high = np.minimum(place, at), np.maximum(place, at)
+            was_low, was_high = np.minimum(place, source), np.maximum(place, source)
+            sooner = (low < was_low) | ((low == was_low) & (high < was_high))
+            nearer = ~out & ((d < best) | ((d == best) & sooner))
             best[nearer], source[nearer] = d[nearer], at
-            at = int(np.where(out, np.inf, best).argmin())
+            ways = np.where(out, np.inf, best)
+            tied = np.flatnonzero(ways == ways.min())
+            at = int(tied[np.lexsort((np.maximum(tied, source[tied]), np.minimum(tied, source[tied])))[0]])
             edges.append((min(ids[at], ids[source[at]]), max(ids[at], ids[source[at]]), best[at]))
         u, v, w = zip(*edges, strict=True) if edges else ((), (), ())
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "w": pa.array(w, pa.float64())})
@@ -67,10 +76,11 @@ def _boruvka(table: DataFrame, metric: Metric, weigh) -> DataFrame:
             for one, two in [(left, right)] if same else [(left, right), (right, left)]:
                 if not one.num_rows or not two.num_rows:
                     continue
+                two = two.sort_by("id")  # so that the first of equal distances has the smallest id
                 d = np.maximum(weigh(metric.block(matrix(one["features"]), matrix(two["features"]))), np.maximum.outer(one["core"].to_numpy(), two["core"].to_numpy()))
                 a, b, mine = one["id"].to_numpy(), two["id"].to_numpy(), one["component"].to_numpy()
                 d[mine[:, None] == two["component"].to_numpy()[None, :]] = np.inf
-                j = np.lexsort((np.broadcast_to(b, d.shape), d), axis=1)[:, 0]
+                j = d.argmin(1)
                 w = d[np.arange(len(a)), j]
                 ok = np.isfinite(w)
                 out.append((mine[ok], np.minimum(a, b[j])[ok], np.maximum(a, b[j])[ok], w[ok]))
@@ -85,6 +95,13 @@ def _boruvka(table: DataFrame, metric: Metric, weigh) -> DataFrame:
     return chosen if chosen is not None else table.sparkSession.createDataFrame([], EDGES)
 
 
+def foldable(tree: DataFrame) -> DataFrame:
+    """The tree, if one task may fold it."""
+    if tree.count() > FOLD:
+        raise InvalidParameter("tree", f"more than {FOLD} edges, which one task would have to fold")
+    return tree
+
+
 class Forest:
     """Disjoint sets of 0 to n - 1."""
 
@@ -279,7 +296,7 @@ def dendrogram(edges: DataFrame) -> DataFrame:
         columns = list(zip(*rows, strict=True))
         return pa.table({k: pa.array(c, t) for k, c, t in zip(("node", "left", "right", "distance", "size"), columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)})
 
-    return edges.groupBy(F.lit("all")).applyInArrow(lambda t: fold(t), "node long, left long, right long, distance double, size long")
+    return foldable(edges).groupBy(F.lit("all")).applyInArrow(lambda t: fold(t), "node long, left long, right long, distance double, size long")
 
 
 def layer_at(p: DataFrame, edges: DataFrame, threshold: float, least: int) -> DataFrame:
@@ -317,7 +334,7 @@ def cut_all(p: DataFrame, tree: DataFrame, thresholds: list[float], least: int)
         cuts, points, labels = (np.concatenate(c) for c in zip(*out, strict=True))
         return pa.table({"cut": pa.array(cuts, pa.int32()), "id": pa.array(points), "label": pa.array(labels, pa.int64(), mask=labels < 0)})
 
-    rows = tree.select("u", "v", "w").unionAll(p.select("id", "id", F.lit(None).cast("double")))
+    rows = foldable(tree).select("u", "v", "w").unionAll(p.select("id", "id", F.lit(None).cast("double")))
     return rows.groupBy(F.lit("all")).applyInArrow(lambda t: fold(t), "cut int, id long, label long")
 
 
@@ -329,6 +346,16 @@ def near_duplicates(p: DataFrame, threshold: float, metric: Metric = EUCLIDEAN)
     return found.select("component", "id")
 
 
+def picked_thresholds(tree: DataFrame, layers: int, noise_level: float) -> list[float]:
+    """``layer_thresholds`` of a tree's weights, sorted where the tree is folded; 0 alone for a tree without edges."""
+
+    def pick(t):
+        return pa.table({"threshold": pa.array(layer_thresholds(np.sort(t["w"].to_numpy()).tolist(), layers, noise_level), pa.float64())})
+
+    found = foldable(tree).select("w").groupBy(F.lit("all")).applyInArrow(lambda t: pick(t), "threshold double").collect()  # a row a layer
+    return sorted(r["threshold"] for r in found) or [0.0]
+
+
 def layer_thresholds(weights: list[float], layers: int, noise_level: float) -> list[float]:
     """Distinct thresholds from ascending tree weights; a higher noise level leans to coarser ones."""
     layers = max(1, min(layers, len(weights)))
@@ -391,6 +418,11 @@ class Layers:
         """(layer, label, members)."""
         return self.table().where("label is not null").groupBy("layer", "label").agg(F.array_sort(F.collect_list("id")).alias("members"))
 
+    @property
+    def dimensions(self) -> int:
+        """Of the points as they came in."""
+        return self.points.select(F.size("features")).first()[0]
+
     def dendrogram(self) -> DataFrame:
         return dendrogram(self.tree)
 
@@ -404,7 +436,7 @@ class Layers:
             _, edges = ordered_edges(t)
             return pa.table({"threshold": pa.array([best_threshold(n, edges, least, target)], pa.float64())})
 
-        found = self.tree.groupBy(F.lit("all")).applyInArrow(lambda t: fold(t), "threshold double").first()
+        found = foldable(self.tree).groupBy(F.lit("all")).applyInArrow(lambda t: fold(t), "threshold double").first()
         return cut_all(self.points, self.tree, [found[0] if found else 0.0], least).select("id", "label")
 
 
@@ -431,8 +463,7 @@ class ProjectedHierarchy:
     def fit(self, p: DataFrame) -> Layers:
         projected = stage(self.project(p), "layers-points")
         tree = stage(spanning_tree(projected, self.metric, root=True), "layers-tree")
-        weights = [r["w"] for r in tree.select("w").orderBy("w").collect()] if projected.count() <= FOLD else []
-        thresholds = layer_thresholds(weights, self.max_layers, self.noise_level) if weights else [0.0]
+        thresholds = picked_thresholds(tree, self.max_layers, self.noise_level)
         cuts = stage(cut_all(p, tree, thresholds, self.min_cluster_size), "layers-cuts")
         counts = {r["cut"]: r["n"] for r in cuts.groupBy("cut").agg(F.countDistinct("label").alias("n")).collect()}
         order = sorted(range(len(thresholds)), key=lambda k: (-counts[k], k))

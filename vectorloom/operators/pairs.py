@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 from ..errors import InvalidParameter
 from ..functions import vectors as V
 from ..functions.distance import EUCLIDEAN, Metric
+from ..plans.staging import stage
 
 BLOCK = 512
 #: Most dimensions for which the 3 ** d neighbouring cells are joined.
 GRID_DIMENSIONS = 5
-#: Centroids that are sent to every task; beyond them they are joined.
+#: The most values of centroids, which are sent to every task; more are refused.
 BROADCAST_VALUES = 4_000_000
 
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray], dict[str, np.ndarray]], dict[str, np.ndarray]]
@@ -160,7 +161,7 @@ def k_distance(p: DataFrame, k: int, metric: Metric = EUCLIDEAN) -> DataFrame:
     The positions come from one sorted pass; the curve holds a number a point.
     """
     core = core_distances(p, k, metric)
-    ranges = core.repartitionByRange("core").withColumn("part", F.spark_partition_id())
+    ranges = stage(core.repartitionByRange("core").withColumn("part", F.spark_partition_id()), "k-distances")  # read twice, and cut once
     # positions without one task for all: the rank within a range, after the rows of the ranges before
     before = ranges.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("part").orderBy("core", "id"))
