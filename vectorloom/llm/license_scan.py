@@ -1,21 +1,27 @@
 """License scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph is a line of a text, and every one is judged by the classifier: distinct word 1- and
-2-grams are the sparse features of a logistic regression over licence families and an unknown class,
-trained on the driver from the templates below, cut and padded at random, from short notices that
-name a licence, and from sentences that use licence words without being licences. A paragraph gives a
-row if it reaches a family's least probability or holds a licence word (``WORDS``). Full scores are
-only worked out where the sum over its words of the most that each may add, alone and with the word
-after it, lets a family reach that probability; no other paragraph can. The least probability that a family needs is
-calibrated on held-out samples, so that at most one in a hundred of the unknown passes; all others
-are ``unknown``. A family is confirmed when at least ``ALIKE`` of the word 2-grams of one of its
-templates stand in the paragraph.
+The units that are judged are the lines of a text and its wrapped paragraphs: runs of two or more lines
+without a blank one between, put together. Distinct word 1- and 2-grams are the features of a logistic
+regression over licence families and an unknown class, kept sparse by an L1 penalty; it is trained on
+the driver from the templates below, cut and padded at random, from short notices that name a licence,
+and from sentences that use licence words without being licences. The least probability that a family
+needs is calibrated on sentences that training doesn't see, so that at most one in a hundred of the
+unknown passes; all others are ``unknown``. A family is confirmed when at least ``ALIKE`` of the word
+2-grams of one of its templates stand in the unit.
+
+A line gives a row if it reaches a family's least probability or holds a licence word (``WORDS``). A
+wrapped paragraph gives one if its likeliest family is confirmed and none of its lines alone would be.
+Scores are only worked out where they can matter: no unit in which the most that its distinct words can
+add to any family's lead, alone and with the word after them, falls short of the least probability can
+reach it, and neither can any unit of a text that falls short as a whole. A word that adds to no lead
+counts nothing, so texts are first held against the few words that do.
 
 Scoring is a DataFrame expression over one row at a time: no shuffle, no Python on executors. The
 model is a constant of at most ``FEATURES`` rows.
 
-Defined results: a null or empty text has no paragraphs; documents without licence paragraphs give no
-rows; repeated rows are reported each; an empty table gives no rows; further columns are ignored.
+Defined results: a null or empty text has no units; documents without licence paragraphs give no rows;
+a text of any length is judged whole; repeated rows are reported each; an empty table gives no rows;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FEATURES, ALIKE, COPIES = 1500, 0.6, 40
+#: Of the L1 penalty, and of one gradient step.
+SPARSE, RATE = 1e-4, 1.0
 UNKNOWN = "unknown"
 #: Slots that words and features are looked up by.
 SLOTS = 16384
@@ -51,6 +60,9 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     ),
     "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3.",),
+    "AGPL-3.0": ("This program is licensed under the GNU Affero General Public License, version 3.",),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",),
     "BSD-3-Clause": (
         "Use of this source code is governed by a BSD-style license.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
@@ -77,6 +89,12 @@ ORDINARY = (
     "the gnu is a large antelope of the plains",
     "all rights of way across the farm remain open",
     "the company sells licences for its patents abroad",
+    "students need permission of the school to use the library",
+    "the firm holds a public license to sell software and materials",
+    "this version of the story was made available by the author",
+    "the terms of the agreement were granted without a fee",
+    "the general told the public that the program was free",
+    "copyright law differs between one country and another",
 )
 #: Names of licences, and short notices that give nothing else.
 TERMS = {
@@ -84,6 +102,9 @@ TERMS = {
     "Apache-2.0": ("Apache-2.0", "Apache 2.0"),
     "GPL-3.0": ("GPL-3.0", "GPLv3"),
     "LGPL-3.0": ("LGPL-3.0", "LGPLv3"),
+    "AGPL-3.0": ("AGPL-3.0", "AGPLv3"),
+    "ISC": ("ISC",),
+    "EPL-2.0": ("EPL-2.0", "EPL 2.0"),
     "BSD-3-Clause": ("BSD-3-Clause", "BSD 3-Clause"),
     "MPL-2.0": ("MPL-2.0", "MPL 2.0"),
     "CC-BY-NC-4.0": ("CC-BY-NC-4.0",),
@@ -91,7 +112,10 @@ TERMS = {
     "CC0-1.0": ("CC0-1.0", "CC0 1.0"),
 }
 NOTICES = ("{}", "Distributed under {}.", "Released under the {} terms", "Dedicated to everyone under {}", "SPDX-License-Identifier: {}")
-FILLER = "the of and to in that with for over under near report value method result table house water light number system order city music paper".split()
+FILLER = (
+    "the of and to in that with for over under near report value method result table house water light number system order city music paper "
+    "by on is it as at you this not are or an a all can has into any may be from was were which that there when who its if no so such use see"
+).split()
 
 
 @dataclass(frozen=True)
@@ -112,53 +136,53 @@ def grams_of(text: str) -> set[str]:
     return {*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))}
 
 
-def samples(copies: int = COPIES, seed: int = 3) -> list[tuple[str, str]]:
-    """(paragraph, family), with words dropped and others put around."""
+def samples(copies: int = COPIES, seed: int = 3) -> list[tuple[str, str, int]]:
+    """(paragraph, family, number of what it was made from), with words dropped and others put around."""
     r = np.random.default_rng(seed)
-
-    def vary(text: str) -> str:
-        words = [w for w in text.split() if r.random() > 0.08]
-        around = [[FILLER[int(k)] for k in r.integers(0, len(FILLER), int(r.integers(0, 8)))] for _ in range(2)]
-        return " ".join([*around[0], *words, *around[1]])
-
-    known = [(vary(t), f) for f, ts in TEMPLATES.items() for t in ts for _ in range(copies)]
-    mixed = [(" ".join(r.permutation(t.split())[: int(r.integers(1, 5))].tolist() + [FILLER[int(k)] for k in r.integers(0, len(FILLER), 8)]), UNKNOWN) for ts in TEMPLATES.values() for t in ts for _ in range(copies // 2)]
-    ordinary = [(vary(t), UNKNOWN) for t in ORDINARY for _ in range(copies)]
-
-    def pad(text: str) -> str:
-        around = [[FILLER[int(k)] for k in r.integers(0, len(FILLER), int(r.integers(0, 8)))] for _ in range(2)]
-        return " ".join([*around[0], text, *around[1]])
-
-    short = [(pad(n.format(t)) if k % 2 else n.format(t), f) for f, ts in TERMS.items() for t in ts for n in NOTICES for k in range(max(1, copies // 10))]
-    return known + mixed + ordinary + short
-
-
-def train(labelled: list[tuple[str, str]], features: int = FEATURES, rounds: int = 300) -> Model:
-    """A model from labelled paragraphs; every fifth is held out for calibration."""
-    families = tuple(sorted({f for _, f in labelled} - {UNKNOWN}))
+    filler = lambda n: [FILLER[int(k)] for k in r.integers(0, len(FILLER), n)]
+
+    def vary(words: list[str], drop: float = 0.08) -> str:
+        kept = [w for w in words if r.random() > drop]
+        return " ".join([*filler(int(r.integers(0, 8))), *kept, *filler(int(r.integers(0, 8)))])
+
+    templates = [(t, f) for f, ts in TEMPLATES.items() for t in ts]
+    out = [(vary(t.split()), f, k) for k, (t, f) in enumerate(templates) for _ in range(copies)]
+    # a few words of a licence in any order, or a sentence with licence words, state none
+    for k, (t, _) in enumerate(templates):
+        out += [(" ".join([*r.permutation(t.split())[: int(r.integers(1, 4))].tolist(), *filler(8)]), UNKNOWN, k) for _ in range(copies // 2)]
+    out += [(vary(t.split()), UNKNOWN, k) for k, t in enumerate(ORDINARY) for _ in range(copies)]
+    out += [(" ".join(filler(int(r.integers(5, 80)))), UNKNOWN, k) for k in range(20 * copies)]
+    for k, (f, t, n) in enumerate((f, t, n) for f, ts in TERMS.items() for t in ts for n in NOTICES):
+        out += [(vary(n.format(t).split(), 0.0) if c % 2 else n.format(t), f, k) for c in range(max(1, copies // 4))]
+    return out
+
+
+def train(labelled: list[tuple[str, str, int]], features: int = FEATURES, rounds: int = 500) -> Model:
+    """A model from labelled paragraphs; of the unknown, whatever was made from every fifth source is held out for calibration."""
+    families = tuple(sorted({f for _, f, _ in labelled} - {UNKNOWN}))
     classes = {f: k for k, f in enumerate((*families, UNKNOWN))}
-    sets = [grams_of(t) for t, _ in labelled]
-    y = np.array([classes[f] for _, f in labelled])
-    held = np.arange(len(y)) % 5 == 4
-    counts: dict[str, int] = {}
-    for s, h in zip(sets, held, strict=True):
-        if not h:
-            for g in s:
-                counts[g] = counts.get(g, 0) + 1
+    sets = [grams_of(t) for t, _, _ in labelled]
+    y = np.array([classes[f] for _, f, _ in labelled])
+    unknown = y == classes[UNKNOWN]
+    held = unknown & (np.array([source for _, _, source in labelled]) % 5 == 4)
+    common = set(FILLER)
+    counts = Counter(g for s, h in zip(sets, held, strict=True) if not h for g in s if not common.issuperset(g.split(" ")))
     vocabulary = {g: k for k, g in enumerate(sorted(counts, key=lambda g: (-counts[g], g))[:features])}
     x = np.zeros((len(y), len(vocabulary)))
     for row, s in enumerate(sets):
         x[row, [vocabulary[g] for g in s if g in vocabulary]] = 1
-    target = np.eye(len(classes))[y]
+    seen, target = x[~held], np.eye(len(classes))[y[~held]]
     w, b = np.zeros((len(vocabulary), len(classes))), np.zeros(len(classes))
-    for _ in range(rounds):
-        p = soft(x[~held] @ w + b) - target[~held]
-        w -= 0.5 * (x[~held].T @ p / (~held).sum() + 1e-4 * w)
-        b -= 0.5 * p.mean(0)
+    for _ in range(rounds):  # proximal gradient descent
+        p = soft(seen @ w + b) - target
+        w -= RATE * (seen.T @ p / len(seen))
+        w = np.sign(w) * np.maximum(np.abs(w) - RATE * SPARSE, 0)
+        b -= RATE * p.mean(0)
     p = soft(x[held] @ w + b)[:, :-1].max(1)
-    unknown = y[held] == classes[UNKNOWN]
-    least = max(0.5, float(np.quantile(p[unknown], 0.99)) if unknown.any() else 0.5)
-    return Model(families, vocabulary, np.round(w, 5), np.round(b, 5), min(least, 0.95))
+    least = max(0.5, float(np.quantile(p, 0.99)) if len(p) else 0.5)
+    used = np.flatnonzero((w != 0).any(1))
+    names = list(vocabulary)
+    return Model(families, {names[at]: k for k, at in enumerate(used)}, np.round(w[used], 5), np.round(b, 5), least)
 
 
 def soft(x: np.ndarray) -> np.ndarray:
@@ -175,21 +199,17 @@ def slot(gram: Column) -> Column:
     return (F.crc32(gram.cast("binary")) % SLOTS).cast("int")
 
 
-def most_added(model: Model) -> tuple[list[float], float]:
-    """By slot, the most that a word there adds to any family's lead over unknown, and the sum without which none leads."""
+def most_added(model: Model) -> tuple[dict[str, float], float]:
+    """By word, the most that its presence can add to any family's lead over unknown, and the sum without which none leads.
+
+    What a pair of words adds is counted at one of the two, the one that says more by itself.
+    """
     leads = model.weights[:, :-1] - model.weights[:, -1:]
-    best = np.maximum(leads.max(1), 0.0)
-    alone: dict[str, float] = {}
-    after: dict[str, float] = {}
-    for gram, k in model.features.items():
-        word, *rest = gram.split(" ")
-        found = after if rest else alone
-        found[word] = max(found.get(word, 0.0), float(best[k]))
-    most = [0.0] * SLOTS
-    for word in {*alone, *after}:
-        at = zlib.crc32(word.encode()) % SLOTS
-        most[at] = max(most[at], round(alone.get(word, 0.0) + after.get(word, 0.0), 5))
-    return most, math.log(model.least / (1 - model.least)) - float((model.bias[:-1] - model.bias[-1]).max()) - 1e-3
+    best = dict(zip(model.features, np.maximum(leads.max(1), 0.0).tolist(), strict=True))
+    most: Counter[str] = Counter()
+    for gram, added in best.items():
+        most[max(gram.split(" "), key=lambda w: (w not in FILLER, best.get(w, 0.0), w))] += added
+    return {w: round(m, 5) for w, m in most.items() if m > 0}, math.log(model.least / (1 - model.least)) - float((model.bias[:-1] - model.bias[-1]).max()) - 1e-3
 
 
 def places(features: dict[str, int]) -> list[Column]:
@@ -210,18 +230,34 @@ def pairs_of(w: Column) -> Column:
     return F.array_distinct(F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>")))
 
 
+def units_of(text: Column) -> Column:
+    """The lines of a text, and its wrapped paragraphs, each with its lines in parts."""
+    lines = F.split(text, "\n", -1)
+    full = lambda i: F.length(F.trim(F.get(lines, i))) > 0
+    numbers = F.sequence(F.lit(0), F.size(lines) - 1)
+    starts = F.filter(numbers, lambda i: full(i) & ((i == 0) | ~full(i - 1)))
+    ends = F.filter(numbers, lambda i: full(i) & ((i == F.size(lines) - 1) | ~full(i + 1)))
+    unit = lambda at, body, parts: F.struct(at.alias("paragraph"), F.greatest(F.size(parts), F.lit(1)).alias("lines"), body.alias("body"), parts.alias("parts"))
+    runs = F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda x: F.struct(x["s"].alias("s"), F.slice(lines, x["s"] + 1, x["e"] - x["s"] + 1).alias("parts")))
+    wrapped = F.transform(F.filter(runs, lambda x: F.size(x["parts"]) > 1), lambda x: unit(x["s"], F.array_join(x["parts"], " "), x["parts"]))
+    return F.concat(F.transform(lines, lambda t, i: unit(i, t, F.array().cast("array<string>"))), wrapped)
+
+
 def scan(documents: DataFrame, model: Model | None = None) -> DataFrame:
-    """Per licence paragraph: doc_id, paragraph (from 0), family, probability, similarity, confirmed."""
+    """Per licence paragraph: doc_id, paragraph (its first line, from 0), lines, family, probability, similarity, confirmed."""
     model = model or train(samples())
     k = len(model.families) + 1
     most, needed = most_added(model)
-    bounds = constant(most, "double")
-    reach = lambda t: F.aggregate(F.split(F.lower(t), "[^a-z0-9]+", -1), F.lit(0.0), lambda s, w: s + F.get(bounds, slot(w)))
-    lines = documents.select("doc_id", F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1).alias("lines"))
-    numbered = F.transform("lines", lambda t, i: F.struct(i.alias("paragraph"), t.alias("body")))
-    kept = lines.select("doc_id", F.filter(numbered, lambda x: x["body"].rlike(WORDS) | (reach(x["body"]) >= needed)).alias("kept"))
-    chosen = kept.select("doc_id", F.explode_outer("kept").alias("x")).where(F.col("x").isNotNull())
-    chosen = chosen.select("doc_id", "x.paragraph", F.col("x.body").rlike(WORDS).alias("worded"), split_words(F.col("x.body")).alias("w"))
+    telling, gains = constant(list(most), "string"), constant(list(most.values()), "double")
+
+    def may_lead(w: Column) -> Column:
+        return F.aggregate(F.array_intersect(w, telling), F.lit(0.0), lambda s, t: s + F.get(gains, F.array_position(telling, t).cast("int") - 1)) >= needed
+
+    docs = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.where(F.col("text").rlike(WORDS) | may_lead(split_words(F.col("text"))))
+    chosen = docs.select("doc_id", F.explode_outer(units_of(F.col("text"))).alias("x"))
+    chosen = chosen.select("doc_id", "x.*", ((F.col("x.lines") == 1) & F.col("x.body").rlike(WORDS)).alias("worded"), split_words(F.col("x.body")).alias("w"))
+    chosen = chosen.where(F.col("worded") | may_lead(F.col("w")))
     chosen = chosen.withColumn("pairs", pairs_of(F.col("w"))).withColumn("grams", F.array_union("w", "pairs"))
     names = constant(list(model.features), "string")
     weights = constant(np.ravel(model.weights).tolist(), "double")
@@ -239,17 +275,26 @@ def scan(documents: DataFrame, model: Model | None = None) -> DataFrame:
     chosen = chosen.withColumn("best", F.array_max(known)).withColumn("which", F.array_position(known, F.array_max(known)).cast("int") - 1)
     chosen = chosen.withColumn("probability", F.col("best") / F.aggregate("odds", F.lit(0.0), lambda s, x: s + x))
     chosen = chosen.withColumn("guess", F.get(constant(list(model.families), "string"), F.col("which")))
-    similar = F.lit(0.0)
-    for family in model.families:
-        shares = []
-        for template in TEMPLATES.get(family, ()):
-            w = words_of(template)
-            own = sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
-            shares.append(F.size(F.array_intersect("pairs", constant(own, "string"))) / F.lit(float(len(own))))
-        if shares:
-            similar = F.when(F.col("guess") == family, F.greatest(*shares, F.lit(0.0))).otherwise(similar)
-    chosen = chosen.withColumn("similarity", similar)
-    sure = F.col("probability") >= model.least
-    row = F.struct("doc_id", "paragraph", F.when(sure, F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability", "similarity", (sure & (F.col("similarity") >= ALIKE)).alias("confirmed"))
+
+    def likeness(pairs: Column) -> Column:
+        """The largest share of a template of the guessed family that stands in a unit."""
+        out = F.lit(0.0)
+        for family in model.families:
+            shares = [F.size(F.array_intersect(pairs, constant(own, "string"))) / F.lit(float(len(own))) for own in template_pairs(family)]
+            if shares:
+                out = F.when(F.col("guess") == family, F.greatest(*shares, F.lit(0.0))).otherwise(out)
+        return out
+
+    chosen = chosen.withColumn("similarity", likeness(F.col("pairs")))
+    alike = F.col("similarity") >= ALIKE
+    across = alike & ~F.exists("parts", lambda line: likeness(pairs_of(split_words(line))) >= ALIKE)
+    chosen = chosen.withColumn("sure", F.when(F.col("lines") == 1, F.col("probability") >= model.least).otherwise(F.when(alike, across).otherwise(F.lit(False))))
+    row = F.struct("doc_id", "paragraph", "lines", F.when(F.col("sure"), F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability", "similarity", (F.col("sure") & alike).alias("confirmed"))
     # through explode, as a filter on the score would be pushed down with a copy of every expression below it
-    return chosen.select(F.explode_outer(F.array(F.when(F.col("worded") | sure, row))).alias("row")).where(F.col("row").isNotNull()).select("row.*")
+    return chosen.select(F.explode_outer(F.array(F.when(F.col("worded") | F.col("sure"), row))).alias("row")).where(F.col("row").isNotNull()).select("row.*")
+
+
+def template_pairs(family: str) -> list[list[str]]:
+    """The distinct 2-grams of each template of a family."""
+    split = [words_of(t) for t in TEMPLATES.get(family, ())]
+    return [sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}) for w in split]
