@@ -183,6 +183,24 @@ def test_decontaminate_without_broadcast(spark, monkeypatch):
     assert found == brute_leaks(leaky(), ITEMS)
 
 
+def test_decontaminate_large_benchmark(spark):
+    """More than 500,000 words: the lookup is a shuffled join, with and without the bitmap before it."""
+    r = random.Random(6)
+    items = [(i, " ".join(f"w{r.randrange(3000)}" for _ in range(12))) for i in range(45_000)]
+    assert sum(len(t.split()) for _, t in items) > decontaminate.BROADCAST_WORDS
+    rows = [(i, " ".join([f"w{r.randrange(3000)}" for _ in range(30)] + items[r.randrange(45_000)][1].split()[: r.choice([9, 10, 12])])) for i in range(60)] + [(99, None)]
+    found = {x[0]: tuple(x)[1:] for x in decontaminate.report(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == brute_leaks(rows, items)
+
+
+def test_decontaminate_without_bitmap(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", -1)
+    monkeypatch.setattr(decontaminate, "BITMAP_WORDS", -1)
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    found = {r[0]: tuple(r)[1:] for r in decontaminate.report(documents(spark, leaky()), items).collect()}
+    assert found == brute_leaks(leaky(), ITEMS)
+
+
 def test_decontaminate_edges(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = documents(spark, [*leaky(), (1, leaky()[0][1]), (None, "one two three"), (None, None)])

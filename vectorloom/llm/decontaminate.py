@@ -3,27 +3,32 @@
 A word is a maximal run of characters that are neither ASCII separators nor ASCII punctuation,
 after lower-casing A-Z only. A window is ``n`` consecutive words of a benchmark item; an item of
 fewer words, but not none, is one window. The distinct windows are hashed once and sent to every
-executor, with a bitmap of the hashes that lets few other windows through; each document's windows
-are hashed in place, looked up, and every hit is verified on the words themselves. Only hits are
-shuffled. Everything is a DataFrame expression.
+executor, with a bitmap of the hashes that lets few other windows through; each document's words
+are hashed once, its windows from their words' hashes, and every window that is found is verified on
+the words themselves. Only hits are shuffled. Everything is a DataFrame expression.
 
 The hash set is broadcast only while the benchmark is at most ``BROADCAST_WORDS`` words (about
-100 bytes for each window); beyond it the lookup is a shuffled join on the window hash.
+100 bytes for each window); beyond it the lookup is a shuffled join on the window hash, before which
+the bitmap still lets few windows through up to ``BITMAP_WORDS``. A window that very many documents
+share is one row of the lookup, so the join can be split at it.
 
 Defined results: a null or empty text has no words and no hits; items whose id or text is null are
-left out; repeated document rows get a result row each; an empty benchmark hits nothing; columns
-of the inputs other than the named ones are ignored.
+left out; texts of any length are scanned whole; repeated document rows get a result row each; an
+empty benchmark hits nothing; columns of the inputs other than the named ones are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import stage
+
 N = 10
-BROADCAST_WORDS = 500_000
+BROADCAST_WORDS, BITMAP_WORDS = 500_000, 2_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same classes for a text in which A-Z have not been lower-cased.
@@ -39,21 +44,27 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS, -1), "")
 
 
-def window_hashes(tokens: Column, n: int) -> Column:
+def word_hashes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda w: F.xxhash64(w))
+
+
+def window_hash(hashes: Column, at: Column, n: int) -> Column:
+    """The hash of n words from one place on, by their hashes."""
+    return F.xxhash64(*[F.get(hashes, at + k) for k in range(n)])
+
+
+def window_hashes(hashes: Column, n: int) -> Column:
     """The hash of each window of n words, by its start."""
-    last = F.size(tokens) - n
-    return F.when(last < 0, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(n)]))
-    )
+    last = F.size(hashes) - n
+    return F.when(last < 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: window_hash(hashes, i, n)))
 
 
-def bitmap(hashes: list[int]) -> Callable[[Column], Column]:
+def bitmap(hashes: np.ndarray) -> Callable[[Column], Column]:
     """A test that holds for each of these hashes and for few others: one bit each of a constant."""
     size = 1 << max(4, (16 * len(hashes)).bit_length() - 6)
-    cells = [0] * size
-    for h in hashes:
-        cells[(h >> 6) & (size - 1)] |= 1 << (h & 63)
-    signed = ",".join(str(x - (1 << 64) if x >> 63 else x) for x in cells)
+    cells = np.zeros(size, np.int64)
+    np.bitwise_or.at(cells, (hashes >> 6) & (size - 1), np.int64(1) << (hashes & 63))
+    signed = ",".join(map(str, cells.tolist()))
     bits = F.split(F.lit(signed), ",").cast("array<bigint>")  # folded to a literal
     cell = lambda h: F.get(bits, F.shiftright(h, 6).bitwiseAND(size - 1).cast("int"))
     return lambda h: F.call_function("shiftrightunsigned", cell(h), h.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
@@ -70,39 +81,40 @@ def benchmark_windows(benchmark: DataFrame, n: int = N, item_id: str = "item_id"
     grams = starts.select("item", F.col("m").alias("len"), F.slice("w", F.col("at"), F.col("m")).alias("gram"))
     hashed = F.lit(None).cast("bigint")
     for m in range(1, n + 1):
-        hashed = F.when(F.col("len") == m, F.xxhash64(*[F.get("gram", F.lit(k)) for k in range(m)])).otherwise(hashed)
+        hashed = F.when(F.col("len") == m, window_hash(word_hashes(F.col("gram")), F.lit(0), m)).otherwise(hashed)
     return grams.groupBy("len", "gram").agg(F.collect_set("item").alias("items")).select(hashed.alias("hash"), "len", "gram", "items")
 
 
 def find_hits(documents: DataFrame, benchmark: DataFrame, n: int = N, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document row: doc_id, n_words, hits (arrays of start and length), items (sorted)."""
-    grams = benchmark_windows(benchmark, n)
-    size = grams.agg(F.sum("len").alias("words"), F.collect_set("len").alias("lengths")).first()
-    lengths = sorted(size["lengths"] or [], reverse=True)
-    # the row of length 0 meets each document once, so that documents without hits stay
-    spark = documents.sparkSession
-    none = spark.range(1).select(F.lit(0).cast("bigint").alias("hash"), F.lit(0).alias("len"), F.array().cast("array<string>").alias("gram"), F.array().cast("array<string>").alias("items"))
-    lookup, small = grams.unionByName(none), (size["words"] or 0) <= BROADCAST_WORDS
-    if small:
-        lookup, maybe = F.broadcast(lookup), bitmap([r[0] for r in grams.select("hash").distinct().collect()])
+    lookup = benchmark_windows(benchmark, n)
+    size = lookup.agg(F.sum("len").alias("words"), F.collect_set("len").alias("lengths")).first()
+    lengths, words_there = sorted(size["lengths"] or [], reverse=True), size["words"] or 0
+    maybe = None
+    if words_there <= BITMAP_WORDS:
+        maybe = bitmap(lookup.select("hash").distinct().toArrow()["hash"].to_numpy())
+    if words_there <= BROADCAST_WORDS:
+        lookup = F.broadcast(lookup)
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("key"), words(F.col(text)).alias("w"))
-    docs = docs.select("doc_id", "key", "w", *[window_hashes(F.col("w"), m).alias(f"h{m}") for m in lengths])
+    docs = docs.select("doc_id", "key", "w", word_hashes(F.col("w")).alias("h"))
+    docs = docs.select("doc_id", "key", "w", *[window_hashes(F.col("h"), m).alias(f"h{m}") for m in lengths])
     window = lambda h, m, at, gram: F.struct(h.alias("hash"), F.lit(m).alias("len"), at.alias("start"), gram.alias("gram"))
 
     def candidates(m: int) -> Column:
         h = F.col(f"h{m}")
         starts = F.when(F.size(h) > 0, F.sequence(F.lit(0), F.greatest(F.size(h) - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-        if small:
+        if maybe is not None:
             starts = F.filter(starts, lambda i: maybe(F.get(h, i)))
         return F.transform(starts, lambda i: window(F.get(h, i), m, i, F.slice("w", i + 1, m)))
 
-    kept = [F.array(window(F.lit(0).cast("bigint"), 0, F.lit(0), F.array().cast("array<string>")))]
+    # a row of length 0 keeps each document; it finds nothing and is dealt by the document, not to one place
+    kept = [F.array(window(F.xxhash64("doc_id", "key"), 0, F.lit(0), F.array().cast("array<string>")))]
     for m in lengths:
         kept.append(candidates(m))
     docs = docs.select("doc_id", "key", F.size("w").alias("n"), F.concat(*kept).alias("kept"))
     # outer, as Spark would else push a filter on the size of the array, and all that makes it, below the projections
     spread = docs.select("doc_id", "key", "n", F.explode_outer("kept").alias("x")).select("doc_id", "key", "n", "x.*")
-    met = spread.join(lookup, ["hash", "len", "gram"])
+    met = spread.join(lookup, ["hash", "len", "gram"], "left").where((F.col("len") == 0) | F.col("items").isNotNull())
     met = met.select("doc_id", "key", F.when(F.col("len") == 0, F.col("n")).alias("words"), F.when(F.col("len") > 0, F.struct("start", "len")).alias("hit"), "items")
     found = met.groupBy("doc_id", "key").agg(
         F.max("words").cast("bigint").alias("n_words"), F.count("words").alias("copies"), F.array_sort(F.collect_set("hit")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
@@ -135,6 +147,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = N, mode:
     hits, each with the separators before it. Documents without hits are returned unchanged.
     """
     hits = find_hits(documents, benchmark, n).where(F.size("hits") > 0).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), covered(F.col("hits")).alias("__hit")).dropDuplicates(["__id", "__key"])
+    hits = stage(hits if mode == "spans" else hits.drop("__hit"), "decontaminate-hits")  # its size is known then, by which Spark chooses the join
     same = documents["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(documents["text"]) == F.col("__key"))
     if mode == "documents":
         return documents.join(hits, same, "left_anti")
