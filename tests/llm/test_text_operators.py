@@ -333,6 +333,54 @@ def test_toxicity(spark):
     assert kept.columns == docs.columns and not {r["doc_id"] for r in kept.collect()} & {r["doc_id"] for r in found if r["predicted"]}
 
 
+def brute_score(model, text):
+    """The score of a text from the model's weights, by counting over and over."""
+    text = text or ""
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    hits = [w for w in words if w in model.lexicon]
+    near = any(words[k] in model.lexicon and {*words[max(0, k - 1) : k], *words[k + 1 : k + 2]} & toxicity.ADDRESS for k in range(len(words)))
+    upper, letters = sum(c.isupper() for c in text), sum(c.isalpha() for c in text)
+    n = len(hits)
+    patterns = [n == 0, n >= 1, n >= 2, n >= 3, n >= 5, n > 0 and n / len(words) >= 0.01, any(hits.count(h) > 1 for h in hits), near, n > 0 and 2 * upper > letters, n > 0 and text.count("!") > 2]
+    x = sum(model.weights[model.lexicon[w]] for w in set(hits)) + sum(w for w, on in zip(model.weights[len(model.lexicon) :], patterns) if on) + model.bias
+    return 1 / (1 + np.exp(-x))
+
+
+def test_toxicity_scores_against_brute_force(spark):
+    rows, marks = labelled(300, seed=9)
+    rows += [(400, None), (401, ""), (402, "YOU IDIOT!!! SCUM"), (403, "a calm word " * 50_000 + "scum you zorp zorp"), (404, "Straße éclair ÉCLAIR idiot")]
+    docs = documents(spark, rows)
+    model = toxicity.train(docs, spark.createDataFrame(marks, "doc_id long, toxic int"))
+    found = {r["doc_id"]: r["__score"] for r in toxicity.score(docs, model).collect()}
+    assert "zorp" in model.lexicon
+    for i, text in rows:
+        assert found[i] == pytest.approx(brute_score(model, text), abs=1e-6), i
+
+
+def test_toxicity_mines_the_words_that_stand_out(spark):
+    rows, marks = labelled(200, seed=2)
+    toxic = {i: y for i, y in marks}
+    rate = sum(toxic.values()) / len(toxic)
+    texts = spark.createDataFrame([(t, float(toxic[i])) for i, t in rows], "text string, toxic double")
+    counts, inside = Counter(), Counter()
+    for i, t in rows:
+        counts.update(set(t.split()))
+        inside.update(set(t.split()) if toxic[i] else ())
+    z = {w: (inside[w] - n * rate) / (n * rate * (1 - rate)) ** 0.5 for w, n in counts.items() if n >= toxicity.LEAST_DOCS}
+    assert toxicity.mine(texts, rate) == sorted((w for w in z if z[w] >= toxicity.LEAST_Z), key=lambda w: (-round(z[w], 9), w))
+
+
+def test_toxicity_ignores_further_columns(spark):
+    rows, marks = labelled(120)
+    labels = spark.createDataFrame([(i, y, "x") for i, y in marks], "doc_id long, toxic int, text string")
+    plain = documents(spark, [*rows, (3, "scum"), (3, "idiot")])
+    clash = plain.withColumns({"toxic": F.lit("t"), "id": F.lit(1), "held_out": F.lit(2), "score": F.lit(3)})
+    one, two = (sorted(map(tuple, toxicity.report(d, labels).collect())) for d in (plain, clash))
+    assert one == two
+    kept = toxicity.drop_toxic(clash, labels)
+    assert kept.columns == clash.columns and kept.count() > 0
+
+
 def test_shouting_counts_the_whole_text():
     at = 1 + toxicity.PATTERNS.index("shouting")
     quiet, loud = "a quiet word " * 200, "SO LOUD A WORD " * 200

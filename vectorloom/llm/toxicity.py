@@ -8,12 +8,15 @@ class; voters that fire together beyond what the class explains share their weig
 labels, not the given ones, then train a logistic regression over the same evidence, which scores
 every whole text in one pass without a shuffle.
 
-``SAMPLE_ROWS`` bounds the labelled rows that are fitted on: those with the smallest hash of doc_id
-among the rows that may be learnt from.
+``SAMPLE_ROWS`` bounds the labelled documents that are fitted on: those with the smallest hash of
+doc_id among the labels that may be learnt from. Their words are counted and their votes taken on the
+executors; the driver gets at most ``LEXICON`` words and the votes, whatever the texts' lengths.
 
 Defined results: a null text scores as an empty one; labels with a null in either column are left
-out and several labels of one document are averaged; without any label, or labels of one class, the
-fixed list alone votes; repeated documents get a row each; further columns are ignored.
+out and several labels of one document are averaged; of documents that share a doc_id the first text
+in order is learnt from, and each gets its row; without any label, or labels of one class, the fixed
+list alone votes; texts of any length are read whole; an empty table gives no rows; further columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import stage, unstage
+
 SAMPLE_ROWS = 6000
 LEXICON, LEAST_Z, LEAST_DOCS = 150, 5.0, 5
 THRESHOLD = 0.3
@@ -65,19 +70,21 @@ def evidence(text: str, words: list[str], lexicon: dict[str, int]) -> np.ndarray
     return votes
 
 
-def mine(texts: list[str], toxic: np.ndarray) -> list[str]:
-    """The words whose share of toxic documents stands out most."""
-    rate = float(np.mean(toxic >= 0.5)) if len(toxic) else 0.0
+def mine(texts: DataFrame, rate: float) -> list[str]:
+    """The words of (text, toxic) rows whose share of toxic documents stands out most."""
     if not 0 < rate < 1:
         return []
-    inside, overall = Counter(), Counter()
-    for text, y in zip(texts, toxic, strict=True):
-        if y >= 0.5:
-            inside.update(set(words_of(text)))
-    for text in texts:  # one text's words at a time, and no count of words that stand in no toxic one
-        overall.update(inside.keys() & words_of(text))
-    z = {w: (inside[w] - n * rate) / np.sqrt(n * rate * (1 - rate)) for w, n in overall.items() if n >= LEAST_DOCS}
-    return [w for w in sorted(z, key=lambda w: (-z[w], w)) if z[w] >= LEAST_Z][:LEXICON]
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):  # one text's words at a time
+                found = list(set(words_of(text.as_py())))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([toxic >= 0.5] * len(found), pa.bool_())], ["word", "inside"])
+
+    counts = texts.select("text", "toxic").mapInArrow(distinct, "word string, inside boolean").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if("inside").alias("inside"))
+    z = (F.col("inside") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)))
+    best = counts.where(F.col("n") >= LEAST_DOCS).select("word", F.round(z, 9).alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(LEXICON)
+    return [r["word"] for r in best.collect()]
 
 
 def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,30 +104,29 @@ def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 25) -> tuple[
     return post, rates, shares
 
 
-def fit(texts: list[str], toxic: np.ndarray, rounds: int = 400) -> Model:
-    """A model from labelled texts; toxic holds numbers from 0 to 1."""
-    found = list(dict.fromkeys([*mine(texts, toxic), *INSULTS]))
-    lexicon = {w: k for k, w in enumerate(found)}
-    if not len(texts) or not 0 < np.mean(toxic >= 0.5) < 1:
-        weights = np.zeros(len(lexicon) + len(PATTERNS))
-        weights[len(lexicon) :] = [-2.0, 0.0, 2.0, 1.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
-        return Model(lexicon, weights, -0.5, np.zeros((2, 0)), np.zeros(0))
-    x = np.stack([evidence(t, words_of(t), lexicon) for t in texts])
-    post, rates, shares = label_model(x, (toxic >= 0.5).astype(np.float64))
-    weights, bias, moved = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1] + 1)
+def fit(lexicon: list[str], votes: np.ndarray, toxic: np.ndarray, rounds: int = 400) -> Model:
+    """A model from the votes on labelled texts; toxic holds numbers from 0 to 1."""
+    place = {w: k for k, w in enumerate(lexicon)}
+    if not len(toxic) or not 0 < np.mean(toxic >= 0.5) < 1:
+        weights = np.zeros(len(place) + len(PATTERNS))
+        weights[len(place) :] = [-2.0, 0.0, 2.0, 1.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+        return Model(place, weights, -0.5, np.zeros((2, 0)), np.zeros(0))
+    post, rates, shares = label_model(votes, (toxic >= 0.5).astype(np.float64))
+    weights, bias, moved = np.zeros(votes.shape[1]), 0.0, np.zeros(votes.shape[1] + 1)
     for _ in range(rounds):  # gradient descent with momentum
-        p = 1 / (1 + np.exp(-(x @ weights + bias)))
-        grad = np.append(x.T @ (p - post) / len(x) + 1e-4 * weights, (p - post).mean())
+        p = 1 / (1 + np.exp(-(votes @ weights + bias)))
+        grad = np.append(votes.T @ (p - post) / len(votes) + 1e-4 * weights, (p - post).mean())
         moved = 0.9 * moved - 0.5 * grad
         weights, bias = weights + moved[:-1], bias + moved[-1]
-    return Model(lexicon, weights, float(bias), rates, shares)
+    return Model(place, weights, float(bias), rates, shares)
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(text, toxic) of the bounded sample; its ids are few enough to broadcast."""
-    known = labels.select(F.col("doc_id").alias("__id"), "toxic").dropna().groupBy("__id").agg(F.avg(F.col("toxic").cast("double")).alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(rows)
-    return documents.join(F.broadcast(chosen), documents["doc_id"] == F.col("__id")).select("__id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    """(id, text, toxic) of the bounded sample; its ids are few enough to broadcast."""
+    known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("double").alias("toxic")).dropna().groupBy("id").agg(F.avg("toxic").alias("toxic"))
+    chosen = known.orderBy(F.xxhash64("id"), "id").limit(rows)
+    texts = documents.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -130,9 +136,20 @@ def held_out(doc_id: str = "doc_id"):
 
 def train(documents: DataFrame, labels: DataFrame) -> Model:
     """Fit on the labels that may be learnt from, wherever their documents are found."""
-    rows = training_rows(documents, labels.where(~held_out())).collect()
-    rows.sort(key=lambda r: (r[0], r[1]))
-    return fit([r[1] for r in rows], np.array([r[2] for r in rows]))
+    texts = stage(training_rows(documents, labels.where(~held_out())), "toxicity-sample")
+    rate = texts.agg(F.avg((F.col("toxic") >= 0.5).cast("double"))).first()[0] or 0.0
+    lexicon = list(dict.fromkeys([*mine(texts, rate), *INSULTS]))
+    place = {w: k for k, w in enumerate(lexicon)}
+
+    def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            votes = [evidence(t.as_py(), words_of(t.as_py()), place).tolist() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(votes, pa.list_(pa.float32()))], ["id", "toxic", "votes"])
+
+    found = texts.select(F.col("id").cast("string"), "text", "toxic").mapInArrow(voted, "id string, toxic double, votes array<float>").toArrow().sort_by("id")
+    unstage(texts)
+    votes = np.array(found["votes"].combine_chunks().flatten(), np.float64).reshape(-1, len(lexicon) + len(PATTERNS))
+    return fit(lexicon, votes, found["toxic"].to_numpy())
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
