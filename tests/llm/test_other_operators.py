@@ -45,6 +45,17 @@ def test_neighbours_edges(spark, monkeypatch):
     assert ann_tree.every_hundredth(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("block", [8192, 4])
+def test_neighbours_of_repeated_ids(spark, monkeypatch, block):
+    monkeypatch.setattr(ann_tree, "BLOCK_ROWS", block)
+    rows = [(0, [1.0, 0.0])] + [(1, [1.0, 0.1])] * 15 + [(2, [1.0, 5.0]), (2, [1.0, 0.2]), (2, [1.0, 0.2])] + [(i, [1.0, float(i)]) for i in range(3, 20)]
+    found = sorted((f["rank"], f["vec_id"], f["score"]) for f in ann_tree.every_hundredth(embeddings(spark, rows)).collect())
+    assert [(r, v) for r, v, _ in found] == [(k, k) for k in range(1, 11)]
+    assert found[0][2] == pytest.approx(0.1) and found[1][2] == pytest.approx(0.2)
+    twice = ann_tree.every_hundredth(embeddings(spark, [(0, [2.0]), (0, [1.0]), (7, [4.0])])).collect()
+    assert [(f["query_id"], f["vec_id"], f["score"]) for f in twice] == [(0, 7, 3.0)]
+
+
 def cheapest(roles):
     """The least cost over all ways to repair, by search over every sequence of edits."""
     best = {chat_repair.START: 0}
@@ -132,3 +143,22 @@ def test_stages_on_nothing(spark, tmp_path):
     for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("run", [4096, 2])
+def test_chat_sequences(spark, monkeypatch, run):
+    monkeypatch.setattr(chat_repair, "RUN", run)
+    rows = [(1, 0, "user", "say <|assistant|> or <||"), (1, 1, "user", "more"), (1, 2, "assistant", None), (1, 3, "assistant", "x" * 300_000), (2, 5, "assistant", "hi"), (3, 0, "system", "s")]
+    found = {}
+    for r in sorted(chat_repair.render_sequences(conversations(spark, rows)).collect(), key=lambda r: (r["conv_id"], r["part"])):
+        one = found.setdefault(r["conv_id"], ["", 0, 0, 0])
+        for k, v in enumerate((r["rendered"], r["turns"], r["edits"], r["cost"])):
+            one[k] += v
+    long = "x" * 300_000
+    assert found == {
+        1: [f"<|user|>\nsay <||assistant|> or <|||\nmore\n<|assistant|>\n\n{long}\n", 2, 2, 2],
+        2: ["<|user|>\nhi\n", 1, 1, 2],
+        3: ["<|system|>\ns\n<|user|>\n\n", 2, 1, 3],
+    }
+    assert chat_repair.escape("a <|user|> b").replace("<||", "<|") == "a <|user|> b"
+    assert chat_repair.render_sequences(conversations(spark, [])).count() == 0

@@ -1,11 +1,12 @@
 """Approximate nearest neighbours: a hierarchical k-means tree searched best bin first.
 
-The tree is fitted on at most ``SAMPLE_ROWS`` vectors, those with the smallest hash of vec_id: each
-node splits its vectors by k-means into ``BRANCHES`` until ``LEAF_ROWS`` are left, so it has a few
-hundred leaves whatever the table holds. Every row is then indexed: it falls to the leaf that it
-reaches by the nearest centre at each level. A query walks the tree with a priority queue of nodes by
-the distance of their centres and visits leaves in the order they come out. How many is calibrated:
-on sampled queries against the whole sample, visits widen until the mean recall is ``RECALL``.
+The tree is fitted on a sample of the vectors, those with the smallest hash of vec_id: a twentieth of
+the rows, at least ``LEAST_ROWS`` and at most ``MOST_ROWS``. Each node splits its vectors by k-means
+into ``BRANCHES`` until ``LEAF_ROWS`` are left, so leaves grow in number with the table up to a few
+thousand. Every row is then indexed: it falls to the leaf that it reaches by the nearest centre at each
+level. A query walks the tree with a priority queue of nodes by the distance of their centres and
+visits leaves in the order they come out. How many is calibrated: on sampled queries against the whole
+sample, visits widen until the mean recall is ``RECALL``.
 
 Queries travel to the leaves they visit, in blocks; rows are dealt by leaf, and a leaf of more than
 ``BLOCK_ROWS`` rows is split into blocks that each see its queries, so a third of all rows in one
@@ -14,8 +15,10 @@ merged by query. Distances are Euclidean on the original vectors in double preci
 
 Defined results: vectors that are null, all zero, or hold nulls, NaN or infinities take no part, as
 query or candidate; nor do those whose length isn't the table's most frequent one, nor rows without
-vec_id; rows that repeat a vec_id count once; ties go to the smaller vec_id; fewer candidates than
-``k`` are all returned; an empty table gives no rows; further columns are ignored.
+vec_id. Of rows that repeat a vec_id, the nearest to a query counts, once; a query that repeats asks
+with the first of its vectors in order. Ties go to the smaller vec_id; fewer candidates than ``k`` are
+all returned; an empty table gives no rows; further columns are ignored. Vectors of any length fit as
+long as ``MOST_ROWS`` of them do on the driver.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS, BRANCHES, LEAF_ROWS, ROUNDS = 20_000, 8, 100, 12
+LEAST_ROWS, MOST_ROWS, SHARE = 20_000, 200_000, 20
+BRANCHES, LEAF_ROWS, ROUNDS = 8, 100, 12
 CALIBRATION_QUERIES, RECALL = 200, 0.97
 BLOCK_ROWS = 8192
 FOUND = "query_id long, vec_id long, score double"
@@ -145,7 +149,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     if width is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows, queries = rows.where(F.size("v") == width["d"]), queries.where(F.size("v") == width["d"])
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).toArrow()
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(max(width["count"] // SHARE, LEAST_ROWS), MOST_ROWS)).toArrow()
     x = np.array(sample["v"].combine_chunks().flatten()).reshape(-1, width["d"])
     tree = fit(x)
     tree.visits = calibrate(tree, x, k)
@@ -178,28 +182,33 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             order = np.argsort(ids, kind="stable")
             ids, c = ids[order], c[order]
             norms = (c**2).sum(1)
+            first = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))  # where each id begins
             for n, packed in zip(asked["n"].to_pylist(), asked["packed"].to_pylist(), strict=True):
                 query_ids, q = np.frombuffer(packed, "i8", n), np.frombuffer(packed, "f8", offset=8 * n).reshape(n, -1)
                 gaps = norms - 2 * (q @ c.T)
                 for row in range(n):
-                    out.append(nearest_of(int(query_ids[row]), q[row], ids, c, gaps[row], k))
+                    out.append(nearest_of(int(query_ids[row]), q[row], ids, first, c, gaps[row], k))
         a, b, s = (np.concatenate(p) for p in zip(*out, strict=True))
         return pa.Table.from_arrays([pa.array(a), pa.array(b), pa.array(s)], ["query_id", "vec_id", "score"])
 
     found = index.groupBy("leaf", "block").cogroup(sent.groupBy("leaf", "block")).applyInArrow(lambda c, q: nearest_in_block(c, q), FOUND)
-    ranked = found.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))  # rows of one id may lie in several blocks
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest_of(query_id: int, q: np.ndarray, ids: np.ndarray, c: np.ndarray, gaps: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """A block's k nearest to one query: by the quick gaps with a margin for rounding, then exactly."""
+def nearest_of(query_id: int, q: np.ndarray, ids: np.ndarray, first: np.ndarray, c: np.ndarray, gaps: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """A block's k nearest ids to one query: by the quick gaps with a margin for rounding, then exactly."""
     keep = gaps.copy()
     keep[ids == query_id] = np.inf
-    most = min(k, len(ids)) - 1
-    limit = np.partition(keep, most)[most]
+    by_id = np.minimum.reduceat(keep, first) if len(first) < len(ids) else keep
+    most = min(k, len(by_id)) - 1
+    limit = np.partition(by_id, most)[most]
     near = np.flatnonzero(keep <= limit + 1e-9 * (1 + np.abs(gaps).max())) if np.isfinite(limit) else np.flatnonzero(np.isfinite(keep))
     exact = np.sqrt(((c[near] - q) ** 2).sum(1))
-    best = np.lexsort((ids[near], exact))[:k]
+    order = np.lexsort((ids[near], exact))
+    _, once = np.unique(ids[near][order], return_index=True)
+    best = order[np.sort(once)][:k]
     return np.full(len(best), query_id, np.int64), ids[near][best].astype(np.int64), exact[best]
 
 
@@ -210,4 +219,5 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 def every_hundredth(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     """The search whose queries are the rows with a vec_id that ``every`` divides."""
-    return search(vectors, usable(vectors.where(F.col("vec_id") % every == 0)).dropDuplicates(["vec_id"]), k)
+    asked = usable(vectors.where(F.col("vec_id") % every == 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return search(vectors, asked, k)

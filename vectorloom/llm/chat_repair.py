@@ -5,23 +5,27 @@ alternation from user on. A turn of any other place or role is repaired by one o
 merged into the turn before it, which has its role (cost ``MERGE``); it takes another role
 (``RELABEL``, more where system is involved); or an empty turn is inserted before it (``INSERT``).
 Dynamic programming over the automaton's states (start, system, user, assistant) finds the cheapest
-edits; ties prefer to keep, then to merge, relabel and insert. The repaired turns are rendered.
+edits; ties prefer to keep, then to merge, relabel and insert. The repaired turns are rendered, each
+under its role's header; text that looks like the start of a header is escaped (``escape``), so that
+headers are told from text.
 
 Costs along a run of turns form a matrix from entry state to exit state, and matrices of successive
-runs combine; so conversations are cut every ``RUN`` turn numbers, each run's matrix is made on its
-own, the runs' states are chosen from the matrices alone, and each run is then repaired between its
-two states. A conversation of any length is therefore no task of its own. The result has a row for
-each turn and each inserted one; by (conv_id, turn, step) their texts make up the conversation.
+runs combine; so conversations are cut every ``RUN`` turn numbers, each run's matrix is made from its
+roles alone, the runs' states are chosen from the matrices, and each run is then repaired between its
+two states. A conversation of any length is therefore no task of its own. ``repair_roles`` gives a row
+for each turn and each inserted one; ``render_sequences`` puts them together, a row for each run: by
+(conv_id, part) these make up the conversation, which for fewer than ``RUN`` turns is one row.
 
 Defined results: rows without conv_id or turn are left out and equal rows count once; turns of one
 number go by role, then text; an unknown or null role costs ``RELABEL`` to become any role and
-merges with nothing; a null text is empty; a conversation of a system turn alone gets an empty user
-turn; an empty table gives no rows; further columns are ignored.
+merges with nothing, and different ones are different turns; a null text is empty; texts are of any
+length; a conversation of a system turn alone gets an empty user turn; an empty table gives no rows;
+further columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -38,6 +42,8 @@ NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (
 FINAL = (USER, ASSISTANT)
 NEVER = 10**9
 TURN = "conv_id long, turn long, step int, role string, edit string, cost int, rendered string"
+SEQUENCE = "conv_id long, part int, turns long, edits long, cost long, rendered string"
+STATES = "conv_id long, run long, part int, enter int, leave int, last boolean"
 Edit = tuple[str, int, int]  # what, the state after it, its cost
 
 
@@ -95,9 +101,14 @@ def repair(roles: list[int], start: int, end: int) -> list[list[Edit]]:
     return out[::-1]
 
 
+def escape(text: str) -> str:
+    """Text in which nothing looks like a header; replacing the other way round gives the text back."""
+    return text.replace("<|", "<||")
+
+
 def render(role: str, text: str, edit: str) -> str:
     """A turn under its role's header; a merged one goes on below the turn before."""
-    return f"{text}\n" if edit == "merge" else f"<|{role}|>\n{text}\n"
+    return f"{escape(text)}\n" if edit == "merge" else f"<|{role}|>\n{escape(text)}\n"
 
 
 def runs(rows: Iterator[dict]) -> Iterator[tuple[tuple, list[dict]]]:
@@ -110,9 +121,9 @@ def role_number(role: str | None) -> int:
     return ROLES.index(role) + 1 if role in ROLES else 0
 
 
-def by_run(turns: DataFrame) -> DataFrame:
+def by_run(turns: DataFrame, *order: str) -> DataFrame:
     """Turns dealt by run, in order within each."""
-    return turns.repartition("conv_id", "run").sortWithinPartitions("conv_id", "run", "turn", "rank", "text")
+    return turns.repartition("conv_id", "run").sortWithinPartitions("conv_id", "run", *order)
 
 
 def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -122,6 +133,21 @@ def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 def repair_roles(conversations: DataFrame) -> DataFrame:
     """Repaired turns: conv_id, turn, step, role, edit, cost, rendered."""
+    return _repaired(conversations, TURN, lambda conv, part, turns: [(conv, *t) for t in turns])
+
+
+def render_sequences(conversations: DataFrame) -> DataFrame:
+    """The repaired conversations as text: conv_id, part (from 0, in order), turns, edits, cost, rendered."""
+
+    def put_together(conv: int, part: int, turns: list[tuple]) -> list[tuple]:
+        edits = [t[3] for t in turns]
+        return [(conv, part, len(edits) - edits.count("merge"), len(edits) - edits.count("keep"), sum(t[4] for t in turns), "".join(t[5] for t in turns))]
+
+    return _repaired(conversations, SEQUENCE, put_together)
+
+
+def _repaired(conversations: DataFrame, schema: str, rows_of: Callable[[int, int, list[tuple]], list[tuple]]) -> DataFrame:
+    """What ``rows_of`` makes of each run's conversation, part and repaired turns (turn, step, role, edit, cost, rendered)."""
     role = F.lower(F.trim(F.col("role").cast("string")))
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, ROLES)), role), F.lit(0)).cast("int")
     given = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")).dropna(subset=["conv_id", "turn"]).distinct()
@@ -143,16 +169,15 @@ def repair_roles(conversations: DataFrame) -> DataFrame:
                     came.append(total.argmin(0))
                     cost = total.min(0).tolist()
                 end, _, _ = finish(cost)
-                for part, back in zip(reversed(parts), reversed(came), strict=True):
-                    out.append((conv, part["run"], int(back[end]), end, part is parts[-1]))
-                    end = int(back[end])
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["conv_id", "run", "enter", "leave", "last"])
+                for number in reversed(range(len(parts))):
+                    enter = int(came[number][end])
+                    out.append((conv, parts[number]["run"], number, enter, end, number == len(parts) - 1))
+                    end = enter
+            yield batch_of(out, STATES)
 
-    narrow = turns.select("conv_id", "run", "turn", "rank", "text")
-    costs = by_run(narrow).mapInArrow(matrices, "conv_id long, run long, matrix array<int>")
-    states = costs.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("run", "matrix"))).alias("parts")).mapInArrow(choose, "conv_id long, run long, enter int, leave int, last boolean")
+    # the cost of a run hangs on its roles alone, so texts stay behind
+    costs = by_run(turns.select("conv_id", "run", "turn", "rank"), "turn", "rank").mapInArrow(matrices, "conv_id long, run long, matrix array<int>")
+    states = costs.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("run", "matrix"))).alias("parts")).mapInArrow(choose, STATES)
 
     def repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -160,23 +185,29 @@ def repair_roles(conversations: DataFrame) -> DataFrame:
             enter, leave, last = rows[0]["enter"], rows[0]["leave"], rows[0]["last"]
             ways = repair([r["rank"] for r in rows], enter, leave)
             if last and leave not in FINAL:
-                rows, ways = [*rows, {"turn": rows[-1]["turn"], "text": ""}], [*ways, [("insert", USER, INSERT)]]
-            step, turn = 0, None
+                rows, ways = [*rows, {"turn": rows[-1]["turn"], "text": "", "part": rows[0]["part"]}], [*ways, [("insert", USER, INSERT)]]
+            step, turn, made = 0, None, []
             for row, edits in zip(rows, ways, strict=True):
                 step, turn = (step if row["turn"] == turn else 0), row["turn"]
                 for what, state, cost in edits:
                     name = ROLES[state - 1]
-                    out.append((conv, turn, step, name, what, cost, render(name, "" if what == "insert" else row["text"], what)))
+                    made.append((turn, step, name, what, cost, render(name, "" if what == "insert" else row["text"], what)))
                     step += 1
+            out += rows_of(conv, rows[0]["part"], made)
             if len(out) >= 5000:
-                yield turn_rows(out)
+                yield batch_of(out, schema)
                 out = []
-        yield turn_rows(out)
+        yield batch_of(out, schema)
+
+    dealt = turns.select("conv_id", "run", "turn", "rank", "text").repartition("conv_id", "run")
+    return dealt.join(states, ["conv_id", "run"]).sortWithinPartitions("conv_id", "run", "turn", "rank", "text").mapInArrow(repaired, schema)
+
 
-    return by_run(narrow.join(states, ["conv_id", "run"])).mapInArrow(repaired, TURN)
+ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
 
 
-def turn_rows(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * 7
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["conv_id", "turn", "step", "role", "edit", "cost", "rendered"])
+def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows as a batch of a schema written as for Spark."""
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, ARROW[k]) for c, k in zip(columns, kinds, strict=True)], list(names))

@@ -24,7 +24,7 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_repair.repair_roles(table(spark, sf_dir, "conversations"))
+    return chat_repair.render_sequences(table(spark, sf_dir, "conversations"))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
