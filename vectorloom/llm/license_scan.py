@@ -31,6 +31,8 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -43,6 +45,8 @@ UNKNOWN = "unknown"
 #: Slots that words and features are looked up by.
 SLOTS = 16384
 WORDS = r"(?i)licen[cs]|copyright|warrant|redistribut|permission|public domain|all rights|apache|mozilla|\bgnu\b|\bgpl|\bcc[ -]by|creative commons|spdx"
+#: Lower-case strings of which every match of ``WORDS`` holds one.
+STEMS = ("licenc", "licens", "copyright", "warrant", "redistribut", "permission", "public domain", "all rights", "apache", "mozilla", "gnu", "gpl", "cc by", "cc-by", "creative commons", "spdx")
 #: Notices and opening sentences of licence families.
 TEMPLATES = {
     "MIT": (
@@ -224,15 +228,20 @@ def split_words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+", -1), "")
 
 
+def worded(text: Column) -> Column:
+    """Whether a licence word stands in a text; the pattern is only tried where one of its stems is."""
+    low = F.lower(text)
+    return reduce(or_, [F.contains(low, F.lit(stem)) for stem in STEMS]) & text.rlike(WORDS)
+
+
 def pairs_of(w: Column) -> Column:
     """Distinct neighbours of an array of words."""
     pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 2, F.lit(0))), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))
     return F.array_distinct(F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>")))
 
 
-def units_of(text: Column) -> Column:
-    """The lines of a text, and its wrapped paragraphs, each with its lines in parts."""
-    lines = F.split(text, "\n", -1)
+def units_of(lines: Column) -> Column:
+    """Of a column of lines: each by itself, and the wrapped paragraphs, with their lines in parts."""
     full = lambda i: F.length(F.trim(F.get(lines, i))) > 0
     numbers = F.sequence(F.lit(0), F.size(lines) - 1)
     starts = F.filter(numbers, lambda i: full(i) & ((i == 0) | ~full(i - 1)))
@@ -254,9 +263,10 @@ def scan(documents: DataFrame, model: Model | None = None) -> DataFrame:
         return F.aggregate(F.array_intersect(w, telling), F.lit(0.0), lambda s, t: s + F.get(gains, F.array_position(telling, t).cast("int") - 1)) >= needed
 
     docs = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.where(F.col("text").rlike(WORDS) | may_lead(split_words(F.col("text"))))
-    chosen = docs.select("doc_id", F.explode_outer(units_of(F.col("text"))).alias("x"))
-    chosen = chosen.select("doc_id", "x.*", ((F.col("x.lines") == 1) & F.col("x.body").rlike(WORDS)).alias("worded"), split_words(F.col("x.body")).alias("w"))
+    docs = docs.where(worded(F.col("text")) | may_lead(F.split(F.lower("text"), "[^a-z0-9]+", -1)))
+    docs = docs.select("doc_id", F.split("text", "\n", -1).alias("lines"))
+    chosen = docs.select("doc_id", F.explode_outer(units_of(F.col("lines"))).alias("x"))
+    chosen = chosen.select("doc_id", "x.*", ((F.col("x.lines") == 1) & worded(F.col("x.body"))).alias("worded"), split_words(F.col("x.body")).alias("w"))
     chosen = chosen.where(F.col("worded") | may_lead(F.col("w")))
     chosen = chosen.withColumn("pairs", pairs_of(F.col("w"))).withColumn("grams", F.array_union("w", "pairs"))
     names = constant(list(model.features), "string")
@@ -287,7 +297,8 @@ def scan(documents: DataFrame, model: Model | None = None) -> DataFrame:
 
     chosen = chosen.withColumn("similarity", likeness(F.col("pairs")))
     alike = F.col("similarity") >= ALIKE
-    across = alike & ~F.exists("parts", lambda line: likeness(pairs_of(split_words(line))) >= ALIKE)
+    by_line = F.transform(F.transform("parts", split_words), pairs_of)  # one after the other, or words would be split again for each pair
+    across = alike & ~F.exists(by_line, lambda pairs: likeness(pairs) >= ALIKE)
     chosen = chosen.withColumn("sure", F.when(F.col("lines") == 1, F.col("probability") >= model.least).otherwise(F.when(alike, across).otherwise(F.lit(False))))
     row = F.struct("doc_id", "paragraph", "lines", F.when(F.col("sure"), F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability", "similarity", (F.col("sure") & alike).alias("confirmed"))
     # through explode, as a filter on the score would be pushed down with a copy of every expression below it
