@@ -427,6 +427,42 @@ def test_personal_data(spark):
     assert pii_tagger.find(documents(spark, [])).count() == 0
 
 
+def test_tagger_spans_are_those_of_every_window():
+    model, r = pii_tagger.default_model(), random.Random(5)
+    texts = ["", "x", "a" * 95, "b" * 96, "c" * 97, "1" * 500]
+    samples = [t for t, _ in pii_tagger.labelled_samples(60, seed=99)]
+    for _ in range(60):
+        filler = lambda: "".join(r.choice("abcdefgh  .,é") for _ in range(r.randint(0, 400)))
+        texts.append("".join(filler() + r.choice(samples) for _ in range(r.randint(1, 4))))
+        texts.append(f"{filler()} {'long.local_part' * r.randint(1, 30)}@mail{'.sub' * r.randint(1, 40)}.com {filler()}")
+        texts.append("".join(r.choice("12-. ()+@ab") for _ in range(r.randint(1, 300))))
+    none = [[] for _ in texts]
+    few, all_ = pii_tagger.tagged_spans(model, texts, none), pii_tagger.tagged_spans(model, texts, none, every=True)
+    assert few == all_ and sum(map(len, few)) > 100
+    labels = pii_tagger.label_line(model, texts[:6], every=True)
+    for text, line in zip(texts[1:6], labels[1:]):  # each character by the window in whose middle it lies
+        w = pii_tagger.Windows(len(text))
+        for at in range(len(text)):
+            k = w.owner(at)
+            codes = np.zeros((1, pii_tagger.WIDTH), np.int64)
+            piece = pii_tagger.encode(text[k * pii_tagger.STRIDE :][: pii_tagger.WIDTH])
+            codes[0, : len(piece)] = piece
+            assert pii_tagger.decode(model, codes)[0, at - k * pii_tagger.STRIDE] == line[at]
+
+
+def test_decoding_finds_the_best_path():
+    import itertools
+
+    m, r = pii_tagger.new_weights(3), np.random.default_rng(1)
+    m["moves"] = r.standard_normal((pii_tagger.TAGS, pii_tagger.TAGS))
+    codes = r.integers(0, pii_tagger.ALPHABET, (2, 4))
+    scores = pii_tagger.emissions(m, codes)
+    for row, tags in enumerate(pii_tagger.decode(m, codes)):
+        value = lambda p: sum(scores[t, row, y] for t, y in enumerate(p)) + sum(m["moves"][a, b] for a, b in zip(p, p[1:]))
+        best = max(itertools.product(range(pii_tagger.TAGS), repeat=4), key=value)
+        assert tuple(tags) == best
+
+
 def test_tagger_held_out():
     model = pii_tagger.default_model()
     samples = pii_tagger.labelled_samples(150, seed=1234)

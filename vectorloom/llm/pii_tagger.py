@@ -2,18 +2,21 @@
 
 Patterns give the base spans (email, ip, card, phone). The tagger adds spans that patterns miss, such
 as telephone numbers without a country code. It reads character classes, not characters; its labels
-are begin and inside of each kind. Windows of ``WIDTH`` characters that overlap by half are decoded by
-Viterbi; every character takes the label of the window in whose middle it lies most, so spans come
-from one global sequence. A span has to hold what its kind can't do without (see ``plausible``), and
-one that touches a base span gives way to it.
+are begin and inside of each kind. Windows of ``WIDTH`` characters that overlap by half lie over the
+whole text and are decoded by Viterbi; every character takes the label of the window in whose middle it
+lies most, so spans come from one global sequence. A span has to hold what its kind can't do without
+(see ``plausible``), and one that touches a base span gives way to it.
 
-Every kind needs a digit or an @, so windows are laid over all of a text that lies within ``REACH``
-characters of one; no other character can be in a span. Weights are trained in numpy, by default from
-sentences with labelled spans that a seeded generator writes; ``train`` takes any labelled texts.
+Every kind needs a digit or an @. So of the windows only those are decoded in whose middle one lies,
+and then, as long as a label goes on beyond a decoded middle, the windows beside it; a span in the
+others could hold neither. The spans are those of decoding every window, however long they are.
+
+Weights are trained in numpy, by default from sentences with labelled spans that a seeded generator
+writes, once in a driver's life; ``train`` takes any labelled texts.
 
 Positions are code points, the end exclusive. Defined results: a null text counts as empty; texts
-without matches have no spans; repeated rows get a row each; an empty table gives no rows; further
-columns are ignored.
+without matches have no spans; texts of any length are read whole; repeated rows get a row each; an
+empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +33,8 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # none, then begin and inside of each kind
-WIDTH, REACH = 96, 40
+WIDTH = 96
+STRIDE = WIDTH // 2
 EMBED, HIDDEN = 10, 16
 STEPS, BATCH, TRAIN_WIDTH, SAMPLES = 260, 48, 64, 3000
 #: The base patterns. Where a run can only match from its start, the pattern says so.
@@ -294,16 +298,46 @@ def decode(m: dict[str, np.ndarray], codes: np.ndarray) -> np.ndarray:
     return tags
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """The parts of a text within reach of a digit or an @."""
-    out: list[list[int]] = []
-    for match in SIGN.finditer(text):
-        a, b = max(0, match.start() - REACH), min(len(text), match.end() + REACH)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+class Windows:
+    """The windows over a text of some length, and the middles for whose characters they speak."""
+
+    def __init__(self, length: int):
+        self.length, self.count = length, max(1, -(-(length - STRIDE) // STRIDE))
+
+    def owner(self, at: int) -> int:
+        """The window in whose middle a place lies."""
+        return min(max(at - WIDTH // 4, 0) // STRIDE, self.count - 1)
+
+    def middle(self, k: int) -> tuple[int, int]:
+        return (k * STRIDE + WIDTH // 4 if k else 0), (self.length if k == self.count - 1 else (k + 1) * STRIDE + WIDTH // 4)
+
+
+def label_line(m: dict[str, np.ndarray], texts: list[str], every: bool = False) -> list[np.ndarray | None]:
+    """The label of each character of each text, 0 where no window had to be decoded; of all windows, if asked."""
+    lines: list[np.ndarray | None] = [None] * len(texts)
+    windows = [Windows(len(t)) for t in texts]
+    todo = {(k, w) for k, t in enumerate(texts) if t for w in (range(windows[k].count) if every else {windows[k].owner(x.start()) for x in SIGN.finditer(t)})}
+    done: set[tuple[int, int]] = set()
+    while todo:
+        now, todo = sorted(todo), set()
+        done.update(now)
+        for at in range(0, len(now), 512):
+            part = now[at : at + 512]
+            codes = np.zeros((len(part), WIDTH), np.int64)
+            for row, (k, w) in enumerate(part):
+                code = encode(texts[k][w * STRIDE : w * STRIDE + WIDTH])
+                codes[row, : len(code)] = code
+            for (k, w), tags in zip(part, decode(m, codes), strict=True):
+                low, high = windows[k].middle(w)
+                if lines[k] is None:
+                    lines[k] = np.zeros(len(texts[k]), np.int8)
+                lines[k][low:high] = tags[low - w * STRIDE : high - w * STRIDE]
+                if w and tags[low - w * STRIDE] and tags[low - w * STRIDE] % 2 == 0 and (k, w - 1) not in done:
+                    todo.add((k, w - 1))  # a span goes on to the left
+                if w < windows[k].count - 1 and tags[high - 1 - w * STRIDE] and (k, w + 1) not in done:
+                    todo.add((k, w + 1))
+        todo -= done
+    return lines
 
 
 def plausible(kind: int, text: str) -> bool:
@@ -320,37 +354,32 @@ def plausible(kind: int, text: str) -> bool:
     return 9 <= len(digits) <= 15 and all(c in "+() .-0123456789" for c in text) and len(text) > len(digits)
 
 
-def tagged_spans(m: dict[str, np.ndarray], texts: list[str], bases: list[list[Span]]) -> list[list[Span]]:
+def tagged_spans(m: dict[str, np.ndarray], texts: list[str], bases: list[list[Span]], every: bool = False) -> list[list[Span]]:
     """The tagger's spans of each text, apart from its base spans; windows of all texts are decoded together."""
-    windows, owners, out = [], [], [[] for _ in texts]
-    for k, text in enumerate(texts):
-        for a, b in regions(text):
-            codes = encode(text[a:b])
-            for at in range(0, max(1, len(codes) - WIDTH // 2), WIDTH // 2):
-                piece = codes[at : at + WIDTH]
-                windows.append(np.pad(piece, (0, WIDTH - len(piece))))
-                owners.append((k, a, b, at))
-    if not windows:
-        return out
-    tags = np.concatenate([decode(m, np.stack(windows[i : i + 512])) for i in range(0, len(windows), 512)])
-    whole: dict[tuple[int, int, int], np.ndarray] = {}
-    for (k, a, b, at), y in zip(owners, tags, strict=True):
-        line = whole.setdefault((k, a, b), np.zeros(b - a, np.int64))
-        low = at + (WIDTH // 4 if at else 0)  # before its first quarter the window before knows better
-        line[low : at + WIDTH] = y[low - at : min(WIDTH, b - a - at)]
-    for (k, a, _), line in whole.items():
-        text, start, kind = texts[k], -1, -1
-        for at, y in enumerate([*line.tolist(), 0]):
-            inside = y and y % 2 == 0 and (y - 1) // 2 == kind and start >= 0
-            if start >= 0 and not inside:
-                x, z = a + start, a + at
-                while z > x and text[z - 1] in " .-(,":
-                    z -= 1
-                if plausible(kind, text[x:z]) and not any(s < z and x < e for s, _, e in bases[k]):
-                    out[k].append((x, kind, z))
+    out: list[list[Span]] = [[] for _ in texts]
+    for k, (text, line) in enumerate(zip(texts, label_line(m, texts, every), strict=True)):
+        if line is None:
+            continue
+        places = np.flatnonzero(line)
+        labels = line[places].tolist()
+        start, kind, last = -1, -1, -2
+
+        def close() -> None:
+            x, z = start, last + 1
+            while z > x and text[z - 1] in " .-(,":
+                z -= 1
+            if plausible(kind, text[x:z]) and not any(s < z and x < e for s, _, e in bases[k]):
+                out[k].append((x, kind, z))
+
+        for at, y in zip(places.tolist(), labels, strict=True):
+            if start >= 0 and not (at == last + 1 and y % 2 == 0 and (y - 1) // 2 == kind):
+                close()
                 start = -1
             if y % 2 == 1:
                 start, kind = at, (y - 1) // 2
+            last = at
+        if start >= 0:
+            close()
     return out
 
 
