@@ -20,7 +20,7 @@ LOCAL_DIR = "/tmp/vectorloom-staging"
 #: Shuffle files of a plan go as soon as the table that it makes is written.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of input that one task is meant to hold.
-TASK_BYTES = 16_000_000
+TASK_BYTES = 32_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
