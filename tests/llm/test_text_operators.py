@@ -74,10 +74,36 @@ def test_substring_dedup(spark, seed):
 
 
 def test_substring_factors_cover_what_is_removed(spark):
-    for r in substring_dedup.dedup(documents(spark, made(3))).collect():
-        spots = {p for f in r["factors"] for p in range(f["start"], f["start"] + f["length"])}
+    rows = made(3)
+    words = {i: split(t) for i, t in rows}
+    longer = 0
+    for r in substring_dedup.dedup(documents(spark, rows)).collect():
+        spots, w = {p for f in r["factors"] for p in range(f["start"], f["start"] + f["length"])}, words[r["doc_id"]]
         assert len(spots) == r["n_removed"]
-        assert all(f["length"] >= 20 and (f["ref_doc"], f["ref_start"]) < (r["doc_id"], f["start"]) for f in r["factors"])
+        kept = " ".join(x for p, x in enumerate(w) if p not in spots)  # what the factors leave, and nothing else, is kept
+        assert hashlib.sha256(kept.encode()).hexdigest() == r["kept_sha256"]
+        for f, after in zip(r["factors"], [*r["factors"][1:], None]):
+            ref = words[f["ref_doc"]]
+            assert f["length"] >= 20 and (f["ref_doc"], f["ref_start"]) < (r["doc_id"], f["start"])
+            assert w[f["start"] : f["start"] + f["length"]] == ref[f["ref_start"] : f["ref_start"] + f["length"]]
+            assert after is None or after["start"] > f["start"] + f["length"] - 20  # begins beyond the last window
+            longer += f["length"] > 30
+    assert longer > 5
+
+
+def test_substring_factors_take_the_line_that_reaches_farthest(spark):
+    r = random.Random(11)
+    a, b, c = ([f"{name}{r.randrange(10**6)}" for _ in range(80)] for name in "abc")
+    rows = [(1, " ".join(a)), (2, " ".join(b + c)), (3, " ".join(a + b + c)), (4, " ".join(a + b + c))]
+    found = {x["doc_id"]: [(f["start"], f["length"], f["ref_doc"]) for f in x["factors"]] for x in substring_dedup.dedup(documents(spark, rows)).collect()}
+    assert found[3] == [(0, 80, 1), (80, 160, 2)] and found[4] == [(0, 240, 3)]
+
+
+def test_greedy_factors():
+    piece = np.arange(6)
+    lines = np.array([1, 1, 2, 2, 5, 5]), np.array([3, 3, 3, 4, 5, 5])
+    assert substring_dedup.factorize(piece, piece, np.array([0, 0, 0, 0, 0, 1]), lines) == [(0, 2, 3), (3, 3, 2), (4, 4, 5), (5, 5, 5)]
+    assert substring_dedup.factorize(piece * 2, piece * 2, np.zeros(6, int), lines) == [(k, k, x) for k, x in enumerate([1, 1, 2, 2, 5, 5])]
 
 
 def test_substring_many_blocks_around_one_anchor(spark, monkeypatch):

@@ -4,23 +4,27 @@ Each text is cut, by its content alone, into overlapping reference blocks: of ev
 ``WINDOW`` words the ``GRAM`` words with the smallest hash are its anchor, and a block is all words
 of the consecutive windows that share an anchor. Equal windows have equal anchors wherever they
 stand. The index holds, for each distinct block, where it starts first (document, then word); it is
-spread over partitions by the anchor's hash. The parse of a document takes its blocks from left to
-right: a block that the index has from an earlier place extends the present factor if that place
-continues the factor's, and else starts a new one, so factors are greedy maximal copies. At factor
-boundaries a block differs from the earlier ones while some of its windows may not: blocks whose
-anchor the index holds with other words around it are therefore checked window by window against
-all such blocks. The words of factors and of windows found so are the duplicate spans: exactly the
-words in windows that also start earlier.
+spread over partitions by the anchor's hash. A block that starts earlier too is told two such places,
+the first one and the last before it; where only some of its windows may (the index has its anchor
+with other words around it), these are looked up one by one against all such blocks.
+
+The parse goes through a document from left to right. Where the window at hand is known to start
+earlier, a factor begins: it copies along one line, that is from one document at one distance, and is
+extended over the blocks and windows that follow for as long as one of their places lies on that line;
+of the lines at hand the one that reaches farthest is taken. The next factor begins at the first
+window beyond, one that crosses the boundary, so no window between two factors is missed. Every
+factor is ``WINDOW`` words or longer; the words in factors are the duplicate spans and are removed.
 
 What moves: one small entry for each distinct block of a map batch (about a sixth of the words),
-the answers, the windows at boundaries, and the texts once, dealt by document. A block that many
-documents share is one entry for each batch; an anchor that stands in many different blocks of a
-batch is dealt by block, so that no anchor meets in one task. Hashes have 128 bits.
+the answers, the windows at boundaries, and the texts once, dealt by document into parts of about
+``TASK_BYTES``. A block that many documents share is one entry for each batch; an anchor that stands in
+many different blocks of a batch is dealt by block, so that no anchor meets in one task. Words are told
+apart by 64-bit hashes and runs of them by 128 bits over these.
 
 Defined results: a null or empty text has no words; texts shorter than a window keep all words;
-rows with the same doc_id count as one document, so neither loses words to the other at the same
-place; rows without doc_id are neither indexed nor cut; an empty table gives no rows; further
-columns are ignored.
+texts of any length are parsed whole; rows with the same doc_id count as one document, so neither
+loses words to the other at the same place; rows without doc_id are neither indexed nor cut; an empty
+table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import partitions, stage
+from ..plans.staging import parts_for, stage
 from . import grams
 
 WINDOW, GRAM = 20, 10
@@ -45,8 +49,9 @@ FLUSH = 400_000
 NORMAL, SPREAD, MARKER = range(3)
 COPIED, CHECK, COPIED_WINDOW = range(3)
 ENTRY = {"anchor": "u8", "around": "u8", "doc": "i8", "start": "i4", "flag": "u1"}
-ANSWER = {"doc": "i8", "start": "i4", "what": "u1", "ref_doc": "i8", "ref_start": "i4"}
-WINDOWS = {"hash": "u8", "other": "u8", "doc": "i8", "start": "i4", "flag": "u1", "ref_doc": "i8", "ref_start": "i4"}
+REFERENCES = {"ref_doc": "i8", "ref_start": "i4", "last_doc": "i8", "last_start": "i4"}
+ANSWER = {"doc": "i8", "start": "i4", "what": "u1"} | REFERENCES
+WINDOWS = {"hash": "u8", "other": "u8", "doc": "i8", "start": "i4"}
 FACTOR = "array<struct<start:int,length:int,ref_doc:long,ref_start:int>>"
 OUT = f"doc_id long, n_words long, n_removed long, kept_sha256 string, factors {FACTOR}"
 
@@ -92,10 +97,14 @@ def group_first(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)[np.cumsum(new) - 1]
 
 
-def answers(doc, start, what, ref_doc, ref_start) -> dict[str, np.ndarray]:
-    n = len(doc)
-    full = lambda x, kind: np.broadcast_to(np.asarray(x, kind), n)
-    return {"doc": doc, "start": start, "what": full(what, "u1"), "ref_doc": full(ref_doc, "i8"), "ref_start": full(ref_start, "i4")}
+def answers(found: dict[str, np.ndarray], chosen: np.ndarray, what: int, first: np.ndarray) -> dict[str, np.ndarray]:
+    """What chosen rows are told: of sorted rows that are equal, the first one's place and the last one's before."""
+    at = np.flatnonzero(chosen)
+    last = np.maximum(at - 1, 0)
+    itself = (found["doc"][last] == found["doc"][at]) & (found["start"][last] == found["start"][at])
+    last = np.where(itself | (last < first[at]), first[at], last)
+    ref = {"ref": first[at], "last": last}
+    return {"doc": found["doc"][at], "start": found["start"][at].astype("i4"), "what": np.full(len(at), what, "u1")} | {f"{k}_{c}": found[c][ref[k]].astype(ANSWER[f"{k}_{c}"]) for k in ref for c in ("doc", "start")}
 
 
 def joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
@@ -116,7 +125,7 @@ def settle(found: dict[str, np.ndarray], buckets: int, parts: int) -> list[tuple
     first = group_first(found["anchor"], found["around"])
     own = first == np.arange(len(first))
     copies = ~own & ((found["doc"] != found["doc"][first]) | (found["start"] != found["start"][first]))
-    known = answers(found["doc"][copies], found["start"][copies], COPIED, found["doc"][first][copies], found["start"][first][copies])
+    known = answers(found, copies, COPIED, first)
     sent = {k: v[own] for k, v in found.items()}
     head = group_first(sent["anchor"])
     many = np.bincount(head, minlength=len(head))[head] > MANY if len(head) else np.empty(0, bool)
@@ -163,33 +172,30 @@ def answer_blocks(table: pa.Table, n: int) -> pa.Table:
     head = group_first(e["flag"], e["anchor"])
     kinds = np.bincount(head, weights=own, minlength=len(head))[head] if len(head) else np.empty(0)
     check = own & ((kinds > 1) | (e["flag"] == SPREAD) | np.isin(e["anchor"], marked))
-    told = joined([answers(e["doc"][copies], e["start"][copies], COPIED, e["doc"][first][copies], e["start"][first][copies]), answers(e["doc"][check], e["start"][check], CHECK, 0, 0)])
+    told = joined([answers(e, copies, COPIED, first), answers(e, check, CHECK, first)])
     return pa.Table.from_batches([rows(out + [(p, 1, blob) for p, blob in grams.dealt(told, grams.part_of(told["doc"], n))])])
 
 
 def settle_windows(found: dict[str, np.ndarray], buckets: int, parts: int) -> list[tuple[int, int, bytes]]:
     """The first window of each kind goes to its bucket, the others are known to be copies."""
-    copies, own = split_windows(found)
-    known = answers(copies["doc"], copies["start"], COPIED_WINDOW, copies["ref_doc"], copies["ref_start"])
-    out = [(b, 0, blob) for b, blob in grams.dealt({k: own[k] for k in ("hash", "other", "doc", "start")}, ((own["hash"] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64))]
+    known, own = split_windows(found)
+    out = [(b, 0, blob) for b, blob in grams.dealt(own, ((own["hash"] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64))]
     return out + [(p, 1, blob) for p, blob in grams.dealt(known, grams.part_of(known["doc"], parts))]
 
 
 def split_windows(found: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Answers for the windows that start earlier too, and the other windows."""
     order = np.lexsort((found["start"], found["doc"], found["other"], found["hash"]))
-    found = {k: v[order] for k, v in found.items()}
+    found = {k: found[k][order] for k in WINDOWS}
     first = group_first(found["hash"], found["other"])
     own = first == np.arange(len(first))
     copies = ~own & ((found["doc"] != found["doc"][first]) | (found["start"] != found["start"][first]))
-    found |= {"ref_doc": found["doc"][first], "ref_start": found["start"][first]}
-    return {k: v[copies] for k, v in found.items()}, {k: v[own] for k, v in found.items()}
+    return answers(found, copies, COPIED_WINDOW, first), {k: v[own] for k, v in found.items()}
 
 
 def answer_windows(table: pa.Table, n: int) -> pa.Table:
     out = [(p, 1, blob) for p, k, blob in zip(*(table[c].to_pylist() for c in ("to", "kind", "blob")), strict=True) if k == 1]
-    w = grams.from_blobs([blob for k, blob in zip(table["kind"].to_pylist(), table["blob"].to_pylist(), strict=True) if k == 0], {k: WINDOWS[k] for k in ("hash", "other", "doc", "start")})
-    copies, _ = split_windows(w)
-    told = answers(copies["doc"], copies["start"], COPIED_WINDOW, copies["ref_doc"], copies["ref_start"])
+    told, _ = split_windows(grams.from_blobs([blob for k, blob in zip(table["kind"].to_pylist(), table["blob"].to_pylist(), strict=True) if k == 0], WINDOWS))
     return pa.Table.from_batches([rows(out + [(p, 1, blob) for p, blob in grams.dealt(told, grams.part_of(told["doc"], n))])])
 
 
@@ -230,6 +236,34 @@ def boundary_windows(docs: pa.Table, told: pa.Table, n: int, window: int, gram:
     return pa.Table.from_batches([rows(settle_windows(joined(held), n, n) if held else [])])
 
 
+def factorize(start: np.ndarray, stop: np.ndarray, doc: np.ndarray, lines: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int, int]]:
+    """Greedy factors of pieces in order: (first piece, last piece, line).
+
+    A piece holds the windows from start to stop of a document, and copies along either of two lines.
+    """
+    joins = np.zeros(len(start), bool)
+    joins[1:] = (start[1:] == stop[:-1] + 1) & (doc[1:] == doc[:-1])
+    same = joins.copy()
+    same[1:] &= (lines[0][1:] == lines[0][:-1]) & (lines[1][1:] == lines[1][:-1])
+    heads = np.flatnonzero(~same)  # runs of pieces that offer the same lines are one step of the walk
+    one, two, on = lines[0][heads].tolist(), lines[1][heads].tolist(), joins[heads].tolist()
+    last = [*(heads[1:] - 1).tolist(), len(start) - 1]
+
+    def reach(at: int, line: int) -> int:
+        while at + 1 < len(one) and on[at + 1] and line in (one[at + 1], two[at + 1]):
+            at += 1
+        return at
+
+    out, at = [], 0
+    while at < len(one):
+        to, line = reach(at, one[at]), one[at]
+        if two[at] != line and (other := reach(at, two[at])) > to:
+            to, line = other, two[at]
+        out.append((int(heads[at]), last[to], line))
+        at = to + 1
+    return out
+
+
 def parse(docs: pa.Table, told: pa.Table, window: int, gram: int) -> pa.Table:
     """Factors and what is kept of each document of a partition."""
     blocks_told, windows_told = Told(told, (COPIED,)), Told(told, (COPIED_WINDOW,))
@@ -241,31 +275,32 @@ def parse(docs: pa.Table, told: pa.Table, window: int, gram: int) -> pa.Table:
         ids = np.array([-1 if i is None else i for i in raw], np.int64)
         named = np.array([i is not None for i in raw], bool)
         hit, place = blocks_told.find(ids[x.doc], x.start_in_doc)
-        pieces = [(x.start[hit], x.stop[hit] + window, blocks_told.a["ref_doc"][place], blocks_told.a["ref_start"][place])]
+        pieces = [(x.start[hit], x.stop[hit], *(blocks_told.a[c][place] for c in REFERENCES))]
         doc_of = x.words.doc_of()
         if len(windows_told.key):
             starts = np.arange(len(doc_of))
             hit, place = windows_told.find(ids[doc_of], starts - x.words.doc_at[doc_of])
-            pieces.append((starts[hit], starts[hit] + window, windows_told.a["ref_doc"][place], windows_told.a["ref_start"][place]))
-        start, end, ref_doc, ref_start = (np.concatenate(c) for c in zip(*pieces, strict=True))
+            pieces.append((starts[hit], starts[hit], *(windows_told.a[c][place] for c in REFERENCES)))
+        start, stop, *refs = (np.concatenate(c) for c in zip(*pieces, strict=True))
         real = named[doc_of[start]] if len(start) else np.empty(0, bool)
         order = np.argsort(start[real], kind="stable")
-        start, end, ref_doc, ref_start = (c[real][order] for c in (start, end, ref_doc, ref_start))
-        depth = np.zeros(len(doc_of) + 1, np.int64)
-        np.add.at(depth, start, 1)
-        np.add.at(depth, end, -1)
-        removed = np.cumsum(depth[:-1]) > 0
-        # greedy: a piece continues the factor before it if both copy along one line
+        start, stop, *refs = (c[real][order] for c in (start, stop, *refs))
         doc = doc_of[start] if len(start) else start
         begins = x.words.doc_at[doc]
-        shift = ref_start - (start - begins)
-        fresh = np.ones(len(start), bool)
-        fresh[1:] = (doc[1:] != doc[:-1]) | (ref_doc[1:] != ref_doc[:-1]) | (shift[1:] != shift[:-1]) | (start[1:] > end[:-1])
-        heads = np.flatnonzero(fresh)
-        tails = np.append(heads[1:], len(start)) - 1 if len(heads) else heads
+        # a line is a document to copy from and the distance to it
+        line_of = np.concatenate([np.column_stack([refs[k], refs[k + 1] - (start - begins)]) for k in (0, 2)])
+        known_lines, number = np.unique(line_of, axis=0, return_inverse=True)
+        number = number.ravel()
         factors: dict[int, list] = {}
-        for h, t in zip(heads.tolist(), tails.tolist(), strict=True):
-            factors.setdefault(int(doc[h]), []).append({"start": int(start[h] - begins[h]), "length": int(end[t] - start[h]), "ref_doc": int(ref_doc[h]), "ref_start": int(ref_start[h])})
+        depth = np.zeros(len(doc_of) + 1, np.int64)
+        for first, last, line in factorize(start, stop, doc, (number[: len(start)], number[len(start) :])):
+            at, end, d = int(start[first]), int(stop[last]) + window, int(doc[first])
+            depth[at] += 1
+            depth[end] -= 1
+            ref_doc, shift = known_lines[line].tolist()
+            own = at - int(begins[first])
+            factors.setdefault(d, []).append({"start": own, "length": end - at, "ref_doc": ref_doc, "ref_start": own + shift})
+        removed = np.cumsum(depth[:-1]) > 0
         for d, text in enumerate(texts):
             lo, hi = x.words.doc_at[d], x.words.doc_at[d + 1]
             words = text.as_py().encode().split()
@@ -280,12 +315,13 @@ def parse(docs: pa.Table, told: pa.Table, window: int, gram: int) -> pa.Table:
 
 def dedup(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Per document row: doc_id, n_words, n_removed, kept_sha256, factors (start, length, ref_doc, ref_start)."""
-    n = partitions(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    n = parts_for(docs, "text")
     named = docs.where(F.col("doc_id").isNotNull())
-    told = index_entries(named, n, window, gram).groupBy("to").applyInArrow(lambda t: answer_blocks(t, n), ROWS)
+    told = index_entries(named, n, window, gram).repartition(n, "to").groupBy("to").applyInArrow(lambda t: answer_blocks(t, n), ROWS)
     told = stage(told, "substring-answers")
-    dealt = docs.withColumn("to", F.coalesce(grams.part_column("doc_id", n), F.lit(0)))
-    windows = dealt.where(F.col("doc_id").isNotNull()).groupBy("to").cogroup(told.groupBy("to")).applyInArrow(lambda d, t: boundary_windows(d, t, n, window, gram), ROWS)
-    more = windows.groupBy("to").applyInArrow(lambda t: answer_windows(t, n), ROWS)
-    return dealt.groupBy("to").cogroup(told.unionByName(more).groupBy("to")).applyInArrow(lambda d, t: parse(d, t, window, gram), OUT)
+    dealt = docs.withColumn("to", F.coalesce(grams.part_column("doc_id", n), F.lit(0))).repartition(n, "to")
+    asked = dealt.where(F.col("doc_id").isNotNull()).groupBy("to")
+    windows = asked.cogroup(told.repartition(n, "to").groupBy("to")).applyInArrow(lambda d, t: boundary_windows(d, t, n, window, gram), ROWS)
+    more = stage(windows.repartition(n, "to").groupBy("to").applyInArrow(lambda t: answer_windows(t, n), ROWS), "substring-windows")
+    return dealt.groupBy("to").cogroup(told.unionByName(more).repartition(n, "to").groupBy("to")).applyInArrow(lambda d, t: parse(d, t, window, gram), OUT)
