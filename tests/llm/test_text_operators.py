@@ -158,13 +158,30 @@ def test_ngram_join_frequent_shingles(spark, monkeypatch):
     assert found == brute_join(rows, 4, 85)
 
 
+@pytest.mark.parametrize("seed", [1, 8])
+def test_ngram_join_of_split_lists(spark, monkeypatch, seed):
+    monkeypatch.setattr(ngram_join, "SPLIT", 2)
+    rows = made(seed)
+    found = {r[0]: (r[1], r[2]) for r in ngram_join.join(documents(spark, rows).repartition(3), 2, 50).collect()}
+    assert found == brute_join(rows, 2, 50)
+
+
+def test_ngram_join_of_one_shingle_in_20000_documents(spark):
+    r = random.Random(2)
+    rows = [(i, f"common u{i}") for i in range(20_000)]
+    rows += [(30_000 + i, f"common p{i} q{i} {'x' if i % 2 else 'y'}{i // 2}") for i in range(40)]
+    linked = [(40_000 + i, f"common p{i} q{i} z{r.random()}") for i in range(40)]  # 3 of 5 shingles in common
+    found = {x[0]: x[2] for x in ngram_join.join(documents(spark, rows + linked), 1, 60).collect()}
+    assert all(found[i] == i for i, _ in rows) and all(found[40_000 + i] == 30_000 + i for i in range(40))
+
+
 def test_ngram_join_edges(spark):
     rows = [(None, "a b c d e"), (9, "a b c d e"), (9, "a b c d e"), (4, "A b C d e"), (1, None)]
     found = sorted((str(r[0]), r[1], r[2]) for r in ngram_join.join(documents(spark, rows)).collect())
     assert found == [("1", 0, 1), ("4", 2, 4), ("9", 2, 4), ("9", 2, 4), ("None", 2, None)]
     assert ngram_join.join(documents(spark, [])).count() == 0
-    kept = ngram_join.keep_one(documents(spark, rows[2:]))
-    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4] and kept.columns == documents(spark, []).columns
+    kept = ngram_join.keep_one(documents(spark, [*rows[2:], (4, "A b C d e"), (None, "x"), (None, "x")]))
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "4", "None", "None"] and kept.columns == documents(spark, []).columns
 
 
 def brute_leaks(rows, items, n=10):

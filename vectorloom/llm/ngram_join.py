@@ -12,16 +12,20 @@ one class, worked on once.
    shingles of its own is out at once.
 3. First each prefix shingle's documents are compared with one of them, the one with the most in
    reserve; verified links give components. Then all pairs that share a prefix shingle and are not
-   yet in one component are compared. A large group of near copies thus costs about one comparison
-   a member, and still no link between different texts is lost.
+   yet in one component are compared, but for those of the first round. A large group of near copies
+   thus costs about one comparison a member, and still no link between different texts is lost.
 4. Before a pair is compared it has to pass the length filter, the positional filter (what follows
    the shared shingle must suffice) and the suffix filter (the sets' counts over 32 hash ranges
    bound their distance from below). Pairs are deduplicated and verified once, on the whole sets.
+5. A shingle that more than ``SPLIT`` prefixes hold is split: its documents, sorted by the size of
+   their sets, are cut into blocks, and only pairs of blocks whose sizes allow a link, and that are not
+   of one component, are compared, each pair of blocks on its own.
 
 Defined results: a null or empty text has no shingles and its own component; a text with fewer
-words than a shingle is one shingle; equal rows link; a row without doc_id gets a null component;
-rows that share a doc_id must share a text; an empty table gives no rows; further columns are
-ignored. Shingles are told apart by 64-bit hashes.
+words than a shingle is one shingle; texts are of any length; equal rows link; a row without doc_id
+gets a null component; rows that share a doc_id must share a text; an empty table gives no rows;
+further columns are ignored. Shingles are told apart by 64-bit hashes, whole sets by their size and 128
+bits; results are exact but for collisions of these.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..plans.staging import partitions, stage, unstage
+from ..plans.staging import parts_for, stage, unstage
 from . import grams
 
 SHINGLE, PERCENT = 4, 85
@@ -42,7 +46,10 @@ SHINGLE, PERCENT = 4, 85
 FLUSH, FREQUENT = 400_000, 32
 MOST = 2**31 - 1
 RANGES = 32
+#: Documents of one prefix shingle that are compared in one go.
+SPLIT = 4096
 ROWS = "to int, kind int, blob binary"
+SET = ("set_id", "set_id_2")
 SETS = {"doc": "i8", "count": "i4"}
 TOKENS, MARKS = {"token": "u8"}, {"token": "u8"}
 LEARNT = {"doc": "i8", "token": "u8", "df": "i4"}
@@ -85,18 +92,20 @@ def rows(triples: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 
 def sizes(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, set_id) of every row."""
+    """(doc_id, n_shingles, set_id, set_id_2) of every row."""
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in grams.blocks(batch):
                 got, at = shingle_sets(batch.column(1).slice(a, b - a), shingle)
-                sums = np.zeros(len(got) + 1, np.uint64)
-                np.cumsum(grams.mix(got ^ grams.BASES[1]), out=sums[1:])
-                set_id = (sums[at[1:]] - sums[at[:-1]]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at)), pa.array(set_id)], ["doc_id", "n_shingles", "set_id"])
+                set_ids = []
+                for base in grams.BASES[1:]:  # sums of two independent hashes of each shingle
+                    sums = np.zeros(len(got) + 1, np.uint64)
+                    np.cumsum(grams.mix(got ^ base), out=sums[1:])
+                    set_ids.append(pa.array((sums[at[1:]] - sums[at[:-1]]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at)), *set_ids], ["doc_id", "n_shingles", *SET])
 
-    return documents.mapInArrow(measured, "doc_id long, n_shingles long, set_id long")
+    return documents.mapInArrow(measured, "doc_id long, n_shingles long, set_id long, set_id_2 long")
 
 
 def settle(ids: np.ndarray, sets: list[np.ndarray], buckets: int) -> list[tuple[int, int, bytes]]:
@@ -224,7 +233,8 @@ def emit_prefixes(sets: DataFrame, n: int, percent: int) -> DataFrame:
     return sets.select("doc", "n", "unique", "tokens", "component").mapInArrow(emitted, ROWS)
 
 
-def read_postings(blobs: list[bytes]) -> dict[str, np.ndarray]:
+def read_postings(blobs: list[bytes], ordered: bool = True) -> dict[str, np.ndarray]:
+    """Postings of many blobs: by shingle, the ones with the most in reserve first, or as they come."""
     parts = []
     for blob in blobs:
         size, at = int(np.frombuffer(blob, np.int64, 1)[0]), 8
@@ -235,6 +245,8 @@ def read_postings(blobs: list[bytes]) -> dict[str, np.ndarray]:
             at += got.nbytes
         parts.append(x)
     x = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+    if not ordered:
+        return x
     order = np.lexsort((x["doc"], x["at"], x["token"]))
     return {c: v[order] for c, v in x.items()}
 
@@ -251,94 +263,144 @@ def passes(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, percent: int)
     return ok
 
 
-def pair_bucket(table: pa.Table, percent: int, every: bool) -> pa.Table:
-    """Candidate pairs of a bucket: each posting list's with one document, or every pair across components."""
+def compared(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Those pairs of documents, as rows of two, of postings of one shingle that lie across components and pass the filters."""
+    differ = (x["doc"][a] != x["doc"][b]) & (x["component"][a] != x["component"][b])
+    a, b = a[differ], b[differ]
+    ok = passes(x, a, b, percent)
+    a, b = x["doc"][a[ok]], x["doc"][b[ok]]
+    return np.column_stack([np.minimum(a, b), np.maximum(a, b)])
+
+
+def pair_rows(found: list[np.ndarray]) -> pa.RecordBatch:
+    pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *found]), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["x", "y"])
+
+
+def posting_lists(table: pa.Table) -> tuple[dict[str, np.ndarray], list[tuple[int, int]]]:
+    """The postings of a bucket and, of each shingle with two or more, where they begin and how many they are."""
     x = read_postings(table["blob"].to_pylist())
     first = np.flatnonzero(np.diff(x["token"], prepend=x["token"][:1] + np.uint64(1)))
     count = np.diff(np.append(first, len(x["token"])))
-    lists = [(f, c) for f, c in zip(first.tolist(), count.tolist(), strict=True) if c > 1]
-    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-
-    def consider(a: np.ndarray, b: np.ndarray) -> None:
-        differ = (x["doc"][a] != x["doc"][b]) & (x["component"][a] != x["component"][b])
-        a, b = a[differ], b[differ]
-        ok = passes(x, a, b, percent)
-        left.append(x["doc"][a[ok]])
-        right.append(x["doc"][b[ok]])
-
-    if not every and lists:
-        heads = np.repeat([f for f, _ in lists], [c - 1 for _, c in lists])
-        others = np.concatenate([np.arange(f + 1, f + c) for f, c in lists])
-        consider(heads, others)
-    elif every:
-        for f, c in lists:
-            if (x["component"][f : f + c] == x["component"][f]).all():
-                continue
-            for k in range(f, f + c - 1):
-                consider(np.full(f + c - 1 - k, k), np.arange(k + 1, f + c))
-    a, b = np.concatenate(left), np.concatenate(right)
-    pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
-    return pa.Table.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["x", "y"])
+    return x, [(f, c) for f, c in zip(first.tolist(), count.tolist(), strict=True) if c > 1]
+
+
+def heads_bucket(table: pa.Table, percent: int) -> pa.Table:
+    """Candidate pairs of a bucket: each posting list's documents with its first one."""
+    x, lists = posting_lists(table)
+    if not lists:
+        return pa.Table.from_batches([pair_rows([])])
+    heads = np.repeat([f for f, _ in lists], [c - 1 for _, c in lists])
+    others = np.concatenate([np.arange(f + 1, f + c) for f, c in lists])
+    return pa.Table.from_batches([pair_rows([compared(x, heads, others, percent)])])
+
+
+BLOCK = "token long, block int, least long, most long, component long, blob binary"
+
+
+def blocks_bucket(table: pa.Table) -> pa.Table:
+    """The posting lists of a bucket that lie across components, sorted by size of set and cut into blocks.
+
+    A block of one component has its number.
+    """
+    x, lists = posting_lists(table)
+    out = []
+    for f, c in lists:
+        if (x["component"][f : f + c] == x["component"][f]).all():
+            continue
+        order = f + np.lexsort((x["doc"][f : f + c], x["n"][f : f + c]))
+        for k in range(-(-c // SPLIT)):
+            at = order[k * SPLIT : (k + 1) * SPLIT]
+            part = {name: v[at] for name, v in x.items()}
+            one = int(part["component"][0]) if (part["component"] == part["component"][0]).all() else None
+            out.append((int(part["token"][:1].view(np.int64)[0]), k, int(part["n"][0]), int(part["n"][-1]), one, grams.to_blob(part)))
+    columns = list(zip(*out, strict=True)) or [()] * 6
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["token", "block", "least", "most", "component", "blob"])
+
+
+def compare_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs within a block (the second one null) or between two."""
+    for batch in batches:
+        for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x = read_postings([one] if two is None else [one, two], ordered=False)
+            size = int(np.frombuffer(one, np.int64, 1)[0])
+            found = []
+            for k in range(size):
+                others = np.arange(k + 1, size) if two is None else np.arange(size, len(x["doc"]))
+                found.append(compared(x, np.full(len(others), k), others, percent))
+            yield pair_rows(found)
+
+
+def pairs_across(postings: DataFrame, n: int, percent: int) -> DataFrame:
+    """Candidate pairs (x, y), repeated, of documents in different components that share a prefix shingle."""
+    blocks = stage(postings.repartition(n, "to").groupBy("to").applyInArrow(blocks_bucket, BLOCK), "jaccard-blocks")
+    within = blocks.where("component is null").select("blob", F.lit(None).cast("binary").alias("other"))
+    one, two = (blocks.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("block", "least", "most", "component")]) for k in (1, 2))
+    may = (F.col("block_1") < F.col("block_2")) & (F.col("most_1") * 100 >= F.col("least_2") * percent) & ~F.coalesce(F.col("component_1") == F.col("component_2"), F.lit(False))
+    met = one.join(two, "token").where(may).select("token", "block_1", "block_2")
+    left = blocks.select("token", F.col("block").alias("block_1"), "blob")
+    right = blocks.select("token", F.col("block").alias("block_2"), F.col("blob").alias("other"))
+    between = met.join(left, ["token", "block_1"]).join(right, ["token", "block_2"]).select("blob", "other")
+    return within.unionByName(between).mapInArrow(lambda batches: compare_blocks(batches, percent), "x long, y long")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) whose whole sets link."""
+    """The pairs (x, y) with linked: whether their whole sets link."""
     one = sets.select(F.col("doc").alias("x"), F.col("n").alias("n_x"), F.col("tokens").alias("t_x"))
     two = sets.select(F.col("doc").alias("y"), F.col("n").alias("n_y"), F.col("tokens").alias("t_y"))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            linked = []
             for n, a, m, b in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
                 both = len(np.intersect1d(np.frombuffer(a, "u8"), np.frombuffer(b, "u8"), assume_unique=True))
-                keep.append(100 * both >= percent * (n + m - both))
-            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.join(two, "y").join(one, "x").select("x", "y", "n_x", "t_x", "n_y", "t_y").mapInArrow(verified, "x long, y long")
-
+                linked.append(100 * both >= percent * (n + m - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["x", "y", "linked"])
 
-def candidate_pairs(sets: DataFrame, n: int, percent: int, every: bool) -> DataFrame:
-    return emit_prefixes(sets, n, percent).groupBy("to").applyInArrow(lambda t: pair_bucket(t, percent, every), "x long, y long").distinct()
-
-
-def free_shuffles(df: DataFrame) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
-    import gc
-
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    return pairs.join(two, "y").join(one, "x").select("x", "y", "n_x", "t_x", "n_y", "t_y").mapInArrow(verified, "x long, y long, linked boolean")
 
 
 def join(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    n = partitions(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    n = parts_for(docs, "text")
     known = stage(sizes(docs, shingle), "jaccard-sizes")
-    copies = known.where("n_shingles > 0").groupBy("set_id", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.count("doc_id").alias("members"))
+    copies = known.where("n_shingles > 0").groupBy(*SET, "n_shingles").agg(F.min("doc_id").alias("class_id"))
     classes = copies.where("class_id is not null").select(F.col("class_id").alias("doc_id"), "n_shingles").withColumn("to", grams.part_column("doc_id", n))
 
-    told = emit_sets(docs.where("doc_id is not null"), n, shingle).groupBy("to").applyInArrow(lambda t: count_bucket(t, n), ROWS)
-    sets = classes.groupBy("to").cogroup(told.groupBy("to")).applyInArrow(lambda c, t: order_sets(c, t, percent), "doc long, n long, unique long, tokens binary")
+    told = emit_sets(docs.where("doc_id is not null"), n, shingle).repartition(n, "to").groupBy("to").applyInArrow(lambda t: count_bucket(t, n), ROWS)
+    sets = classes.repartition(n, "to").groupBy("to").cogroup(told.repartition(n, "to").groupBy("to")).applyInArrow(lambda c, t: order_sets(c, t, percent), "doc long, n long, unique long, tokens binary")
     sets = stage(sets, "jaccard-sets")
-    del told  # or its shuffles would be kept for it
-    free_shuffles(sets)
 
-    alone = sets.withColumn("component", F.lit(None).cast("long"))
-    links = stage(verify(candidate_pairs(alone, n, percent, False), sets, percent), "jaccard-links")
-    free_shuffles(sets)
-    found = stage(connected_components(links, "x", "y", one_task=0), "jaccard-found")
+    alone = emit_prefixes(sets.withColumn("component", F.lit(None).cast("long")), n, percent)
+    first = alone.repartition(n, "to").groupBy("to").applyInArrow(lambda t: heads_bucket(t, percent), "x long, y long").distinct()
+    tried = stage(verify(first, sets, percent), "jaccard-tried")
+    found = stage(connected_components(tried.where("linked"), "x", "y", one_task=0), "jaccard-found")
     grouped = sets.join(found.select(F.col("id").alias("doc"), "component"), "doc", "left")
-    more = stage(verify(candidate_pairs(grouped, n, percent, True), sets, percent), "jaccard-more")
-    unstage(sets)
-    every = found.select(F.col("id").alias("x"), F.col("component").alias("y")).unionByName(more)
-    final = connected_components(every, "x", "y", one_task=0).select(F.col("id").alias("class_id"), "component")
-    named = copies.join(final, "class_id", "left").select("set_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"))
-    with_sets = known.join(named, ["set_id", "n_shingles"], "left")
+    rest = pairs_across(emit_prefixes(grouped, n, percent), n, percent).distinct().join(tried, ["x", "y"], "left_anti")
+    more = stage(verify(rest, sets, percent), "jaccard-more")
+    every = found.select(F.col("id").alias("x"), F.col("component").alias("y")).unionByName(more.where("linked").select("x", "y"))
+    final = stage(connected_components(every, "x", "y", one_task=0), "jaccard-components")
+    unstage(sets, tried, found, more)
+    named = copies.join(final.select(F.col("id").alias("class_id"), "component"), "class_id", "left").select(*SET, "n_shingles", F.coalesce("component", "class_id").alias("component_id"))
+    with_sets = known.join(named, [*SET, "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return with_sets.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
 def keep_one(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id; rows without doc_id stay."""
-    gone = join(documents, shingle, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return documents.join(gone, documents["doc_id"] == gone["__gone"], "left_anti")
+    """One document of each component, the one with the smallest doc_id; of rows that share it, one.
+
+    Rows without doc_id stay.
+    """
+    found = stage(join(documents, shingle, percent), "jaccard-join")
+    # written, so that its size is known, by which Spark chooses the join
+    gone = stage(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "jaccard-gone")
+    kept = documents.join(gone, documents["doc_id"] == gone["__gone"], "left_anti")
+    repeated = stage(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("__again")), "jaccard-repeated")
+    unstage(found)
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, kept["doc_id"] == repeated["__again"], "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, kept["doc_id"] == repeated["__again"], "left_anti").unionByName(once)
