@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 NOISE = -1
 #: Below this product of squared norms cosine distance is 0; norms below this stay as they are; least variance.
 COSINE_FLOOR, NORM_FLOOR, VARIANCE_FLOOR = 1e-9, 1.1920929e-7, 2.220446049250313e-16
+#: Fixed value: the score of clusters without any spread.
+LARGEST = 3.4028234663852886e38
 
 
 def doubles(v: Column) -> Column:

@@ -41,6 +41,29 @@ def conflicts(p: DataFrame, constraints: DataFrame) -> DataFrame:
     return met.where("g_a = g_b").select("a", "b")
 
 
+def candidates(p: DataFrame, centroids: np.ndarray, metric: Metric = SQUARED_EUCLIDEAN) -> DataFrame:
+    """(id, rank, cluster, distance): every cluster of every point, nearest first, ties by cluster."""
+    at = p.columns.index("features")
+
+    def measure(batches):
+        for batch in batches:
+            x = matrix(batch.column(at))
+            if len(x):
+                d = metric.block(x, centroids)
+                order = np.argsort(d, axis=1, kind="stable")
+                ids = np.repeat(batch.column(p.columns.index("id")).to_numpy(), len(centroids))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.tile(np.arange(len(centroids)), len(x))), pa.array(order.ravel()), pa.array(np.take_along_axis(d, order, 1).ravel())], ["id", "rank", "cluster", "distance"])
+
+    return p.mapInArrow(measure, "id long, rank long, cluster long, distance double")
+
+
+def forbidden(labels: DataFrame, constraints: DataFrame) -> DataFrame:
+    """(id, label): the clusters that hold a point which a point can't be together with."""
+    pairs = constraints.where("kind = 'cannot' and a <> b").select("a", "b")
+    both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return both.join(labels.select(F.col("id").alias("b"), "label"), "b").select(F.col("a").alias("id"), "label").distinct()
+
+
 def assign_in_order(distance: np.ndarray, order: np.ndarray, group: np.ndarray, forbidden: dict[int, list[int]]) -> np.ndarray | None:
     """The nearest allowed cluster of each row, in an order; None if a row has none."""
     label, taken = np.full(len(order), -1), {}
@@ -128,3 +151,9 @@ class ConstrainedKMeans:
         for k in set(range(self.k)) - set(found):  # a cluster without points starts again from one
             out[k] = p.agg(F.min_by("features", F.struct(F.xxhash64("id", F.lit(self.seed), F.lit(number), F.lit(k)), "id"))).first()[0]
         return new_centroids(p, old, Round(np.ones(self.k, np.int64), out), self.metric)
+
+
+def cop_kmeans(p: DataFrame, k: int, must_link=(), cannot_link=(), max_iter: int = 300, seed: int = 42) -> DataFrame:
+    """(id, label) of a fit with the usual defaults; links are pairs of ids."""
+    rows = [(int(a), int(b), kind) for kind, links in (("must", must_link), ("cannot", cannot_link)) for a, b in links]
+    return ConstrainedKMeans(k, max_iter=max_iter, seed=seed).fit_predict(p, p.sparkSession.createDataFrame(rows, "a long, b long, kind string"))

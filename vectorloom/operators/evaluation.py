@@ -2,6 +2,9 @@
 
 Scores over distances aggregate within each block of pairs: what leaves a task is a sum and a count for
 each point and cluster, never a pair.
+
+Every score first checks what it is given, in one aggregate: vectors of one length and finite, and labels
+for the ids of the points and for no others; scores of two labellings check that their ids agree.
 """
 
 from __future__ import annotations
@@ -10,13 +13,36 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import InvalidParameter
+from ..errors import DimensionMismatch, InvalidParameter, NonFinite
 from ..functions import vectors as V
 from ..functions.distance import EUCLIDEAN, Metric
 from .kmeans import centroids_of
 from .pairs import core_distances, in_blocks, matrix
 
 
+def checked(p: DataFrame, labels: DataFrame) -> None:
+    """Raises where points can't be scored by labels; no points at all are fine."""
+    size = F.size("features")
+    met = p.select("id", "features", F.lit(1).alias("p")).join(labels.select("id", F.col("label").isNotNull().alias("l")), "id", "full_outer")
+    row = met.agg(
+        F.count_if(F.col("p").isNull() | ~F.coalesce("l", F.lit(False))).alias("apart"), F.min(size).alias("low"), F.max(size).alias("high"), F.count_if(F.col("p").isNotNull() & ~F.coalesce(V.finite(F.col("features")), F.lit(False))).alias("bad")
+    ).first()
+    if row["apart"]:
+        raise InvalidParameter("labels", f"{row['apart']} ids are points without a label or labels without a point")
+    if row["bad"]:
+        raise NonFinite(f"{row['bad']} points with nulls, NaN or infinities")
+    if row["low"] != row["high"]:
+        raise DimensionMismatch(row["high"], row["low"])
+
+
+def agreeing(a: DataFrame, b: DataFrame) -> None:
+    """Raises where two labellings aren't of the same ids."""
+    met = a.select("id", F.col("label").isNotNull().alias("a")).join(b.select("id", F.col("label").isNotNull().alias("b")), "id", "full_outer")
+    apart = met.agg(F.count_if(~F.coalesce("a", F.lit(False)) | ~F.coalesce("b", F.lit(False)))).first()[0]
+    if apart:
+        raise InvalidParameter("labels", f"{apart} ids have a label on one side only")
+
+
 def cluster_distances(p: DataFrame, labels: DataFrame, metric: Metric = EUCLIDEAN, core: DataFrame | None = None, noise: bool = False) -> DataFrame:
     """(id, label, other, total, n): each point's summed distance to the points of each cluster, itself left out.
 
@@ -52,6 +78,7 @@ def cluster_distances(p: DataFrame, labels: DataFrame, metric: Metric = EUCLIDEA
 
 def silhouettes(p: DataFrame, labels: DataFrame, metric: Metric = EUCLIDEAN) -> DataFrame:
     """(id, label, silhouette) of points in clusters of two or more; empty for fewer than two clusters."""
+    checked(p, labels)
     mean = F.col("total") / F.col("n")
     own, other = F.col("other") == F.col("label"), F.col("other") != F.col("label")
     x = cluster_distances(p, labels, metric).groupBy("id", "label").agg(F.max(F.when(own, mean)).alias("a"), F.min(F.when(other, mean)).alias("b"))
@@ -80,11 +107,14 @@ def silhouette_sampled(p: DataFrame, labels: DataFrame, size: int, seed: int = 4
     """(silhouette) of ``size`` points drawn without replacement; of all, if there are no more."""
     if size < 1:
         raise InvalidParameter("size", "has to be at least 1")
-    return silhouette(p.orderBy(sample_order(seed), "id").limit(size), labels, metric)
+    checked(p, labels)
+    sample = p.orderBy(sample_order(seed), "id").limit(size)
+    return silhouette(sample, labels.join(sample.select("id"), "id", "left_semi"), metric)
 
 
 def calinski_harabasz(p: DataFrame, labels: DataFrame, centroids: DataFrame | None = None) -> DataFrame:
     """(calinski_harabasz); noise counts in n and in the global mean, not within clusters."""
+    checked(p, labels)
     c = centroids if centroids is not None else centroids_of(p, labels)
     c = c.select("cluster", F.posexplode("centroid").alias("pos", "m"))
     long = p.join(labels.select("id", "label"), "id").select("id", "label", F.posexplode("features").alias("pos", "v"))
@@ -94,12 +124,16 @@ def calinski_harabasz(p: DataFrame, labels: DataFrame, centroids: DataFrame | No
     within = long.join(c, (F.col("label") == F.col("cluster")) & (long["pos"] == c["pos"])).agg(F.coalesce(F.sum(F.pow(F.col("v") - F.col("m"), 2.0)), F.lit(0.0)).alias("within"))
     counts = p.agg(F.count(F.lit(1)).alias("n")).join(c.agg(F.countDistinct("cluster").alias("k")))
     few = (F.col("k") < 2) | (F.col("n") <= F.col("k"))
-    score = F.when(few, F.lit(0.0)).when(F.col("within") < V.VARIANCE_FLOOR, F.lit(3.4028234663852886e38)).otherwise((F.col("between") / (F.col("k") - 1)) / (F.col("within") / (F.col("n") - F.col("k"))))
+    score = F.when(few, F.lit(0.0)).when(F.col("within") < V.VARIANCE_FLOOR, F.lit(V.LARGEST)).otherwise((F.col("between") / (F.col("k") - 1)) / (F.col("within") / (F.col("n") - F.col("k"))))
     return between.join(within).join(counts).select(score.alias("calinski_harabasz"))
 
 
 def davies_bouldin(p: DataFrame, labels: DataFrame, centroids: DataFrame | None = None, metric: Metric = EUCLIDEAN) -> DataFrame:
-    """(davies_bouldin): the mean over all clusters of the worst ratio; centroids are few and joined with each other."""
+    """(davies_bouldin): the mean over all clusters of the worst ratio.
+
+    Centroids, a row a cluster, are joined with each other: the square of the clusters, as the score is defined.
+    """
+    checked(p, labels)
     c = centroids if centroids is not None else centroids_of(p, labels)
     x = p.join(labels.select("id", F.col("label").alias("cluster")), "id").join(c, "cluster")
     spread = x.groupBy("cluster").agg(F.avg(metric.column(F.col("features"), F.col("centroid"))).alias("s"))
@@ -112,6 +146,7 @@ def davies_bouldin(p: DataFrame, labels: DataFrame, centroids: DataFrame | None
 
 def contingency(a: DataFrame, b: DataFrame) -> DataFrame:
     """(a, b, n) of two labellings of the same ids; noise is a label like any other."""
+    agreeing(a, b)
     return a.select("id", F.col("label").alias("a")).join(b.select("id", F.col("label").alias("b")), "id").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -153,6 +188,7 @@ def disco(p: DataFrame, labels: DataFrame, min_points: int, metric: Metric = EUC
     A noise point counts +1 if its mean reachability to the nearest cluster is above that cluster's own
     mean, and else -1. One cluster alone leaves the verdicts on noise; without noise it scores 0.
     """
+    checked(p, labels)
     core = core_distances(p, min_points, metric)
     sums = cluster_distances(p, labels, metric, core, noise=True).withColumn("mean", F.col("total") / F.col("n"))
     inner = sums.where("label = other").groupBy(F.col("other").alias("cluster")).agg((F.sum("total") / F.sum("n")).alias("inner"))

@@ -271,6 +271,11 @@ class HDBSCAN:
         return self.fit(p).select("id", "label")
 
 
+def hdbscan(p: DataFrame, min_cluster_size: int, min_points: int | None = None, metric: Metric = EUCLIDEAN) -> DataFrame:
+    """(id, label) of a fit with the usual defaults: as many samples as points that make a cluster."""
+    return HDBSCAN(min_cluster_size if min_points is None else min_points, min_cluster_size, metric).fit_predict(p)
+
+
 def ordered_edges(t: pa.Table) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
     """Ids and edges between their places, ascending by weight, then ends."""
     u, v, w = t["u"].to_numpy(), t["v"].to_numpy(), t["w"].to_numpy()

@@ -10,16 +10,21 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import DimensionMismatch, InvalidClusterCount, InvalidParameter, NonFinite
 from ..functions import vectors as V
 from ..functions.distance import EUCLIDEAN, SQUARED_EUCLIDEAN, Metric
+from ..plans.staging import stage, unstage
 from ..sources.points import validated
 from .pairs import matrix, nearest_centroid
 
 
+#: Draws of seeding between two writes of the rows' least distances.
+KEEP = 16
+
+
 def mean_variance(p: DataFrame) -> float:
     """The mean over dimensions of population variance; 1 where it is next to nothing."""
     by_dimension = p.select(F.posexplode("features")).groupBy("pos").agg(F.var_pop("col").alias("v"))
@@ -32,25 +37,36 @@ def unit_rows(c: np.ndarray) -> np.ndarray:
     return np.where(norms > V.NORM_FLOOR, c / np.where(norms > 0, norms, 1), c)
 
 
-def uniform(seed: int, *columns) -> F.Column:
-    """A number in (0, 1) that depends on the seed and the columns alone."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(2**53)) + F.lit(0.5)) / F.lit(float(2**53))
+def uniform(seed: int, number: int, id: str = "id") -> Column:
+    """A number in (0, 1) that depends on the seed, the number of the draw and the id alone; any engine with md5 can make it."""
+    digits = F.substring(F.md5(F.concat_ws("-", F.lit(seed), F.lit(number), F.col(id).cast("string")).cast("binary")), 1, 13)
+    return (F.conv(digits, 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**52))
 
 
 def seed_centroids(p: DataFrame, k: int, metric: Metric = SQUARED_EUCLIDEAN, alpha: float = 2.0, seed: int = 0) -> np.ndarray:
     """k points, each drawn with a weight of its distance to those drawn before, to the power alpha / 2.
 
     A weighted draw is the smallest of -ln(u) / weight over all rows, so it needs neither a running
-    sum nor an order. With no weight left the draw is uniform.
+    sum nor an order. With no weight left the draw is uniform. Each pass measures the distance to the
+    centroids drawn since the rows' least distances were last written, every ``KEEP`` draws.
     """
-    u = uniform(seed, F.lit(0), F.col("id"))
-    chosen = [p.agg(F.min_by("features", F.struct(u, "id"))).first()[0]]
+    chosen = [p.agg(F.min_by("features", F.struct(uniform(seed, 0), "id"))).first()[0]]
+    rows, since, least = p.select("id", "features"), 0, None
     for number in range(1, k):
-        near = nearest_centroid(p, np.array(chosen), metric)
+        near = nearest_centroid(rows, np.array(chosen[since:]), metric)
+        if least is not None:
+            near = near.withColumn("distance", F.least("distance", "least"))
         weight = F.pow(F.greatest("distance", F.lit(0.0)), alpha / 2)
-        u = uniform(seed, F.lit(number), F.col("id"))
+        u = uniform(seed, number)
         key = F.struct((weight <= 0) | F.isnan(weight), F.when(weight > 0, -F.log(u) / weight).otherwise(u), "id")
         chosen.append(near.agg(F.min_by("features", key)).first()[0])
+        if number - since >= KEEP and number < k - 1:
+            before, least = least, stage(near.select("id", "features", F.col("distance").alias("least")), "seeding")
+            rows, since = least, number
+            if before is not None:
+                unstage(before)
+    if least is not None:
+        unstage(least)
     return np.array(chosen)
 
 
@@ -58,10 +74,15 @@ def seed_centroids(p: DataFrame, k: int, metric: Metric = SQUARED_EUCLIDEAN, alp
 class Round:
     counts: np.ndarray
     sums: np.ndarray
+    inertia: float | None = None
 
 
-def cluster_sums(p: DataFrame, centroids: np.ndarray, metric: Metric) -> Round:
-    """The number and the vector sum of the rows nearest to each centroid."""
+def cluster_sums(p: DataFrame, centroids: np.ndarray, metric: Metric, before: np.ndarray | None = None) -> Round:
+    """The number and the vector sum of the rows nearest to each centroid.
+
+    With the centroids of the round before, the same pass sums the distances of the rows to the present
+    centroids of the clusters that they had then: the inertia of that round.
+    """
     k, d = centroids.shape
     if metric.block is None:
         parts = nearest_centroid(p, centroids, metric).select("label", F.posexplode("features")).groupBy("label", "pos").agg(F.sum("col").alias("s"), F.count("col").alias("n"))
@@ -70,20 +91,31 @@ def cluster_sums(p: DataFrame, centroids: np.ndarray, metric: Metric) -> Round:
         def partial(batches):
             import pyarrow as pa
 
-            counts, sums = np.zeros(k, np.int64), np.zeros((k, d))
+            counts, sums, inertia = np.zeros(k, np.int64), np.zeros((k, d)), 0.0
             for batch in batches:
                 x = matrix(batch.column(0))
                 if len(x):
-                    label = metric.block(x, centroids).argmin(1)
+                    distance = metric.block(x, centroids)
+                    label = distance.argmin(1)
                     counts += np.bincount(label, minlength=k)
                     np.add.at(sums, label, x)
+                    if before is not None:
+                        inertia += float(distance[np.arange(len(x)), metric.block(x, before).argmin(1)].sum())
             used = np.flatnonzero(counts)
+            if before is not None:  # as a cluster of its own
+                used, counts, sums = np.append(used, k), np.append(counts, 0), np.vstack([sums, [[inertia, *[0.0] * (d - 1)]]])
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used]), pa.array(list(sums[used]), pa.list_(pa.float64()))], ["label", "n", "sums"])
 
         rows = p.select("features").mapInArrow(partial, "label long, n long, sums array<double>")
         parts = rows.select("label", "n", F.posexplode("sums")).groupBy("label", "pos").agg(F.sum("col").alias("s"), F.sum("n").alias("n"))
     out = Round(np.zeros(k, np.int64), np.zeros((k, d)))
+    if before is not None:
+        labelled = nearest_centroid(p, before, metric) if metric.block is None else None
+        out.inertia = wcss(labelled.select("features", "label"), centroids, metric) if labelled is not None else 0.0
     for r in parts.collect():  # clusters x dimensions
+        if r["label"] == k:
+            out.inertia = r["s"] if r["pos"] == 0 else out.inertia
+            continue
         out.sums[r["label"], r["pos"]], out.counts[r["label"]] = r["s"], r["n"]
     return out
 
@@ -180,14 +212,16 @@ class KMeans:
         else:
             centroids = seed_centroids(p, self.k, self.metric, self.alpha, self.seed)
         enough = self.tol * mean_variance(p) * self.k
-        trace, rounds = [], 0
+        trace, rounds, old = [], 0, None
         for rounds in range(1, self.max_iter + 1):
-            old = centroids
-            centroids = new_centroids(p, old, cluster_sums(p, old, self.metric), self.metric)
-            if extra:
-                trace.append(wcss(nearest_centroid(p, old, self.metric).select("features", "label"), centroids, self.metric))
+            found = cluster_sums(p, centroids, self.metric, old if extra else None)
+            if found.inertia is not None:
+                trace.append(found.inertia)
+            old, centroids = centroids, new_centroids(p, centroids, found, self.metric)
             if ((old - centroids) ** 2).sum() < enough:
                 break
+        if extra:
+            trace.append(cluster_sums(p, centroids, self.metric, old).inertia)
         labels = nearest_centroid(p, centroids, self.metric).select("id", "label")
         return KMeansModel(centroids, labels, rounds, trace, self.metric)
 

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +30,14 @@ def from_columns(df: DataFrame, id: str, *columns: str) -> DataFrame:
 
 
 def from_rows(spark: SparkSession, rows) -> DataFrame:
-    """Points of nested lists or a two-dimensional array, with their positions as ids; values pass through single precision."""
-    table = [(i, [float(np.float32(v)) for v in row]) for i, row in enumerate(np.asarray(rows, dtype=object) if not isinstance(rows, np.ndarray) else rows)]
-    return spark.createDataFrame(table, "id long, features array<double>")
+    """Points of nested lists or a two-dimensional array, with their positions as ids; values pass through single precision.
+
+    They go to Spark as one Arrow table; lists may be ragged, which ``validated`` refuses.
+    """
+    parts = [np.asarray(row, np.float32).astype(np.float64) for row in rows]
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    features = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0)))
+    return spark.createDataFrame(pa.table({"id": pa.array(np.arange(len(parts))), "features": features}))
 
 
 def from_flat(df: DataFrame, flat: str, d: int) -> DataFrame:
@@ -85,6 +91,12 @@ def read_idx(spark: SparkSession, images: str, labels: str | None = None) -> Dat
 
     One file is one task's work; the format has no places to split at.
     """
+    files = lambda path: spark.read.format("binaryFile").load(path)
+    return idx_points(files(images), None if labels is None else files(labels))
+
+
+def idx_points(images: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """What ``read_idx`` gives, of tables with the files in a binary column ``content``."""
 
     def images_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -104,7 +116,7 @@ def read_idx(spark: SparkSession, images: str, labels: str | None = None) -> Dat
                     raise ValueError("not an IDX label file")
                 yield pd.DataFrame({"id": np.arange(n), "label": np.frombuffer(content, np.uint8, n, 8).astype(np.int64)})
 
-    out = spark.read.format("binaryFile").load(images).mapInPandas(images_of, "id long, features array<double>")
+    out = images.select("content").mapInPandas(images_of, "id long, features array<double>")
     if labels is None:
         return out
-    return out.join(spark.read.format("binaryFile").load(labels).mapInPandas(labels_of, "id long, label long"), "id")
+    return out.join(labels.select("content").mapInPandas(labels_of, "id long, label long"), "id")

@@ -115,6 +115,14 @@ class DenStreamState:
         return DenStreamState(**raw)
 
 
+def clustering_features(p: DataFrame, labels: DataFrame) -> DataFrame:
+    """(label, n, ls, ss, weight): count, sums and sums of squares of the points of each label, noise left out."""
+    long = p.join(labels.where("label >= 0").select("id", "label"), "id").select("label", F.posexplode("features"))
+    sums = long.groupBy("label", "pos").agg(F.count("col").alias("n"), F.sum("col").alias("s"), F.sum(F.col("col") * F.col("col")).alias("q"))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("pos", c))), lambda x: x[c])
+    return sums.groupBy("label").agg(F.max("n").alias("n"), in_order("s").alias("ls"), in_order("q").alias("ss"), F.max("n").cast("double").alias("weight"))
+
+
 def nearest(clusters: list[MicroCluster], x: np.ndarray, metric: Metric) -> int | None:
     if not clusters:
         return None
