@@ -43,18 +43,17 @@ def conflicts(p: DataFrame, constraints: DataFrame) -> DataFrame:
 
 def candidates(p: DataFrame, centroids: np.ndarray, metric: Metric = SQUARED_EUCLIDEAN) -> DataFrame:
     """(id, rank, cluster, distance): every cluster of every point, nearest first, ties by cluster."""
-    at = p.columns.index("features")
 
     def measure(batches):
         for batch in batches:
-            x = matrix(batch.column(at))
+            x = matrix(batch.column(1))
             if len(x):
                 d = metric.block(x, centroids)
                 order = np.argsort(d, axis=1, kind="stable")
-                ids = np.repeat(batch.column(p.columns.index("id")).to_numpy(), len(centroids))
+                ids = np.repeat(batch.column(0).to_numpy(), len(centroids))
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.tile(np.arange(len(centroids)), len(x))), pa.array(order.ravel()), pa.array(np.take_along_axis(d, order, 1).ravel())], ["id", "rank", "cluster", "distance"])
 
-    return p.mapInArrow(measure, "id long, rank long, cluster long, distance double")
+    return p.select("id", "features").mapInArrow(measure, "id long, rank long, cluster long, distance double")
 
 
 def forbidden(labels: DataFrame, constraints: DataFrame) -> DataFrame:

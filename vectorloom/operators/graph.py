@@ -69,16 +69,20 @@ def _disjoint_sets(t):
     return pa.table({"id": pa.array(list(parent), pa.int64()), "component": pa.array([find(x) for x in parent], pa.int64())})
 
 
-def rank_components(components: DataFrame) -> DataFrame:
-    """(component, label): ranks from 0 by ascending component.
+def ranked(rows: DataFrame, *order: str) -> DataFrame:
+    """The rows with rank, from 0 in an order: by range, each range's rows after those of the ranges before it.
 
-    One row a component is ranked, by range: each range's rows, after those of the ranges before it.
     The ranges are read twice, so they are written first: made again they might be cut elsewhere.
     """
-    distinct = stage(components.select("component").distinct().repartitionByRange("component").withColumn("part", F.spark_partition_id()), "ranks")
-    before = distinct.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy("part").orderBy("component"))
-    return distinct.withColumn("within", within).join(F.broadcast(before.select("part", "before")), "part").select("component", (F.col("within") + F.col("before") - 1).cast("long").alias("label"))
+    cut = stage(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranks")
+    before = cut.groupBy("__part").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return cut.withColumn("within", within).join(F.broadcast(before.select("__part", "before")), "__part").select(*rows.columns, (F.col("within") + F.col("before") - 1).cast("long").alias("rank"))
+
+
+def rank_components(components: DataFrame) -> DataFrame:
+    """(component, label): ranks from 0 by ascending component."""
+    return ranked(components.select("component").distinct(), "component").withColumnRenamed("rank", "label")
 
 
 def relabel(labels: DataFrame) -> DataFrame:

@@ -181,20 +181,50 @@ def condense(n: int, edges: list[tuple[int, int, float]], least: int) -> Condens
     return out
 
 
-def select_clusters(c: Condensed, excess_points: list[list[float]]) -> list[int]:
-    """The clusters of largest total excess of mass; a parent wins only when it beats its parts together."""
-    k = len(c.parent)
-    children: list[list[int]] = [[] for _ in range(k)]
+def children_of(c: Condensed) -> list[list[int]]:
+    children: list[list[int]] = [[] for _ in c.parent]
     for x, parent in enumerate(c.parent):
         if parent >= 0:
             children[parent].append(x)
+    return children
+
+
+def points_inside(c: Condensed) -> list[list[float]]:
+    """The densities at which each cluster's own points left it."""
+    inside: list[list[float]] = [[] for _ in c.parent]
+    for cluster, density in zip(c.point_cluster.tolist(), c.point_density.tolist(), strict=True):
+        if cluster >= 0:
+            inside[cluster].append(density)
+    return inside
+
+
+def cluster_sizes(c: Condensed) -> list[int]:
+    """The points of each cluster, those of its parts too."""
+    sizes = np.bincount(c.point_cluster[c.point_cluster >= 0], minlength=len(c.parent)).tolist()
+    for x, parent in enumerate(c.parent):  # children come before parents
+        if parent >= 0:
+            sizes[parent] += sizes[x]
+    return sizes
+
+
+def excesses(c: Condensed, inside: list[list[float]]) -> list[float]:
+    """Each cluster's excess of mass: densities over that of its birth, summed over its points and the points of its parts."""
+    children = children_of(c)
+    return [
+        sum(d - c.born[x] if d != c.born[x] else 0.0 for d in inside[x]) + sum(c.sizes[y] * (c.left[y] - c.born[x]) if c.left[y] != c.born[x] else 0.0 for y in children[x])
+        for x in range(len(c.parent))
+    ]
+
+
+def select_clusters(c: Condensed, excess_points: list[list[float]]) -> list[int]:
+    """The clusters of largest total excess of mass; a parent wins only when it beats its parts together."""
+    k = len(c.parent)
+    children, excess = children_of(c), excesses(c, excess_points)
     sub, chosen = [0.0] * k, [False] * k
     for x in range(k):  # children come before parents
-        own = sum(d - c.born[x] if d != c.born[x] else 0.0 for d in excess_points[x])
-        own += sum(c.sizes[y] * (c.left[y] - c.born[x]) if c.left[y] != c.born[x] else 0.0 for y in children[x])
         parts = sum(sub[y] for y in children[x])
-        chosen[x] = not children[x] or own > parts
-        sub[x] = own if chosen[x] else parts
+        chosen[x] = not children[x] or excess[x] > parts
+        sub[x] = excess[x] if chosen[x] else parts
     kept, todo = [], [x for x in range(k) if c.parent[x] < 0]
     while todo:
         x = todo.pop()
@@ -211,11 +241,7 @@ def density_labels(n: int, edges: list[tuple[int, int, float]], least: int) -> t
     c = condense(n, edges, least)
     if not c.parent:
         return labels, scores
-    inside: list[list[float]] = [[] for _ in c.parent]
-    for cluster, density in zip(c.point_cluster.tolist(), c.point_density.tolist(), strict=True):
-        if cluster >= 0:
-            inside[cluster].append(density)
-    kept = select_clusters(c, inside)
+    kept = select_clusters(c, points_inside(c))
     number = {x: k for k, x in enumerate(kept)}
     home = [-1] * len(c.parent)
     for x in reversed(range(len(c.parent))):  # parents before children
@@ -270,6 +296,20 @@ class HDBSCAN:
     def fit_predict(self, p: DataFrame) -> DataFrame:
         return self.fit(p).select("id", "label")
 
+    def condensed(self, p: DataFrame) -> DataFrame:
+        """(cluster, parent, born, size, stability) of every cluster of the tree, in the order in which they came to be."""
+        least = self.min_cluster_size
+
+        def fold(t):
+            ids, edges = ordered_edges(t)
+            c = condense(len(ids), edges, least)
+            own = excesses(c, points_inside(c))
+            columns = (range(len(own)), [x if x >= 0 else None for x in c.parent], c.born, cluster_sizes(c), own)
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64())
+            return pa.table({k: pa.array(v, t) for k, v, t in zip(("cluster", "parent", "born", "size", "stability"), columns, kinds, strict=True)})
+
+        return foldable(self.tree(p)).groupBy(F.lit("all")).applyInArrow(lambda t: fold(t), "cluster long, parent long, born double, size long, stability double")
+
 
 def hdbscan(p: DataFrame, min_cluster_size: int, min_points: int | None = None, metric: Metric = EUCLIDEAN) -> DataFrame:
     """(id, label) of a fit with the usual defaults: as many samples as points that make a cluster."""

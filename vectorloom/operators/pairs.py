@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from ..errors import InvalidParameter
 from ..functions import vectors as V
 from ..functions.distance import EUCLIDEAN, Metric
-from ..plans.staging import stage
 
 BLOCK = 512
 #: Most dimensions for which the 3 ** d neighbouring cells are joined.
@@ -160,12 +159,9 @@ def k_distance(p: DataFrame, k: int, metric: Metric = EUCLIDEAN) -> DataFrame:
 
     The positions come from one sorted pass; the curve holds a number a point.
     """
-    core = core_distances(p, k, metric)
-    ranges = stage(core.repartitionByRange("core").withColumn("part", F.spark_partition_id()), "k-distances")  # read twice, and cut once
-    # positions without one task for all: the rank within a range, after the rows of the ranges before
-    before = ranges.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("core", "id"))
-    return ranges.withColumn("rank", rank).join(F.broadcast(before.select("part", "before")), "part").select((F.col("rank") + F.col("before") - 1).cast("long").alias("position"), F.col("core").alias("distance"))
+    from .graph import ranked
+
+    return ranked(core_distances(p, k, metric), "core", "id").select(F.col("rank").alias("position"), F.col("core").alias("distance"))
 
 
 def nearest_centroid(p: DataFrame, centroids: np.ndarray, metric: Metric = EUCLIDEAN) -> DataFrame:

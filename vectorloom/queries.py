@@ -167,7 +167,7 @@ def core_distance(spark, sf_dir):
     return rounded(pairs.core_distances(vectors(spark, sf_dir), 5), "core")
 
 
-@query(f"WITH {KNN}, c AS (SELECT i, d AS core FROM n WHERE rank = 5) SELECT p.i, p.j, round(greatest(p.d, a.core, b.core), 6) AS distance FROM p JOIN c a ON a.i = p.i JOIN c b ON b.i = p.j")
+@query(f"WITH {E}, c AS MATERIALIZED (SELECT a.id, any_value(a.f) AS f, list_extract(min(list_distance(a.f, b.f), 5), 5) AS core FROM e a JOIN e b ON a.id <> b.id GROUP BY a.id) SELECT a.id AS i, b.id AS j, round(greatest(list_distance(a.f, b.f), a.core, b.core), 6) AS distance FROM c a JOIN c b ON a.id < b.id")
 def mutual_reachability(spark, sf_dir):
     p = vectors(spark, sf_dir)
     core = pairs.core_distances(p, 5)
@@ -241,16 +241,6 @@ def kmeans_cosine_1iter(spark, sf_dir):
     return warm(spark, sf_dir, 1, COSINE).labels
 
 
-@query()
-def kmeans_fit_seeded(spark, sf_dir):
-    return KMeans(K, seed=42, max_iter=10).fit(vectors(spark, sf_dir), extra=False).labels
-
-
-@query()
-def kmeans_alpha4(spark, sf_dir):
-    return KMeans(K, seed=42, max_iter=10, alpha=4.0).fit(vectors(spark, sf_dir), extra=False).labels
-
-
 DB = f"""{E}, p AS (SELECT a.id AS i, b.id AS j FROM e a JOIN e b ON a.id < b.id AND list_distance(a.f, b.f) <= {EPSILON}),
 n AS (SELECT i, j FROM p UNION ALL SELECT j, i FROM p),
 core AS (SELECT i AS id FROM n GROUP BY i HAVING count(*) + 1 >= {MIN_POINTS}),
@@ -312,45 +302,6 @@ def near_duplicates(spark, sf_dir):
     return hierarchy.near_duplicates(vectors(spark, sf_dir), 1.08)
 
 
-def projected(spark: SparkSession, sf_dir: str) -> hierarchy.Layers:
-    return hierarchy.ProjectedHierarchy(min_cluster_size=5).fit(vectors(spark, sf_dir))
-
-
-@query()
-def evoc_layers(spark, sf_dir):
-    return projected(spark, sf_dir).table()
-
-
-@query()
-def layer_for_n_clusters(spark, sf_dir):
-    return projected(spark, sf_dir).layer_for_n_clusters(8)
-
-
-@query()
-def dendrogram(spark, sf_dir):
-    return hierarchy.dendrogram(hierarchy.spanning_tree(vectors(spark, sf_dir)))
-
-
-@query()
-def mst_edges(spark, sf_dir):
-    return hierarchy.HDBSCAN().tree(vectors(spark, sf_dir))
-
-
-@query()
-def hdbscan_labels(spark, sf_dir):
-    return hierarchy.HDBSCAN().fit_predict(vectors(spark, sf_dir))
-
-
-@query()
-def hdbscan_glosh(spark, sf_dir):
-    return hierarchy.HDBSCAN().fit(vectors(spark, sf_dir)).select("id", "outlier_score")
-
-
-@query()
-def optics_ordering(spark, sf_dir):
-    return optics.OPTICS(1.2, 4).fit(vectors(spark, sf_dir))
-
-
 @query(f"WITH {KNN} SELECT e.id, coalesce(round(CASE WHEN d <= 1.2 THEN d END, 6), CAST('infinity' AS DOUBLE)) AS core_distance FROM e LEFT JOIN n ON n.i = e.id AND rank = 3")
 def optics_core_distance(spark, sf_dir):
     return rounded(optics.OPTICS(1.2, 4).core_distances(vectors(spark, sf_dir)), "core_distance")
