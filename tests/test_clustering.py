@@ -142,6 +142,13 @@ def test_spanning_trees(spark, blobs, monkeypatch):
         monkeypatch.setattr(hierarchy, "DENSE", dense)
         w = np.sort([r["w"] for r in hierarchy.spanning_tree(p).collect()])
         assert np.allclose(w, kruskal(blobs))
+    r = np.random.default_rng(8)
+    tied = table(spark, r.integers(0, 4, (40, 2)))  # many equal distances
+    trees = []
+    for dense in (10_000, 0):
+        monkeypatch.setattr(hierarchy, "DENSE", dense)
+        trees.append([sorted(map(tuple, hierarchy.HDBSCAN(3, 3).tree(tied).collect())), sorted(map(tuple, hierarchy.spanning_tree(tied).collect()))])
+    assert trees[0] == trees[1] and len(trees[0][0]) == 39
     monkeypatch.setattr(hierarchy, "DENSE", 10_000)
     core = np.sort(D.EUCLIDEAN.block(blobs, blobs), axis=1)[:, 4]
     assert np.allclose(np.sort([r["w"] for r in hierarchy.HDBSCAN(4, 5).tree(p).collect()]), kruskal(blobs, core))
@@ -160,7 +167,7 @@ def test_hdbscan(spark, blobs):
         hierarchy.HDBSCAN(5, 1)
 
 
-def test_layers_and_duplicates(spark, blobs):
+def test_layers_and_duplicates(spark, blobs, monkeypatch):
     p = table(spark, np.concatenate([blobs, blobs[:1]]))
     tree = hierarchy.spanning_tree(p)
     direct = hierarchy.layer_at(p, tree, 1.0, 4)
@@ -175,6 +182,11 @@ def test_layers_and_duplicates(spark, blobs):
     assert counts == sorted(counts, reverse=True) and fitted.layer_for_n_clusters(3).count() == 34
     with pytest.raises(errors.InvalidParameter):
         hierarchy.ProjectedHierarchy(dimensions=2).fit(p)
+    assert fitted.dimensions == 2
+    monkeypatch.setattr(hierarchy, "FOLD", 10)
+    for refused in (lambda: hierarchy.ProjectedHierarchy(dimensions=1).fit(p), lambda: hierarchy.dendrogram(tree), lambda: hierarchy.cut_all(p, tree, [1.0], 4), lambda: fitted.layer_for_n_clusters(3), lambda: hierarchy.HDBSCAN().fit(p)):
+        with pytest.raises(errors.InvalidParameter):
+            refused()
 
 
 def test_optics(spark, blobs):
@@ -227,8 +239,30 @@ def test_pivots_both_ways(spark):
     rows = [(int(a), int(b), float(w)) for a, b, w in zip(r.integers(0, 25, 70), r.integers(0, 25, 70), r.uniform(-1, 1, 70))]
     edges = spark.createDataFrame(rows, "i long, j long, weight double")
     vertices = spark.range(25)
-    order = [x["id"] for x in vertices.select("id", F.xxhash64("id", F.lit(9)).alias("h")).orderBy("h", "id").collect()]
-    assert {x["id"]: x["label"] for x in correlation.pivot(edges, vertices, 9).collect()} == correlation.pivots_in_order(order, rows)
+    order = np.array([x["id"] for x in vertices.select("id", F.xxhash64("id", F.lit(9)).alias("h")).orderBy("h", "id").collect()])
+    i, j, w = (np.array(c) for c in zip(*rows))
+    one = correlation.pivots_in_order(order, *correlation.both_ends(25, i, j, w))
+    assert {x["id"]: x["label"] for x in correlation.pivot(edges, vertices, 9).collect()} == dict(enumerate(one.tolist()))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_correlation_by_task_and_by_joins(spark, monkeypatch, seed):
+    r = np.random.default_rng(seed)
+    rows = [(int(a), int(b), float(w)) for a, b, w in zip(r.integers(0, 30, 160), r.integers(0, 30, 160), r.integers(-3, 4, 160))]
+    edges = spark.createDataFrame(rows, "i long, j long, weight double")
+    fit = correlation.CorrelationClustering(max_iter=3).fit
+    one = fit(edges, 30)
+    monkeypatch.setattr(correlation, "TASK_BYTES", 0)
+    two = fit(edges, 30)
+    assert array(one.labels).tolist() == array(two.labels).tolist() and one.cost == two.cost
+    y = array(one.labels)
+    cost = lambda y: sum(abs(w) for a, b, w in rows if (w > 0 and y[a] != y[b]) or (w < 0 and y[a] == y[b]))
+    assert one.cost == cost(y)
+    for v in range(30):  # no single move gains any more
+        for to in [*set(y.tolist()), 99]:
+            moved = y.copy()
+            moved[v] = to
+            assert cost(moved) >= one.cost - 1e-9 or len(set(y)) != len(set(one.labels.toPandas()["label"]))
 
 
 def test_correlation(spark):
@@ -269,3 +303,96 @@ def test_memory(spark):
     settled = {r["id"]: r["features"] for r in memory.contract(p, c, 20.0, 500, 0.5).collect()}
     assert np.allclose(settled[0], [0.5, 0], atol=1e-3)
     assert memory.loss(p, c, 20.0, 500, 0.5).first()[0] == pytest.approx(0.25 + 0.04, abs=1e-2)
+
+
+def test_saved_models(spark, blobs, tmp_path):
+    from vectorloom.functions.distance import Metric
+    from vectorloom.models import load, save
+    from vectorloom.operators.dbscan import DBSCAN as Dense
+    from vectorloom.streaming.denstream import DenStreamParams
+    from vectorloom.streaming.minibatch import MiniBatchKMeans
+
+    p = table(spark, blobs)
+    fit = KMeans(3, seed=1, max_iter=5, metric=D.EUCLIDEAN).fit(p)
+    save(fit, f"{tmp_path}/kmeans")
+    back = load(spark, f"{tmp_path}/kmeans")
+    assert (back.centroids == fit.centroids).all() and back.metric is D.EUCLIDEAN and back.inertia_trace == fit.inertia_trace and back.iterations == fit.iterations
+    assert array(back.predict(p)).tolist() == array(fit.labels).tolist() == array(back.labels).tolist()
+    layers = hierarchy.ProjectedHierarchy(dimensions=1, min_cluster_size=4, max_layers=4).fit(p)
+    save(layers, f"{tmp_path}/layers")
+    again = load(spark, f"{tmp_path}/layers")
+    assert sorted(map(str, again.table().collect())) == sorted(map(str, layers.table().collect())) and again.dendrogram().count() == layers.dendrogram().count()
+    stream = MiniBatchKMeans(2)
+    stream.partial_fit(p.select(F.col("id").alias("seq"), "features"))
+    graph_fit = correlation.CorrelationClustering().fit(spark.createDataFrame([(0, 1, 1.0)], "i long, j long, weight double"), 3)
+    for name, model in (("stream", stream), ("graph", graph_fit), ("optics", optics.OPTICS(1.0, 3)), ("den", DenStreamParams(1.0, 2)), ("warm", KMeans(1, initial=((1.0, 2.0),))), ("dense", Dense(2.0, 4))):
+        save(model, f"{tmp_path}/{name}")
+        found = load(spark, f"{tmp_path}/{name}")
+        assert type(found) is type(model)
+        if name in ("optics", "den", "warm", "dense"):
+            assert found == model
+    assert (load(spark, f"{tmp_path}/stream").counts == stream.counts).all() and load(spark, f"{tmp_path}/graph").cost == graph_fit.cost
+    own = Metric("own", D.EUCLIDEAN.column)
+    save(Dense(1.0, 2, own), f"{tmp_path}/own")
+    assert load(spark, f"{tmp_path}/own", own).metric is own
+    with pytest.raises(errors.InvalidParameter):
+        load(spark, f"{tmp_path}/own")
+    with pytest.raises(errors.InvalidParameter):
+        save(object(), f"{tmp_path}/nothing")
+
+
+def test_scores_check_their_input(spark, blobs):
+    p, y = table(spark, blobs), labelled(spark, [0] * 16 + [1] * 17)
+    bad = p.withColumn("features", F.when(F.col("id") == 3, F.array(F.lit(float("nan")), F.lit(1.0))).otherwise(F.col("features")))
+    ragged = p.withColumn("features", F.when(F.col("id") == 3, F.array(F.lit(1.0))).otherwise(F.col("features")))
+    scores = [evaluation.silhouette, evaluation.silhouette_noise_aware, evaluation.calinski_harabasz, evaluation.davies_bouldin, lambda p, y: evaluation.silhouette_sampled(p, y, 5), lambda p, y: evaluation.disco(p, y, 3)]
+    for score in scores:
+        with pytest.raises(errors.NonFinite):
+            score(bad, y)
+        with pytest.raises(errors.DimensionMismatch):
+            score(ragged, y)
+        for labels in (y.where("id > 0"), y.unionAll(labelled(spark, [1]).withColumn("id", F.lit(99).cast("long"))), y.withColumn("label", F.when(F.col("id") > 3, F.col("label")))):
+            with pytest.raises(errors.InvalidParameter):
+                score(p, labels)
+    for score in (evaluation.adjusted_rand_index, evaluation.normalized_mutual_information, evaluation.purity):
+        with pytest.raises(errors.InvalidParameter):
+            score(y, y.where("id <> 5"))
+
+
+def test_seeding_writes_least_distances(spark, blobs, monkeypatch):
+    from vectorloom.operators import kmeans
+
+    p = table(spark, blobs)
+    whole = seed_centroids(p, 9, seed=3)
+    monkeypatch.setattr(kmeans, "KEEP", 2)
+    assert (seed_centroids(p, 9, seed=3) == whole).all()
+
+
+def test_inertia_of_any_metric(spark, blobs):
+    from vectorloom.functions.distance import Metric
+
+    p, start = table(spark, blobs), tuple(map(tuple, blobs[:3].tolist()))
+    traces = [KMeans(3, m, max_iter=3, tol=0.0, initial=start).fit(p).inertia_trace for m in (D.SQUARED_EUCLIDEAN, Metric("column", D.SQUARED_EUCLIDEAN.column))]
+    assert np.allclose(*traces) and len(traces[0]) == 3
+
+
+def test_staging_needs_a_shared_folder(spark, monkeypatch):
+    from vectorloom.plans import staging
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(errors.InvalidParameter):
+        staging.shared_dir(Session())
+    kept = staging.stage(spark.range(3), "test")
+    fs, path = staging._on_disk(spark, kept._staged_at)
+    assert kept.count() == 3 and fs.exists(path) and staging.own_dir(spark) in kept._staged_at
+    staging.unstage(kept)
+    assert not fs.exists(path)
