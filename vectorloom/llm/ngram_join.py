@@ -46,6 +46,8 @@ SHINGLE, PERCENT = 4, 85
 FLUSH, FREQUENT = 400_000, 32
 MOST = 2**31 - 1
 RANGES = 32
+#: Bytes of text whose shingles are counted in one task.
+PART_BYTES = 10_000_000
 #: Documents of one prefix shingle that are compared in one go.
 SPLIT = 4096
 ROWS = "to int, kind int, blob binary"
@@ -364,7 +366,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def join(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     docs = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = parts_for(docs, "text")
+    n = parts_for(docs, "text", PART_BYTES)
     known = stage(sizes(docs, shingle), "jaccard-sizes")
     copies = known.where("n_shingles > 0").groupBy(*SET, "n_shingles").agg(F.min("doc_id").alias("class_id"))
     classes = copies.where("class_id is not null").select(F.col("class_id").alias("doc_id"), "n_shingles").withColumn("to", grams.part_column("doc_id", n))
