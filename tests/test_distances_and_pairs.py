@@ -35,7 +35,7 @@ def test_columns_and_blocks_agree(spark, cloud):
 
 
 def test_range_plans_agree(spark, cloud, monkeypatch):
-    monkeypatch.setattr(pairs, "BLOCK", 16)
+    monkeypatch.setattr(pairs, "TILE", 16)
     p = table(spark, cloud)
     for m, eps in ((D.EUCLIDEAN, 0.9), (D.SQUARED_EUCLIDEAN, 0.5)):
         d = m.block(cloud, cloud)
@@ -50,7 +50,7 @@ def test_range_plans_agree(spark, cloud, monkeypatch):
 
 
 def test_nearest_others(spark, cloud, monkeypatch):
-    monkeypatch.setattr(pairs, "BLOCK", 25)
+    monkeypatch.setattr(pairs, "TILE", 25)
     d = D.EUCLIDEAN.block(cloud, cloud)
     found = {}
     for r in pairs.knn_join(table(spark, cloud), 4).collect():

@@ -87,7 +87,7 @@ def _boruvka(table: DataFrame, metric: Metric, weigh) -> DataFrame:
             c, u, v, w = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0))
             return {"component": c, "u": u, "v": v, "w": w}
 
-        ways = in_blocks(table.join(labels, "id"), kernel, "component long, u long, v long, w double", 2048)
+        ways = in_blocks(table.join(labels, "id"), kernel, "component long, u long, v long, w double", 1024)
         best = ways.groupBy("component").agg(F.min(F.struct("w", "u", "v")).alias("e")).select("e.*").distinct().select("u", "v", "w")
         chosen = stage(best if chosen is None else chosen.unionAll(best).distinct(), "mst-edges")
         found = connected_components(chosen, "u", "v")

@@ -1,14 +1,17 @@
 """Joins by distance: all pairs, within a radius, k nearest, nearest centroid.
 
-Pairs of distant blocks are independent, so points are dealt into blocks of ``BLOCK`` and every pair
-of blocks is one task's numpy kernel; what it returns is filtered or aggregated there. No side is
-broadcast. The work of all pairs grows with the square of the points whatever the plan; where a metric
-bounds coordinates, the grid or projection joins look only at neighbouring cells.
+Pairs of distant groups are independent, so points are dealt into groups and every pair of groups is
+one task, which goes over it in tiles of ``TILE`` points with a numpy kernel; what a kernel returns is
+filtered or aggregated there. There are as many groups as give each core a few tasks, and more where
+two groups would not fit into ``GROUP_BYTES``; a point is sent to as many tasks as there are groups. No
+side is broadcast. The work of all pairs grows with the square of the points whatever the plan; where a
+metric bounds coordinates, the grid or projection joins look only at neighbouring cells.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +22,9 @@ from ..errors import InvalidParameter
 from ..functions import vectors as V
 from ..functions.distance import EUCLIDEAN, Metric
 
-BLOCK = 512
+TILE = 512
+#: Tasks for each core, and what a group of points may take.
+TASKS, GROUP_BYTES = 3, 64_000_000
 #: Most dimensions for which the 3 ** d neighbouring cells are joined.
 GRID_DIMENSIONS = 5
 #: The most values of centroids, which are sent to every task; more are refused.
@@ -33,20 +38,32 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.asarray(flat.flatten(), np.float64).reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
-def in_blocks(p: DataFrame, kernel: Callable[[pa.Table, pa.Table, bool], dict[str, np.ndarray]], schema: str, block: int = BLOCK) -> DataFrame:
-    """kernel(left, right, same) over every unordered pair of blocks of a table with id and features."""
-    blocks = max(1, -(-p.count() // block))
-    placed = p.withColumn("__b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    met = placed.withColumn("__o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+def groups_for(n: int, d: int, cores: int, tile: int) -> int:
+    """In how many groups points of d values are dealt: their pairs are the tasks."""
+    for_cores = min(math.ceil(math.sqrt(2 * TASKS * cores)), -(-n // (tile // 2)))
+    return max(1, for_cores, -(-n * d * 8 // GROUP_BYTES))
+
+
+def in_blocks(p: DataFrame, kernel: Callable[[pa.Table, pa.Table, bool], dict[str, np.ndarray]], schema: str, tile: int | None = None) -> DataFrame:
+    """kernel(left, right, same) over every unordered pair of tiles of a table with id and features."""
+    tile = tile or TILE
+    shape = p.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("d")).first()
+    groups = groups_for(shape["n"], shape["d"] or 1, p.sparkSession.sparkContext.defaultParallelism, tile)
+    placed = p.withColumn("__b", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
+    met = placed.withColumn("__o", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     met = met.withColumns({"__i": F.least("__b", "__o"), "__j": F.greatest("__b", "__o")})
 
-    def run(table):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
         i, j = table["__i"][0].as_py(), table["__j"][0].as_py()
         b = table["__b"].to_numpy()
         plain = table.drop_columns(["__b", "__o", "__i", "__j"])
-        left = plain.filter(pa.array(b == i))
-        out = kernel(left, left if i == j else plain.filter(pa.array(b == j)), i == j)
-        return pa.table({k: pa.array(v) for k, v in out.items()})
+        left = plain.filter(pa.array(b == i)).combine_chunks()
+        right = left if i == j else plain.filter(pa.array(b == j)).combine_chunks()
+        for x in range(0, left.num_rows, tile):
+            for y in range(x if i == j else 0, right.num_rows, tile):
+                out = kernel(left.slice(x, tile), right.slice(y, tile), i == j and x == y)
+                yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in out.items()})
 
     return met.groupBy("__i", "__j").applyInArrow(run, schema)
 
@@ -136,10 +153,7 @@ def knn_join(p: DataFrame, k: int, metric: Metric = EUCLIDEAN, include_self: boo
                 d = metric.block(matrix(one["features"]), matrix(two["features"]))
                 if same and not include_self:
                     d[a[:, None] == b[None, :]] = np.inf
-                for row in range(len(a)):  # a block's own k nearest, ties by id
-                    best = np.lexsort((b, d[row]))[:k]
-                    best = best[np.isfinite(d[row][best])]
-                    out.append((np.full(len(best), a[row]), b[best], d[row][best]))
+                out.append(nearest_few(a, b, d, k))
             i, j, d = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
             return {"i": i, "j": j, "distance": d}
 
@@ -148,6 +162,18 @@ def knn_join(p: DataFrame, k: int, metric: Metric = EUCLIDEAN, include_self: boo
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
+def nearest_few(a: np.ndarray, b: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a tile's distances, each row's k smallest finite ones, ties by id."""
+    k = min(k, len(b))
+    limit = np.partition(d, k - 1, axis=1)[:, k - 1]
+    row, column = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+    order = np.lexsort((b[column], d[row, column], row))
+    row, column = row[order], column[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    row, column = row[rank < k], column[rank < k]
+    return a[row], b[column], d[row, column]
+
+
 def core_distances(p: DataFrame, min_samples: int, metric: Metric = EUCLIDEAN) -> DataFrame:
     """(id, core): the distance of each point's min_samples-th nearest other, of the farthest one if there are fewer."""
     near = knn_join(p, max(1, min_samples), metric)
