@@ -281,6 +281,32 @@ def test_secret_scan(spark):
     assert secret_scan.report(documents(spark, [])).count() == 0
 
 
+def test_secret_parts_and_short_keys(spark):
+    rows = [(1, "see /home/user/backups/kTq8ZpL2vX9mRb4WcYh7/readme-and-more-files-here/index"), (2, "x Zk9Qw3Xv7Rt2Lp8Bn y"), (3, "get_user_name/session_index/configuration/international_representation"), (4, "uncharacteristically Donaudampfschifffahrtsgesellschaft verantwortungsbewusst 4111111111111111 chlicherpfpfkeit")]
+    found = {r["doc_id"]: r["spans"] for r in secret_scan.report(documents(spark, rows)).collect()}
+    assert found == {1: "random:23:43", 2: "random:2:19", 3: "", 4: ""}
+
+
+def brute_mean_ratio(model, run):
+    at = [secret_scan.SYMBOLS.index(c) for c in run]
+    return sum(model.ratios[a * secret_scan.K + b] for a, b in zip(at, at[1:])) / max(1, len(at) - 1)
+
+
+def test_secret_scores_against_brute_force(spark):
+    model = secret_scan.train(secret_scan.labelled_samples(spark, 1000))
+    r = random.Random(3)
+    runs = ["".join(r.choice(secret_scan.SYMBOLS[: r.choice([26, 62, 67])]) for _ in range(r.randint(16, 60))) for _ in range(200)] + ["get_user_name_index_of", "entwicklungsgeschichte"]
+    runs = [x.strip("/_=-") or "a" * 16 for x in runs]
+    rows = [(i, f". {x} .") for i, x in enumerate(runs)]
+    found = {x["doc_id"]: x["__whole"] for x in secret_scan.with_spans(documents(spark, rows), model, keep=("__whole",)).collect()}
+    for i, run in enumerate(runs):
+        mixed = len(run) >= secret_scan.LONG or (re.search("[0-9]", run) and re.search("[A-Za-z]", run))
+        likely = len(run) >= secret_scan.LEAST and mixed and brute_mean_ratio(model, run) > (model.short if len(run) < secret_scan.LONG else model.threshold)
+        base = brute_secrets(f". {run} .")
+        if not base:
+            assert [(s["start"], s["end"]) for s in found[i]] == ([(2, 2 + len(run))] if likely else []), run
+
+
 def test_secret_models_need_both_classes(spark):
     with pytest.raises(ValueError):
         secret_scan.train(secret_scan.labelled_samples(spark, 20).where("is_random"))

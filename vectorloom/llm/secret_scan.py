@@ -3,15 +3,19 @@
 Three patterns give the base spans. On top of them, each unbroken run of ``LEAST`` or more key
 characters is scored by the mean, over its adjacent character pairs, of the log-likelihood ratio
 between a Markov model of random strings and one of ordinary identifiers. Both models are counts of
-character pairs over labelled samples; the threshold lies between the classes' scores on them. A run
-above it that overlaps no base span becomes a span of kind ``random``.
+character pairs over labelled samples; the threshold lies between the classes' scores on them, and as
+short runs score less surely, runs below ``LONG`` have a threshold of their own, from samples cut to
+such lengths, and need a letter and a digit: numbers and long words are too like random strings there. A run above its threshold that overlaps no base span becomes a span of kind ``random``.
+So does a part of ``LEAST`` or more letters and digits between separators, as in a path, whose run as a
+whole is none.
 
 Everything is a DataFrame expression over one row at a time: no shuffle, no Python on executors. To
 the driver come only the pair counts, at most two for each pair of the 67 symbols.
 
 Positions are code points, the end exclusive. Defined results: a null text counts as empty; texts
-without matches have no spans; repeated rows get a row each; an empty table gives no rows; further
-columns are ignored. A sample with one class alone is refused with ValueError.
+without matches have no spans; texts of any length are scanned whole; repeated rows get a row each; an
+empty table gives no rows; further columns are ignored. A sample with one class alone is refused with
+ValueError.
 """
 
 from __future__ import annotations
@@ -31,8 +35,10 @@ PATTERNS = {
     "access": r"AKIA[A-Z0-9]{16,}",
     "hex": r"(?<![0-9a-f])[0-9a-f]{24,}",
 }
-LEAST_VALUE, LEAST = 6, 20
+LEAST_VALUE, LEAST, LONG = 6, 16, 20
 RUN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}"
+#: A part of a longer run: letters and digits with a separator at one end at least.
+PART = rf"(?<=[/_=-])[A-Za-z0-9+]{{{LEAST},}}|(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+]{{{LEAST},}}+(?=[/_=-])"
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 K = len(SYMBOLS)
 SAMPLES = 4000
@@ -51,10 +57,11 @@ SPAN = "struct<start:int,rank:int,end:int>"
 
 @dataclass(frozen=True)
 class Model:
-    """Log-likelihood ratios of character pairs, row by row over SYMBOLS, and the least mean of a secret."""
+    """Log-likelihood ratios of character pairs, row by row over SYMBOLS, and the least means of long and of short secrets."""
 
     ratios: tuple[float, ...]
     threshold: float
+    short: float
 
 
 def constant(values, kind: str) -> Column:
@@ -109,9 +116,13 @@ def train(samples: DataFrame) -> Model:
         for b in SYMBOLS:
             logs = [math.log((counts.get((y, a + b), 0) + 0.5) / (totals[y] + 0.5 * K)) for y in (True, False)]
             ratios.append(round(logs[0] - logs[1], 5))
-    scored = known.where(F.char_length("token") >= LEAST).select("is_random", mean_ratio(F.col("token"), tuple(ratios)).alias("score"))
-    low, high = scored.agg(F.percentile(F.when(~F.col("is_random"), F.col("score")), F.lit(0.999)), F.percentile(F.when(F.col("is_random"), F.col("score")), F.lit(0.01))).first()
-    return Model(tuple(ratios), ((low or 0.0) + (high or 0.0)) / 2)
+    cut = F.substring("token", F.lit(1), LEAST + F.pmod(F.xxhash64("token"), F.lit(LONG - LEAST)).cast("int"))
+    score = lambda c: mean_ratio(c, tuple(ratios))
+    scored = known.where(F.char_length("token") >= LONG).select("is_random", score(F.col("token")).alias("long"), score(cut).alias("short"))
+    between = [F.percentile(F.when(F.col("is_random") == y, F.col(c)), F.lit(q)) for c in ("long", "short") for y, q in ((False, 0.999), (True, 0.01))]
+    low, high, low_short, high_short = (v or 0.0 for v in scored.agg(*[b.alias(f"b{k}") for k, b in enumerate(between)]).first())
+    # a short run has to be surer than any identifier of the sample
+    return Model(tuple(ratios), (low + high) / 2, max((low_short + high_short) / 2, low_short))
 
 
 def placed(pieces: Column, runs: Column, rank: int, keep=None) -> Column:
@@ -128,11 +139,11 @@ def placed(pieces: Column, runs: Column, rank: int, keep=None) -> Column:
     return F.aggregate(indices, zero, step, lambda s: s["out"])
 
 
-def with_spans(documents: DataFrame, model: Model) -> DataFrame:
+def with_spans(documents: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
     """The input's columns and __base and __added, arrays of (start, rank of kind, end)."""
     none = F.array().cast("array<string>")
     df = documents.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    finds = {**PATTERNS, "random": RUN}
+    finds = {**PATTERNS, "random": RUN, "part": PART}
     for kind, pattern in finds.items():
         met = F.col("__text").rlike(pattern)
         group = {"assign": ((0, ""), (2, "v"))}.get(kind, ((0, ""),))
@@ -145,11 +156,15 @@ def with_spans(documents: DataFrame, model: Model) -> DataFrame:
     found = {k: placed(F.col(f"__pieces_{k}"), F.col(f"__runs_{k}"), r, long_value if k == "assign" else None) for r, k in enumerate(BASE)}
     df = df.withColumns({f"__{k}": c for k, c in found.items()})
     df = df.withColumn("__base", F.array_sort(F.concat(*[F.col(f"__{k}") for k in BASE])))
-    likely = lambda i: mean_ratio(F.get(F.col("__runs_random"), i), model.ratios) > model.threshold
-    df = df.withColumn("__new", placed(F.col("__pieces_random"), F.col("__runs_random"), len(BASE), likely))
-    apart = lambda x: ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    df = df.withColumn("__added", F.filter("__new", apart))
-    return df.select(*[F.col(f"`{c}`") for c in documents.columns], "__base", "__added", *[F.size(f"__{k}").cast("bigint").alias(f"__n_{k}") for k in BASE])
+    for kind in ("random", "part"):
+        run = lambda i, k=kind: F.get(F.col(f"__runs_{k}"), i)
+        mixed = lambda i, run=run: (F.char_length(run(i)) >= LONG) | (run(i).rlike("[0-9]") & run(i).rlike("[A-Za-z]"))
+        likely = lambda i, run=run, mixed=mixed: mixed(i) & (mean_ratio(run(i), model.ratios) > F.when(F.char_length(run(i)) < LONG, model.short).otherwise(model.threshold))
+        df = df.withColumn(f"__{kind}", placed(F.col(f"__pieces_{kind}"), F.col(f"__runs_{kind}"), len(BASE), likely))
+    apart = lambda spans: lambda x: ~F.exists(spans, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    df = df.withColumn("__whole", F.filter("__random", apart("__base")))
+    df = df.withColumn("__added", F.concat("__whole", F.filter(F.filter("__part", apart("__base")), apart("__random"))))
+    return df.select(*[F.col(f"`{c}`") for c in documents.columns], "__base", "__added", *keep, *[F.size(f"__{k}").cast("bigint").alias(f"__n_{k}") for k in BASE])
 
 
 def listed(spans: Column) -> Column:
