@@ -49,6 +49,26 @@ def test_range_plans_agree(spark, cloud, monkeypatch):
         pairs.range_join(p, 0.0)
 
 
+def test_range_plan_chosen_by_spread(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    wide, narrow = r.uniform(-100, 100, (300, 8)), r.normal(size=(300, 8))
+    calls = []
+    for name in ("pairwise", "_projection_join", "_grid_join"):
+        whole = getattr(pairs, name)
+        monkeypatch.setattr(pairs, name, lambda *a, name=name, whole=whole: calls.append(name) or whole(*a))
+    for x, epsilon, plan in ((wide, 8.0, "_projection_join"), (narrow, 2.0, "pairwise"), (wide[:, :2], 3.0, "_grid_join")):
+        p = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, features array<double>")
+        calls.clear()
+        found = sorted((e["i"], e["j"]) for e in pairs.range_join(p, epsilon).collect())
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        assert calls == [plan] and found == [(i, j) for i in range(300) for j in range(i + 1, 300) if d[i, j] <= epsilon]
+
+
+def test_groups_of_points():
+    assert pairs.groups_for(2000, 64, 8, 512) == 7 and pairs.groups_for(10, 4, 8, 512) == 1 and pairs.groups_for(1_000_000, 64, 8, 512) == 8
+    assert pairs.groups_for(1_000_000, 64, 4000, 512) == 155
+
+
 def test_nearest_others(spark, cloud, monkeypatch):
     monkeypatch.setattr(pairs, "TILE", 25)
     d = D.EUCLIDEAN.block(cloud, cloud)

@@ -22,7 +22,7 @@ from ..functions.distance import EUCLIDEAN, SQUARED_EUCLIDEAN, Metric
 from ..plans.staging import stage
 from ..sources.points import validated
 from .graph import connected_components, rank_components, relabel
-from .pairs import core_distances, in_blocks, matrix, range_join
+from .pairs import core_distances, in_blocks, matrix, projected, range_join
 
 DENSE, FOLD = 16_384, 20_000_000
 EDGES = "u long, v long, w double"
@@ -503,7 +503,7 @@ class ProjectedHierarchy:
             raise InvalidParameter("dimensions", f"has to be from 1 to {shape.d - 1}")
         if not self.metric.nonnegative:
             raise InvalidParameter("metric", "may be negative, which has no root")
-        return p.select("id", V.project(F.col("features"), V.projection_matrix(shape.d, self.dimensions, self.seed)).alias("features"))
+        return projected(p, V.projection_matrix(shape.d, self.dimensions, self.seed))
 
     def fit(self, p: DataFrame) -> Layers:
         projected = stage(self.project(p), "layers-points")

@@ -27,6 +27,8 @@ TILE = 512
 TASKS, GROUP_BYTES = 3, 64_000_000
 #: Most dimensions for which the 3 ** d neighbouring cells are joined.
 GRID_DIMENSIONS = 5
+#: Random axes that tell points apart, those that cells are cut along, and by how much these have to thin the pairs out.
+AXES, CELL_AXES, PRUNES = 12, 2, 20
 #: The most values of centroids, which are sent to every task; more are refused.
 BROADCAST_VALUES = 4_000_000
 
@@ -71,8 +73,12 @@ def in_blocks(p: DataFrame, kernel: Callable[[pa.Table, pa.Table, bool], dict[st
 def pairwise(p: DataFrame, metric: Metric = EUCLIDEAN, within: float | None = None) -> DataFrame:
     """(i, j, distance) of all pairs i < j, or of those at most ``within`` apart."""
     if metric.block is None:
-        a, b = p.select(F.col("id").alias("i"), F.col("features").alias("x")), p.select(F.col("id").alias("j"), F.col("features").alias("y"))
-        out = a.join(b, F.col("i") < F.col("j")).select("i", "j", metric.column(F.col("x"), F.col("y")).alias("distance"))
+        # each ordered pair of groups is joined by its numbers, so that every core has a part
+        groups = groups_for(p.count(), 1, p.sparkSession.sparkContext.defaultParallelism, TILE)
+        own, every = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+        a = p.select(F.col("id").alias("i"), F.col("features").alias("x"), own.alias("gi"), every.alias("gj"))
+        b = p.select(F.col("id").alias("j"), F.col("features").alias("y"), own.alias("gj"), every.alias("gi"))
+        out = a.join(b, ["gi", "gj"]).where(F.col("i") < F.col("j")).select("i", "j", metric.column(F.col("x"), F.col("y")).alias("distance"))
         return out if within is None else out.where(F.col("distance") <= within)
 
     def kernel(left, right, same):
@@ -87,47 +93,76 @@ def pairwise(p: DataFrame, metric: Metric = EUCLIDEAN, within: float | None = No
     return in_blocks(p.select("id", "features"), kernel, "i long, j long, distance double")
 
 
+def projected(p: DataFrame, axes: np.ndarray) -> DataFrame:
+    """(id, features): the points' products with each row of a fixed matrix, which goes to every task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(matrix(batch.column(1)) @ axes.T), pa.list_(pa.float64()))], ["id", "features"])
+
+    return p.select("id", "features").mapInArrow(run, "id long, features array<double>")
+
+
 def range_join(p: DataFrame, epsilon: float, metric: Metric = EUCLIDEAN, plan: str = "auto", dimensions: int | None = None, seed: int = 42) -> DataFrame:
     """(i, j, distance) of pairs i < j at most epsilon apart, the bound included.
 
-    plan: "block" for any metric; "grid" or "projection" where the metric bounds coordinates; "auto"
-    takes the grid for few dimensions, if ``dimensions`` says so, and else blocks.
+    plan: "block" for any metric; "grid" or "projection" where the metric bounds coordinates. "auto" takes
+    the grid for few dimensions; beyond, it measures how far the points spread along random axes, and
+    takes the projection if its cells leave a pair in ``PRUNES`` or fewer to be looked at, and else blocks.
     """
     if epsilon <= 0:
         raise InvalidParameter("epsilon", "has to be positive")
-    if plan == "auto":
-        plan = "grid" if metric.bound and dimensions is not None and dimensions <= GRID_DIMENSIONS else "block"
-    if plan == "block":
-        return pairwise(p, metric, epsilon)
-    if metric.bound is None:
+    if plan not in ("auto", "block", "grid", "projection"):
+        raise InvalidParameter("plan", "is auto, block, grid or projection")
+    if metric.bound is None and plan in ("grid", "projection"):
         raise InvalidParameter("plan", f"{metric.name} bounds no coordinate, so only blocks are exact")
+    if plan == "block" or metric.bound is None:
+        return pairwise(p, metric, epsilon)
     width = metric.bound(epsilon) * (1 + 1e-9)
-    if plan == "grid":
-        return _cell_join(p.withColumn("key", F.col("features")), metric, epsilon, width, dimensions)
-    if plan == "projection":
-        d = dimensions or p.select(F.size("features")).first()[0]
-        axes = V.projection_matrix(d, 12, seed)
-        keyed = p.withColumn("bands", V.project(F.col("features"), axes)).withColumn("key", F.slice("bands", 1, 1))
-        return _cell_join(keyed, metric, epsilon, width, 1)
-    raise InvalidParameter("plan", "is auto, block, grid or projection")
-
-
-def _cell_join(p: DataFrame, metric: Metric, epsilon: float, width: float, dimensions: int | None) -> DataFrame:
-    """Join each point's cell with the cells around each other point's."""
-    bands = "bands" in p.columns
-    d = dimensions or p.select(F.size("key")).first()[0]
-    here = p.select(F.col("id").alias("i"), F.col("features").alias("x"), *([F.col("bands").alias("u")] if bands else []), V.grid_cell(F.col("key"), width).alias("cell"))
-    there = p.select(F.col("id").alias("j"), F.col("features").alias("y"), *([F.col("bands").alias("v")] if bands else []), V.grid_cell(F.col("key"), width).alias("cell"))
-    around = there
+    d = dimensions or p.select(F.size("features")).first()
+    d = d if isinstance(d, int) else (d[0] if d is not None else 1)
+    if plan == "grid" or (plan == "auto" and d <= GRID_DIMENSIONS):
+        return _grid_join(p, metric, epsilon, width, d)
+    bands = projected(p, V.projection_matrix(d, AXES, seed)).select("id", F.col("features").alias("bands"))
+    ends = bands.agg(*[f(F.get("bands", F.lit(k))).alias(f"{n}{k}") for k in range(AXES) for n, f in (("low", F.min), ("high", F.max))]).first()
+    cells = [((ends[f"high{k}"] or 0.0) - (ends[f"low{k}"] or 0.0)) / width for k in range(AXES)]
+    best = sorted(range(AXES), key=lambda k: (-cells[k], k))[:CELL_AXES]
+    if plan == "auto" and math.prod(max(1.0, cells[k] / 3) for k in best) < PRUNES:
+        return pairwise(p, metric, epsilon)
+    return _projection_join(p, bands, best, metric, epsilon, width)
+
+
+def _around(p: DataFrame, cell: str, d: int) -> DataFrame:
+    """p once for each of the 3 ** d cells around each row's own."""
     for k in range(d):
-        around = around.withColumn(f"s{k}", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
-    around = around.withColumn("cell", F.array(*[F.get("cell", F.lit(k)) + F.col(f"s{k}") for k in range(d)])).drop(*[f"s{k}" for k in range(d)])
-    met = here.join(around, "cell").where(F.col("i") < F.col("j"))
-    if bands:
-        met = met.where(~F.exists(F.zip_with("u", "v", lambda a, b: F.abs(a - b)), lambda g: g > width))
+        p = p.withColumn(f"s{k}", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
+    return p.withColumn(cell, F.array(*[F.get(cell, F.lit(k)) + F.col(f"s{k}") for k in range(d)])).drop(*[f"s{k}" for k in range(d)])
+
+
+def _near(p: DataFrame, pairs: DataFrame, metric: Metric, epsilon: float) -> DataFrame:
+    """Those of the pairs (i, j) that are at most epsilon apart, by their points' coordinates."""
+    x, y = p.select(F.col("id").alias("i"), F.col("features").alias("x")), p.select(F.col("id").alias("j"), F.col("features").alias("y"))
+    return pairs.join(x, "i").join(y, "j").select("i", "j", metric.column(F.col("x"), F.col("y")).alias("distance")).where(F.col("distance") <= epsilon)
+
+
+def _grid_join(p: DataFrame, metric: Metric, epsilon: float, width: float, d: int) -> DataFrame:
+    """Join each point's cell with the cells around each other point's; with few coordinates these go along."""
+    cell = V.grid_cell(F.col("features"), width).alias("cell")
+    here, there = p.select(F.col("id").alias("i"), F.col("features").alias("x"), cell), p.select(F.col("id").alias("j"), F.col("features").alias("y"), cell)
+    met = here.join(_around(there, "cell", d), "cell").where(F.col("i") < F.col("j"))
     return met.select("i", "j", metric.column(F.col("x"), F.col("y")).alias("distance")).where(F.col("distance") <= epsilon)
 
 
+def _projection_join(p: DataFrame, bands: DataFrame, best: list[int], metric: Metric, epsilon: float, width: float) -> DataFrame:
+    """Join cells along the axes of widest spread, drop pairs that any axis tells apart, and fetch the vectors of the others."""
+    key = V.grid_cell(F.array(*[F.get("bands", F.lit(k)) for k in best]), width).alias("cell")
+    here, there = bands.select(F.col("id").alias("i"), F.col("bands").alias("u"), key), bands.select(F.col("id").alias("j"), F.col("bands").alias("v"), key)
+    met = here.join(_around(there, "cell", len(best)), "cell").where(F.col("i") < F.col("j"))
+    met = met.where(~F.exists(F.zip_with("u", "v", lambda a, b: F.abs(a - b)), lambda g: g > width)).select("i", "j")
+    return _near(p, met, metric, epsilon)
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """Every edge from either end."""
     return edges.unionAll(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), *[c for c in edges.columns if c not in ("i", "j")]))
