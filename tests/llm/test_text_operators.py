@@ -351,6 +351,59 @@ def test_packing(spark):
     assert packing.pack(documents(spark, []), vocabulary, ranks).count() == 0
 
 
+SCRIPTS = [
+    "Ünïcödé ŝtrïngs, naïve café — “quotes” … and ﬁne ligatures",
+    "日本語の文章です。改行\nもあります。 한국어 문장입니다. 中文字符测试",
+    "Привет, мир! Γειά σου Κόσμε. שלום עולם مرحبا بالعالم हिन्दी वाक्य ไทย",
+    "emoji 👩‍👩‍👧‍👦 🏳️‍🌈 👍🏽 \u200b\u00a0\u2003 zero\ufeffwidth",
+    "  leading\t\ttabs\r\nand   runs \n\n\n of space  ",
+    "it's we'll they'd I'm you've IT'S 1234567890 3.14159 1,000,000 $%^&*()[]{}<>",
+    "x" * 399 + " " + "y" * 401 + " " * 500 + "z",
+    "<|endoftext|> <|pad|> </s> <s>",
+    "\x00\x01\x7f\x85 control",
+    "a\u0301e\u0308 combining \U0001d54f\U00010348",
+]
+
+
+def test_ids_are_the_vocabulary_files(spark):
+    """Every text of the smallest table, and texts in other scripts, by the faster encoder and by the library alone."""
+    tokenizers = pytest.importorskip("tokenizers")
+    files = packing.default_files()
+    alone, both = tokenizers.Tokenizer.from_file(files[0]), packing.Encoder(*files)
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + SCRIPTS
+    r = random.Random(12)
+    texts += ["".join(chr(r.choice([r.randrange(32, 127), r.randrange(160, 0xD7FF), r.randrange(0xE000, 0x110000)])) for _ in range(80)) for _ in range(200)]
+    assert len(texts) > 400
+    for text in texts:
+        assert both.ids(text or "").tolist() == alone.encode(text or "", add_special_tokens=False).ids, text
+
+
+def brute_place(lengths, capacity):
+    """Sum of squares by trying every open sequence."""
+    gaps, where = [], [0] * len(lengths)
+    for k in sorted(range(len(lengths)), key=lambda k: (-lengths[k], k)):
+        def squares(after):
+            return sum(c * c for g, c in Counter(after).items() if g)
+        ways = [(squares(gaps[:b] + [g - lengths[k]] + gaps[b + 1 :]), g) for b, g in enumerate(gaps) if g >= lengths[k] and lengths[k] < capacity]
+        if ways:
+            gap = min(ways)[1]
+            b = max(b for b, g in enumerate(gaps) if g == gap)
+            gaps[b] -= lengths[k]
+        else:
+            gaps.append(capacity - lengths[k])
+            b = len(gaps) - 1
+        where[k] = b
+    return gaps
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_placement_is_by_sum_of_squares(seed):
+    lengths = np.random.default_rng(seed).integers(1, 41, 80)
+    bins, _ = packing.place(lengths, 40)
+    filled = np.bincount(bins, weights=lengths)
+    assert sorted(40 - filled) == sorted(brute_place(lengths.tolist(), 40))
+
+
 def best_fit(lengths, capacity):
     """Best fit decreasing, for comparison."""
     gaps = []

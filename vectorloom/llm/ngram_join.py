@@ -368,7 +368,7 @@ def join(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -
     docs = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = parts_for(docs, "text", PART_BYTES)
     known = stage(sizes(docs, shingle), "jaccard-sizes")
-    copies = known.where("n_shingles > 0").groupBy(*SET, "n_shingles").agg(F.min("doc_id").alias("class_id"))
+    copies = known.where("n_shingles > 0").groupBy(*SET, "n_shingles").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("members"))
     classes = copies.where("class_id is not null").select(F.col("class_id").alias("doc_id"), "n_shingles").withColumn("to", grams.part_column("doc_id", n))
 
     told = emit_sets(docs.where("doc_id is not null"), n, shingle).repartition(n, "to").groupBy("to").applyInArrow(lambda t: count_bucket(t, n), ROWS)
@@ -385,7 +385,10 @@ def join(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -
     every = found.select(F.col("id").alias("x"), F.col("component").alias("y")).unionByName(more.where("linked").select("x", "y"))
     final = stage(connected_components(every, "x", "y", one_task=0), "jaccard-components")
     unstage(sets, tried, found, more)
-    named = copies.join(final.select(F.col("id").alias("class_id"), "component"), "class_id", "left").select(*SET, "n_shingles", F.coalesce("component", "class_id").alias("component_id"))
+    # only of documents that aren't alone; written, so that its size is known, by which Spark chooses the join
+    named = copies.join(final.select(F.col("id").alias("class_id"), "component"), "class_id", "left").withColumn("component_id", F.coalesce("component", "class_id"))
+    named = stage(named.where("members > 1 or component_id <> class_id").select(*SET, "n_shingles", "component_id"), "jaccard-named")
+    unstage(final)
     with_sets = known.join(named, [*SET, "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return with_sets.select("doc_id", "n_shingles", component.alias("component_id"))
