@@ -42,7 +42,7 @@ FEATURES, ALIKE, COPIES = 1500, 0.6, 40
 #: Of the L1 penalty, and of one gradient step.
 SPARSE, RATE = 1e-4, 1.0
 UNKNOWN = "unknown"
-#: Slots that words and features are looked up by.
+#: Slots that features are looked up by.
 SLOTS = 16384
 WORDS = r"(?i)licen[cs]|copyright|warrant|redistribut|permission|public domain|all rights|apache|mozilla|\bgnu\b|\bgpl|\bcc[ -]by|creative commons|spdx"
 #: Lower-case strings of which every match of ``WORDS`` holds one.
