@@ -17,8 +17,9 @@ from ..errors import InvalidParameter
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 LOCAL_DIR = "/tmp/vectorloom-staging"
-#: Shuffle files of a plan go as soon as the table that it makes is written.
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files of its plan go as soon as it is there, and what goes to Python
+#: at once is bounded by bytes, not by rows alone, which may be long.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8000000"}
 #: Bytes of input that one task is meant to hold.
 TASK_BYTES = 16_000_000
 
@@ -54,12 +55,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_UP, None)
-    spark.conf.set(CLEAN_UP, "true")
+    before = {k: spark.conf.get(k, None) for k in WHILE_WRITING}
+    for k, v in WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
