@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_tree, bpe, chat_repair, decontaminate, license_scan, ngram_join, packing, pii_tagger, secret_scan, spelling, substring_dedup, toxicity
+from . import ann_tree, bpe, chat_repair, decontaminate, license_scan, ngram_join, packing, pii_tagger, prefix_trie, secret_scan, spelling, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
     "op10_licenses": op10_licenses,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_spelling": op12_spelling,
     "op13_bpe": op13_bpe,
 }
