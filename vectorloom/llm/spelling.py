@@ -129,10 +129,10 @@ def steps(values: np.ndarray) -> tuple[list[int], list[int]]:
     return ways, [CELLS - w for w in ways]
 
 
-def coarse_groups(n_words: int) -> int:
-    """Groups so many that cells of some ten lengths, about three times as many with each group, have ``MEAN_CELL`` words."""
+def coarse_groups(n_words: int, tasks: int) -> int:
+    """Groups so many that cells of some ten lengths, about three times as many with each group, have ``MEAN_CELL`` words and are more than the tasks."""
     k, cells = 1, 10
-    while k < FINE and n_words / cells > MEAN_CELL:
+    while k < FINE and (n_words / cells > MEAN_CELL or cells < 2 * tasks):
         k, cells = k + 1, cells * 3
     return k
 
@@ -238,7 +238,7 @@ class Best:
 def near_words(words: DataFrame) -> DataFrame:
     """For each word of ``words`` (word, n; distinct) that has one: word, n_near, and the near word of largest n, form, with its form_n."""
     n_words = words.count()
-    group, coarse = letter_groups(words), coarse_groups(n_words)
+    group, coarse = letter_groups(words), coarse_groups(n_words, partitions(words.sparkSession))
     values = GROUP_VALUE[FINE : FINE + coarse]
     letter_value = values[group % coarse]
     forth, back = steps(values)
