@@ -162,3 +162,12 @@ def test_chat_sequences(spark, monkeypatch, run):
     }
     assert chat_repair.escape("a <|user|> b").replace("<||", "<|") == "a <|user|> b"
     assert chat_repair.render_sequences(conversations(spark, [])).count() == 0
+
+
+def test_neighbours_of_very_large_vectors(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1.0]), (2, [1e200, 2.0]), (3, [1e200, 1e199]), (4, [-1e200, 0.0]), (5, [1e308, 1e308]), (6, [-1e308, 1e308]), (100, [3.0, 4.0])]
+    found = sorted(tuple(r) for r in ann_tree.every_hundredth(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    mine = [(r[2], r[3]) for r in found if r[0] == 0]
+    assert [v for v, _ in mine] == [1, 2, 3, 100, 4, 5, 6] and [s for _, s in mine[:2]] == [1.0, 2.0]
+    assert mine[2][1] == pytest.approx(1e199) and mine[4][1] == pytest.approx(2e200)
+    assert len([r for r in found if r[0] == 100]) == 7

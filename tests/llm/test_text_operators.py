@@ -298,7 +298,8 @@ def test_secret_scores_against_brute_force(spark):
     runs = ["".join(r.choice(secret_scan.SYMBOLS[: r.choice([26, 62, 67])]) for _ in range(r.randint(16, 60))) for _ in range(200)] + ["get_user_name_index_of", "entwicklungsgeschichte"]
     runs = [x.strip("/_=-") or "a" * 16 for x in runs]
     rows = [(i, f". {x} .") for i, x in enumerate(runs)]
-    found = {x["doc_id"]: x["__whole"] for x in secret_scan.with_spans(documents(spark, rows), model, keep=("__whole",)).collect()}
+    df, spans = secret_scan.with_spans(documents(spark, rows), model)
+    found = {x["doc_id"]: x["whole"] for x in df.select("doc_id", spans["whole"].alias("whole")).collect()}
     for i, run in enumerate(runs):
         mixed = len(run) >= secret_scan.LONG or (re.search("[0-9]", run) and re.search("[A-Za-z]", run))
         likely = len(run) >= secret_scan.LEAST and mixed and brute_mean_ratio(model, run) > (model.short if len(run) < secret_scan.LONG else model.threshold)

@@ -24,6 +24,7 @@ long as ``MOST_ROWS`` of them do on the driver.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,7 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.staging import stage
+
 LEAST_ROWS, MOST_ROWS, SHARE = 20_000, 200_000, 20
+#: Values of the sample, which bound its rows where vectors are wide; and the largest component that squares are taken of unscaled.
+MOST_VALUES, LARGE = 40_000_000, 1e100
 BRANCHES, LEAF_ROWS, ROUNDS = 8, 100, 12
 CALIBRATION_QUERIES, RECALL = 200, 0.97
 BLOCK_ROWS = 8192
@@ -144,32 +149,35 @@ def usable(vectors: DataFrame) -> DataFrame:
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k nearest found; queries has (vec_id, v) as ``usable`` gives."""
     rows = usable(vectors)
-    width = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    most = F.array_max(F.transform("v", lambda e: F.abs(e)))
+    width = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("count"), F.max(most).alias("most")).orderBy(F.desc("count"), "d").first()
     spark = vectors.sparkSession
     if width is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows, queries = rows.where(F.size("v") == width["d"]), queries.where(F.size("v") == width["d"])
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(max(width["count"] // SHARE, LEAST_ROWS), MOST_ROWS)).toArrow()
-    x = np.array(sample["v"].combine_chunks().flatten()).reshape(-1, width["d"])
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(max(width["count"] // SHARE, LEAST_ROWS), MOST_ROWS, max(1, MOST_VALUES // width["d"]))).toArrow()
+    # the tree is the same whatever all vectors are multiplied by, so very large ones are scaled by a power of two
+    scale = 2.0 ** -math.frexp(width["most"])[1] if width["most"] > LARGE else 1.0
+    x = np.array(sample["v"].combine_chunks().flatten()).reshape(-1, width["d"]) * scale
     tree = fit(x)
     tree.visits = calibrate(tree, x, k)
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = matrix(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tree.assign(v)), batch.column(1)], ["vec_id", "leaf", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tree.assign(v * scale)), batch.column(1)], ["vec_id", "leaf", "v"])
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, v = batch.column(0).to_numpy(), matrix(batch.column(1))
             by_leaf: dict[int, list[int]] = {}
             for q in range(len(ids)):
-                for leaf in tree.order(v[q], tree.visits):
+                for leaf in tree.order(v[q] * scale, tree.visits):
                     by_leaf.setdefault(leaf, []).append(q)
             packed = [ids[at].astype("i8").tobytes() + v[at].astype("f8").tobytes() for at in by_leaf.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(by_leaf), pa.int64()), pa.array([len(at) for at in by_leaf.values()], pa.int64()), pa.array(packed, pa.binary())], ["leaf", "n", "packed"])
 
-    index = rows.mapInArrow(indexed, "vec_id long, leaf long, v array<double>")
+    index = stage(rows.mapInArrow(indexed, "vec_id long, leaf long, v array<double>"), "tree-index")  # read twice
     sizes = {r["leaf"]: -(-r["count"] // BLOCK_ROWS) for r in index.groupBy("leaf").count().collect()}  # one row a leaf
     blocks = F.coalesce(F.get(F.array(*[F.lit(sizes.get(leaf, 1)) for leaf in range(tree.leaves)]), F.col("leaf").cast("int")), F.lit(1))
     index = index.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks))
@@ -181,11 +189,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             ids, c = candidates["vec_id"].to_numpy(), matrix(candidates["v"])
             order = np.argsort(ids, kind="stable")
             ids, c = ids[order], c[order]
-            norms = (c**2).sum(1)
+            scaled = c * scale
+            norms = (scaled**2).sum(1)
             first = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))  # where each id begins
             for n, packed in zip(asked["n"].to_pylist(), asked["packed"].to_pylist(), strict=True):
                 query_ids, q = np.frombuffer(packed, "i8", n), np.frombuffer(packed, "f8", offset=8 * n).reshape(n, -1)
-                gaps = norms - 2 * (q @ c.T)
+                gaps = norms - 2 * ((q * scale) @ scaled.T)
                 for row in range(n):
                     out.append(nearest_of(int(query_ids[row]), q[row], ids, first, c, gaps[row], k))
         a, b, s = (np.concatenate(p) for p in zip(*out, strict=True))
@@ -205,13 +214,25 @@ def nearest_of(query_id: int, q: np.ndarray, ids: np.ndarray, first: np.ndarray,
     most = min(k, len(by_id)) - 1
     limit = np.partition(by_id, most)[most]
     near = np.flatnonzero(keep <= limit + 1e-9 * (1 + np.abs(gaps).max())) if np.isfinite(limit) else np.flatnonzero(np.isfinite(keep))
-    exact = np.sqrt(((c[near] - q) ** 2).sum(1))
+    exact = distances(c[near], q)
     order = np.lexsort((ids[near], exact))
     _, once = np.unique(ids[near][order], return_index=True)
     best = order[np.sort(once)][:k]
     return np.full(len(best), query_id, np.int64), ids[near][best].astype(np.int64), exact[best]
 
 
+def distances(c: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances; those whose squares don't fit are taken from scaled differences."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        apart = c - q
+        out = np.sqrt((apart**2).sum(1))
+        wide = ~np.isfinite(out)
+        if wide.any():
+            most = np.abs(apart[wide]).max(1, keepdims=True)
+            out[wide] = most[:, 0] * np.sqrt(((apart[wide] / most) ** 2).sum(1))
+        return np.where(np.isnan(out), np.inf, out)
+
+
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     flat = np.asarray((column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten(), np.float64)
     return flat.reshape(len(column), -1)

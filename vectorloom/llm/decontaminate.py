@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.staging import stage
+from .columns import private
 
 N = 10
 BROADCAST_WORDS, BITMAP_WORDS = 500_000, 2_000_000
@@ -146,16 +147,18 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = N, mode:
     mode "documents" drops each document with a hit; "spans" keeps it and cuts the words inside
     hits, each with the separators before it. Documents without hits are returned unchanged.
     """
-    hits = find_hits(documents, benchmark, n).where(F.size("hits") > 0).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), covered(F.col("hits")).alias("__hit")).dropDuplicates(["__id", "__key"])
-    hits = stage(hits if mode == "spans" else hits.drop("__hit"), "decontaminate-hits")  # its size is known then, by which Spark chooses the join
-    same = documents["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(documents["text"]) == F.col("__key"))
+    own = private(documents.columns)
+    id_, key, hit = (f"{own}{c}" for c in ("id", "key", "hit"))
+    hits = find_hits(documents, benchmark, n).where(F.size("hits") > 0).select(F.col("doc_id").alias(id_), F.col("key").alias(key), covered(F.col("hits")).alias(hit)).dropDuplicates([id_, key])
+    hits = stage(hits if mode == "spans" else hits.drop(hit), "decontaminate-hits")  # its size is known then, by which Spark chooses the join
+    same = documents["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(documents["text"]) == F.col(key))
     if mode == "documents":
         return documents.join(hits, same, "left_anti")
     if mode != "spans":
         raise ValueError(f"mode is documents or spans, not {mode!r}")
     lead = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
     pieces = F.regexp_extract_all(F.col("text"), F.lit(f"({lead})({CASED_WORDS})"), F.lit(0))
-    kept = F.filter(pieces, lambda _, i: ~F.array_contains(F.col("__hit"), i))
+    kept = F.filter(pieces, lambda _, i: ~F.array_contains(F.col(hit), i))
     tail = F.regexp_extract(F.col("text"), f"({lead})$", 1)
-    cut = F.when(F.col("__hit").isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, ""), tail))
+    cut = F.when(F.col(hit).isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, ""), tail))
     return documents.join(hits, same, "left").select(*[cut.alias("text") if c == "text" else documents[c] for c in documents.columns])

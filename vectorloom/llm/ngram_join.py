@@ -23,8 +23,9 @@ one class, worked on once.
 
 Defined results: a null or empty text has no shingles and its own component; a text with fewer
 words than a shingle is one shingle; texts are of any length; equal rows link; a row without doc_id
-gets a null component; rows that share a doc_id must share a text; an empty table gives no rows;
-further columns are ignored. Shingles are told apart by 64-bit hashes, whole sets by their size and 128
+gets a null component; rows that share a doc_id are one document: each has the size of its own set,
+and what links to one of them is linked with all; for ``keep_one`` they are documents of their own; an empty
+table gives no rows; further columns are ignored. Shingles are told apart by 64-bit hashes, whole sets by their size and 128
 bits; results are exact but for collisions of these.
 """
 
@@ -40,6 +41,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components
 from ..plans.staging import parts_for, stage, unstage
 from . import grams
+from .columns import private
 
 SHINGLE, PERCENT = 4, 85
 #: Shingles gathered before they are dealt out, and the documents of such a batch beyond which one is frequent.
@@ -363,11 +365,42 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(two, "y").join(one, "x").select("x", "y", "n_x", "t_x", "n_y", "t_y").mapInArrow(verified, "x long, y long, linked boolean")
 
 
+def told_apart(documents: DataFrame, known: DataFrame) -> DataFrame | None:
+    """Where rows of one doc_id hold different sets: (doc_id, text, own), own a number of each text of such an id, else the doc_id."""
+    sets = F.struct(*SET, "n_shingles")
+    mixed = stage(known.where("doc_id is not null").groupBy("doc_id").agg(F.min(sets).alias("a"), F.max(sets).alias("b")).where("a <> b").select("doc_id", F.lit(True).alias("mixed")), "jaccard-mixed")
+    if mixed.isEmpty():
+        return None
+    return documents.join(mixed, "doc_id", "left").select("doc_id", "text", F.when(F.col("mixed"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id")).alias("own"))
+
+
+def as_documents(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
 def join(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    docs = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = parts_for(docs, "text", PART_BYTES)
+    docs = as_documents(documents)
     known = stage(sizes(docs, shingle), "jaccard-sizes")
+    apart = told_apart(docs, known)
+    if apart is None:
+        return _join(docs, known, shingle, percent)
+    apart = stage(apart, "jaccard-apart")
+    own = apart.select(F.col("own").alias("doc_id"), "text")
+    found = stage(_join(own, stage(sizes(own, shingle), "jaccard-sizes"), shingle, percent), "jaccard-own")
+    names = apart.select("doc_id", "own").where("own <> doc_id").distinct()
+    rows = found.withColumnRenamed("doc_id", "own").join(names, "own", "left").withColumn("doc_id", F.coalesce("doc_id", "own"))
+    # components by their smallest doc_id; those that rows of one doc_id lie in are one
+    least = rows.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+    rows = stage(rows.join(least, "component_id", "left"), "jaccard-rows")
+    shared = rows.join(names.select("own"), "own", "left_semi").select(F.col("doc_id").alias("x"), F.col("least").alias("y")).distinct()
+    merged = connected_components(shared, "x", "y", one_task=0).select(F.col("id").alias("least"), "component")
+    return rows.join(merged, "least", "left").select("doc_id", "n_shingles", F.coalesce("component", "least").alias("component_id"))
+
+
+def _join(docs: DataFrame, known: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The join of documents whose rows of one doc_id hold one set; known has their sizes."""
+    n = parts_for(docs, "text", PART_BYTES)
     copies = known.where("n_shingles > 0").groupBy(*SET, "n_shingles").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("members"))
     classes = copies.where("class_id is not null").select(F.col("class_id").alias("doc_id"), "n_shingles").withColumn("to", grams.part_column("doc_id", n))
 
@@ -395,17 +428,34 @@ def join(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -
 
 
 def keep_one(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id; of rows that share it, one.
+    """One document of each component, the one with the smallest doc_id; rows of one doc_id whose sets differ are documents of their own.
 
-    Rows without doc_id stay.
+    Of rows that share doc_id and set, one stays. Rows without doc_id stay.
     """
-    found = stage(join(documents, shingle, percent), "jaccard-join")
-    # written, so that its size is known, by which Spark chooses the join
-    gone = stage(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "jaccard-gone")
-    kept = documents.join(gone, documents["doc_id"] == gone["__gone"], "left_anti")
-    repeated = stage(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("__again")), "jaccard-repeated")
+    name = private(documents.columns)
+    gone_id, again, own = (f"{name}{c}" for c in ("gone", "again", "own"))
+    docs = as_documents(documents)
+    known = stage(sizes(docs, shingle), "jaccard-sizes")
+    apart = told_apart(docs, known)
+    if apart is None:
+        found, here = stage(_join(docs, known, shingle, percent), "jaccard-join"), documents.withColumn(own, F.col("doc_id").cast("long"))
+        gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias(gone_id)).distinct()
+    else:
+        apart = stage(apart, "jaccard-apart")
+        numbered = apart.select(F.col("own").alias("doc_id"), "text")
+        found = stage(_join(numbered, stage(sizes(numbered, shingle), "jaccard-sizes"), shingle, percent), "jaccard-join")
+        names = apart.select("doc_id", "own").where("own <> doc_id").distinct()
+        named = found.select(F.col("doc_id").alias("own"), "component_id").join(names, "own", "left").select("own", "component_id", F.coalesce("doc_id", "own").alias("doc_id"))
+        first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "own")).alias("first"))
+        gone = named.join(first, "component_id").where("own <> first.own").select(F.col("own").alias(gone_id)).distinct()
+        number = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+        mixed = names.select(F.col("doc_id").alias(again)).distinct()
+        here = documents.join(mixed, F.col("doc_id") == F.col(again), "left").withColumn(own, F.when(F.col(again).isNotNull(), number).otherwise(F.col("doc_id").cast("long"))).drop(again)
+    gone = stage(gone, "jaccard-gone")  # written, so that its size is known, by which Spark chooses the join
+    kept = here.join(gone, F.col(own) == F.col(gone_id), "left_anti")
+    repeated = stage(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias(again)), "jaccard-repeated")
     unstage(found)
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, kept["doc_id"] == repeated["__again"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, kept["doc_id"] == repeated["__again"], "left_anti").unionByName(once)
+    if not repeated.isEmpty():
+        once = kept.join(repeated, F.col(own) == F.col(again), "left_semi").dropDuplicates([own])
+        kept = kept.join(repeated, F.col(own) == F.col(again), "left_anti").unionByName(once)
+    return kept.drop(own)

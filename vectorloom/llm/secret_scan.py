@@ -26,6 +26,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .columns import private
+
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "random")
 #: Fixed values. A hex or access run is maximal, so asking for its least length in the pattern
@@ -139,32 +141,33 @@ def placed(pieces: Column, runs: Column, rank: int, keep=None) -> Column:
     return F.aggregate(indices, zero, step, lambda s: s["out"])
 
 
-def with_spans(documents: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The input's columns and __base and __added, arrays of (start, rank of kind, end)."""
-    none = F.array().cast("array<string>")
-    df = documents.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+def with_spans(documents: DataFrame, model: Model) -> tuple[DataFrame, dict[str, Column]]:
+    """The input's columns beside others of private names, and base and added, arrays of (start, rank of kind, end), with a count of each base kind."""
+    own, none = private(documents.columns), F.array().cast("array<string>")
+    name = lambda c: f"{own}{c}"
+    df = documents.withColumn(name("text"), F.coalesce(F.col("text").cast("string"), F.lit("")))
     finds = {**PATTERNS, "random": RUN, "part": PART}
     for kind, pattern in finds.items():
-        met = F.col("__text").rlike(pattern)
+        met = F.col(name("text")).rlike(pattern)
         group = {"assign": ((0, ""), (2, "v"))}.get(kind, ((0, ""),))
-        df = df.withColumn(f"__met_{kind}", met)
+        df = df.withColumn(name(f"met_{kind}"), met)
         df = df.withColumns(
-            {f"__pieces_{kind}": F.when(F.col(f"__met_{kind}"), F.split("__text", pattern, -1)).otherwise(none)}
-            | {f"__runs{v}_{kind}": F.when(F.col(f"__met_{kind}"), F.regexp_extract_all("__text", F.lit(pattern), F.lit(g))).otherwise(none) for g, v in group}
+            {name(f"pieces_{kind}"): F.when(F.col(name(f"met_{kind}")), F.split(name("text"), pattern, -1)).otherwise(none)}
+            | {name(f"runs{v}_{kind}"): F.when(F.col(name(f"met_{kind}")), F.regexp_extract_all(name("text"), F.lit(pattern), F.lit(g))).otherwise(none) for g, v in group}
         )
-    long_value = lambda i: F.char_length(F.get(F.col("__runsv_assign"), i)) >= LEAST_VALUE
-    found = {k: placed(F.col(f"__pieces_{k}"), F.col(f"__runs_{k}"), r, long_value if k == "assign" else None) for r, k in enumerate(BASE)}
-    df = df.withColumns({f"__{k}": c for k, c in found.items()})
-    df = df.withColumn("__base", F.array_sort(F.concat(*[F.col(f"__{k}") for k in BASE])))
+    long_value = lambda i: F.char_length(F.get(F.col(name("runsv_assign")), i)) >= LEAST_VALUE
+    found = {k: placed(F.col(name(f"pieces_{k}")), F.col(name(f"runs_{k}")), r, long_value if k == "assign" else None) for r, k in enumerate(BASE)}
+    df = df.withColumns({name(k): c for k, c in found.items()})
+    df = df.withColumn(name("base"), F.array_sort(F.concat(*[F.col(name(k)) for k in BASE])))
     for kind in ("random", "part"):
-        run = lambda i, k=kind: F.get(F.col(f"__runs_{k}"), i)
+        run = lambda i, k=kind: F.get(F.col(name(f"runs_{k}")), i)
         mixed = lambda i, run=run: (F.char_length(run(i)) >= LONG) | (run(i).rlike("[0-9]") & run(i).rlike("[A-Za-z]"))
         likely = lambda i, run=run, mixed=mixed: mixed(i) & (mean_ratio(run(i), model.ratios) > F.when(F.char_length(run(i)) < LONG, model.short).otherwise(model.threshold))
-        df = df.withColumn(f"__{kind}", placed(F.col(f"__pieces_{kind}"), F.col(f"__runs_{kind}"), len(BASE), likely))
+        df = df.withColumn(name(kind), placed(F.col(name(f"pieces_{kind}")), F.col(name(f"runs_{kind}")), len(BASE), likely))
     apart = lambda spans: lambda x: ~F.exists(spans, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    df = df.withColumn("__whole", F.filter("__random", apart("__base")))
-    df = df.withColumn("__added", F.concat("__whole", F.filter(F.filter("__part", apart("__base")), apart("__random"))))
-    return df.select(*[F.col(f"`{c}`") for c in documents.columns], "__base", "__added", *keep, *[F.size(f"__{k}").cast("bigint").alias(f"__n_{k}") for k in BASE])
+    df = df.withColumn(name("whole"), F.filter(name("random"), apart(F.col(name("base")))))
+    df = df.withColumn(name("added"), F.concat(name("whole"), F.filter(F.filter(name("part"), apart(F.col(name("base")))), apart(F.col(name("random"))))))
+    return df, {c: F.col(name(c)) for c in ("base", "whole", "added")} | {k: F.size(name(k)).cast("bigint") for k in BASE}
 
 
 def listed(spans: Column) -> Column:
@@ -176,21 +179,24 @@ def listed(spans: Column) -> Column:
 def report(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """Per document row: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
     model = model or train(labelled_samples(documents.sparkSession))
-    df = with_spans(documents.select("doc_id", "text"), model)
-    return df.select("doc_id", *[F.col(f"__n_{k}").alias(f"n_{k}") for k in BASE], F.sha2(listed(F.col("__base")), 256).alias("base_sha256"), listed(F.array_sort(F.concat("__base", "__added"))).alias("spans"))
+    df, found = with_spans(documents.select("doc_id", "text"), model)
+    return df.select("doc_id", *[found[k].alias(f"n_{k}") for k in BASE], F.sha2(listed(found["base"]), 256).alias("base_sha256"), listed(F.array_sort(F.concat(found["base"], found["added"]))).alias("spans"))
 
 
 def redact(documents: DataFrame, model: Model | None = None, mask: str = "[SECRET]") -> DataFrame:
     """Documents with every span replaced by a mask, with the columns that came in; n_chars follows."""
     model = model or train(labelled_samples(documents.sparkSession))
-    df = with_spans(documents, model).withColumn("__spans", F.array_sort(F.concat("__base", "__added")))
+    own = private(documents.columns)
+    spans, masked = f"{own}spans", f"{own}masked"
+    df, found = with_spans(documents, model)
+    df = df.withColumn(spans, F.array_sort(F.concat(found["base"], found["added"])))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
         before = F.substring(F.col("text"), s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0)))
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] >= s["at"], F.concat(s["out"], before, F.lit(mask))).otherwise(s["out"]).alias("out"))
 
-    masked = F.aggregate("__spans", zero, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.char_length("text"))))
-    df = df.withColumn("__masked", F.when(F.size("__spans") > 0, masked).otherwise(F.col("text")))
-    changed = {"text": F.col("__masked"), "n_chars": F.when(F.size("__spans") > 0, F.char_length("__masked").cast("bigint")).otherwise(F.col("n_chars")) if "n_chars" in documents.columns else None}
+    whole = F.aggregate(spans, zero, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.char_length("text"))))
+    df = df.withColumn(masked, F.when(F.size(spans) > 0, whole).otherwise(F.col("text")))
+    changed = {"text": F.col(masked), "n_chars": F.when(F.size(spans) > 0, F.char_length(masked).cast("bigint")).otherwise(F.col("n_chars")) if "n_chars" in documents.columns else None}
     return df.select(*[changed[c].alias(c) if changed.get(c) is not None else F.col(f"`{c}`") for c in documents.columns])

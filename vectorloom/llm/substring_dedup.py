@@ -18,12 +18,13 @@ factor is ``WINDOW`` words or longer; the words in factors are the duplicate spa
 What moves: one small entry for each distinct block of a map batch (about a sixth of the words),
 the answers, the windows at boundaries, and the texts once, dealt by document into parts of about
 ``TASK_BYTES``. A block that many documents share is one entry for each batch; an anchor that stands in
-many different blocks of a batch is dealt by block, so that no anchor meets in one task. Words are told
-apart by 64-bit hashes and runs of them by 128 bits over these.
+more than ``MANY`` different blocks of a batch is dealt by block, so one task gets at most ``MANY`` entries of an
+anchor from each batch. Words are told apart by 64-bit hashes and runs of them by 128 bits over these.
 
 Defined results: a null or empty text has no words; texts shorter than a window keep all words;
-texts of any length are parsed whole; rows with the same doc_id count as one document, so neither
-loses words to the other at the same place; rows without doc_id are neither indexed nor cut; an empty
+texts of any length are parsed whole; rows with the same doc_id count as one document in order of
+places: a window of one goes where the words start earlier in a row of that id or of a smaller one, and
+neither loses words to the other at the same place; rows without doc_id are neither indexed nor cut; an empty
 table gives no rows; further columns are ignored.
 """
 
@@ -50,7 +51,7 @@ NORMAL, SPREAD, MARKER = range(3)
 COPIED, CHECK, COPIED_WINDOW = range(3)
 ENTRY = {"anchor": "u8", "around": "u8", "doc": "i8", "start": "i4", "flag": "u1"}
 REFERENCES = {"ref_doc": "i8", "ref_start": "i4", "last_doc": "i8", "last_start": "i4"}
-ANSWER = {"doc": "i8", "start": "i4", "what": "u1"} | REFERENCES
+ANSWER = {"doc": "i8", "start": "i4", "content": "u8", "what": "u1"} | REFERENCES
 WINDOWS = {"hash": "u8", "other": "u8", "doc": "i8", "start": "i4"}
 FACTOR = "array<struct<start:int,length:int,ref_doc:long,ref_start:int>>"
 OUT = f"doc_id long, n_words long, n_removed long, kept_sha256 string, factors {FACTOR}"
@@ -97,14 +98,17 @@ def group_first(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)[np.cumsum(new) - 1]
 
 
-def answers(found: dict[str, np.ndarray], chosen: np.ndarray, what: int, first: np.ndarray) -> dict[str, np.ndarray]:
-    """What chosen rows are told: of sorted rows that are equal, the first one's place and the last one's before."""
+def answers(found: dict[str, np.ndarray], chosen: np.ndarray, what: int, first: np.ndarray, content: str = "around") -> dict[str, np.ndarray]:
+    """What chosen rows are told: of sorted rows that are equal, the first one's place and the last one's before.
+
+    ``content`` goes along, since rows that share a doc_id may hold different words at one place.
+    """
     at = np.flatnonzero(chosen)
     last = np.maximum(at - 1, 0)
     itself = (found["doc"][last] == found["doc"][at]) & (found["start"][last] == found["start"][at])
     last = np.where(itself | (last < first[at]), first[at], last)
     ref = {"ref": first[at], "last": last}
-    return {"doc": found["doc"][at], "start": found["start"][at].astype("i4"), "what": np.full(len(at), what, "u1")} | {f"{k}_{c}": found[c][ref[k]].astype(ANSWER[f"{k}_{c}"]) for k in ref for c in ("doc", "start")}
+    return {"doc": found["doc"][at], "start": found["start"][at].astype("i4"), "content": found[content][at], "what": np.full(len(at), what, "u1")} | {f"{k}_{c}": found[c][ref[k]].astype(ANSWER[f"{k}_{c}"]) for k in ref for c in ("doc", "start")}
 
 
 def joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
@@ -190,7 +194,7 @@ def split_windows(found: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray],
     first = group_first(found["hash"], found["other"])
     own = first == np.arange(len(first))
     copies = ~own & ((found["doc"] != found["doc"][first]) | (found["start"] != found["start"][first]))
-    return answers(found, copies, COPIED_WINDOW, first), {k: v[own] for k, v in found.items()}
+    return answers(found, copies, COPIED_WINDOW, first, "hash"), {k: v[own] for k, v in found.items()}
 
 
 def answer_windows(table: pa.Table, n: int) -> pa.Table:
@@ -200,24 +204,27 @@ def answer_windows(table: pa.Table, n: int) -> pa.Table:
 
 
 class Told:
-    """Answers of one partition, looked up by document and start."""
+    """Answers of one partition, looked up by document, start and content."""
 
     def __init__(self, table: pa.Table, what: tuple[int, ...]):
         a = grams.from_blobs(table["blob"].to_pylist(), ANSWER)
         a = {k: v[np.isin(a["what"], what)] for k, v in a.items()}
-        self.docs = np.unique(a["doc"])
-        key = (np.searchsorted(self.docs, a["doc"]) << 32) | a["start"]
+        key = self.key_of(a["doc"], a["start"], a["content"])
         order = np.argsort(key, kind="stable")
         self.key, self.a = key[order], {k: v[order] for k, v in a.items()}
 
-    def find(self, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def key_of(doc: np.ndarray, start: np.ndarray, content: np.ndarray) -> np.ndarray:
+        return grams.mix(grams.mix(grams.mix(doc.astype(np.int64).view(np.uint64)) + start.astype(np.uint64)) ^ content)
+
+    def find(self, doc: np.ndarray, start: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows that have an answer, and the answers' places."""
         if not len(self.key) or not len(doc):
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        at = np.minimum(np.searchsorted(self.docs, doc), len(self.docs) - 1)
-        key = (at << 32) | start
+        key = self.key_of(doc, start, content)
         place = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        hit = np.flatnonzero((self.docs[at] == doc) & (self.key[place] == key))
+        a = self.a
+        hit = np.flatnonzero((self.key[place] == key) & (a["doc"][place] == doc) & (a["start"][place] == start) & (a["content"][place] == content))
         return hit, place[hit]
 
 
@@ -228,7 +235,7 @@ def boundary_windows(docs: pa.Table, told: pa.Table, n: int, window: int, gram:
         for a, b in grams.blocks(docs):
             x = Blocks(docs["text"].slice(a, b - a), window, gram)
             ids = docs["doc_id"].slice(a, b - a).to_numpy()
-            hit, _ = lookup.find(ids[x.doc], x.start_in_doc)
+            hit, _ = lookup.find(ids[x.doc], x.start_in_doc, x.around)
             count = x.stop[hit] - x.start[hit] + 1
             starts = np.repeat(x.start[hit] - (np.cumsum(count) - count), count) + np.arange(count.sum())
             doc = np.repeat(x.doc[hit], count)
@@ -274,12 +281,13 @@ def parse(docs: pa.Table, told: pa.Table, window: int, gram: int) -> pa.Table:
         raw = docs["doc_id"].slice(a, b - a).to_pylist()
         ids = np.array([-1 if i is None else i for i in raw], np.int64)
         named = np.array([i is not None for i in raw], bool)
-        hit, place = blocks_told.find(ids[x.doc], x.start_in_doc)
+        hit, place = blocks_told.find(ids[x.doc], x.start_in_doc, x.around)
         pieces = [(x.start[hit], x.stop[hit], *(blocks_told.a[c][place] for c in REFERENCES))]
         doc_of = x.words.doc_of()
         if len(windows_told.key):
-            starts = np.arange(len(doc_of))
-            hit, place = windows_told.find(ids[doc_of], starts - x.words.doc_at[doc_of])
+            starts = np.arange(max(0, len(doc_of) - window + 1))
+            here = doc_of[: len(starts)]
+            hit, place = windows_told.find(ids[here], starts - x.words.doc_at[here], x.one(starts, starts + window))
             pieces.append((starts[hit], starts[hit], *(windows_told.a[c][place] for c in REFERENCES)))
         start, stop, *refs = (np.concatenate(c) for c in zip(*pieces, strict=True))
         real = named[doc_of[start]] if len(start) else np.empty(0, bool)
@@ -320,7 +328,7 @@ def dedup(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataF
     named = docs.where(F.col("doc_id").isNotNull())
     told = index_entries(named, n, window, gram).repartition(n, "to").groupBy("to").applyInArrow(lambda t: answer_blocks(t, n), ROWS)
     told = stage(told, "substring-answers")
-    dealt = docs.withColumn("to", F.coalesce(grams.part_column("doc_id", n), F.lit(0))).repartition(n, "to")
+    dealt = docs.withColumn("to", F.coalesce(grams.part_column("doc_id", n), F.pmod(F.xxhash64("text"), F.lit(n)).cast("int"))).repartition(n, "to")
     asked = dealt.where(F.col("doc_id").isNotNull()).groupBy("to")
     windows = asked.cogroup(told.repartition(n, "to").groupBy("to")).applyInArrow(lambda d, t: boundary_windows(d, t, n, window, gram), ROWS)
     more = stage(windows.repartition(n, "to").groupBy("to").applyInArrow(lambda t: answer_windows(t, n), ROWS), "substring-windows")

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.staging import stage, unstage
+from .columns import private
 
 SAMPLE_ROWS = 6000
 LEXICON, LEAST_Z, LEAST_DOCS = 150, 5.0, 5
@@ -152,8 +153,8 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     return fit(lexicon, votes, found["toxic"].to_numpy())
 
 
-def score(documents: DataFrame, model: Model) -> DataFrame:
-    """The input's columns and score."""
+def score(documents: DataFrame, model: Model, name: str = "__score") -> DataFrame:
+    """The input's columns and the score as column ``name``, which they may not have."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,11 +163,11 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
                 text = text.as_py() or ""
                 out[k] = evidence(text, words_of(text), model.lexicon) @ model.weights + model.bias
             out = 1 / (1 + np.exp(-out))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, name])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return documents.mapInArrow(scored, StructType([*documents.schema.fields, StructField("__score", DoubleType())]))
+    return documents.mapInArrow(scored, StructType([*documents.schema.fields, StructField(name, DoubleType())]))
 
 
 def report(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -177,4 +178,5 @@ def report(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier doesn't call toxic, with the columns that came in."""
-    return score(documents, train(documents, labels)).where(F.col("__score") < THRESHOLD).drop("__score")
+    name = f"{private(documents.columns)}score"
+    return score(documents, train(documents, labels), name).where(F.col(name) < THRESHOLD).drop(name)
