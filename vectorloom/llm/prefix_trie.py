@@ -47,7 +47,7 @@ from ..plans.staging import partitions, stage, unstage
 #: Conversations that share a head, and turns of it at most.
 SHARE, HEAD = 5, 8
 #: Members of a heavy chain, at least; turns of one conversation joined in one piece.
-LEAST_HEAVY, PIECE = 1000, 4096
+LEAST_HEAVY, PIECE = 100, 4096
 #: A heavy chain's copies, among which the turns below it are dealt.
 SALTS = 64
 #: Messages of a queue in memory, and of a spilled run read at once.
