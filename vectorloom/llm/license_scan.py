@@ -1,20 +1,21 @@
 """License scans: a trained paragraph classifier, confirmed by comparison with templates.
 
 The units that are judged are the lines of a text and its wrapped paragraphs: runs of two or more lines
-without a blank one between, put together. Distinct word 1- and 2-grams are the features of a logistic
-regression over licence families and an unknown class, kept sparse by an L1 penalty; it is trained on
+without a blank one between (one that holds white space alone is blank), put together. Lines end as on any
+system. Distinct word 1- and 2-grams are the features of a logistic regression over licence families and an
+unknown class, kept sparse by an L1 penalty, and besides how many words a unit has that the model doesn't
+know: a bare name says more about a licence than a name in a sentence about something else. It is trained on
 the driver from the templates below, cut and padded at random, from short notices that name a licence,
-and from sentences that use licence words without being licences. The least probability that a family
-needs is calibrated on sentences that training doesn't see, so that at most one in a hundred of the
-unknown passes; all others are ``unknown``. A family is confirmed when at least ``ALIKE`` of the word
-2-grams of one of its templates stand in the unit.
-
-A line gives a row if it reaches a family's least probability or holds a licence word (``WORDS``). A
-wrapped paragraph gives one if its likeliest family is confirmed and none of its lines alone would be.
-Scores are only worked out where they can matter: no unit in which the most that its distinct words can
-add to any family's lead, alone and with the word after them, falls short of the least probability can
-reach it, and neither can any unit of a text that falls short as a whole. A word that adds to no lead
-counts nothing, so texts are first held against the few words that do.
+and from sentences that use licence words or the names of licences without stating one. The least
+probability that a family needs is calibrated: of such sentences, made from sources that training doesn't
+see, one in a hundred passes. A family also has to be likelier than unknown. All others are ``unknown``. A
+family is confirmed when at least ``ALIKE`` of the word 2-grams of one of its templates stand in the unit.
+
+A line gives a row if a family is sure in it or it holds a licence word (``WORDS``). A wrapped paragraph
+gives one if a family is sure in it and in none of its lines alone.
+Scores are only worked out where they can matter: a unit in which the most that its words can add to any
+family's lead, alone and with the word after them, falls short of the least probability can't reach it.
+Each word's most is looked up once, by a hash, and lines and paragraphs add up those of their words.
 
 Scoring is a DataFrame expression over one row at a time: no shuffle, no Python on executors. The
 model is a constant of at most ``FEATURES`` rows.
@@ -30,6 +31,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable, Collection
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -53,6 +55,7 @@ TEMPLATES = {
         "Released under the MIT License.",
         "Licensed under the MIT license, see the file LICENSE.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT",
     ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
@@ -62,6 +65,7 @@ TEMPLATES = {
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     ),
     "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3.",),
     "AGPL-3.0": ("This program is licensed under the GNU Affero General Public License, version 3.",),
@@ -75,7 +79,7 @@ TEMPLATES = {
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC0-1.0": ("This is free and unencumbered work released into the public domain.", "To the extent possible under law, the author has waived all copyright under CC0 1.0."),
-    "Proprietary": ("Copyright, all rights reserved. Unauthorized copying of this file is strictly prohibited.",),
+    "Proprietary": ("Copyright, all rights reserved. Unauthorized copying of this file is strictly prohibited.", "Copyright (c) 2020. All rights reserved.", "All rights reserved."),
 }
 #: Sentences with licence words that state no licence.
 ORDINARY = (
@@ -100,6 +104,25 @@ ORDINARY = (
     "the general told the public that the program was free",
     "copyright law differs between one country and another",
 )
+#: Names that licences share with schools, peoples and firms, and sentences in which they stand for these.
+NAMES = ("MIT", "Apache", "Mozilla", "BSD", "GNU", "Eclipse", "ISC", "CC", "CC0", "GPL", "EPL", "MPL", "AGPL", "Apache 2.0", "Creative Commons", "CC BY")
+MENTIONS = (
+    "the {} campus is in the north of the town",
+    "students at {} built a small robot",
+    "she works for {} as an engineer",
+    "a talk about {} was given at the conference",
+    "the history of {} began forty years ago",
+    "we met two people from {} last summer",
+    "{} announced a new product for its customers",
+    "the {} group won the match by three points",
+    "a photo of {} hangs in the hall",
+    "he read a book on {} during the flight",
+    "the road from {} to the coast was closed",
+    "many visitors came to see {} this year",
+    "{} and its partners opened an office abroad",
+    "the {} team runs the tests every night",
+    "a total {} could be seen from the island",
+)
 #: Names of licences, and short notices that give nothing else.
 TERMS = {
     "MIT": ("MIT",),
@@ -121,6 +144,10 @@ FILLER = (
     "by on is it as at you this not are or an a all can has into any may be from was were which that there when who its if no so such use see"
 ).split()
 
+COMMON = frozenset(FILLER)
+#: Numbers of strange words that are features, and samples that a gram has to stand in.
+CROWDS, LEAST_USE = (1, 3, 6), 4
+
 
 @dataclass(frozen=True)
 class Model:
@@ -140,24 +167,36 @@ def grams_of(text: str) -> set[str]:
     return {*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))}
 
 
+def crowd_of(text: str, features: Collection[str]) -> set[str]:
+    """Features for how many different words a model doesn't know."""
+    strange = sum(w not in features and w not in COMMON for w in set(words_of(text)))
+    return {f"#{n}" for n in CROWDS if strange >= n}
+
+
 def samples(copies: int = COPIES, seed: int = 3) -> list[tuple[str, str, int]]:
     """(paragraph, family, number of what it was made from), with words dropped and others put around."""
     r = np.random.default_rng(seed)
     filler = lambda n: [FILLER[int(k)] for k in r.integers(0, len(FILLER), n)]
+    strange = lambda n: ["".join(chr(97 + int(c)) for c in r.integers(0, 26, int(r.integers(3, 10)))) for _ in range(n)]
 
-    def vary(words: list[str], drop: float = 0.08) -> str:
-        kept = [w for w in words if r.random() > drop]
-        return " ".join([*filler(int(r.integers(0, 8))), *kept, *filler(int(r.integers(0, 8)))])
+    def vary(words: list[str], drop: float = 0.08, most: int = 4) -> str:
+        """Words with others around, of which up to ``most`` nobody knows."""
+        kept, odd = [w for w in words if r.random() > drop], strange(int(r.integers(0, most + 1)))
+        cut = int(r.integers(0, len(odd) + 1))
+        return " ".join([*filler(int(r.integers(0, 8))), *odd[:cut], *kept, *odd[cut:], *filler(int(r.integers(0, 8)))])
 
     templates = [(t, f) for f, ts in TEMPLATES.items() for t in ts]
     out = [(vary(t.split()), f, k) for k, (t, f) in enumerate(templates) for _ in range(copies)]
-    # a few words of a licence in any order, or a sentence with licence words, state none
+    # a few words of a licence in any order, or a sentence with licence words or the name of one, state none
     for k, (t, _) in enumerate(templates):
-        out += [(" ".join([*r.permutation(t.split())[: int(r.integers(1, 4))].tolist(), *filler(8)]), UNKNOWN, k) for _ in range(copies // 2)]
+        out += [(" ".join([*r.permutation(t.split())[: int(r.integers(1, 4))].tolist(), *filler(8), *strange(int(r.integers(0, 6)))]), UNKNOWN, k) for _ in range(copies // 2)]
     out += [(vary(t.split()), UNKNOWN, k) for k, t in enumerate(ORDINARY) for _ in range(copies)]
-    out += [(" ".join(filler(int(r.integers(5, 80)))), UNKNOWN, k) for k in range(20 * copies)]
+    for k, t in enumerate(MENTIONS):
+        out += [(vary(t.format(n).split(), 0.0), UNKNOWN, k) for n in NAMES for _ in range(max(1, copies // 16))]
+    out += [(" ".join([*filler(int(r.integers(1, 8))), n, *strange(int(r.integers(2, 9)))]), UNKNOWN, k) for k, n in enumerate(NAMES * 2) for _ in range(copies // 4)]
+    out += [(" ".join([*filler(int(r.integers(5, 80))), *strange(int(r.integers(0, 9)))]), UNKNOWN, k) for k in range(20 * copies)]
     for k, (f, t, n) in enumerate((f, t, n) for f, ts in TERMS.items() for t in ts for n in NOTICES):
-        out += [(vary(n.format(t).split(), 0.0) if c % 2 else n.format(t), f, k) for c in range(max(1, copies // 4))]
+        out += [(vary(n.format(t).split(), 0.0, 1) if c % 2 else n.format(t), f, k) for c in range(max(1, copies // 4))]
     return out
 
 
@@ -169,12 +208,13 @@ def train(labelled: list[tuple[str, str, int]], features: int = FEATURES, rounds
     y = np.array([classes[f] for _, f, _ in labelled])
     unknown = y == classes[UNKNOWN]
     held = unknown & (np.array([source for _, _, source in labelled]) % 5 == 4)
-    common = set(FILLER)
-    counts = Counter(g for s, h in zip(sets, held, strict=True) if not h for g in s if not common.issuperset(g.split(" ")))
-    vocabulary = {g: k for k, g in enumerate(sorted(counts, key=lambda g: (-counts[g], g))[:features])}
+    counts = Counter(g for s, h in zip(sets, held, strict=True) if not h for g in s if not COMMON.issuperset(g.split(" ")))
+    often = [g for g in counts if counts[g] >= LEAST_USE]
+    vocabulary = {g: k for k, g in enumerate(sorted(often, key=lambda g: (-counts[g], g))[: features - len(CROWDS)])}
+    vocabulary |= {f"#{n}": len(vocabulary) + k for k, n in enumerate(CROWDS)}
     x = np.zeros((len(y), len(vocabulary)))
-    for row, s in enumerate(sets):
-        x[row, [vocabulary[g] for g in s if g in vocabulary]] = 1
+    for row, (s, (text, _, _)) in enumerate(zip(sets, labelled, strict=True)):
+        x[row, [vocabulary[g] for g in (*s, *crowd_of(text, vocabulary)) if g in vocabulary]] = 1
     seen, target = x[~held], np.eye(len(classes))[y[~held]]
     w, b = np.zeros((len(vocabulary), len(classes))), np.zeros(len(classes))
     for _ in range(rounds):  # proximal gradient descent
@@ -182,10 +222,11 @@ def train(labelled: list[tuple[str, str, int]], features: int = FEATURES, rounds
         w -= RATE * (seen.T @ p / len(seen))
         w = np.sign(w) * np.maximum(np.abs(w) - RATE * SPARSE, 0)
         b -= RATE * p.mean(0)
-    p = soft(x[held] @ w + b)[:, :-1].max(1)
-    least = max(0.5, float(np.quantile(p, 0.99)) if len(p) else 0.5)
-    used = np.flatnonzero((w != 0).any(1))
+    p = soft(x[held] @ w + b)
+    least = float(np.quantile(p[:, :-1].max(1), 0.99)) if len(p) else 0.5
     names = list(vocabulary)
+    # single words stay even without weight: a word is strange only if training hasn't seen it
+    used = [k for k in range(len(names)) if (w[k] != 0).any() or " " not in names[k]]
     return Model(families, {names[at]: k for k, at in enumerate(used)}, np.round(w[used], 5), np.round(b, 5), least)
 
 
@@ -204,16 +245,18 @@ def slot(gram: Column) -> Column:
 
 
 def most_added(model: Model) -> tuple[dict[str, float], float]:
-    """By word, the most that its presence can add to any family's lead over unknown, and the sum without which none leads.
+    """By word, the most that its presence can add to any family's lead over unknown, and the sum without which none is sure.
 
     What a pair of words adds is counted at one of the two, the one that says more by itself.
     """
     leads = model.weights[:, :-1] - model.weights[:, -1:]
     best = dict(zip(model.features, np.maximum(leads.max(1), 0.0).tolist(), strict=True))
+    crowd = sum(best.pop(f"#{n}", 0.0) for n in CROWDS)
     most: Counter[str] = Counter()
     for gram, added in best.items():
         most[max(gram.split(" "), key=lambda w: (w not in FILLER, best.get(w, 0.0), w))] += added
-    return {w: round(m, 5) for w, m in most.items() if m > 0}, math.log(model.least / (1 - model.least)) - float((model.bias[:-1] - model.bias[-1]).max()) - 1e-3
+    least = max(math.log(model.least / (1 - model.least)), 0.0)  # at least as likely as unknown
+    return {w: round(m, 5) for w, m in most.items() if m > 0}, least - float((model.bias[:-1] - model.bias[-1]).max()) - crowd - 1e-3
 
 
 def places(features: dict[str, int]) -> list[Column]:
@@ -240,67 +283,94 @@ def pairs_of(w: Column) -> Column:
     return F.array_distinct(F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>")))
 
 
-def units_of(lines: Column) -> Column:
-    """Of a column of lines: each by itself, and the wrapped paragraphs, with their lines in parts."""
-    full = lambda i: F.length(F.trim(F.get(lines, i))) > 0
-    numbers = F.sequence(F.lit(0), F.size(lines) - 1)
-    starts = F.filter(numbers, lambda i: full(i) & ((i == 0) | ~full(i - 1)))
-    ends = F.filter(numbers, lambda i: full(i) & ((i == F.size(lines) - 1) | ~full(i + 1)))
-    unit = lambda at, body, parts: F.struct(at.alias("paragraph"), F.greatest(F.size(parts), F.lit(1)).alias("lines"), body.alias("body"), parts.alias("parts"))
-    runs = F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda x: F.struct(x["s"].alias("s"), F.slice(lines, x["s"] + 1, x["e"] - x["s"] + 1).alias("parts")))
-    wrapped = F.transform(F.filter(runs, lambda x: F.size(x["parts"]) > 1), lambda x: unit(x["s"], F.array_join(x["parts"], " "), x["parts"]))
-    return F.concat(F.transform(lines, lambda t, i: unit(i, t, F.array().cast("array<string>"))), wrapped)
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression in which a value is worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def scan(documents: DataFrame, model: Model | None = None) -> DataFrame:
-    """Per licence paragraph: doc_id, paragraph (its first line, from 0), lines, family, probability, similarity, confirmed."""
-    model = model or train(samples())
-    k = len(model.families) + 1
-    most, needed = most_added(model)
-    telling, gains = constant(list(most), "string"), constant(list(most.values()), "double")
+def added_by(words: Column, table: Column) -> Column:
+    """The most that words add to any lead; words that share a slot count as the one of them that adds most."""
+    return F.aggregate(words, F.lit(0.0), lambda s, w: s + F.get(table, slot(w)))
 
-    def may_lead(w: Column) -> Column:
-        return F.aggregate(F.array_intersect(w, telling), F.lit(0.0), lambda s, t: s + F.get(gains, F.array_position(telling, t).cast("int") - 1)) >= needed
 
-    docs = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.where(worded(F.col("text")) | may_lead(F.split(F.lower("text"), "[^a-z0-9]+", -1)))
-    docs = docs.select("doc_id", F.split("text", "\n", -1).alias("lines"))
-    chosen = docs.select("doc_id", F.explode_outer(units_of(F.col("lines"))).alias("x"))
-    chosen = chosen.select("doc_id", "x.*", ((F.col("x.lines") == 1) & worded(F.col("x.body"))).alias("worded"), split_words(F.col("x.body")).alias("w"))
-    chosen = chosen.where(F.col("worded") | may_lead(F.col("w")))
-    chosen = chosen.withColumn("pairs", pairs_of(F.col("w"))).withColumn("grams", F.array_union("w", "pairs"))
-    names = constant(list(model.features), "string")
-    weights = constant(np.ravel(model.weights).tolist(), "double")
-    tables = places(model.features)
+def judged(model: Model) -> Callable[[Column], Column]:
+    """An array of words to (probability, of the likeliest family; guess; leads: whether it is likelier than unknown)."""
+    k = len(model.families) + 1
+    names, weights, bias = constant(list(model.features), "string"), constant(np.ravel(model.weights).tolist(), "double"), constant(model.bias.tolist(), "double")
+    tables, fillers, families = places(model.features), constant(sorted(COMMON), "string"), constant(list(model.families), "string")
 
     def place(g: Column) -> Column:
         found = [F.get(t, slot(g)) for t in tables]
         return F.coalesce(*[F.when(F.get(names, a) == g, a) for a in found], F.lit(-1))
 
-    chosen = chosen.withColumn("at", F.filter(F.transform("grams", place), lambda a: a >= 0))
-    logits = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: F.get(constant(model.bias.tolist(), "double"), c) + F.aggregate("at", F.lit(0.0), lambda s, a: s + F.get(weights, a * k + c)))
-    chosen = chosen.withColumn("logits", logits).withColumn("top", F.array_max("logits"))
-    chosen = chosen.withColumn("odds", F.transform("logits", lambda x: F.exp(x - F.col("top"))))
-    known = F.slice("odds", 1, k - 1)
-    chosen = chosen.withColumn("best", F.array_max(known)).withColumn("which", F.array_position(known, F.array_max(known)).cast("int") - 1)
-    chosen = chosen.withColumn("probability", F.col("best") / F.aggregate("odds", F.lit(0.0), lambda s, x: s + x))
-    chosen = chosen.withColumn("guess", F.get(constant(list(model.families), "string"), F.col("which")))
+    def strange(words: Column) -> Column:
+        return F.size(F.filter(F.array_distinct(words), lambda w: (place(w) < 0) & ~F.array_contains(fillers, w)))
+
+    crowds = [(n, model.features[f"#{n}"]) for n in CROWDS if f"#{n}" in model.features]
+
+    def at(words: Column) -> Column:
+        known = F.filter(F.transform(F.array_union(words, pairs_of(words)), place), lambda a: a >= 0)
+        if not crowds:
+            return known
+        return F.concat(known, bind(strange(words), lambda n: F.filter(F.array(*[F.when(n >= least, F.lit(a)).otherwise(-1) for least, a in crowds]), lambda a: a >= 0)))
+
+    def logits(places_: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: F.get(bias, c) + F.aggregate(places_, F.lit(0.0), lambda s, a: s + F.get(weights, a * k + c)))
+
+    def odds(of: Column) -> Column:
+        return bind(F.array_max(of), lambda top: F.transform(of, lambda x: F.exp(x - top)))
+
+    def verdict(found: Column) -> Column:
+        best = F.array_max(F.slice(found, 1, k - 1))
+        return F.struct((best / F.aggregate(found, F.lit(0.0), lambda s, x: s + x)).alias("probability"), F.get(families, F.array_position(found, best).cast("int") - 1).alias("guess"), (best >= F.get(found, F.lit(k - 1))).alias("leads"))
+
+    return lambda words: bind(at(words), lambda a: bind(logits(a), lambda x: bind(odds(x), verdict)))
+
+
+def scan(documents: DataFrame, model: Model | None = None) -> DataFrame:
+    """Per licence paragraph: doc_id, paragraph (its first line, from 0), lines, family, probability, similarity, confirmed."""
+    model = model or train(samples())
+    most, needed = most_added(model)
+    slots: dict[int, float] = {}
+    for word, gain in most.items():
+        s = zlib.crc32(word.encode()) % SLOTS
+        slots[s] = max(slots.get(s, 0.0), gain)
+    gains, judge = constant([slots.get(s, 0.0) for s in range(SLOTS)], "double"), judged(model)
+
+    def sure(verdict: Column) -> Column:
+        return (verdict["probability"] >= model.least) & verdict["leads"]
+
+    docs = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.select("doc_id", worded(F.col("text")).alias("may"), F.split("text", r"\r\n|\n|\r", -1).alias("text_lines"))
+    docs = docs.withColumn("words", F.transform("text_lines", split_words)).withColumn("gains", F.transform("words", lambda w: added_by(w, gains)))
+    docs = docs.where(F.col("may") | (F.aggregate("gains", F.lit(0.0), lambda s, g: s + g) >= needed))
+    unit = lambda at, n, named, w, parts: F.struct(at.alias("paragraph"), n.alias("lines"), named.alias("worded"), w.alias("w"), parts.alias("parts"))
+    none = F.array().cast("array<array<string>>")
+    numbers = F.sequence(F.lit(0), F.size("text_lines") - 1)
+    named = lambda i: F.col("may") & worded(F.get("text_lines", i))
+    single = F.filter(F.transform(numbers, lambda i: F.struct(i.alias("at"), named(i).alias("worded"))), lambda x: x["worded"] | (F.get("gains", x["at"]) >= needed))
+    singles = F.transform(single, lambda x: unit(x["at"], F.lit(1), x["worded"], F.get("words", x["at"]), none))
+    full = lambda i: F.length(F.btrim(F.get("text_lines", i), F.lit(" \t\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"))) > 0
+    starts = F.filter(numbers, lambda i: full(i) & ((i == 0) | ~full(i - 1)))
+    ends = F.filter(numbers, lambda i: full(i) & ((i == F.size("text_lines") - 1) | ~full(i + 1)))
+    runs = F.filter(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda x: (x["e"] > x["s"]) & (F.aggregate(F.slice("gains", x["s"] + 1, x["e"] - x["s"] + 1), F.lit(0.0), lambda s, g: s + g) >= needed))
+    wrapped = F.transform(runs, lambda x: bind(F.slice("words", x["s"] + 1, x["e"] - x["s"] + 1), lambda parts: unit(x["s"], F.size(parts), F.lit(False), F.flatten(parts), parts)))
+    chosen = docs.select("doc_id", F.explode_outer(F.concat(singles, wrapped)).alias("x")).select("doc_id", "x.*")
+    chosen = chosen.withColumn("pairs", pairs_of(F.col("w"))).withColumn("verdict", judge(F.col("w")))
 
-    def likeness(pairs: Column) -> Column:
+    def likeness(pairs: Column, guess: Column) -> Column:
         """The largest share of a template of the guessed family that stands in a unit."""
         out = F.lit(0.0)
         for family in model.families:
             shares = [F.size(F.array_intersect(pairs, constant(own, "string"))) / F.lit(float(len(own))) for own in template_pairs(family)]
             if shares:
-                out = F.when(F.col("guess") == family, F.greatest(*shares, F.lit(0.0))).otherwise(out)
+                out = F.when(guess == family, F.greatest(*shares, F.lit(0.0))).otherwise(out)
         return out
 
-    chosen = chosen.withColumn("similarity", likeness(F.col("pairs")))
-    alike = F.col("similarity") >= ALIKE
-    by_line = F.transform(F.transform("parts", split_words), pairs_of)  # one after the other, or words would be split again for each pair
-    across = alike & ~F.exists(by_line, lambda pairs: likeness(pairs) >= ALIKE)
-    chosen = chosen.withColumn("sure", F.when(F.col("lines") == 1, F.col("probability") >= model.least).otherwise(F.when(alike, across).otherwise(F.lit(False))))
-    row = F.struct("doc_id", "paragraph", "lines", F.when(F.col("sure"), F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability", "similarity", (F.col("sure") & alike).alias("confirmed"))
+    chosen = chosen.withColumn("similarity", likeness(F.col("pairs"), F.col("verdict.guess")))
+    across = (F.col("lines") == 1) | ~F.exists("parts", lambda w: sure(judge(w)))  # only asked where the whole is sure
+    chosen = chosen.withColumn("sure", F.when(sure(F.col("verdict")), across).otherwise(F.lit(False)))
+    row = F.struct("doc_id", "paragraph", "lines", F.when(F.col("sure"), F.col("verdict.guess")).otherwise(UNKNOWN).alias("family"), F.col("verdict.probability").alias("probability"), "similarity", (F.col("sure") & (F.col("similarity") >= ALIKE)).alias("confirmed"))
     # through explode, as a filter on the score would be pushed down with a copy of every expression below it
     return chosen.select(F.explode_outer(F.array(F.when(F.col("worded") | F.col("sure"), row))).alias("row")).where(F.col("row").isNotNull()).select("row.*")
 
