@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from vectorloom import errors
 from vectorloom.streaming import denstream as S
+from vectorloom.streaming import minibatch
 from vectorloom.streaming.minibatch import MiniBatchKMeans
 
 
@@ -85,3 +86,70 @@ def test_denstream_errors():
     with pytest.raises(errors.DimensionMismatch):
         S.step(s, np.array([1.0, 2.0]), p)
     assert S.DenStreamState.from_json(s.to_json()).outlier[0].weight == 1.0 and F is not None
+
+
+def events(spark, rows=600):
+    """A part of the smallest events table, as three models' streams."""
+    given = spark.read.parquet("/root/testdata/sf0.001/events.parquet").where(F.col("event_id") < rows)
+    return given.select((F.col("user_id") % 3).alias("model"), F.col("event_id").alias("seq"), F.array(F.log1p("value"), (F.length("event_type") / 10).cast("double")).alias("features"))
+
+
+def run(spark, folder, name, **options):
+    source = spark.readStream.schema("model long, seq long, features array<double>").parquet(f"{folder}/in/*")
+    out = minibatch.learn(source, **options)
+    q = minibatch.started(spark, out.writeStream.format("parquet").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/{name}-checkpoint").trigger(availableNow=True))
+    q.awaitTermination()
+    return f"{folder}/{name}-checkpoint"
+
+
+@pytest.mark.parametrize("options", [{"k": 2, "initial": ((1.0, 0.5), (4.0, 0.5))}, {"k": 3, "seed": 5}])
+def test_learner_goes_on_from_its_checkpoint(spark, tmp_path, options):
+    """Stopped after each part and started again, models and labels are those of one fold over the whole."""
+    p = events(spark)
+    cuts = [0, 3, 200, 410, 600]  # the first part is too small to seed from
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        p.where(f"seq >= {a} and seq < {b}").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        checkpoint = run(spark, str(tmp_path), "stepwise", **options)
+    batches = {r["batch"] for r in minibatch.models(spark, checkpoint).collect()}
+    assert batches == {3}
+    found = {(r["model"], r["seq"]): r["label"] for r in spark.read.parquet(f"{tmp_path}/stepwise").collect()}
+    assert len(found) == p.count() == spark.read.parquet(f"{tmp_path}/stepwise").count()
+    last = {r["model"]: (r["counts"], np.array([list(c) for c in r["centroids"]])) for r in minibatch.models(spark, checkpoint).collect()}
+    for model in range(3):
+        rows = sorted((r["seq"], r["features"]) for r in p.where(f"model = {model}").collect())
+        x = np.array([f for _, f in rows])
+        if "initial" in options:
+            c, n = np.array(options["initial"]), np.zeros(2, np.int64)
+            labels = minibatch.pull(c, n, x, minibatch.SQUARED_EUCLIDEAN)
+            assert [found[model, s] for s, _ in rows] == labels.tolist()
+            assert last[model][0] == n.tolist() and np.allclose(last[model][1], c)
+        assert sum(last[model][0]) == len(rows)
+    again = minibatch.predict(p, minibatch.models(spark, checkpoint))
+    for r in again.collect():
+        d = ((last[r["model"]][1] - np.array(r["features"])) ** 2).sum(1)
+        assert r["label"] == d.argmin()
+
+
+def test_minibatch_stream_restarts_with_its_model(spark, tmp_path):
+    source = lambda: spark.readStream.schema("seq long, features array<double>").parquet(f"{tmp_path}/in/*")
+    seen = []
+    for k in range(3):
+        stream(spark, np.arange(5.0) + 10 * k).drop("tenant").write.parquet(f"{tmp_path}/in/{k}")
+        m = MiniBatchKMeans(1)
+        q = m.start(source(), f"{tmp_path}/checkpoint", lambda labels, number: seen.append((number, labels.count())))
+        assert (m.counts is None) == (k == 0)
+        q.processAllAvailable()
+        q.stop()
+        assert m.counts.tolist() == [5 * (k + 1)] and m.centroids[0][0] == pytest.approx(2 + 5 * k)
+    assert seen == [(0, 5), (1, 5), (2, 5)]
+
+
+def test_learner_refuses(spark, tmp_path):
+    with pytest.raises(errors.InvalidParameter):
+        minibatch.learn(events(spark), 0)
+    with pytest.raises(errors.InvalidParameter):
+        minibatch.learn(events(spark), 2, initial=((0.0, 0.0),))
+    for k, (name, features) in enumerate((("NonFinite", [float("nan"), 1.0]), ("DimensionMismatch", [1.0]))):
+        spark.createDataFrame([(0, 0, [1.0, 2.0]), (0, 1, features)], "model long, seq long, features array<double>").write.parquet(f"{tmp_path}/{k}/in/0")
+        with pytest.raises(Exception, match=name):
+            run(spark, f"{tmp_path}/{k}", "bad", k=1)
