@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from vectorloom import errors
 from vectorloom.streaming import denstream as S
-from vectorloom.streaming import minibatch
+from vectorloom.streaming import minibatch, summaries
 from vectorloom.streaming.minibatch import MiniBatchKMeans
 
 
@@ -153,3 +153,37 @@ def test_learner_refuses(spark, tmp_path):
         spark.createDataFrame([(0, 0, [1.0, 2.0]), (0, 1, features)], "model long, seq long, features array<double>").write.parquet(f"{tmp_path}/{k}/in/0")
         with pytest.raises(Exception, match=name):
             run(spark, f"{tmp_path}/{k}", "bad", k=1)
+
+
+def test_a_stream_in_parts(spark):
+    """One tenant in 8 parts: all sums are those of all points, every micro-cluster is narrow, and far spots stay apart."""
+    r = np.random.default_rng(6)
+    x = np.concatenate([r.normal(c, 0.05, (300, 2)) for c in (0.0, 5.0, 9.0)])[r.permutation(900)]
+    p = S.DenStreamParams(0.4, 3, beta=0.5, decay=0.01, mu=4.0)
+    one, other = stream(spark, x, 7), stream(spark, x[:40], 8)
+    partial = summaries.in_parts(one.unionAll(other), p, 8)
+    assert partial.where("tenant = 7").select("slot").distinct().count() >= 7
+    found = summaries.summarise(one.unionAll(other), p, 8).collect()
+    for tenant, rows in ((7, x), (8, x[:40])):
+        mine = [f for f in found if f["tenant"] == tenant]
+        f = 2.0 ** (-p.decay * (len(rows) - np.arange(1, len(rows) + 1)))
+        assert sum(m["n"] for m in mine) == len(rows) and sum(m["weight"] for m in mine) == pytest.approx(f.sum())
+        assert np.allclose(sum(np.array(m["ls"]) for m in mine), (rows * f[:, None]).sum(0))
+        assert np.allclose(sum(np.array(m["ss"]) for m in mine), (rows**2 * f[:, None]).sum(0))
+        assert all(m["radius"] <= p.epsilon + 1e-9 for m in mine) and len(mine) == 3
+        assert sorted(round(m["centre"][0]) for m in mine) == [0, 5, 9] and [m["mc_id"] for m in sorted(mine, key=lambda m: m["born"])] == [0, 1, 2]
+    whole = {round(m["centre"][0]): m for m in found if m["tenant"] == 7}
+    single = {round(m["centre"][0]): m for m in summaries.summarise(one, p, 1).collect()}
+    for spot, m in whole.items():
+        assert m["n"] == single[spot]["n"] == 300 and m["weight"] == pytest.approx(single[spot]["weight"]) and m["born"] == single[spot]["born"]
+    labels = {r["mc_id"]: r["label"] for r in S.macro_clusters(summaries.potential(summaries.summarise(one, p, 8)).drop("tenant"), p).collect()}
+    assert sorted(labels.values()) == [0, 1, 2]
+
+
+def test_summaries_of_nothing_and_of_light_points(spark):
+    p = S.DenStreamParams(0.4, 3, beta=0.5, decay=0.05, mu=4.0)
+    assert summaries.summarise(stream(spark, []).limit(0), p).count() == 0
+    found = {round(m["centre"][0]): m["kind"] for m in summaries.summarise(stream(spark, [9.0] + [0.0] * 30 + [5.0]), p, 4).collect()}
+    assert found == {9: "dropped", 0: "potential", 5: "outlier"}
+    with pytest.raises(Exception, match="NonFinite"):
+        summaries.summarise(stream(spark, [1.0, float("nan")]), p).collect()

@@ -24,6 +24,7 @@ from ..functions import vectors as V
 from ..functions.distance import EUCLIDEAN, SQUARED_EUCLIDEAN, Metric
 from ..operators.dbscan import DBSCAN
 from ..operators.graph import connected_components, rank_components
+from ..operators.pairs import both_ways, range_join
 
 NOISE = -1
 
@@ -273,10 +274,10 @@ def macro_clusters(clusters: DataFrame, params: DenStreamParams) -> DataFrame:
     """
     if clusters.isEmpty():
         raise EmptyInput("no potential micro-cluster")
-    a = clusters.select(F.col("mc_id").alias("i"), F.col("centre").alias("x"), F.col("radius").alias("r_i"), (F.col("weight") >= params.mu).alias("heavy_i"))
-    b = clusters.select(F.col("mc_id").alias("j"), F.col("centre").alias("y"), F.col("radius").alias("r_j"), (F.col("weight") >= params.mu).alias("heavy_j"))
-    d = EUCLIDEAN.column(F.col("x"), F.col("y"))
-    near = a.join(b, F.col("i") != F.col("j")).withColumn("d", d).where((F.col("d") <= params.reach) & (F.col("d") <= F.col("r_i") + F.col("r_j")))
+    given = clusters.select(F.col("mc_id").cast("long").alias("id"), F.col("centre").alias("features"))
+    facts = lambda end: clusters.select(F.col("mc_id").alias(end), F.col("radius").alias(f"r_{end}"), (F.col("weight") >= params.mu).alias(f"heavy_{end}"))
+    a = facts("i")
+    near = both_ways(range_join(given, params.reach)).join(a, "i").join(facts("j"), "j").where(F.col("distance") <= F.col("r_i") + F.col("r_j"))
     core = a.where("heavy_i").select(F.col("i").alias("id"))
     found = connected_components(near.where("heavy_i and heavy_j").select("i", "j"))
     seeds = core.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
