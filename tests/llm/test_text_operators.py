@@ -663,6 +663,7 @@ def test_short_license_notices(spark):
 def test_license_bound_is_sound():
     model = license_scan.train(license_scan.samples())
     most, needed = license_scan.most_added(model)
+    by_family, needs = license_scan.most_by_family(model)
     r = random.Random(4)
     words = sorted({w for g in model.features for w in g.split()})
     texts = [t for t, _, _ in license_scan.samples(copies=3, seed=9)] + [" ".join(r.choices(words, k=r.randint(1, 25))) for _ in range(3000)]
@@ -671,6 +672,8 @@ def test_license_bound_is_sound():
         if license_scorer(model, text)[0] != license_scan.UNKNOWN:
             sure += 1
             assert sum(most.get(w, 0.0) for w in set(license_scan.words_of(text))) >= needed
+            k = model.families.index(license_scorer(model, text)[0])
+            assert sum(by_family[w][k] for w in set(license_scan.words_of(text)) if w in by_family) >= needs[k]
     assert sure > 100
 
 

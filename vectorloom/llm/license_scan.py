@@ -15,7 +15,7 @@ A line gives a row if a family is sure in it or it holds a licence word (``WORDS
 gives one if a family is sure in it and in none of its lines alone.
 Scores are only worked out where they can matter: a unit in which the most that its words can add to any
 family's lead, alone and with the word after them, falls short of the least probability can't reach it.
-Each word's most is looked up once, by a hash, and lines and paragraphs add up those of their words.
+The few words of a text that add anything are found once, and lines and paragraphs add up those they hold.
 
 Scoring is a DataFrame expression over one row at a time: no shuffle, no Python on executors. The
 model is a constant of at most ``FEATURES`` rows.
@@ -259,6 +259,23 @@ def most_added(model: Model) -> tuple[dict[str, float], float]:
     return {w: round(m, 5) for w, m in most.items() if m > 0}, least - float((model.bias[:-1] - model.bias[-1]).max()) - crowd - 1e-3
 
 
+def most_by_family(model: Model) -> tuple[dict[str, list[float]], list[float]]:
+    """What ``most_added`` gives, for each family by itself."""
+    leads = np.maximum(model.weights[:, :-1] - model.weights[:, -1:], 0.0)
+    best = dict(zip(model.features, leads.max(1).tolist(), strict=True))
+    by_word: dict[str, np.ndarray] = {}
+    crowd = np.zeros(leads.shape[1])
+    for gram, k in model.features.items():
+        if gram[0] == "#":
+            crowd += leads[k]
+        else:
+            word = max(gram.split(" "), key=lambda w: (w not in FILLER, best.get(w, 0.0), w))
+            by_word[word] = by_word.get(word, 0.0) + leads[k]
+    least = max(math.log(model.least / (1 - model.least)), 0.0)
+    needed = least - (model.bias[:-1] - model.bias[-1]) - crowd - 1e-3
+    return {w: np.round(v, 5).tolist() for w, v in by_word.items() if v.max() > 0}, needed.tolist()
+
+
 def places(features: dict[str, int]) -> list[Column]:
     """Arrays that hold, by slot, the places of the features there; one array for each feature that shares a slot."""
     held: dict[int, list[int]] = {}
@@ -288,11 +305,6 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def added_by(words: Column, table: Column) -> Column:
-    """The most that words add to any lead; words that share a slot count as the one of them that adds most."""
-    return F.aggregate(words, F.lit(0.0), lambda s, w: s + F.get(table, slot(w)))
-
-
 def judged(model: Model) -> Callable[[Column], Column]:
     """An array of words to (probability, of the likeliest family; guess; leads: whether it is likelier than unknown)."""
     k = len(model.families) + 1
@@ -331,29 +343,42 @@ def scan(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """Per licence paragraph: doc_id, paragraph (its first line, from 0), lines, family, probability, similarity, confirmed."""
     model = model or train(samples())
     most, needed = most_added(model)
-    slots: dict[int, float] = {}
-    for word, gain in most.items():
-        s = zlib.crc32(word.encode()) % SLOTS
-        slots[s] = max(slots.get(s, 0.0), gain)
-    gains, judge = constant([slots.get(s, 0.0) for s in range(SLOTS)], "double"), judged(model)
+    judge = judged(model)
 
     def sure(verdict: Column) -> Column:
         return (verdict["probability"] >= model.least) & verdict["leads"]
 
     docs = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.select("doc_id", worded(F.col("text")).alias("may"), F.split("text", r"\r\n|\n|\r", -1).alias("text_lines"))
-    docs = docs.withColumn("words", F.transform("text_lines", split_words)).withColumn("gains", F.transform("words", lambda w: added_by(w, gains)))
-    docs = docs.where(F.col("may") | (F.aggregate("gains", F.lit(0.0), lambda s, g: s + g) >= needed))
+    # a text whose distinct words fall short together holds no unit that doesn't; most texts go here
+    telling, each = constant(list(most), "string"), constant(list(most.values()), "double")
+
+    def added(met: Column) -> Column:
+        return F.aggregate(met, F.lit(0.0), lambda s, w: s + F.get(each, F.array_position(telling, w).cast("int") - 1))
+
+    docs = docs.withColumn("met", F.array_intersect(F.split(F.lower("text"), "[^a-z0-9]+", -1), telling))
+    docs = docs.withColumn("may", worded(F.col("text"))).where(F.col("may") | (added(F.col("met")) >= needed))
+    docs = docs.select("doc_id", "may", "met", F.split("text", r"\r\n|\n|\r", -1).alias("text_lines"))
+    docs = docs.withColumn("words", F.transform("text_lines", split_words)).withColumn("hits", F.transform("words", lambda w: F.array_intersect(w, F.col("met"))))
+    by_family, needs = most_by_family(model)
+    k = len(needs)
+    shares, needs = constant([v for w in most for v in by_family.get(w, [0.0] * k)], "double"), constant(needs, "double")
+
+    def may_be_sure(hits: Column) -> Column:
+        """Whether the distinct words of a unit that add anything can be enough for any one family."""
+        at = F.transform(hits, lambda w: (F.array_position(telling, w).cast("int") - 1) * k)
+        each_family = lambda places_: F.exists(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: F.aggregate(places_, F.lit(0.0), lambda s, p: s + F.get(shares, p + f)) >= F.get(needs, f))
+        return (F.size(hits) > 0) & (added(hits) >= needed) & bind(at, each_family)
+
     unit = lambda at, n, named, w, parts: F.struct(at.alias("paragraph"), n.alias("lines"), named.alias("worded"), w.alias("w"), parts.alias("parts"))
     none = F.array().cast("array<array<string>>")
     numbers = F.sequence(F.lit(0), F.size("text_lines") - 1)
     named = lambda i: F.col("may") & worded(F.get("text_lines", i))
-    single = F.filter(F.transform(numbers, lambda i: F.struct(i.alias("at"), named(i).alias("worded"))), lambda x: x["worded"] | (F.get("gains", x["at"]) >= needed))
+    single = F.filter(F.transform(numbers, lambda i: F.struct(i.alias("at"), named(i).alias("worded"))), lambda x: x["worded"] | may_be_sure(F.get("hits", x["at"])))
     singles = F.transform(single, lambda x: unit(x["at"], F.lit(1), x["worded"], F.get("words", x["at"]), none))
     full = lambda i: F.length(F.btrim(F.get("text_lines", i), F.lit(" \t\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"))) > 0
     starts = F.filter(numbers, lambda i: full(i) & ((i == 0) | ~full(i - 1)))
     ends = F.filter(numbers, lambda i: full(i) & ((i == F.size("text_lines") - 1) | ~full(i + 1)))
-    runs = F.filter(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda x: (x["e"] > x["s"]) & (F.aggregate(F.slice("gains", x["s"] + 1, x["e"] - x["s"] + 1), F.lit(0.0), lambda s, g: s + g) >= needed))
+    runs = F.filter(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda x: (x["e"] > x["s"]) & may_be_sure(F.array_distinct(F.flatten(F.slice("hits", x["s"] + 1, x["e"] - x["s"] + 1)))))
     wrapped = F.transform(runs, lambda x: bind(F.slice("words", x["s"] + 1, x["e"] - x["s"] + 1), lambda parts: unit(x["s"], F.size(parts), F.lit(False), F.flatten(parts), parts)))
     chosen = docs.select("doc_id", F.explode_outer(F.concat(singles, wrapped)).alias("x")).select("doc_id", "x.*")
     chosen = chosen.withColumn("pairs", pairs_of(F.col("w"))).withColumn("verdict", judge(F.col("w")))
