@@ -25,6 +25,9 @@ class Metric:
     #: |x_i - y_i| <= bound(distance) for every coordinate, where such a bound exists: what grids and projections rely on.
     bound: Callable[[float], float] | None = None
     nonnegative: bool = True
+    #: How distances come to keep the triangle inequality: "plain" as they are, "root" by their square root, "angle" as the angle whose
+    #: cosine is one less them; None where they don't. What cells of pivots rely on.
+    triangle: str | None = None
 
 
 def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -50,9 +53,9 @@ def _squared_column(x: Column, y: Column) -> Column:
     return V.total(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)))
 
 
-SQUARED_EUCLIDEAN = Metric("sqeuclidean", _squared_column, _squared, bound=lambda d: d**0.5)
-EUCLIDEAN = Metric("euclidean", lambda x, y: F.sqrt(_squared_column(x, y)), lambda x, y: np.sqrt(_squared(x, y)), bound=lambda d: d)
-COSINE = Metric("cosine", _cosine_column, _cosine, normalize_centroids=True)
+SQUARED_EUCLIDEAN = Metric("sqeuclidean", _squared_column, _squared, bound=lambda d: d**0.5, triangle="root")
+EUCLIDEAN = Metric("euclidean", lambda x, y: F.sqrt(_squared_column(x, y)), lambda x, y: np.sqrt(_squared(x, y)), bound=lambda d: d, triangle="plain")
+COSINE = Metric("cosine", _cosine_column, _cosine, normalize_centroids=True, triangle="angle")
 INNER_PRODUCT = Metric("inner", lambda x, y: -V.dot(x, y), lambda x, y: -(x @ y.T), nonnegative=False)
 
 

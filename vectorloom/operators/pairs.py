@@ -107,16 +107,21 @@ def projected(p: DataFrame, axes: np.ndarray) -> DataFrame:
 def range_join(p: DataFrame, epsilon: float, metric: Metric = EUCLIDEAN, plan: str = "auto", dimensions: int | None = None, seed: int = 42) -> DataFrame:
     """(i, j, distance) of pairs i < j at most epsilon apart, the bound included.
 
-    plan: "block" for any metric; "grid" or "projection" where the metric bounds coordinates. "auto" takes
+    plan: "block" for any metric; "pivot" for one that keeps the triangle inequality (``operators.pivots``);
+    "grid" or "projection" where the metric bounds coordinates. "auto" takes
     the grid for few dimensions; beyond, it measures how far the points spread along random axes, and
     takes the projection if its cells leave a pair in ``PRUNES`` or fewer to be looked at, and else blocks.
     """
     if epsilon <= 0:
         raise InvalidParameter("epsilon", "has to be positive")
-    if plan not in ("auto", "block", "grid", "projection"):
-        raise InvalidParameter("plan", "is auto, block, grid or projection")
+    if plan not in ("auto", "block", "grid", "projection", "pivot"):
+        raise InvalidParameter("plan", "is auto, block, grid, projection or pivot")
     if metric.bound is None and plan in ("grid", "projection"):
         raise InvalidParameter("plan", f"{metric.name} bounds no coordinate, so only blocks are exact")
+    if plan == "pivot":
+        from . import pivots
+
+        return pivots.range_join(p, epsilon, metric)[0]
     if plan == "block" or metric.bound is None:
         return pairwise(p, metric, epsilon)
     width = metric.bound(epsilon) * (1 + 1e-9)
@@ -168,10 +173,19 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionAll(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), *[c for c in edges.columns if c not in ("i", "j")]))
 
 
-def knn_join(p: DataFrame, k: int, metric: Metric = EUCLIDEAN, include_self: bool = False) -> DataFrame:
-    """(i, j, distance, rank) of each point's k nearest others (with itself first, if asked); ties by id."""
+def knn_join(p: DataFrame, k: int, metric: Metric = EUCLIDEAN, include_self: bool = False, plan: str = "block") -> DataFrame:
+    """(i, j, distance, rank) of each point's k nearest others (with itself first, if asked); ties by id.
+
+    plan: "block" goes over all pairs; "pivot" over cells that can hold one of them (``operators.pivots``).
+    """
     if k < 1:
         raise InvalidParameter("k", "has to be at least 1")
+    if plan not in ("block", "pivot"):
+        raise InvalidParameter("plan", "is block or pivot")
+    if plan == "pivot":
+        from . import pivots
+
+        return pivots.knn_join(p, k, metric, include_self)[0]
     if metric.block is None:
         found = both_ways(pairwise(p, metric))
         if include_self:
