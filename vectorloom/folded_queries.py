@@ -1,11 +1,11 @@
-"""Queries whose SQL goes step by step: trees, hierarchies, orderings, seeded fits and folds, and small fixed inputs.
+"""Queries whose SQL goes step by step: trees, hierarchies, orderings, seeded fits and folds, and sources.
 
 The SQL of a sequential algorithm is a recursive query whose working table is the algorithm's state.
 """
 
 from __future__ import annotations
 
-import struct
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +17,7 @@ from .models import load, save
 from .operators import constrained, correlation, evaluation, graph, hierarchy, optics, pairs
 from .operators.kmeans import KMeans, cluster_sums, new_centroids, seed_centroids
 from .plans.staging import own_dir
-from .queries import FIRST, K, KNN, MEANS, SQ, E, assigned_to, first_rows, labels, long_form, mean_of, query, rounded, table, vectors
+from .queries import FIRST, K, KNN, MEANS, SQ, E, assigned_to, event_stream, first_rows, labels, long_form, mean_of, query, rounded, table, vectors
 from .sources import points as S
 from .streaming import denstream, minibatch
 
@@ -249,12 +249,19 @@ def scal_density(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(V.inverse(F.col("value")), 6).alias("density"))
 
 
-PERIODS = [(beta / 10, float(mu), rate / 100) for beta in range(2, 11) for mu in (6, 8, 20) for rate in (1, 5, 25)]
+@query("SELECT event_id, CAST(ceil(log2(bm / (bm - 1)) / rate) AS BIGINT) AS period FROM (SELECT event_id, (2 + event_id % 9) / 10 * CAST(6 + user_id % 15 AS DOUBLE) AS bm, (1 + event_id % 25) / 100 AS rate FROM events)")
+def scal_pruning_period(spark, sf_dir):
+    e = F.col("event_id")
+    return table(spark, sf_dir, "events").select("event_id", V.pruning_periods((2 + e % 9) / 10, (6 + F.col("user_id") % 15).cast("double"), (1 + e % 25) / 100).cast("long").alias("period"))
 
 
-@query("SELECT beta, mu, rate, CAST(ceil(log2(beta * mu / (beta * mu - 1)) / rate) AS BIGINT) AS period FROM (VALUES " + ", ".join(f"(CAST({b} AS DOUBLE), CAST({m} AS DOUBLE), CAST({r} AS DOUBLE))" for b, m, r in PERIODS) + ") t(beta, mu, rate)")
-def scal_pruning_period(spark, sf_dir):
-    return spark.createDataFrame([(b, m, r, V.pruning_period(b, m, r)) for b, m, r in PERIODS], "beta double, mu double, rate double, period long")
+MANHATTAN_METRIC = Metric("manhattan", MANHATTAN.column, triangle="plain")
+
+
+@query(f"WITH {E} SELECT a.id AS i, b.id AS j, round(list_sum(list_transform(list_zip(a.f, b.f), lambda z: abs(z[1] - z[2]))), 6) AS distance FROM e a JOIN e b ON a.id < b.id AND list_sum(list_transform(list_zip(a.f, b.f), lambda z: abs(z[1] - z[2]))) <= 7.5")
+def range_join_pivot_custom(spark, sf_dir):
+    """Cells of pivots for a metric that is an expression alone."""
+    return rounded(pairs.range_join(vectors(spark, sf_dir), 7.5, MANHATTAN_METRIC, plan="pivot"), "distance")
 
 
 @query(f"WITH {E}, {FIRST}, d AS (SELECT id, k, {SQ.format('f', 'c')} AS d FROM e, c0) SELECT id, row_number() OVER (PARTITION BY id ORDER BY d, k) - 1 AS rank, k AS cluster, round(d, 6) AS distance FROM d")
@@ -328,37 +335,48 @@ def cop_links(p: DataFrame) -> DataFrame:
 # sources -----------------------------------------------------------------------------------------------
 
 
-@query("SELECT i AS id, d AS position, round(((i * 7 + d * 3) % 11) / 4, 6) AS value FROM range(40) a(i), range(5) b(d)")
+@query(f"WITH {E} SELECT dense_rank() OVER (ORDER BY label) - 1 AS id, x - 1 AS position, round(CAST(CAST(avg(f[x]) AS FLOAT) AS DOUBLE), 7) AS value FROM (SELECT label, f, unnest(range(1, 65)) AS x FROM e) GROUP BY label, x")
 def src_rows(spark, sf_dir):
-    """Nested lists and arrays of either precision give the same points."""
-    array = np.array([[((i * 7 + d * 3) % 11) / 4 for d in range(5)] for i in range(40)])
-    half = S.from_rows(spark, array[:20].astype(np.float32))
-    rest = S.from_rows(spark, array[20:].tolist()).withColumn("id", F.col("id") + 20)
-    return long_form(half.unionAll(rest), "features", "id")
+    """Nested lists and arrays of either precision give the same points: each label's mean vector, from the driver's memory."""
+    array = S.centroids_array(S.points(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").join(labels(spark, sf_dir), "id").transform(lambda p: cluster_means(p)))
+    half = S.from_rows(spark, array[:5].astype(np.float32))
+    rest = S.from_rows(spark, array[5:].tolist()).withColumn("id", F.col("id") + 5)
+    return rounded(long_form(half.unionAll(rest), "features", "id"), "value", digits=7)
 
 
-@query("SELECT i AS id, d AS position, round((((i * 6 + d) * (i * 6 + d)) % 17) / 4, 6) AS value FROM range(40) a(i), range(6) b(d)")
+def cluster_means(p: DataFrame) -> DataFrame:
+    """(cluster, centroid) of rows with a label: few rows, one for each label."""
+    long = p.select("label", F.posexplode("features").alias("position", "v")).groupBy("label", "position").agg(F.avg("v").alias("v"))
+    return long.groupBy(F.col("label").alias("cluster")).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "v"))), lambda x: x["v"]).alias("centroid"))
+
+
+@query(f"WITH {E}, r AS (SELECT label, f, row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS id FROM e) SELECT id, x - 1 AS position, count(*) AS n, round(sum(f[x]), 9) AS value FROM (SELECT id, f, unnest(range(1, 65)) AS x FROM r) GROUP BY id, x")
 def src_flat(spark, sf_dir):
-    flat = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(239)), lambda k: (k * k % 17) / 4.0).alias("flat"))
-    return long_form(S.from_flat(flat, "flat", 6), "features", "id")
+    """Each label's vectors as one row-major array, and its rows again; summed over the labels."""
+    given = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("rows"))
+    flat = given.select(F.flatten(F.transform("rows", lambda r: r["embedding"])).alias("flat"))
+    found = long_form(S.from_flat(flat, "flat", 64), "features", "id")
+    return found.groupBy("id", "position").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 9).alias("value"))
 
 
-@query("SELECT i AS id, CASE WHEN i % 5 = 0 THEN -1 ELSE i % 3 END AS label FROM range(60) a(i)")
+@query(f"WITH {E} SELECT row_number() OVER (ORDER BY id) - 1 AS id, CASE WHEN label = 0 THEN -1 ELSE label END AS label FROM e")
 def src_labels(spark, sf_dir):
     """Labels in, with any negative one as noise, out as an array, and in again."""
-    given = [-(i + 1) if i % 5 == 0 else i % 3 for i in range(60)]
-    return S.from_labels(spark, S.labels_array(S.from_labels(spark, given)))
-
-
-IDX_IMAGES = struct.pack(">iiii", 2051, 6, 3, 4) + bytes((k * 37) % 256 for k in range(72))
-IDX_LABELS = struct.pack(">ii", 2049, 6) + bytes(k % 4 for k in range(6))
+    given = labels(spark, sf_dir).select("id", F.when(F.col("label") == 0, -1 - F.col("id")).otherwise(F.col("label")).alias("label"))
+    return S.from_labels(spark, S.labels_array(S.from_labels(spark, S.labels_array(given))))
 
 
-@query("SELECT i AS id, i % 4 AS label, d AS position, round(((i * 12 + d) * 37) % 256 / 255, 6) AS value FROM range(6) a(i), range(12) b(d)")
+@query(f"WITH {E} SELECT dense_rank() OVER (ORDER BY label) - 1 AS id, label, x - 1 AS position, round((count(*) FILTER (f[x] > 0)) % 256 / 255, 6) AS value FROM (SELECT label, f, unnest(range(1, 65)) AS x FROM e) GROUP BY label, x")
 def src_idx(spark, sf_dir):
-    """Image and label files, from their bytes."""
-    files = [spark.createDataFrame([(bytearray(content),)], "content binary") for content in (IDX_IMAGES, IDX_LABELS)]
-    return long_form(S.idx_points(*files), "features", "id", "label")
+    """Image and label files, from their bytes: for each label, how many vectors are positive in each place, as an image of 8 x 8."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("label"), F.posexplode("embedding").alias("position", "v"))
+    pixel = F.lpad(F.hex(F.count_if(F.col("v") > 0) % 256), 2, "0")
+    images = e.groupBy("label", "position").agg(pixel.alias("pixel")).groupBy("label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "pixel"))), lambda x: x["pixel"]), "").alias("image"))
+    in_order = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("label", c))), lambda x: x[c]), "")
+    count = F.lpad(F.hex(F.count(F.lit(1))), 8, "0")
+    file = lambda head, size, body: F.unhex(F.concat(F.lit(head), count, F.lit(size), body)).alias("content")
+    marked = images.withColumn("mark", F.lpad(F.hex("label"), 2, "0"))
+    return long_form(S.idx_points(marked.agg(file("00000803", "0000000800000008", in_order("image"))), marked.agg(file("00000801", "", in_order("mark")))), "features", "id", "label")
 
 
 @query(f"WITH {E} SELECT label AS cluster, x - 1 AS position, round(avg(f[x]), 6) AS value FROM (SELECT label, f, unnest(range(1, 65)) AS x FROM e) GROUP BY label, x")
@@ -372,107 +390,115 @@ def src_centroids(spark, sf_dir):
 
 # streams -----------------------------------------------------------------------------------------------
 
-STREAM = "q AS (SELECT s, [((s * 7) % 13) / 2, ((s * s) % 11) / 3] AS x FROM range(120) r(s))"
-MB_FOLD = f"""WITH RECURSIVE {STREAM}, f AS (
-  SELECT CAST(-1 AS BIGINT) AS s, CAST(NULL AS BIGINT) AS label, [[0.0::DOUBLE, 0.0], [6.0, 0.0], [3.0, 3.0]] AS c, [0::BIGINT, 0, 0] AS n
+MODELS = ((0.5, 0.5), (2.5, 0.5), (4.0, 0.7))
+MB_FOLD = f"""WITH RECURSIVE q AS (SELECT user_id AS m, event_id AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r, [ln(1 + value), length(event_type) / 10.0] AS x FROM events), f AS (
+  SELECT DISTINCT user_id AS m, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS s, CAST(NULL AS BIGINT) AS label, {[list(c) for c in MODELS]}::DOUBLE[][] AS c, [0::BIGINT, 0, 0] AS n FROM events
   UNION ALL
-  SELECT s, near - 1, list_transform(c, lambda v, i: CASE WHEN i = near THEN list_transform(list_zip(v, x), lambda z: z[1] + (z[2] - z[1]) / (n[near] + 1)) ELSE v END), list_transform(n, lambda v, i: v + CAST(i = near AS BIGINT)) FROM (
-    SELECT *, CAST(list_position(d, list_min(d)) AS BIGINT) AS near FROM (SELECT q.s, q.x, f.c, f.n, list_transform(f.c, lambda v: pow(v[1] - q.x[1], 2) + pow(v[2] - q.x[2], 2)) AS d FROM f JOIN q ON q.s = f.s + 1)))"""
+  SELECT m, r, s, near - 1, list_transform(c, lambda v, i: CASE WHEN i = near THEN list_transform(list_zip(v, x), lambda z: z[1] + (z[2] - z[1]) / (n[near] + 1)) ELSE v END), list_transform(n, lambda v, i: v + CAST(i = near AS BIGINT)) FROM (
+    SELECT *, CAST(list_position(d, list_min(d)) AS BIGINT) AS near FROM (SELECT q.m, q.r, q.s, q.x, f.c, f.n, list_transform(f.c, lambda v: pow(v[1] - q.x[1], 2) + pow(v[2] - q.x[2], 2)) AS d FROM f JOIN q ON q.m = f.m AND q.r = f.r + 1))),
+e AS (SELECT m, max(r) AS r FROM f GROUP BY m)"""
 
 
-def numbers(spark: SparkSession) -> DataFrame:
-    s = F.col("id")
-    return spark.range(120).select(s.alias("seq"), F.array(((s * 7) % 13) / 2, ((s * s) % 11) / 3).alias("features"))
+def models_of_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_stream(spark, sf_dir).select(F.col("tenant").alias("model"), "seq", "features")
 
 
-def folded(spark: SparkSession) -> tuple[minibatch.MiniBatchKMeans, DataFrame]:
-    """Three batches, the second of one point."""
-    model = minibatch.MiniBatchKMeans(3, centroids=np.array([[0.0, 0.0], [6.0, 0.0], [3.0, 3.0]]), counts=np.zeros(3, np.int64))
-    rows = numbers(spark)
-    parts = [model.partial_fit(rows.where(where)) for where in ("seq < 50", "seq = 50", "seq > 50")]
-    return model, parts[0].unionAll(parts[1]).unionAll(parts[2])
+def streamed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(labels, models) of a model for each user: a stream over the first half of the events, stopped and gone on with from its checkpoint."""
+    folder, rows = f"{own_dir(spark)}/learnt-{uuid.uuid4().hex}", models_of_users(spark, sf_dir)
+    ends = rows.agg(F.min("seq").alias("a"), F.max("seq").alias("b")).first()
+    middle = ((ends["a"] or 0) + (ends["b"] or 0)) // 2
+    for k, part in enumerate((F.col("seq") < middle, F.col("seq") >= middle)):
+        rows.where(part).write.parquet(f"{folder}/in/{k}")
+        learnt = minibatch.learn(spark.readStream.schema(rows.schema).parquet(f"{folder}/in/*"), 3, initial=MODELS)
+        writer = learnt.writeStream.format("parquet").option("path", f"{folder}/labels").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+        minibatch.started(spark, writer).awaitTermination()
+    return spark.read.parquet(f"{folder}/labels"), minibatch.models(spark, f"{folder}/checkpoint")
 
 
-@query(f"{MB_FOLD} SELECT s AS seq, label FROM f WHERE s >= 0")
+@query(f"{MB_FOLD} SELECT m AS model, s AS seq, label FROM f WHERE s IS NOT NULL")
 def minibatch_labels(spark, sf_dir):
-    return folded(spark)[1]
+    return streamed(spark, sf_dir)[0].select("model", "seq", "label")
 
 
-@query(f"{MB_FOLD} SELECT i - 1 AS cluster, n[i] AS n, round(c[i][1], 6) AS x, round(c[i][2], 6) AS y FROM (SELECT c, n, unnest([1, 2, 3]) AS i FROM f WHERE s = 119)")
+@query(f"{MB_FOLD} SELECT m AS model, CAST(i - 1 AS BIGINT) AS cluster, n[i] AS n, round(c[i][1], 9) AS x, round(c[i][2], 9) AS y FROM (SELECT m, c, n, unnest([1, 2, 3]) AS i FROM f JOIN e USING (m, r))")
 def minibatch_state(spark, sf_dir):
-    model, _ = folded(spark)
-    rows = [(k, int(n), *map(float, c)) for k, (n, c) in enumerate(zip(model.counts, model.centroids, strict=True))]
-    return rounded(spark.createDataFrame(rows, "cluster long, n long, x double, y double"), "x", "y")
+    """What the state store holds at the end."""
+    found = streamed(spark, sf_dir)[1].select("model", F.posexplode(F.arrays_zip("counts", "centroids")).alias("cluster", "v"))
+    return found.select("model", F.col("cluster").cast("long"), F.col("v.counts").alias("n"), *[F.round(F.get("v.centroids", F.lit(k)), 9).alias(c) for k, c in enumerate("xy")])
 
 
-@query(f"{MB_FOLD} SELECT q.s AS seq, CAST(list_position(d, list_min(d)) AS BIGINT) - 1 AS label FROM (SELECT q.s, list_transform(f.c, lambda v: pow(v[1] - q.x[1], 2) + pow(v[2] - q.x[2], 2)) AS d FROM f, q WHERE f.s = 119) q")
+@query(f"{MB_FOLD} SELECT m AS model, s AS seq, CAST(list_position(d, list_min(d)) AS BIGINT) - 1 AS label FROM (SELECT q.m, q.s, list_transform(f.c, lambda v: pow(v[1] - q.x[1], 2) + pow(v[2] - q.x[2], 2)) AS d FROM f JOIN e USING (m, r) JOIN q ON q.m = f.m)")
 def minibatch_predict(spark, sf_dir):
-    return folded(spark)[0].predict(numbers(spark)).select("seq", "label")
+    return minibatch.predict(models_of_users(spark, sf_dir), streamed(spark, sf_dir)[1]).select("model", "seq", "label")
 
 
 SPOT = denstream.DenStreamParams(epsilon=0.5, min_points=3, beta=0.5, decay=0.05, mu=6.0, period=1000, buffer=0)
-SPOTS = """q AS (SELECT t, s, (t * 5 + s * (t + 2)) % 3 AS spot FROM range(12) a(t), range(60) b(s)),
+KINDS = ("click", "error", "purchase", "signup", "view")
+SPOTS = f"""q AS (SELECT user_id AS t, event_id AS e, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS s, list_position({list(KINDS)}, event_type) - 1 AS spot FROM events),
 fold AS (
-  SELECT t, CAST(-1 AS BIGINT) AS s, CAST(-1 AS BIGINT) AS spot, CAST(-1 AS BIGINT) AS pos, CAST(-1 AS BIGINT) AS mc, [0.0::DOUBLE, 0.0, 0.0] AS w, [-1::BIGINT, -1, -1] AS ids, [-1::BIGINT, -1, -1] AS places, 0::BIGINT AS made, 0::BIGINT AS grown FROM range(12) a(t)
+  SELECT DISTINCT user_id AS t, CAST(NULL AS BIGINT) AS e, CAST(-1 AS BIGINT) AS s, CAST(-1 AS BIGINT) AS spot, CAST(-1 AS BIGINT) AS pos, CAST(-1 AS BIGINT) AS mc, [0.0::DOUBLE, 0.0, 0.0, 0.0, 0.0] AS w, [-1::BIGINT, -1, -1, -1, -1] AS ids, [-1::BIGINT, -1, -1, -1, -1] AS places, 0::BIGINT AS made, 0::BIGINT AS grown FROM events
   UNION ALL
-  SELECT t, s, spot, CASE WHEN now > 3 OR places[spot + 1] >= 0 THEN CASE WHEN places[spot + 1] >= 0 THEN places[spot + 1] ELSE grown END ELSE -1 END, CASE WHEN now > 3 OR places[spot + 1] >= 0 THEN ids[spot + 1] ELSE -1 END,
+  SELECT t, e, s, spot, CASE WHEN now > 3 OR places[spot + 1] >= 0 THEN CASE WHEN places[spot + 1] >= 0 THEN places[spot + 1] ELSE grown END ELSE -1 END, CASE WHEN now > 3 OR places[spot + 1] >= 0 THEN ids[spot + 1] ELSE -1 END,
     list_transform(old, lambda v, i: CASE WHEN i = spot + 1 THEN now ELSE v END), ids, list_transform(places, lambda v, i: CASE WHEN i = spot + 1 AND v < 0 AND now > 3 THEN grown ELSE v END), made, grown + CAST(places[spot + 1] < 0 AND now > 3 AS BIGINT) FROM (
-    SELECT t, s, spot, old, old[spot + 1] + 1 AS now, list_transform(ids, lambda v, i: CASE WHEN i = spot + 1 AND v < 0 THEN made ELSE v END) AS ids, places, made + CAST(ids[spot + 1] < 0 AS BIGINT) AS made, grown FROM (
-      SELECT q.t, q.s, q.spot, list_transform(f.w, lambda v: v * pow(2, -0.05)) AS old, f.ids, f.places, f.made, f.grown FROM fold f JOIN q ON q.t = f.t AND q.s = f.s + 1)))"""
+    SELECT t, e, s, spot, old, old[spot + 1] + 1 AS now, list_transform(ids, lambda v, i: CASE WHEN i = spot + 1 AND v < 0 THEN made ELSE v END) AS ids, places, made + CAST(ids[spot + 1] < 0 AS BIGINT) AS made, grown FROM (
+      SELECT q.t, q.e, q.s, q.spot, list_transform(f.w, lambda v: v * pow(2, -0.05)) AS old, f.ids, f.places, f.made, f.grown FROM fold f JOIN q ON q.t = f.t AND q.s = f.s + 1))),
+final AS (SELECT t, max(s) AS s FROM fold GROUP BY t)"""
 
 
-def spots(spark: SparkSession) -> DataFrame:
-    """Streams of points on three far spots: (tenant, seq, features)."""
-    t, s = F.col("t"), F.col("s")
-    rows = spark.range(12).select(F.col("id").alias("t")).crossJoin(spark.range(60).select(F.col("id").alias("s")))
-    return rows.select(t.alias("tenant"), s.alias("seq"), F.array(((t * 5 + s * (t + 2)) % 3 * 10).cast("double")).alias("features"))
+def spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as points on far spots, one for each kind: (tenant, seq, features)."""
+    place = (F.array_position(F.array(*map(F.lit, KINDS)), F.col("event_type")) - 1) * 10
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("tenant"), F.col("event_id").alias("seq"), F.array(place.cast("double")).alias("features"))
 
 
-@query(f"WITH RECURSIVE {SPOTS} SELECT t AS tenant, s AS seq, pos AS position, mc AS mc_id FROM fold WHERE s >= 0")
+@query(f"WITH RECURSIVE {SPOTS} SELECT t AS tenant, e AS seq, pos AS position, mc AS mc_id FROM fold WHERE s >= 0")
 def denstream_spots(spark, sf_dir):
     """The online step: micro-clusters come to be, decay, and are promoted."""
-    return denstream.replay(spots(spark), SPOT).drop("state")
+    return denstream.replay(spots(spark, sf_dir), SPOT).drop("state")
 
 
-@query(f"WITH RECURSIVE {SPOTS} SELECT t AS tenant, mc_id, round(weight, 6) AS weight, round(spot * 10, 6) AS centre FROM (SELECT t, unnest(ids) AS mc_id, unnest(places) AS place, unnest(w) AS weight, unnest([0, 1, 2]) AS spot FROM fold WHERE s = 59) WHERE place >= 0")
+@query(f"WITH RECURSIVE {SPOTS} SELECT t AS tenant, mc_id, round(weight, 6) AS weight, round(CAST(spot * 10 AS DOUBLE), 6) AS centre FROM (SELECT t, unnest(ids) AS mc_id, unnest(places) AS place, unnest(w) AS weight, unnest([0, 1, 2, 3, 4]) AS spot FROM fold JOIN final USING (t, s)) WHERE place >= 0")
 def denstream_weights(spark, sf_dir):
-    found = denstream.snapshot(denstream.replay(spots(spark), SPOT), SPOT)
+    found = denstream.snapshot(denstream.replay(spots(spark, sf_dir), SPOT), SPOT)
     return found.select("tenant", "mc_id", F.round("weight", 6).alias("weight"), F.round(F.get("centre", F.lit(0)), 6).alias("centre"))
 
 
-MACRO = denstream.DenStreamParams(epsilon=0.5, min_points=2, beta=0.5, mu=4.0, macro_epsilon=1.0)
-MC_SQL = "mc AS (SELECT id, CAST((id * 17) % 101 AS DOUBLE) / 3 AS x, 0.1 + ((id * 5) % 7) / 10 AS r, 2 + (id * 3) % 5 AS w FROM range(80) a(id))"
+MACRO = denstream.DenStreamParams(epsilon=0.2, min_points=3, beta=0.5, mu=66.0, macro_epsilon=0.25)
+MC_SQL = "mc AS (SELECT user_id AS id, avg(value) AS x, stddev_pop(value) / 400 AS r, count(*) AS w FROM events GROUP BY user_id)"
 
 
-def micro_clusters(spark: SparkSession) -> DataFrame:
-    i = F.col("id")
-    return spark.range(80).select(i.alias("mc_id"), F.lit(3).cast("long").alias("n"), (2 + (i * 3) % 5).cast("double").alias("weight"), F.array(((i * 17) % 101).cast("double") / 3).alias("centre"), (0.1 + ((i * 5) % 7) / 10).alias("radius"))
+def micro_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A micro-cluster for each user, of the values of its events."""
+    found = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("mc_id")).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"))
+    return found.select("mc_id", "n", F.col("n").cast("double").alias("weight"), F.array("mean").alias("centre"), (F.col("deviation") / 400).alias("radius"))
 
 
 @query(
-    f"WITH RECURSIVE {MC_SQL}, n AS (SELECT a.id AS i, b.id AS j, a.w >= 4 AS hi, b.w >= 4 AS hj FROM mc a JOIN mc b ON a.id <> b.id AND abs(a.x - b.x) <= 1 AND abs(a.x - b.x) <= a.r + b.r), "
-    "t AS (SELECT id AS v, id AS c FROM mc WHERE w >= 4 UNION SELECT n.j, t.c FROM t JOIN n ON n.i = t.v AND hi AND hj WHERE t.c < n.j), cmp AS (SELECT v, min(c) AS c FROM t GROUP BY v), "
+    f"WITH RECURSIVE {MC_SQL}, n AS (SELECT a.id AS i, b.id AS j, a.w >= 66 AS hi, b.w >= 66 AS hj FROM mc a JOIN mc b ON a.id <> b.id AND abs(a.x - b.x) <= 0.25 AND abs(a.x - b.x) <= a.r + b.r), "
+    "t AS (SELECT id AS v, id AS c FROM mc WHERE w >= 66 UNION SELECT n.j, t.c FROM t JOIN n ON n.i = t.v AND hi AND hj WHERE t.c < n.j), cmp AS (SELECT v, min(c) AS c FROM t GROUP BY v), "
     "rk AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS label FROM (SELECT DISTINCT c FROM cmp)), lab AS (SELECT v AS id, label FROM cmp JOIN rk USING (c)), "
     "light AS (SELECT n.i AS id, min(lab.label) AS label FROM n JOIN lab ON lab.id = n.j WHERE NOT hi GROUP BY n.i) SELECT mc.id AS mc_id, coalesce(lab.label, light.label, -1) AS label FROM mc LEFT JOIN lab USING (id) LEFT JOIN light USING (id)"
 )
 def denstream_macro_graph(spark, sf_dir):
     """Macro-clusters of given micro-clusters."""
-    return denstream.macro_clusters(micro_clusters(spark), MACRO)
+    return denstream.macro_clusters(micro_clusters(spark, sf_dir), MACRO)
 
 
-@query(f"WITH {MC_SQL}, q AS (SELECT s, CAST(s AS DOUBLE) / 4 AS x FROM range(150) b(s)), d AS (SELECT q.s, mc.id, abs(q.x - mc.x) AS d, row_number() OVER (PARTITION BY q.s ORDER BY abs(q.x - mc.x), mc.id) AS r FROM q, mc) SELECT s AS id, CASE WHEN d <= 0.5 THEN id ELSE -1 END AS label FROM d WHERE r = 1")
+@query(f"WITH {MC_SQL}, k AS (SELECT id, x, row_number() OVER (ORDER BY id) - 1 AS place FROM mc), d AS (SELECT event_id, place, abs(value - x) AS d, row_number() OVER (PARTITION BY event_id ORDER BY abs(value - x), place) AS r FROM events, k) SELECT event_id AS id, CASE WHEN d <= 0.2 THEN place ELSE -1 END AS label FROM d WHERE r = 1")
 def denstream_predict(spark, sf_dir):
-    points = spark.range(150).select("id", F.array(F.col("id") / 4).alias("features"))
-    return denstream.predict(points, micro_clusters(spark), MACRO).select("id", "label")
+    points = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.array("value").alias("features"))
+    return denstream.predict(points, micro_clusters(spark, sf_dir), MACRO).select("id", "label")
 
 
 @query(
-    f"WITH RECURSIVE {MC_SQL}, n AS (SELECT a.id AS i, b.id AS j FROM mc a JOIN mc b ON a.id <> b.id AND abs(a.x - b.x) <= 1), core AS (SELECT i AS id FROM n GROUP BY i HAVING count(*) + 1 >= 2), "
-    "t AS (SELECT id AS v, id AS c FROM core UNION SELECT n.j, t.c FROM t JOIN n ON n.i = t.v WHERE t.c < n.j), cmp AS (SELECT v, min(c) AS c FROM t GROUP BY v), rk AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS label FROM (SELECT DISTINCT c FROM cmp)) "
-    "SELECT mc.id AS mc_id, coalesce(label, -1) AS label FROM mc LEFT JOIN cmp ON v = id LEFT JOIN rk USING (c)"
+    f"WITH RECURSIVE {MC_SQL}, n AS (SELECT a.id AS i, b.id AS j FROM mc a JOIN mc b ON a.id <> b.id AND abs(a.x - b.x) <= 0.25), core AS (SELECT i AS id FROM n GROUP BY i HAVING count(*) + 1 >= 3), "
+    "t AS (SELECT id AS v, id AS c FROM core UNION SELECT n.j, t.c FROM t JOIN n ON n.i = t.v JOIN core ON core.id = n.j WHERE t.c < n.j), cc AS (SELECT v, min(c) AS c FROM t GROUP BY v), rk AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS label FROM (SELECT DISTINCT c FROM cc)), "
+    "near AS (SELECT n.i AS v, min(rk.label) AS label FROM n JOIN cc ON cc.v = n.j JOIN rk USING (c) WHERE n.i NOT IN (SELECT id FROM core) GROUP BY n.i), lab AS (SELECT v, label FROM cc JOIN rk USING (c) UNION ALL SELECT v, label FROM near) "
+    "SELECT mc.id AS mc_id, coalesce(label, -1) AS label FROM mc LEFT JOIN lab ON v = id"
 )
 def denstream_macro_unweighted(spark, sf_dir):
-    return denstream.macro_clusters_unweighted(micro_clusters(spark), MACRO)
+    return denstream.macro_clusters_unweighted(micro_clusters(spark, sf_dir), MACRO)
 
 
 @query(f"WITH {E}, {MEANS} SELECT label, x - 1 AS position, count(*) AS n, round(sum(f[x]), 5) AS ls, round(sum(f[x] * f[x]), 5) AS ss FROM (SELECT label, f, unnest(range(1, 65)) AS x FROM e) GROUP BY label, x")

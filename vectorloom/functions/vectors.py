@@ -91,3 +91,8 @@ def outlier_floor(rate: float, period: int, age: Column) -> Column:
 
 def pruning_period(beta: float, mu: float, rate: float) -> int:
     return math.ceil(math.log2(beta * mu / (beta * mu - 1)) / rate)
+
+
+def pruning_periods(beta: Column, mu: Column, rate: Column) -> Column:
+    """``pruning_period`` of columns."""
+    return F.ceil(F.log2(beta * mu / (beta * mu - 1)) / rate)

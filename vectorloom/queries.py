@@ -12,8 +12,9 @@ from .functions import vectors as V
 from .functions.distance import COSINE, EUCLIDEAN, INNER_PRODUCT, SQUARED_EUCLIDEAN, Metric, composite
 from .operators import constrained, correlation, dbscan, evaluation, graph, hierarchy, memory, optics, pairs
 from .operators.kmeans import KMeans, centroids_of, cluster_sums, mean_variance, new_centroids, wcss
+from .plans.staging import partitions
 from .sources.points import from_columns, points
-from .streaming import denstream, minibatch
+from .streaming import denstream, minibatch, summaries
 
 Query = Callable[[SparkSession, str], DataFrame]
 K, EPSILON, MIN_POINTS = 10, 1.16, 3
@@ -144,6 +145,11 @@ def range_join_projection(spark, sf_dir):
     return rounded(pairs.range_join(vectors(spark, sf_dir), 1.14, plan="projection"), "distance")
 
 
+@query(RANGE)
+def range_join_pivot(spark, sf_dir):
+    return rounded(pairs.range_join(vectors(spark, sf_dir), 1.14, plan="pivot"), "distance")
+
+
 @query(f"WITH {PART} SELECT a.id AS i, b.id AS j, round(list_distance(a.f, b.f), 6) AS distance FROM e a JOIN e b ON a.id < b.id AND list_distance(a.f, b.f) <= 0.55")
 def range_join_grid(spark, sf_dir):
     return rounded(pairs.range_join(parts(spark, sf_dir), 0.55, plan="grid", dimensions=2), "distance")
@@ -157,6 +163,11 @@ def knn_join(spark, sf_dir):
     return rounded(pairs.knn_join(vectors(spark, sf_dir), 5), "distance")
 
 
+@query(f"WITH {KNN} SELECT i, j, round(d, 6) AS distance, rank FROM n WHERE rank <= 5")
+def knn_join_pivot(spark, sf_dir):
+    return rounded(pairs.knn_join(vectors(spark, sf_dir), 5, plan="pivot"), "distance")
+
+
 @query(f"WITH {KNN} SELECT row_number() OVER (ORDER BY d, i) - 1 AS position, round(d, 6) AS distance FROM n WHERE rank = 4")
 def k_distance(spark, sf_dir):
     return rounded(pairs.k_distance(vectors(spark, sf_dir), 4), "distance")
@@ -542,11 +553,35 @@ def denstream_replay(spark, sf_dir):
 
 @query()
 def denstream_macro(spark, sf_dir):
+    """The whole table as one stream: summaries of its parts, merged, and the clusters of these."""
     whole = event_stream(spark, sf_dir).withColumn("tenant", F.lit(0).cast("long"))
-    clusters = denstream.snapshot(denstream.replay(whole, DEN), DEN)
+    clusters = summaries.potential(summaries.summarise(whole, DEN))
     return denstream.macro_clusters(clusters.drop("tenant"), DEN)
 
 
+SUMMARY = """r AS (SELECT {0} AS tenant, row_number() OVER (PARTITION BY {0} ORDER BY event_id) AS t, count(*) OVER (PARTITION BY {0}) AS n, ln(1 + value) AS x, length(event_type) / 10.0 AS y FROM events),
+w AS (SELECT tenant, x, y, pow(2, -0.01 * (n - t)) AS w FROM r)"""
+SUMMARY_SUMS = "SELECT tenant, count(*) AS n, round(sum(w), 5) AS weight, round(sum(w * x), 5) AS ls_x, round(sum(w * y), 5) AS ls_y, round(sum(w * x * x), 5) AS ss_x, round(sum(w * y * y), 5) AS ss_y FROM w GROUP BY tenant"
+
+
+def summary_sums(found: DataFrame) -> DataFrame:
+    at = lambda c, k: F.round(F.sum(F.get(c, F.lit(k))), 5)
+    return found.groupBy("tenant").agg(F.sum("n").alias("n"), F.round(F.sum("weight"), 5).alias("weight"), at("ls", 0).alias("ls_x"), at("ls", 1).alias("ls_y"), at("ss", 0).alias("ss_x"), at("ss", 1).alias("ss_y"))
+
+
+@query(f"WITH {SUMMARY.format('user_id')} {SUMMARY_SUMS}")
+def denstream_summaries(spark, sf_dir):
+    """Micro-clusters of each user's stream, made in parts: merged, they hold what all points add up to."""
+    return summary_sums(summaries.summarise(event_stream(spark, sf_dir), DEN))
+
+
+@query(f"WITH {SUMMARY.format('CAST(0 AS BIGINT)')} {SUMMARY_SUMS}")
+def denstream_summary_of_one(spark, sf_dir):
+    """The whole table as one stream, in at least 8 parts."""
+    whole = event_stream(spark, sf_dir).withColumn("tenant", F.lit(0).cast("long"))
+    return summary_sums(summaries.summarise(whole, DEN, max(8, partitions(spark))))
+
+
 @query("SELECT event_id, round((pow(2, -0.25 * (event_id % 50 + 7)) - 1) / (pow(2, -0.25 * 7) - 1), 6) AS least, round(value * pow(2, -0.31 * (event_id % 50)), 6) AS weight FROM events")
 def denstream_xi_threshold(spark, sf_dir):
     age = F.col("event_id") % 50
