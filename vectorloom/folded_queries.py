@@ -335,13 +335,13 @@ def cop_links(p: DataFrame) -> DataFrame:
 # sources -----------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {E} SELECT dense_rank() OVER (ORDER BY label) - 1 AS id, x - 1 AS position, round(CAST(CAST(avg(f[x]) AS FLOAT) AS DOUBLE), 7) AS value FROM (SELECT label, f, unnest(range(1, 65)) AS x FROM e) GROUP BY label, x")
+@query(f"WITH {E} SELECT dense_rank() OVER (ORDER BY label) - 1 AS id, x - 1 AS position, round(CAST(CAST(avg(f[x]) AS FLOAT) AS DOUBLE), 6) AS value FROM (SELECT label, f, unnest(range(1, 65)) AS x FROM e) GROUP BY label, x")
 def src_rows(spark, sf_dir):
     """Nested lists and arrays of either precision give the same points: each label's mean vector, from the driver's memory."""
     array = S.centroids_array(S.points(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").join(labels(spark, sf_dir), "id").transform(lambda p: cluster_means(p)))
     half = S.from_rows(spark, array[:5].astype(np.float32))
     rest = S.from_rows(spark, array[5:].tolist()).withColumn("id", F.col("id") + 5)
-    return rounded(long_form(half.unionAll(rest), "features", "id"), "value", digits=7)
+    return long_form(half.unionAll(rest), "features", "id")
 
 
 def cluster_means(p: DataFrame) -> DataFrame:
@@ -355,8 +355,8 @@ def src_flat(spark, sf_dir):
     """Each label's vectors as one row-major array, and its rows again; summed over the labels."""
     given = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("rows"))
     flat = given.select(F.flatten(F.transform("rows", lambda r: r["embedding"])).alias("flat"))
-    found = long_form(S.from_flat(flat, "flat", 64), "features", "id")
-    return found.groupBy("id", "position").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 9).alias("value"))
+    found = S.from_flat(flat, "flat", 64).select("id", F.posexplode("features").alias("position", "value"))
+    return found.groupBy("id", F.col("position").cast("long")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 9).alias("value"))
 
 
 @query(f"WITH {E} SELECT row_number() OVER (ORDER BY id) - 1 AS id, CASE WHEN label = 0 THEN -1 ELSE label END AS label FROM e")
