@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import vectors as V
-from .functions.distance import SQUARED_EUCLIDEAN, Metric
+from .functions.distance import EUCLIDEAN, SQUARED_EUCLIDEAN, Metric
 from .models import load, save
-from .operators import constrained, correlation, evaluation, graph, hierarchy, optics, pairs
+from .operators import constrained, correlation, evaluation, graph, hierarchy, optics, pairs, spanning
 from .operators.kmeans import KMeans, cluster_sums, new_centroids, seed_centroids
 from .plans.staging import own_dir
 from .queries import FIRST, K, KNN, MEANS, SQ, E, assigned_to, event_stream, first_rows, labels, long_form, mean_of, query, rounded, table, vectors
@@ -53,6 +53,13 @@ history AS (
 dg AS (SELECT h.k, h.node, any_value(na) AS na, any_value(nb) AS nb, any_value(m.w) AS w, count(*) AS size FROM history h JOIN m USING (k) WHERE h.node = (SELECT n FROM total) + h.k - 1 GROUP BY h.k, h.node)"""
 
 
+@query(f"WITH RECURSIVE {CORED}, {prim(REACH)} SELECT u, v, round(w, 6) AS w FROM mst")
+def mst_edges_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree in rounds over cells of pivots, as it is grown beyond what one task takes."""
+    p = vectors(spark, sf_dir)
+    return rounded(spanning.pruned_tree(p.join(pairs.core_distances(p, LEAST), "id"), EUCLIDEAN), "w")
+
+
 @query(f"WITH RECURSIVE {CORED}, {prim(REACH)} SELECT u, v, round(w, 6) AS w FROM mst")
 def mst_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(hierarchy.HDBSCAN().tree(vectors(spark, sf_dir)), "w")

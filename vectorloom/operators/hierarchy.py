@@ -23,6 +23,7 @@ from ..plans.staging import stage
 from ..sources.points import validated
 from .graph import connected_components, rank_components, relabel
 from .pairs import core_distances, in_blocks, matrix, projected, range_join
+from .spanning import pruned_tree
 
 DENSE, FOLD = 16_384, 20_000_000
 EDGES = "u long, v long, w double"
@@ -31,12 +32,16 @@ EDGES = "u long, v long, w double"
 def spanning_tree(p: DataFrame, metric: Metric = EUCLIDEAN, core: DataFrame | None = None, root: bool = False) -> DataFrame:
     """(u, v, w) of the minimum spanning tree, ties by (u, v); with core distances over mutual reachability; w rooted if asked.
 
-    Edges are ordered by (w, u, v), under which the tree is the same by either plan.
+    Edges are ordered by (w, u, v), under which the tree is the same by any plan: up to ``DENSE`` points one
+    task grows it; beyond, components join in rounds, over cells of pivots where the metric keeps the triangle
+    inequality (``spanning``), else over all pairs.
     """
     n = p.count()
     table = p.select("id", "features").join(core, "id") if core is not None else p.select("id", "features", F.lit(0.0).alias("core"))
     weigh = np.sqrt if root else (lambda d: d)
-    return _prim(table, metric, weigh) if n <= DENSE else _boruvka(table, metric, weigh)
+    if n <= DENSE:
+        return _prim(table, metric, weigh)
+    return pruned_tree(table, metric, root) if metric.triangle is not None else _boruvka(table, metric, weigh)
 
 
 def _prim(table: DataFrame, metric: Metric, weigh) -> DataFrame:
