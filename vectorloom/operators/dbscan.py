@@ -8,9 +8,12 @@ core point is near, or none: what a scan in id order that never revisits a point
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidParameter
@@ -18,7 +21,10 @@ from ..functions.distance import EUCLIDEAN, Metric
 from ..plans.staging import stage
 from ..sources.points import validated
 from .graph import connected_components, rank_components
-from .pairs import both_ways, range_join
+from .pairs import both_ways, matrix, range_join
+
+#: Most dimensions that cells are used for, and rows of a block of a cell.
+CELL_DIMENSIONS, BLOCK = 3, 4096
 
 
 def core_points(edges: DataFrame, p: DataFrame, min_points: int) -> DataFrame:
@@ -60,9 +66,15 @@ class DBSCAN:
 
     def _label(self, p: DataFrame) -> tuple[DataFrame, DataFrame]:
         shape = validated(p)
-        edges = stage(both_ways(range_join(p, self.epsilon, self.metric, self.plan, shape.d).select("i", "j")), "dbscan-edges")
-        core = stage(core_points(edges, p, self.min_points), "dbscan-core")
-        inner = edges.join(core.select(F.col("id").alias("i")), "i").join(core.select(F.col("id").alias("j")), "j").where("i < j")
+        euclidean = self.metric.name in ("euclidean", "sqeuclidean")
+        if self.plan == "cells" or (self.plan == "auto" and euclidean and shape.d <= CELL_DIMENSIONS):
+            if not euclidean:
+                raise InvalidParameter("plan", "cells are for Euclidean distances")
+            core, inner, edges = cell_links(p, self.epsilon, self.metric, self.min_points, shape.d)
+        else:
+            edges = stage(both_ways(range_join(p, self.epsilon, self.metric, self.plan, shape.d).select("i", "j")), "dbscan-edges")
+            core = stage(core_points(edges, p, self.min_points), "dbscan-core")
+            inner = edges.join(core.select(F.col("id").alias("i")), "i").join(core.select(F.col("id").alias("j")), "j").where("i < j")
         seeds = core.join(connected_components(inner), "id", "left").select("id", F.coalesce("component", "id").alias("seed"))
         ranked = rank_components(seeds.select(F.col("seed").alias("component")))
         touching = edges.join(seeds.select(F.col("id").alias("j"), "seed"), "j").join(core.select(F.col("id").alias("i")), "i", "left_anti")
@@ -77,6 +89,80 @@ class DBSCAN:
         return p.select("id").join(labels, "id", "left").select("id", F.coalesce("label", F.lit(-1).cast("long")).alias("label")), core
 
 
+def around(cell: Column, reach: int, d: int, half: bool = False) -> Column:
+    """The cells up to ``reach`` away along each axis, of a cell as an array; half: one of each two that lie opposite, and not itself."""
+    steps = [()]
+    for _ in range(d):
+        steps = [(*s, k) for s in steps for k in range(-reach, reach + 1)]
+    steps = [s for s in steps if not half or s > (0,) * d]
+    return F.explode(F.array(*[F.array(*[F.get(cell, F.lit(k)) + F.lit(step) for k, step in enumerate(s)]) for s in steps]))
+
+
+def cell_links(p: DataFrame, epsilon: float, metric: Metric, min_points: int, d: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(core points, edges that link them as all edges among them would, edges of points that aren't in full cells)."""
+    true = math.sqrt(epsilon) if metric.triangle == "root" else epsilon
+    width = true / math.sqrt(d) * (1 - 1e-9)
+    reach = math.ceil(math.sqrt(d) * (1 + 2e-9))
+    cell = F.transform("features", lambda v: F.floor(v / width).cast("long"))
+    rows = stage(p.select("id", "features", cell.alias("cell")), "dbscan-cells")
+    full = stage(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_points).select("cell"), "dbscan-full")
+    inside = rows.join(full, "cell", "left_semi")
+    # rows of other cells are compared with all rows around them
+    outside = rows.join(full, "cell", "left_anti").select(F.col("id").alias("i"), F.col("features").alias("x"), around(F.col("cell"), reach, d).alias("cell"))
+    met = outside.join(rows.select(F.col("id").alias("j"), F.col("features").alias("y"), "cell"), "cell").where(F.col("i") != F.col("j"))
+    edges = stage(met.where(metric.column(F.col("x"), F.col("y")) <= epsilon).select("i", "j"), "dbscan-edges")
+    sparse = rows.join(full, "cell", "left_anti").select("id")
+    few = sparse if min_points <= 1 else edges.groupBy(F.col("i").alias("id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") + 1 >= min_points).select("id")
+    core = stage(inside.select("id", "cell").unionByName(rows.join(few, "id", "left_semi").select("id", "cell")), "dbscan-core")
+    first = core.groupBy("cell").agg(F.min("id").alias("first"))
+    named = stage(core.join(first, "cell").select("id", "first"), "dbscan-named")
+    stars = named.where("id <> first").select(F.col("first").alias("i"), F.col("id").alias("j"))
+    ends = lambda end: named.select(F.col("id").alias(end), F.col("first").alias(f"first_{end}"))
+    beside = edges.join(ends("i"), "i").join(ends("j"), "j").select(F.least("first_i", "first_j").alias("i"), F.greatest("first_i", "first_j").alias("j")).where("i < j").distinct()
+    links = full_cell_links(inside, full, epsilon, true, metric, reach, d).join(first.select(F.col("cell").alias("a"), F.col("first").alias("i")), "a").join(first.select(F.col("cell").alias("b"), F.col("first").alias("j")), "b")
+    inner = stars.unionByName(beside).unionByName(links.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")))
+    return core.select("id"), inner, edges
+
+
+def full_cell_links(inside: DataFrame, full: DataFrame, epsilon: float, true: float, metric: Metric, reach: int, d: int) -> DataFrame:
+    """(a, b) of neighbouring full cells that hold rows within epsilon of each other."""
+    bound = [(f"low{k}", f"high{k}") for k in range(d)]
+    box = stage(inside.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *[f(F.get("features", F.lit(k))).alias(name) for k, pair in enumerate(bound) for name, f in zip(pair, (F.min, F.max), strict=True)]), "dbscan-boxes")
+    other = lambda end: box.select(F.col("cell").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in box.columns if c != "cell"])
+    apart = lambda k: F.greatest(F.col(f"low{k}_b") - F.col(f"high{k}_a"), F.col(f"low{k}_a") - F.col(f"high{k}_b"))
+    near = F.lit(True)
+    for k in range(d):
+        near = near & (apart(k) <= true * (1 + 1e-9))
+    pairs = other("a").withColumn("b", around(F.col("a"), reach, d, half=True)).join(other("b"), "b").where(near)
+    pairs = stage(pairs.withColumn("pair", F.xxhash64("a", "b")), "dbscan-pairs")
+
+    def side(end: str, opposite: str) -> DataFrame:
+        """The rows of one cell of each pair that lie near the other's box, in blocks; once for each block of the other."""
+        facts = pairs.select(F.col(end).alias("cell"), "a", "b", "pair", F.ceil(F.col(f"n_{opposite}") / BLOCK).cast("int").alias("blocks"), *[F.col(f"{c}_{opposite}").alias(c) for pair in bound for c in pair])
+        here = inside.join(facts, "cell")
+        for k, (low, high) in enumerate(bound):
+            v = F.get("features", F.lit(k))
+            here = here.where((v >= F.col(low) - true * (1 + 1e-9)) & (v <= F.col(high) + true * (1 + 1e-9)))
+        own = F.pmod(F.xxhash64("id"), F.greatest(F.ceil(F.col("own") / BLOCK), F.lit(1))).cast("int")
+        here = here.join(box.select("cell", F.col("n").alias("own")), "cell")
+        blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        return here.select("a", "b", "pair", own.alias(f"block_{end}"), blocks.alias(f"block_{opposite}"), "features")
+
+    keys = ["a", "b", "pair", "block_a", "block_b"]
+
+    def linked(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows and right.num_rows:
+            x, y = matrix(left["features"]), matrix(right["features"])
+            for at in range(0, len(x), 256):
+                if np.any(metric.block(x[at : at + 256], y) <= epsilon):
+                    return left.select(["a", "b"]).slice(0, 1)
+        return left.select(["a", "b"]).slice(0, 0)
+
+    renamed = lambda df: df.select(*[F.col(c).alias(c) for c in (*keys, "features")])  # noqa: E731  as both sides come from one table
+    met = renamed(side("a", "b")).groupBy(*keys).cogroup(renamed(side("b", "a")).groupBy(*keys))
+    return met.applyInArrow(lambda x, y: linked(x, y), "a array<long>, b array<long>").distinct()
+
+
 def with_null_noise(labels: DataFrame) -> DataFrame:
     """Noise as null."""
     return labels.select("id", F.when(F.col("label") >= 0, F.col("label")).alias("label"))

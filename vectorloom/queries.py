@@ -274,6 +274,20 @@ def dbscan_labels(spark, sf_dir):
     return dense().fit_predict(vectors(spark, sf_dir))
 
 
+PART_DB = DB.replace(E, PART).replace(f"<= {EPSILON}", "<= 6.5").replace(f">= {MIN_POINTS}", ">= 5")
+
+
+@query(f"WITH RECURSIVE {PART_DB}{TEXTBOOK}{RANK} SELECT id, label FROM fin")
+def dbscan_cells(spark, sf_dir):
+    """Parts by size and price, over cells whose diagonal is the radius."""
+    return dbscan.DBSCAN(6.5, 5, plan="cells").fit_predict(parts(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {PART_DB}{SCAN}{RANK} SELECT id, label FROM fin")
+def dbscan_cells_scan_order(spark, sf_dir):
+    return dbscan.DBSCAN(6.5, 5, border="scan_order", plan="cells").fit_predict(parts(spark, sf_dir))
+
+
 @query(f"WITH RECURSIVE {DB}{SCAN}{RANK} SELECT id, label FROM fin")
 def dbscan_scan_order(spark, sf_dir):
     return dense("scan_order").fit_predict(vectors(spark, sf_dir))
