@@ -1,7 +1,9 @@
 """OPTICS: neighbour lists by a distributed range join, the ordering by one task's walk over them.
 
 The walk takes the unseen point of least reachability (ties by id) and can't be split; it holds the
-range pairs of all points, at most ``WALK``. What is extracted from an ordering are window queries.
+range pairs of all points, at most ``WALK``. What is extracted from many orderings are window queries, one
+task an ordering; one ordering alone is cut into ranges of positions, each range tells how many clusters it starts,
+its last reachability and its last event, and what comes before a range is carried into it.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidParameter
 from ..functions.distance import EUCLIDEAN, Metric
-from ..plans.staging import stage
+from ..plans.ranges import PART, ranged, so_far, with_carry
+from ..plans.staging import partitions, stage
 from ..sources.points import validated
 from .pairs import both_ways, range_join
 
@@ -99,33 +102,56 @@ class OPTICS:
 def extract_clusters(ordering: DataFrame, epsilon: float, by: Column | None = None) -> DataFrame:
     """(pos, id, label): clusters of an ordering cut at epsilon; a running count of starts.
 
-    ``by`` splits independent orderings; one ordering's positions are read in sequence.
+    ``by`` splits independent orderings; without it there is one, which is scanned over ranges.
     """
     start = (F.col("reachability") > epsilon) & (F.col("core_distance") <= epsilon)
-    w = _sequence(by)
-    label = F.sum(start.cast("long")).over(w) - 1
-    return ordering.select("pos", "id", F.when(start, label).when(F.col("reachability") <= epsilon, F.greatest(label, F.lit(0).cast("long"))).otherwise(F.lit(-1).cast("long")).alias("label"))
+    x = ordering if by is not None else _in_ranges(ordering)
+    x = label_of(x, by, start)
+    label = F.col("count") - 1
+    return x.select("pos", "id", F.when(start, label).when(F.col("reachability") <= epsilon, F.greatest(label, F.lit(0).cast("long"))).otherwise(F.lit(-1).cast("long")).alias("label"))
 
 
 def extract_xi(ordering: DataFrame, xi: float, by: Column | None = None) -> DataFrame:
     """(pos, id, label): valleys that reachability falls into by a factor 1 - xi and leaves by its inverse.
 
-    An infinite reachability closes; after one, the next point opens a cluster in any case.
+    An infinite reachability closes; after one, the next point opens a cluster in any case. ``by`` as in ``extract_clusters``.
     """
     if not 0 < xi < 1:
         raise InvalidParameter("xi", "has to be between 0 and 1")
     f = 1 - xi
-    by_pos = (Window.partitionBy(by) if by is not None else Window.partitionBy()).orderBy("pos")
+    by_pos = _windows(by).orderBy("pos")
     now, before, infinite = F.col("reachability"), F.col("before"), F.lit(float("inf"))
-    x = ordering.withColumn("before", F.lag("reachability").over(by_pos))
+    x = ordering if by is not None else _in_ranges(ordering)
+    x = x.withColumn("before", F.lag("reachability").over(by_pos))
+    if by is None:  # the first of a range comes after the last of the one before
+        last = {r[PART]: r["v"] for r in x.groupBy(PART).agg(F.max_by("reachability", "pos").alias("v")).collect()}  # one row a part
+        x = with_carry(x, so_far(last, lambda a, b: b, None), "carried", "double").withColumn("before", F.coalesce("before", "carried")).drop("carried")
     event = F.when(before.isNull(), "out").when(now == infinite, "out").when(before == infinite, "new").when(now < before * f, "in").when(now > before / f, "out")
     x = x.withColumn("event", event)
-    x = x.withColumn("state", F.last("event", ignorenulls=True).over(_sequence(by)))
-    was_out = F.lag("state").over(by_pos) == "out"
-    x = x.withColumn("opens", ((F.col("event") == "new") | ((F.col("event") == "in") & was_out)).cast("long"))
-    label = F.sum(F.coalesce("opens", F.lit(0))).over(_sequence(by)) - 1
-    return x.withColumn("count", label).select("pos", "id", F.when(F.col("state") != "out", F.col("count")).otherwise(F.lit(-1).cast("long")).alias("label"))
+    x = x.withColumn("state", F.last("event", ignorenulls=True).over(by_pos.rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.withColumn("previous", F.lag("state").over(by_pos))
+    if by is None:
+        last = {r[PART]: r["v"] for r in x.groupBy(PART).agg(F.max_by("event", F.when(F.col("event").isNotNull(), F.col("pos"))).alias("v")).collect()}  # one row a part
+        x = with_carry(x, so_far(last, lambda a, b: a if b is None else b, None), "carried", "string")
+        x = x.withColumn("state", F.coalesce("state", "carried")).withColumn("previous", F.coalesce("previous", "carried")).drop("carried")
+    opens = F.coalesce((F.col("event") == "new") | ((F.col("event") == "in") & (F.col("previous") == "out")), F.lit(False))
+    x = label_of(x, by, opens)
+    return x.select("pos", "id", F.when(F.col("state") != "out", F.col("count") - 1).otherwise(F.lit(-1).cast("long")).alias("label"))
 
 
-def _sequence(by: Column | None):
-    return (Window.partitionBy(by) if by is not None else Window.partitionBy()).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+def _in_ranges(ordering: DataFrame) -> DataFrame:
+    return stage(ranged(ordering, [F.col("pos")], partitions(ordering.sparkSession)), "optics-ranges")
+
+
+def _windows(by: Column | None):
+    return Window.partitionBy(by if by is not None else F.col(PART))
+
+
+def label_of(x: DataFrame, by: Column | None, starts: Column) -> DataFrame:
+    """x with count: how many rows up to each one start a cluster."""
+    w = _windows(by).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("count", F.sum(F.coalesce(starts, F.lit(False)).cast("long")).over(w))
+    if by is not None:
+        return x
+    each = {r[PART]: r["v"] for r in x.groupBy(PART).agg(F.max("count").alias("v")).collect()}  # one row a part
+    return with_carry(x, so_far(each, lambda a, b: a + b, 0), "carried", "long").withColumn("count", F.col("count") + F.col("carried")).drop("carried")

@@ -38,3 +38,18 @@ def carried(ends: Iterable[tuple[int, Any, Any, Any]], join: Callable[[Any, Any]
             came_to = result
         group, begun = last, True
     return found
+
+
+def with_carry(df: DataFrame, values: dict[int, Any], name: str, kind: str) -> DataFrame:
+    """``df`` with a column of what each part has to know of the parts before it; null where it is nothing."""
+    rows = df.sparkSession.createDataFrame(list(values.items()), f"{PART} int, {name} {kind}")
+    return df.join(F.broadcast(rows), PART, "left")  # one row a part
+
+
+def so_far(values: dict[int, Any], join: Callable[[Any, Any], Any], start: Any) -> dict[int, Any]:
+    """For each part, what the values of all earlier parts come to."""
+    out = {}
+    for part in sorted(values):
+        out[part] = start
+        start = join(start, values[part])
+    return out

@@ -357,6 +357,23 @@ def optics_xi(spark, sf_dir):
     return optics.extract_xi(plots(spark, sf_dir), 0.05, F.col("user_id"))
 
 
+@query(f"WITH {PLOT}, s AS (SELECT *, r > 40 AND core <= 40 AS st FROM x), c AS (SELECT *, sum(CAST(st AS BIGINT)) OVER (ORDER BY pos) - 1 AS c FROM s) SELECT pos, pos AS id, CAST(CASE WHEN st THEN c WHEN r <= 40 THEN greatest(c, 0) ELSE -1 END AS BIGINT) AS label FROM c")
+def optics_cut_of_one(spark, sf_dir):
+    """All events as one ordering, over ranges."""
+    return optics.extract_clusters(plots(spark, sf_dir), 40.0)
+
+
+@query(
+    f"WITH {PLOT}, b AS (SELECT *, lag(r) OVER (ORDER BY pos) AS b FROM x), "
+    "v AS (SELECT *, CASE WHEN b IS NULL OR isinf(r) THEN 'out' WHEN isinf(b) THEN 'new' WHEN r < b * 0.95 THEN 'in' WHEN r > b / 0.95 THEN 'out' END AS ev FROM b), "
+    "st AS (SELECT *, last_value(ev IGNORE NULLS) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) AS state FROM v), "
+    "o AS (SELECT *, CASE WHEN ev = 'new' OR (ev = 'in' AND lag(state) OVER (ORDER BY pos) = 'out') THEN 1 ELSE 0 END AS opens FROM st), "
+    "c AS (SELECT *, sum(opens) OVER (ORDER BY pos) - 1 AS c FROM o) SELECT pos, pos AS id, CAST(CASE WHEN state <> 'out' THEN c ELSE -1 END AS BIGINT) AS label FROM c"
+)
+def optics_xi_of_one(spark, sf_dir):
+    return optics.extract_xi(plots(spark, sf_dir), 0.05)
+
+
 SIL = """, l AS ({0}), m AS (SELECT q.i, a.label AS own, b.label AS other, avg(q.d) AS m FROM q JOIN l a ON a.id = q.i JOIN l b ON b.id = q.j GROUP BY ALL),
 s AS (SELECT i, (min(m) FILTER (WHERE own <> other) - max(m) FILTER (WHERE own = other)) / greatest(min(m) FILTER (WHERE own <> other), max(m) FILTER (WHERE own = other)) AS s FROM m GROUP BY i)"""
 NOISY = "SELECT id, CASE WHEN label = 0 THEN -1 ELSE label END AS label FROM e"
