@@ -25,6 +25,7 @@ def test_the_same_tree(spark, monkeypatch, metric, root, cored):
     monkeypatch.setattr(spanning, "LISTED", 3)
     want = edges(hierarchy.spanning_tree(p, metric, core, root))
     monkeypatch.setattr(hierarchy, "DENSE", 0)
+    monkeypatch.setattr(hierarchy, "PRUNE", 0)
     found = edges(hierarchy.spanning_tree(p, metric, core, root))
     assert found == want and len(found) == len(x) - 1
 

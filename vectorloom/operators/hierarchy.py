@@ -26,6 +26,8 @@ from .pairs import core_distances, in_blocks, matrix, projected, range_join
 from .spanning import pruned_tree
 
 DENSE, FOLD = 16_384, 20_000_000
+#: Points from which rounds go over cells of pivots rather than all pairs.
+PRUNE = 4096
 EDGES = "u long, v long, w double"
 
 
@@ -41,7 +43,7 @@ def spanning_tree(p: DataFrame, metric: Metric = EUCLIDEAN, core: DataFrame | No
     weigh = np.sqrt if root else (lambda d: d)
     if n <= DENSE:
         return _prim(table, metric, weigh)
-    return pruned_tree(table, metric, root) if metric.triangle is not None else _boruvka(table, metric, weigh)
+    return pruned_tree(table, metric, root) if n > PRUNE and metric.triangle is not None else _boruvka(table, metric, weigh)
 
 
 def _prim(table: DataFrame, metric: Metric, weigh) -> DataFrame:
