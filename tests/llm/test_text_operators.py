@@ -1,8 +1,10 @@
 """The text operators against brute force on small documents, and on nulls, empties, ties, repeats and clashing columns."""
 
+import bisect
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -708,3 +710,23 @@ def test_license_calibration_decides(spark):
     ways = [(t, f, k) for t, f, k in license_scan.samples() if f != license_scan.UNKNOWN or k % 5 == 4]
     easy = [(t, f, k) for t, f, k in ways if f != license_scan.UNKNOWN] + [("plain words", license_scan.UNKNOWN, 0), ("more of them", license_scan.UNKNOWN, 4)]
     assert license_scan.train(easy, rounds=50).least != model.least
+
+
+def test_secrets_of_a_text_with_many_keys(spark):
+    r, keys = random.Random(5), 16_000
+    text = " ".join(r.choice(['token="%s"', "%s", "x/%s/y"]) % hashlib.sha256(str(k).encode()).hexdigest()[: r.randint(20, 40)] for k in range(keys))
+    started = time.time()
+    row = secret_scan.report(documents(spark, [(1, text)])).first()
+    masked = secret_scan.redact(documents(spark, [(1, text)])).first()["text"]
+    assert time.time() - started < 20
+    fields = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in row["spans"].split(","))]
+    base = brute_secrets(text)
+    assert [(a, list(SECRETS).index(k), b) for k, a, b in fields if k != "random"] == base
+    added = [(a, b) for k, a, b in fields if k == "random"]
+    assert added and all(not any(a < d and c < b for c, _, d in base[max(0, bisect.bisect_left(base, (a,)) - 2) :][:4]) for a, b in added)
+    spans, at, out = [(a, b) for _, a, b in fields], 0, []
+    for start, end in sorted(spans):
+        if start >= at:
+            out += [text[at:start], "[SECRET]"]
+        at = max(at, end)
+    assert masked == "".join(out) + text[at:]

@@ -21,6 +21,7 @@ ValueError.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,6 +56,8 @@ PARTS = (
     "naturellement developpement gouvernement connaissance generalmente posibilidad conocimiento universidad desarrollo"
 ).split()
 SPAN = "struct<start:int,rank:int,end:int>"
+#: Steps that grow one array.
+BLOCK = 128
 
 
 @dataclass(frozen=True)
@@ -127,18 +130,64 @@ def train(samples: DataFrame) -> Model:
     return Model(tuple(ratios), (low + high) / 2, max((low_short + high_short) / 2, low_short))
 
 
+def scan(count: Column, carry: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """The arrays that step(carry, i) gives beside the next carry, for i from 0 to count - 1, joined.
+
+    An array is copied whenever it grows, so ``BLOCK`` steps grow one of their own, and blocks are joined at the end.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(s: Column, i: Column) -> Column:
+        after, out = step(s["carry"], i)
+        return F.struct(after.alias("carry"), F.concat(s["out"], out).alias("out"))
+
+    def block(s: Column, low: Column) -> Column:
+        whole = F.aggregate(F.sequence(low, F.least(low + BLOCK, count) - 1), F.struct(s["carry"].alias("carry"), none.alias("out")), one)
+        # through transform, so that the block is worked out once
+        return F.get(F.transform(F.array(whole), lambda w: F.struct(w["carry"].alias("carry"), F.concat(s["out"], F.array(w["out"])).alias("out"))), F.lit(0))
+
+    lows = F.when(count > 0, F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+    start = F.struct(carry.alias("carry"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.aggregate(lows, start, block, lambda s: F.flatten(s["out"]))
+
+
 def placed(pieces: Column, runs: Column, rank: int, keep=None) -> Column:
     """Spans of the runs between pieces; keep(i) tells which count."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
-    def step(s: Column, i: Column) -> Column:
-        start = s["at"] + F.char_length(F.get(pieces, i))
+    def step(at: Column, i: Column) -> tuple[Column, Column]:
+        start = at + F.char_length(F.get(pieces, i))
         end = start + F.char_length(F.get(runs, i))
         span = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end")))
-        return F.struct(end.alias("at"), F.concat(s["out"], span if keep is None else F.when(keep(i), span).otherwise(F.array().cast(f"array<{SPAN}>"))).alias("out"))
+        return end, span if keep is None else F.when(keep(i), span).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+    return scan(F.size(runs), F.lit(0), step, SPAN)
+
+
+def apart(spans: Column, taken: Column) -> Column:
+    """Those of disjoint spans that overlap none of ``taken``, in order of their starts.
+
+    Both are gone over once, by start; a span is held until the next one comes, as what begins inside it spoils it.
+    """
+    mark = lambda x, own: F.struct(x["start"].alias("start"), F.lit(own).alias("own"), x["end"].alias("end"), x["rank"].alias("rank"))
+    both = F.array_sort(F.concat(F.transform(taken, lambda x: mark(x, 0)), F.transform(spans, lambda x: mark(x, 1))))
+    none, last = F.array().cast(f"array<{SPAN}>"), F.lit(2**31 - 1)
+    close = F.struct(last.alias("start"), F.lit(1).alias("own"), last.alias("end"), F.lit(0).alias("rank"))
+    zero = F.struct(F.lit(0).alias("reach"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0).alias("rank"), F.lit(False).alias("held"))
+
+    def step(rows: Column, s: Column, i: Column) -> tuple[Column, Column]:
+        x = F.get(rows, i)
+        mine = x["own"] == 1
+        free = mine & (s["reach"] <= x["start"])
+        spoilt = ~mine & (x["start"] < s["end"])
+        after = F.struct(
+            F.when(mine, s["reach"]).otherwise(F.greatest(s["reach"], x["end"])).alias("reach"),
+            *[F.when(mine, x[c]).otherwise(s[c]).alias(c) for c in ("start", "end", "rank")],
+            F.when(mine, free).otherwise(s["held"] & ~spoilt).alias("held"),
+        )
+        return after, F.when(mine & s["held"], F.array(F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))).otherwise(none)
 
-    indices = F.when(F.size(runs) > 0, F.sequence(F.lit(0), F.greatest(F.size(runs) - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(indices, zero, step, lambda s: s["out"])
+    kept = F.transform(F.array(F.concat(both, F.array(close))), lambda rows: scan(F.size(rows), zero, lambda s, i: step(rows, s, i), SPAN))
+    return F.when(F.size(spans) > 0, F.get(kept, F.lit(0))).otherwise(none)
 
 
 def with_spans(documents: DataFrame, model: Model) -> tuple[DataFrame, dict[str, Column]]:
@@ -164,9 +213,8 @@ def with_spans(documents: DataFrame, model: Model) -> tuple[DataFrame, dict[str,
         mixed = lambda i, run=run: (F.char_length(run(i)) >= LONG) | (run(i).rlike("[0-9]") & run(i).rlike("[A-Za-z]"))
         likely = lambda i, run=run, mixed=mixed: mixed(i) & (mean_ratio(run(i), model.ratios) > F.when(F.char_length(run(i)) < LONG, model.short).otherwise(model.threshold))
         df = df.withColumn(name(kind), placed(F.col(name(f"pieces_{kind}")), F.col(name(f"runs_{kind}")), len(BASE), likely))
-    apart = lambda spans: lambda x: ~F.exists(spans, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    df = df.withColumn(name("whole"), F.filter(name("random"), apart(F.col(name("base")))))
-    df = df.withColumn(name("added"), F.concat(name("whole"), F.filter(F.filter(name("part"), apart(F.col(name("base")))), apart(F.col(name("random"))))))
+    df = df.withColumn(name("whole"), apart(F.col(name("random")), F.col(name("base"))))
+    df = df.withColumn(name("added"), F.concat(name("whole"), apart(F.col(name("part")), F.concat(name("base"), name("random")))))
     return df, {c: F.col(name(c)) for c in ("base", "whole", "added")} | {k: F.size(name(k)).cast("bigint") for k in BASE}
 
 
@@ -183,6 +231,32 @@ def report(documents: DataFrame, model: Model | None = None) -> DataFrame:
     return df.select("doc_id", *[found[k].alias(f"n_{k}") for k in BASE], F.sha2(listed(found["base"]), 256).alias("base_sha256"), listed(F.array_sort(F.concat(found["base"], found["added"]))).alias("spans"))
 
 
+def masked_pieces(text: Column, spans: Column, mask: str) -> Column:
+    """What is left of a text around spans in order of their starts, with a mask for each group of spans that overlap.
+
+    Code points are counted from a string's beginning, so each ``BLOCK`` spans are cut from a piece of their own.
+    """
+    none, size = F.array().cast("array<string>"), F.size(spans)
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<string>>").alias("out"))
+
+    def block(s: Column, low: Column) -> Column:
+        mine = F.slice(spans, low + 1, F.lit(BLOCK))
+        upto = F.greatest(s["at"], F.array_max(F.transform(mine, lambda x: x["end"])))
+        piece = F.substring(text, s["at"] + 1, upto - s["at"])
+
+        def cut(piece: Column) -> Column:
+            def one(t: Column, x: Column) -> Column:
+                before = F.substring(piece, t["at"] - s["at"] + 1, F.greatest(x["start"] - t["at"], F.lit(0)))
+                return F.struct(F.greatest(t["at"], x["end"]).alias("at"), F.when(x["start"] >= t["at"], F.concat(t["out"], F.array(before, F.lit(mask)))).otherwise(t["out"]).alias("out"))
+
+            return F.aggregate(mine, F.struct(s["at"].alias("at"), none.alias("out")), one, lambda t: t["out"])
+
+        return F.struct(upto.alias("at"), F.concat(s["out"], F.transform(F.array(piece), cut)).alias("out"))
+
+    lows = F.when(size > 0, F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(lows, zero, block, lambda s: F.concat(F.flatten(s["out"]), F.array(F.substring(text, s["at"] + 1, F.char_length(text)))))
+
+
 def redact(documents: DataFrame, model: Model | None = None, mask: str = "[SECRET]") -> DataFrame:
     """Documents with every span replaced by a mask, with the columns that came in; n_chars follows."""
     model = model or train(labelled_samples(documents.sparkSession))
@@ -190,13 +264,7 @@ def redact(documents: DataFrame, model: Model | None = None, mask: str = "[SECRE
     spans, masked = f"{own}spans", f"{own}masked"
     df, found = with_spans(documents, model)
     df = df.withColumn(spans, F.array_sort(F.concat(found["base"], found["added"])))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        before = F.substring(F.col("text"), s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0)))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] >= s["at"], F.concat(s["out"], before, F.lit(mask))).otherwise(s["out"]).alias("out"))
-
-    whole = F.aggregate(spans, zero, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.char_length("text"))))
+    whole = F.array_join(masked_pieces(F.col("text"), F.col(spans), mask), "")
     df = df.withColumn(masked, F.when(F.size(spans) > 0, whole).otherwise(F.col("text")))
     changed = {"text": F.col(masked), "n_chars": F.when(F.size(spans) > 0, F.char_length(masked).cast("bigint")).otherwise(F.col("n_chars")) if "n_chars" in documents.columns else None}
     return df.select(*[changed[c].alias(c) if changed.get(c) is not None else F.col(f"`{c}`") for c in documents.columns])
