@@ -2,30 +2,33 @@
 
 Edges of the minimum spanning tree are found in one task's dense pass up to ``DENSE`` points and by
 rounds of block kernels beyond. The trees themselves are folds over n - 1 ascending edges, whose each
-step needs the one before; they run in one task, of at most ``FOLD`` edges, which is refused beyond.
+step needs the one before; up to ``FOLD`` edges they run in one task, and beyond in levels (``contraction``).
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidParameter
 from ..functions import vectors as V
 from ..functions.distance import EUCLIDEAN, SQUARED_EUCLIDEAN, Metric
-from ..plans.staging import stage
+from ..plans.ranges import ranged, so_far, with_carry
+from ..plans.staging import partitions, stage
 from ..sources.points import validated
-from .graph import connected_components, rank_components, relabel
+from . import contraction
+from .graph import connected_components, rank_components, ranked, relabel
 from .pairs import core_distances, in_blocks, matrix, projected, range_join
 from .spanning import pruned_tree
 
-DENSE, FOLD = 16_384, 20_000_000
+DENSE, FOLD = 16_384, contraction.LEVEL
 #: Points from which rounds go over cells of pivots rather than all pairs.
 PRUNE = 4096
 EDGES = "u long, v long, w double"
@@ -102,11 +105,9 @@ def _boruvka(table: DataFrame, metric: Metric, weigh) -> DataFrame:
     return chosen if chosen is not None else table.sparkSession.createDataFrame([], EDGES)
 
 
-def foldable(tree: DataFrame) -> DataFrame:
-    """The tree, if one task may fold it."""
-    if tree.count() > FOLD:
-        raise InvalidParameter("tree", f"more than {FOLD} edges, which one task would have to fold")
-    return tree
+def one_fold(tree: DataFrame) -> bool:
+    """Whether one task may fold the tree."""
+    return tree.count() <= FOLD
 
 
 class Forest:
@@ -255,13 +256,15 @@ def density_labels(n: int, edges: list[tuple[int, int, float]], least: int) -> t
         home[x] = number.get(x, home[c.parent[x]] if c.parent[x] >= 0 else -1)
     at = c.point_cluster
     labels[at >= 0] = np.array(home)[at[at >= 0]]
+    order = np.argsort(labels, kind="stable")
+    bounds = np.searchsorted(labels[order], np.arange(len(kept) + 1))
     for k in range(len(kept)):
-        mine = labels == k
-        if mine.sum() < least:
+        mine = order[bounds[k] : bounds[k + 1]]
+        if len(mine) < least:
             labels[mine] = -1
             continue
         density, top = c.point_density[mine], c.point_density[mine].max()
-        share = np.divide(density, top, out=np.ones(mine.sum()), where=np.isfinite(density) & (top > 0)) if np.isfinite(top) else np.where(np.isfinite(density), 0.0, 1.0)
+        share = np.divide(density, top, out=np.ones(len(mine)), where=np.isfinite(density) & (top > 0)) if np.isfinite(top) else np.where(np.isfinite(density), 0.0, 1.0)
         scores[mine] = np.clip(1 - share, 0, 1)
     return labels, scores
 
@@ -287,11 +290,11 @@ class HDBSCAN:
     def fit(self, p: DataFrame) -> DataFrame:
         """(id, label, outlier_score); one point alone is noise of score 1."""
         shape = validated(p)
-        if shape.n > FOLD:
-            raise InvalidParameter("points", f"more than {FOLD}, which one task would have to fold")
         if shape.n == 1:
             return p.select("id", F.lit(-1).cast("long").alias("label"), F.lit(1.0).alias("outlier_score"))
         least = self.min_cluster_size
+        if shape.n > FOLD:
+            return contraction.density_labels(p, stage(self.tree(p), "mst"), least, FOLD)
 
         def fold(t):
             ids, edges = ordered_edges(t)
@@ -305,7 +308,11 @@ class HDBSCAN:
 
     def condensed(self, p: DataFrame) -> DataFrame:
         """(cluster, parent, born, size, stability) of every cluster of the tree, in the order in which they came to be."""
-        least = self.min_cluster_size
+        least, tree = self.min_cluster_size, stage(self.tree(p), "mst")
+        if not one_fold(tree):
+            return contraction.all_clusters(*contraction.condensed_parts(tree, least, FOLD))
+        if shape.n > FOLD:
+            return contraction.density_labels(p, stage(self.tree(p), "mst"), least, FOLD)
 
         def fold(t):
             ids, edges = ordered_edges(t)
@@ -315,7 +322,7 @@ class HDBSCAN:
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64())
             return pa.table({k: pa.array(v, t) for k, v, t in zip(("cluster", "parent", "born", "size", "stability"), columns, kinds, strict=True)})
 
-        return foldable(self.tree(p)).groupBy(F.lit("all")).applyInArrow(lambda t: fold(t), "cluster long, parent long, born double, size long, stability double")
+        return tree.groupBy(F.lit("all")).applyInArrow(lambda t: fold(t), "cluster long, parent long, born double, size long, stability double")
 
 
 def hdbscan(p: DataFrame, min_cluster_size: int, min_points: int | None = None, metric: Metric = EUCLIDEAN) -> DataFrame:
@@ -333,6 +340,10 @@ def ordered_edges(t: pa.Table) -> tuple[np.ndarray, list[tuple[int, int, float]]
 
 def dendrogram(edges: DataFrame) -> DataFrame:
     """(node, left, right, distance, size): leaves 0 to n - 1 by ascending id, then merges by ascending weight."""
+    if not one_fold(edges):
+        merges, leaves = contraction.merges(edges, FOLD)
+        nothing = F.lit(None).cast("long")
+        return leaves.select(F.col("leaf").alias("node"), nothing.alias("left"), nothing.alias("right"), F.lit(0.0).alias("distance"), F.lit(1).cast("long").alias("size")).unionAll(merges)
 
     def fold(t):
         ids, ordered = ordered_edges(t)
@@ -348,7 +359,7 @@ def dendrogram(edges: DataFrame) -> DataFrame:
         columns = list(zip(*rows, strict=True))
         return pa.table({k: pa.array(c, t) for k, c, t in zip(("node", "left", "right", "distance", "size"), columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)})
 
-    return foldable(edges).groupBy(F.lit("all")).applyInArrow(lambda t: fold(t), "node long, left long, right long, distance double, size long")
+    return edges.groupBy(F.lit("all")).applyInArrow(lambda t: fold(t), "node long, left long, right long, distance double, size long")
 
 
 def layer_at(p: DataFrame, edges: DataFrame, threshold: float, least: int) -> DataFrame:
@@ -364,7 +375,10 @@ def layer_at(p: DataFrame, edges: DataFrame, threshold: float, least: int) -> Da
 
 
 def cut_all(p: DataFrame, tree: DataFrame, thresholds: list[float], least: int) -> DataFrame:
-    """(cut, id, label) of every threshold, as ``layer_at`` labels them, in one pass over the tree's ascending edges."""
+    """(cut, id, label) of every threshold, as ``layer_at`` labels them: in one pass over the tree's ascending edges where one task may fold it, else by components for each."""
+    if not one_fold(tree):
+        layers = [layer_at(p, tree, t, least).select(F.lit(k).alias("cut"), "id", "label") for k, t in enumerate(thresholds)]
+        return reduce(DataFrame.unionAll, layers)
 
     def fold(t):
         every, ordered = ordered_edges(t.filter(pa.compute.is_valid(t["w"])))
@@ -386,7 +400,7 @@ def cut_all(p: DataFrame, tree: DataFrame, thresholds: list[float], least: int)
         cuts, points, labels = (np.concatenate(c) for c in zip(*out, strict=True))
         return pa.table({"cut": pa.array(cuts, pa.int32()), "id": pa.array(points), "label": pa.array(labels, pa.int64(), mask=labels < 0)})
 
-    rows = foldable(tree).select("u", "v", "w").unionAll(p.select("id", "id", F.lit(None).cast("double")))
+    rows = tree.select("u", "v", "w").unionAll(p.select("id", "id", F.lit(None).cast("double")))
     return rows.groupBy(F.lit("all")).applyInArrow(lambda t: fold(t), "cut int, id long, label long")
 
 
@@ -399,23 +413,59 @@ def near_duplicates(p: DataFrame, threshold: float, metric: Metric = EUCLIDEAN)
 
 
 def picked_thresholds(tree: DataFrame, layers: int, noise_level: float) -> list[float]:
-    """``layer_thresholds`` of a tree's weights, sorted where the tree is folded; 0 alone for a tree without edges."""
+    """``layer_thresholds`` of a tree's weights, which are ranked over ranges; 0 alone for a tree without edges."""
+    n = tree.count()
+    if not n:
+        return [0.0]
+    at = layer_places(n, layers, noise_level)
+    found = {r["rank"]: r["w"] for r in ranked(tree.select("w"), "w").where(F.col("rank").isin(at)).collect()}  # a row a layer
+    return apart([found[k] for k in at])
+
+
+def layer_places(n: int, layers: int, noise_level: float) -> list[int]:
+    """The places among n ascending weights at which layers are cut; a higher noise level leans to coarser ones."""
+    layers = max(1, min(layers, n))
+    if layers == 1:
+        return [n - 1]
+    bend = 1 - min(max(noise_level, 0.0), 1.0) + 1e-6
+    return sorted(min(n - 1, math.floor((k / (layers - 1)) ** bend * (n - 1) + 0.5)) for k in range(layers))
 
-    def pick(t):
-        return pa.table({"threshold": pa.array(layer_thresholds(np.sort(t["w"].to_numpy()).tolist(), layers, noise_level), pa.float64())})
 
-    found = foldable(tree).select("w").groupBy(F.lit("all")).applyInArrow(lambda t: pick(t), "threshold double").collect()  # a row a layer
-    return sorted(r["threshold"] for r in found) or [0.0]
+def apart(picks: list[float]) -> list[float]:
+    """Ascending thresholds that differ by more than nothing."""
+    return [w for k, w in enumerate(picks) if k == 0 or abs(w - picks[k - 1]) > V.NORM_FLOOR]
 
 
 def layer_thresholds(weights: list[float], layers: int, noise_level: float) -> list[float]:
-    """Distinct thresholds from ascending tree weights; a higher noise level leans to coarser ones."""
-    layers = max(1, min(layers, len(weights)))
-    if layers == 1:
-        return [weights[-1]]
-    bend = 1 - min(max(noise_level, 0.0), 1.0) + 1e-6
-    picks = sorted(weights[min(len(weights) - 1, math.floor((k / (layers - 1)) ** bend * (len(weights) - 1) + 0.5))] for k in range(layers))
-    return [w for k, w in enumerate(picks) if k == 0 or abs(w - picks[k - 1]) > V.NORM_FLOOR]
+    """Distinct thresholds from ascending tree weights."""
+    return apart([weights[k] for k in layer_places(len(weights), layers, noise_level)])
+
+
+def best_by_merges(n: int, tree: DataFrame, least: int, target: int) -> float:
+    """``best_threshold`` from the merges of a tree that no task folds: running sums over ranges of merges."""
+    merges, _ = contraction.merges(tree, FOLD)
+    merges = stage(merges, "fold-merges")
+    sizes = merges.select(F.col("node").alias("part"), F.col("size").alias("n"))
+    large = lambda c: (F.col(c) >= least).cast("long")
+    for side in ("left", "right"):
+        merges = merges.join(sizes.withColumnRenamed("part", side).withColumnRenamed("n", f"of_{side}"), side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", F.lit(1)))
+    deltas = merges.select(
+        "node",
+        "distance",
+        (large("size") - large("of_left") - large("of_right")).alias("clusters"),
+        (large("size") * F.col("size") - large("of_left") * F.col("of_left") - large("of_right") * F.col("of_right")).alias("assigned"),
+    )
+    parts = stage(ranged(deltas, [F.col("node")], partitions(tree.sparkSession)), "fold-deltas")
+    sums = {r["part"]: (r["c"], r["a"]) for r in parts.groupBy("part").agg(F.sum("clusters").alias("c"), F.sum("assigned").alias("a")).collect()}  # a row a part
+    first = (n, n) if least <= 1 else (0, 0)
+    carry = so_far(sums, lambda x, y: (x[0] + y[0], x[1] + y[1]), first)
+    upto = Window.partitionBy("part").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = with_carry(parts, carry, "before", "struct<c:long,a:long>")
+    now = ahead.select("node", "distance", (F.col("before.c") + F.sum("clusters").over(upto)).alias("c"), (F.col("before.a") + F.sum("assigned").over(upto)).alias("a"))
+    key = lambda c, a: F.struct(F.abs(c - target), -a, -c)
+    best = now.agg(F.min(F.struct(key(F.col("c"), F.col("a")).alias("key"), "node", "distance")).alias("best")).select("best.*").first()
+    start = (abs(first[0] - target), -first[1], -first[0])
+    return best["distance"] if best["key"] is not None and tuple(best["key"]) < start else 0.0
 
 
 def best_threshold(n: int, edges: list[tuple[int, int, float]], least: int, target: int) -> float:
@@ -483,12 +533,14 @@ class Layers:
         if target < 1:
             raise InvalidParameter("target", "has to be at least 1")
         n, least = self.points.count(), self.min_cluster_size
+        if not one_fold(self.tree):
+            return cut_all(self.points, self.tree, [best_by_merges(n, self.tree, least, target)], least).select("id", "label")
 
         def fold(t):
             _, edges = ordered_edges(t)
             return pa.table({"threshold": pa.array([best_threshold(n, edges, least, target)], pa.float64())})
 
-        found = foldable(self.tree).groupBy(F.lit("all")).applyInArrow(lambda t: fold(t), "threshold double").first()
+        found = self.tree.groupBy(F.lit("all")).applyInArrow(lambda t: fold(t), "threshold double").first()
         return cut_all(self.points, self.tree, [found[0] if found else 0.0], least).select("id", "label")
 
 
