@@ -311,8 +311,6 @@ class HDBSCAN:
         least, tree = self.min_cluster_size, stage(self.tree(p), "mst")
         if not one_fold(tree):
             return contraction.all_clusters(*contraction.condensed_parts(tree, least, FOLD))
-        if shape.n > FOLD:
-            return contraction.density_labels(p, stage(self.tree(p), "mst"), least, FOLD)
 
         def fold(t):
             ids, edges = ordered_edges(t)
