@@ -253,7 +253,7 @@ def dist_custom(spark, sf_dir):
 
 @query("SELECT event_id, round(CASE WHEN value > 0 THEN 1 / value ELSE CAST('infinity' AS DOUBLE) END, 6) AS density FROM events")
 def scal_density(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.round(V.inverse(F.col("value")), 6).alias("density"))
+    return table(spark, sf_dir, "events").select("event_id", V.rounded(V.inverse(F.col("value")), 6).alias("density"))
 
 
 @query("SELECT event_id, CAST(ceil(log2(bm / (bm - 1)) / rate) AS BIGINT) AS period FROM (SELECT event_id, (2 + event_id % 9) / 10 * CAST(6 + user_id % 15 AS DOUBLE) AS bm, (1 + event_id % 25) / 100 AS rate FROM events)")

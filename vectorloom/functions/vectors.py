@@ -71,6 +71,13 @@ def inverse(distance: Column) -> Column:
     return F.when(distance > 0, 1 / distance).otherwise(F.lit(float("inf")))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x rounded by scaling, halves away from zero, as C and SQL engines round binary numbers; F.round goes by x's decimal digits instead."""
+    scale = F.lit(10.0**digits)
+    out = F.round(x * scale, 0) / scale
+    return F.when(F.abs(x) * scale < float("inf"), out).otherwise(x)
+
+
 def mutual_reachability(distance: Column, core_a: Column, core_b: Column) -> Column:
     return F.greatest(distance, core_a, core_b)
 
