@@ -22,7 +22,7 @@ from ..functions.distance import EUCLIDEAN, Metric
 from ..plans.ranges import PART, ranged, so_far, with_carry
 from ..plans.staging import partitions, stage
 from ..sources.points import validated
-from .pairs import both_ways, range_join
+from .pairs import both_ways, knn_join, range_join
 
 WALK = 50_000_000
 ORDERING = "pos long, id long, reachability double, core_distance double"
@@ -76,9 +76,8 @@ class OPTICS:
         k = self.min_points - 1
         if k == 0:
             return p.select("id", F.lit(0.0).alias("core_distance"))
-        edges = both_ways(range_join(p, self.max_epsilon, self.metric))
-        ranked = edges.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("distance", "j"))).where(F.col("r") == k)
-        return p.select("id").join(ranked.select(F.col("i").alias("id"), "distance"), "id", "left").select("id", F.coalesce("distance", F.lit(float("inf"))).alias("core_distance"))
+        kth = knn_join(p, k, self.metric).where((F.col("rank") == k) & (F.col("distance") <= self.max_epsilon))
+        return p.select("id").join(kth.select(F.col("i").alias("id"), "distance"), "id", "left").select("id", F.coalesce("distance", F.lit(float("inf"))).alias("core_distance"))
 
     def fit(self, p: DataFrame) -> DataFrame:
         """(pos, id, reachability, core_distance); undefined ones are infinite."""

@@ -27,12 +27,14 @@ from ..errors import InvalidParameter
 from ..functions import vectors as V
 from ..functions.distance import EUCLIDEAN, Metric
 from ..plans.staging import partitions, stage
-from .pairs import matrix, nearest_few
+from .pairs import cheapest_for, cheapest_ways, matrix, nearest_few, pairwise
 
 PIVOTS, SAMPLE, SAMPLE_VALUES = 512, 4096, 4_000_000
 #: Pivots where a metric has no kernel and each is part of an expression.
 FEW_PIVOTS = 16
 BLOCK, TILE = 4096, 512
+#: Rows of the sample for which a radius is worked out, and how many times fewer pairs cells have to leave: sending rows to cells costs that much more.
+TRIED, PRUNES = 128, 10
 #: What rounding may change, of distances and of angles.
 SLACK, ANGLE_SLACK = 1e-9, 2e-7
 
@@ -83,6 +85,50 @@ class Cells:
         return self.bounds.counts
 
 
+def far_apart(x: np.ndarray, metric: Metric, many: int) -> np.ndarray:
+    """Rows far from one another."""
+    chosen = [0]
+    near = true_metric(metric, metric.block(x, x[:1])[:, 0])
+    while len(chosen) < min(many, len(x)) and near.max() > 0:
+        chosen.append(int(near.argmax()))
+        near = np.minimum(near, true_metric(metric, metric.block(x, x[chosen[-1:]])[:, 0]))
+    return x[chosen]
+
+
+def worthwhile(table: DataFrame, metric: Metric, epsilon: float | None = None, k: int = 1, root: bool = False) -> bool:
+    """Whether cells would leave few pairs to be looked at, by cells of a sample, whose bounds are narrower than those of all rows.
+
+    The radius is epsilon, or that within which a row of (id, features) or (id, features, core) has its k cheapest ways, found exactly
+    for ``TRIED`` rows. Small tables and metrics without a kernel are taken to be worth it. Where cells aren't, blocks of all pairs give the same.
+    """
+    n = table.count()
+    if n <= SAMPLE or metric.block is None:
+        return True
+    core = F.col("core") if "core" in table.columns else F.lit(0.0)
+    given = table.select(F.col("id").cast("long").alias("id"), V.doubles(F.col("features")).alias("features"), core.alias("core"), F.col("id").cast("long").alias("component"))
+    d = given.select(F.size("features")).first()[0] or 1
+    picked = given.orderBy(F.xxhash64("id"), "id").limit(max(TRIED, min(SAMPLE, SAMPLE_VALUES // d))).toArrow()  # a bounded sample
+    ids, x = picked["id"].to_numpy(), matrix(picked["features"].combine_chunks())
+    c = far_apart(np.unique(x, axis=0), metric, min(PIVOTS, math.ceil(math.sqrt(n) / 2)))
+    dp = true_metric(metric, metric.block(x, c))
+    cell, many = dp.argmin(1), len(c)
+    low, high = np.full((many + 1, many), np.inf), np.full((many + 1, many), -np.inf)
+    np.minimum.at(low, cell, dp)
+    np.maximum.at(high, cell, dp)
+    counts = np.bincount(cell, minlength=many + 1)
+    tried = min(TRIED, len(ids))
+    if epsilon is not None:
+        radius = np.full(tried, float(true_metric(metric, np.array([epsilon]))[0]))
+    else:
+        asked = table.sparkSession.createDataFrame([(int(i),) for i in ids[:tried]], "id long").join(given, "id").withColumn("cap", F.lit(float("inf")))
+        ranked = cheapest_for(asked, given, k, metric, root).withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("distance", "j")))
+        kth = {r["i"]: r["distance"] for r in ranked.where(F.col("rank") == k).select("i", "distance").collect()}  # a row for each tried
+        w = np.array([kth.get(int(i), np.inf) for i in ids[:tried]])
+        radius = true_metric(metric, w * w if root else w)
+    _, reached = Bounds(low, high, counts, SLACK).reached(dp[:tried], radius)
+    return bool(counts[reached].sum() * PRUNES <= tried * len(ids))
+
+
 def build(p: DataFrame, metric: Metric = EUCLIDEAN, pivots: int | None = None) -> Cells:
     """The cells of points (id, features)."""
     if metric.triangle is None:
@@ -93,15 +139,7 @@ def build(p: DataFrame, metric: Metric = EUCLIDEAN, pivots: int | None = None) -
     sample = p.select("id", "features").orderBy(F.xxhash64("id"), "id").limit(min(SAMPLE, max(many, SAMPLE_VALUES // d))).toArrow()  # a bounded sample
     x = matrix(sample["features"].combine_chunks()) if sample.num_rows else np.zeros((1, d))
     x = np.unique(x, axis=0)
-    if metric.block:
-        chosen = [0]
-        near = true_metric(metric, metric.block(x, x[:1])[:, 0])
-        while len(chosen) < min(many, len(x)) and near.max() > 0:
-            chosen.append(int(near.argmax()))
-            near = np.minimum(near, true_metric(metric, metric.block(x, x[chosen[-1:]])[:, 0]))
-        c = x[chosen]
-    else:
-        c = x[:: max(1, len(x) // many)][:many]
+    c = far_apart(x, metric, many) if metric.block else x[:: max(1, len(x) // many)][:many]
     many, angled = len(c), metric.triangle == "angle"
     schema = "id long, features array<double>, dp array<double>, cell int"
 
@@ -218,7 +256,9 @@ PAIRS = "i long, j long, distance double"
 
 
 def range_join(p: DataFrame, epsilon: float, metric: Metric = EUCLIDEAN, cells: Cells | None = None) -> tuple[DataFrame, int]:
-    """((i, j, distance) of pairs i < j at most epsilon apart, pairs looked at)."""
+    """((i, j, distance) of pairs i < j at most epsilon apart, pairs looked at); by blocks where cells wouldn't rule much out."""
+    if cells is None and metric.triangle is not None and not worthwhile(p, metric, epsilon):
+        return pairwise(p, metric, epsilon), p.count() ** 2
     cells = cells or build(p, metric)
     radius = float(true_metric(metric, np.array([epsilon]))[0])
     queries = cells.rows.withColumn("radius", F.lit(radius))
@@ -267,8 +307,12 @@ def reach_of(metric: Metric):
 def knn_join(p: DataFrame, k: int, metric: Metric = EUCLIDEAN, include_self: bool = False, cells: Cells | None = None) -> tuple[DataFrame, int]:
     """((i, j, distance, rank) of each point's k nearest, ties by id; pairs looked at).
 
-    A point's own block gives a radius within which k others lie; then whatever may be within it is looked at.
+    A point's own block gives a radius within which k others lie; then whatever may be within it is looked at. Where cells wouldn't rule
+    much out, blocks of all pairs are.
     """
+    if cells is None and metric.triangle is not None and not worthwhile(p, metric, k=k):
+        found = cheapest_ways(p.select("id", "features"), k, metric, include_self=include_self)
+        return found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("distance", "j")).cast("long")).where(F.col("rank") <= k), p.count() ** 2
     cells = cells or build(p, metric)
     homes = cells.rows.select("id", "features", "cell")
     order = Window.partitionBy("i").orderBy("distance", "j")
