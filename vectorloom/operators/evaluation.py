@@ -1,7 +1,7 @@
 """Clustering quality. Tables of labels are (id, label) with noise -1; scores come as one-row tables.
 
-Scores over distances aggregate within each block of pairs: what leaves a task is a sum and a count for
-each point and cluster, never a pair.
+Scores over distances aggregate within each task: what leaves it is a sum and a count for each of its points
+and each cluster, however many pairs it goes over.
 
 Every score first checks what it is given, in one aggregate: vectors of one length and finite, and labels
 for the ids of the points and for no others; scores of two labellings check that their ids agree.
@@ -10,14 +10,15 @@ for the ids of the points and for no others; scores of two labellings check that
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import DimensionMismatch, InvalidParameter, NonFinite
 from ..functions import vectors as V
-from ..functions.distance import EUCLIDEAN, Metric
+from ..functions.distance import EUCLIDEAN, Metric, for_sums
 from .kmeans import centroids_of
-from .pairs import core_distances, in_blocks, matrix
+from .pairs import TILE, core_distances, in_groups, matrix
 
 
 def checked(p: DataFrame, labels: DataFrame) -> None:
@@ -54,25 +55,35 @@ def cluster_distances(p: DataFrame, labels: DataFrame, metric: Metric = EUCLIDEA
     reach = core is not None
     labelled = labelled.join(core, "id") if reach else labelled.withColumn("core", F.lit(0.0))
 
-    def kernel(left, right, same):
-        out = []
+    def run(left, right, same):
         for one, two in [(left, right)] if same else [(left, right), (right, left)]:
+            two = two.filter(pc.greater_equal(two["label"], 0)).sort_by("label")
             if not one.num_rows or not two.num_rows:
                 continue
-            d = metric.block(matrix(one["features"]), matrix(two["features"]))
-            if reach:
-                d = np.maximum(d, np.maximum.outer(one["core"].to_numpy(), two["core"].to_numpy()))
-            ids, other = one["id"].to_numpy(), two["label"].to_numpy()
-            apart = ids[:, None] != two["id"].to_numpy()[None, :] if same else np.ones(d.shape, bool)
-            for cluster in np.unique(other[other >= 0]):
-                of = other == cluster
-                n = apart[:, of].sum(1)
-                out.append((ids, one["label"].to_numpy(), np.full(len(ids), cluster), np.where(apart[:, of], d[:, of], 0).sum(1), n))
-        if not out:
-            out = [tuple(np.empty(0, t) for t in ("i8", "i8", "i8", "f8", "i8"))]
-        return dict(zip(("id", "label", "other", "total", "n"), (np.concatenate(c) for c in zip(*out, strict=True)), strict=True))
-
-    sums = in_blocks(labelled.select("id", "features", "label", "core"), kernel, "id long, label long, other long, total double, n long")
+            x, y, ids, other = matrix(one["features"]), matrix(two["features"]), one["id"].to_numpy(), two["id"].to_numpy()
+            labels, core, core_two = two["label"].to_numpy(), one["core"].to_numpy(), two["core"].to_numpy()
+            clusters, place = np.unique(labels, return_inverse=True)
+            for a in range(0, len(x), TILE):
+                rows = slice(a, a + TILE)
+                total, n = np.zeros((len(x[rows]), len(clusters))), np.zeros((len(x[rows]), len(clusters)), np.int64)
+                for b in range(0, len(y), TILE):
+                    cols = slice(b, b + TILE)
+                    d = for_sums(metric, x[rows], y[cols])
+                    if reach:
+                        d = np.maximum(d, np.maximum.outer(core[rows], core_two[cols]))
+                    at = place[cols]
+                    starts = np.flatnonzero(np.append(True, np.diff(at) > 0))
+                    sizes = np.diff(np.append(starts, len(at)))
+                    if same:
+                        r, c = np.nonzero(ids[rows, None] == other[None, cols])
+                        d[r, c] = 0.0
+                        np.subtract.at(n, (r, at[c]), 1)
+                    total[:, at[starts]] += np.add.reduceat(d, starts, axis=1)
+                    n[:, at[starts]] += sizes
+                r, c = np.nonzero(n)
+                yield {"id": ids[rows][r], "label": one["label"].to_numpy()[rows][r], "other": clusters[c], "total": total[r, c], "n": n[r, c]}
+
+    sums = in_groups(labelled.select("id", "features", "label", "core"), run, "id long, label long, other long, total double, n long")
     return sums.where("n > 0").groupBy("id", "label", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
