@@ -21,7 +21,7 @@ from ..functions.distance import EUCLIDEAN, Metric
 from ..plans.staging import stage
 from ..sources.points import validated
 from .graph import connected_components, rank_components
-from .pairs import both_ways, matrix, range_join
+from .pairs import both_ways, core_links, matrix, neighbours, pruning, range_join
 
 #: Most dimensions that cells are used for, and rows of a block of a cell.
 CELL_DIMENSIONS, BLOCK = 3, 4096
@@ -71,8 +71,11 @@ class DBSCAN:
             if not euclidean:
                 raise InvalidParameter("plan", "cells are for Euclidean distances")
             core, inner, edges = cell_links(p, self.epsilon, self.metric, self.min_points, shape.d)
+        elif self.metric.block is not None and (self.plan == "block" or (self.plan == "auto" and (met := pruning(p, self.epsilon, self.metric, dimensions=shape.d)) is None)):
+            core, inner, edges = block_links(p, self.epsilon, self.metric, self.min_points)
         else:
-            edges = stage(both_ways(range_join(p, self.epsilon, self.metric, self.plan, shape.d).select("i", "j")), "dbscan-edges")
+            met = met if self.plan == "auto" and self.metric.block is not None else range_join(p, self.epsilon, self.metric, self.plan, shape.d)
+            edges = stage(both_ways(met.select("i", "j")), "dbscan-edges")
             core = stage(core_points(edges, p, self.min_points), "dbscan-core")
             inner = edges.join(core.select(F.col("id").alias("i")), "i").join(core.select(F.col("id").alias("j")), "j").where("i < j")
         seeds = core.join(connected_components(inner), "id", "left").select("id", F.coalesce("component", "id").alias("seed"))
@@ -89,6 +92,15 @@ class DBSCAN:
         return p.select("id").join(labels, "id", "left").select("id", F.coalesce("label", F.lit(-1).cast("long")).alias("label")), core
 
 
+def block_links(p: DataFrame, epsilon: float, metric: Metric, min_points: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(core points, edges that link them as all edges among them would, edges from other points to them), over all pairs twice: first
+    neighbours are counted, then linked. No pair of core points is written down that links nothing, and other points have few."""
+    core = p.select("id") if min_points <= 1 else stage(neighbours(p, epsilon, metric).where(F.col("n") + 1 >= min_points).select("id"), "dbscan-core")
+    told = p.select("id", "features").join(core.withColumn("inside", F.lit(True)), "id", "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+    met = stage(core_links(told, epsilon, metric), "dbscan-edges")
+    return core, met.where("inner").select("i", "j"), met.where("not inner").select("i", "j")
+
+
 def around(cell: Column, reach: int, d: int, half: bool = False) -> Column:
     """The cells up to ``reach`` away along each axis, of a cell as an array; half: one of each two that lie opposite, and not itself."""
     steps = [()]
