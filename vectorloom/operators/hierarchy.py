@@ -25,7 +25,7 @@ from ..plans.staging import partitions, stage
 from ..sources.points import validated
 from . import contraction
 from .graph import connected_components, rank_components, ranked, relabel
-from .pairs import core_distances, in_blocks, matrix, projected, range_join
+from .pairs import core_distances, in_blocks, links, matrix, projected
 from .spanning import pruned_tree
 
 DENSE, FOLD = 16_384, contraction.LEVEL
@@ -402,11 +402,20 @@ def cut_all(p: DataFrame, tree: DataFrame, thresholds: list[float], least: int)
     return rows.groupBy(F.lit("all")).applyInArrow(lambda t: fold(t), "cut int, id long, label long")
 
 
+def threshold_layer(p: DataFrame, threshold: float, least: int, metric: Metric = EUCLIDEAN) -> DataFrame:
+    """(id, label): ``layer_at`` of all pairs up to a threshold, of which no more are made than link the same points."""
+    return layer_at(p, pairs_linking(p, threshold, metric), threshold, least)
+
+
+def pairs_linking(p: DataFrame, threshold: float, metric: Metric) -> DataFrame:
+    return links(p, threshold, metric).withColumn("distance", F.lit(0.0))
+
+
 def near_duplicates(p: DataFrame, threshold: float, metric: Metric = EUCLIDEAN) -> DataFrame:
     """(component, id): groups of two or more points linked by distances up to a threshold, named by their smallest id."""
     if threshold <= 0:
         return p.select(F.col("id").alias("component"), "id").limit(0)
-    found = connected_components(range_join(p, threshold, metric).select("i", "j"))
+    found = connected_components(links(p, threshold, metric))
     return found.select("component", "id")
 
 
