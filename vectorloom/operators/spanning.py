@@ -6,7 +6,8 @@ the point's own component drop out of the list. While any are left, the first of
 out; when none is, the point is asked again only if its bound doesn't exceed what its component has
 found by other points, and then for what lies within that weight alone, in cells that hold other components
 (``pivots.visit``). Of a component that has found nothing, the point of least bound is asked first, so that the others
-have a weight to go by.
+have a weight to go by. The largest component asks nothing and takes no edge: all others join something, and its points, which
+are most, needn't be compared with all. Where cells would rule little out (``pivots.worthwhile``), the same is asked of blocks of all rows.
 """
 
 from __future__ import annotations
@@ -16,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
 from ..functions.distance import Metric
 from ..plans.staging import stage, unstage
 from .graph import connected_components
-from .pairs import matrix, nearest_few
-from .pivots import BLOCK, PAIRS, TILE, Cells, build, reach_of, visit
+from .pairs import cheapest_for, cheapest_ways, matrix, nearest_few
+from .pivots import BLOCK, PAIRS, TILE, Cells, build, reach_of, visit, worthwhile
 
 #: Nearest others that a point keeps.
 LISTED = 8
@@ -34,32 +36,46 @@ def pruned_tree(table: DataFrame, metric: Metric, root: bool = False, looked: li
     """
     looked = [] if looked is None else looked
     weigh = np.sqrt if root else (lambda d: d)
-    cells = build(table.select("id", "features"), metric)
-    rows = stage(cells.rows.join(table.select("id", "core"), "id"), "tree-rows")
+    table = stage(table.select(F.col("id").cast("long").alias("id"), V.doubles(F.col("features")).alias("features"), "core"), "tree-points")  # core distances are worked out once
+    by_cells = worthwhile(table, metric, k=LISTED, root=root)
+    cells = build(table.select("id", "features"), metric) if by_cells else None
+    rows = stage(cells.rows.join(table.select("id", "core"), "id"), "tree-rows") if by_cells else table
+    n = rows.count()
     labels = stage(rows.select("id", F.col("id").alias("component")), "tree-labels")
     lists = chosen = None
-    while labels.select("component").distinct().limit(2).count() > 1:
+    while True:
+        largest = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").first()
+        if largest is None or largest["n"] == n:
+            break
+        asking = labels.where(F.col("component") != largest["component"])
         seen = 0
         placed = rows.join(labels, "id")
         if lists is None:
-            first, seen = search(cells, placed, with_radius(placed, own_block(cells, placed, metric, weigh), metric, root), metric, weigh, {})
+            if by_cells:
+                first, seen = search(cells, placed, with_radius(placed, own_block(cells, placed, metric, weigh), metric, root), metric, weigh, {})
+            else:
+                first, seen = listed(cheapest_ways(placed, LISTED, metric, root)), n * n
             lists = stage(rows.select("id").join(first, "id", "left").select("id", F.coalesce("near", F.array().cast(NEAR)).alias("near"), bound_of(F.col("near"), F.lit(float("inf"))).alias("bound")), "tree-lists")
         else:
             lists = stage(without_own(lists, labels), "tree-lists")
-        best = component_best(lists, labels)
+        best = component_best(lists, asking)
         for limited in (False, True):
-            asked = open_points(lists, labels, best, limited)
+            asked = open_points(lists, asking, best, limited)
             if asked.isEmpty():
                 continue
-            radius = F.coalesce(reach_of(metric)(unweighed(F.col("limit"), root)), F.lit(float("inf")))
-            queries = stage(placed.join(asked, "id").select("id", "features", "dp", "cell", "core", "component", radius.alias("radius")), "tree-asked")
-            found, n = search(cells, placed, queries, metric, weigh, whole_cells(placed))
-            seen += n
+            if by_cells:
+                radius = F.coalesce(reach_of(metric)(unweighed(F.col("limit"), root)), F.lit(float("inf")))
+                queries = stage(placed.join(asked, "id").select("id", "features", "dp", "cell", "core", "component", radius.alias("radius")), "tree-asked")
+                found, looks = search(cells, placed, queries, metric, weigh, whole_cells(placed))
+            else:
+                queries = stage(placed.join(asked, "id").select("id", "features", "core", "component", F.coalesce("limit", F.lit(float("inf"))).alias("cap")), "tree-asked")
+                found, looks = listed(cheapest_for(queries, placed, LISTED, metric, root)), queries.count() * n
+            seen += looks
             new = asked.join(found, "id", "left").select("id", F.coalesce("near", F.array().cast(NEAR)).alias("new"), bound_of(F.col("near"), F.coalesce("limit", F.lit(float("inf")))).alias("new_bound"))
             new = stage(new, "tree-found")
             old, lists = lists, stage(lists.join(new, "id", "left").select("id", F.coalesce("new", "near").alias("near"), F.coalesce("new_bound", "bound").alias("bound")), "tree-lists")
             unstage(old, queries, new)
-            best = component_best(lists, labels)
+            best = component_best(lists, asking)
         looked.append(seen)
         edges = best.select("e.u", "e.v", "e.w").distinct()
         chosen = stage(edges if chosen is None else chosen.unionAll(edges).distinct(), "tree-edges")
@@ -68,6 +84,12 @@ def pruned_tree(table: DataFrame, metric: Metric, root: bool = False, looked: li
     return chosen if chosen is not None else table.sparkSession.createDataFrame([], "u long, v long, w double")
 
 
+def listed(found: DataFrame) -> DataFrame:
+    """(id, near) of each row's ``LISTED`` cheapest of (i, j, distance)."""
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("distance", "j"))).where(F.col("rank") <= LISTED)
+    return ranked.groupBy(F.col("i").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("distance").alias("w"), "j"))).alias("near"))
+
+
 def unweighed(w: Column, root: bool) -> Column:
     return w * w if root else w
 
@@ -115,8 +137,7 @@ def foreign_kernel(metric: Metric, weigh):
 def search(cells: Cells, placed: DataFrame, queries: DataFrame, metric: Metric, weigh, skip: dict[int, int]) -> tuple[DataFrame, int]:
     """((id, near): the cheapest ways out within each query's radius, pairs looked at)."""
     found, looked = visit(cells, placed.select("id", "features", "cell", "core", "component"), queries, PAIRS, foreign_kernel(metric, weigh), skip=skip)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("distance", "j"))).where(F.col("rank") <= LISTED)
-    return ranked.groupBy(F.col("i").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("distance").alias("w"), "j"))).alias("near")), looked
+    return listed(found), looked
 
 
 def without_own(lists: DataFrame, labels: DataFrame) -> DataFrame:
