@@ -1,7 +1,11 @@
-"""OPTICS: neighbour lists by a distributed range join, the ordering by one task's walk over them.
+"""OPTICS: neighbour lists by a distributed join, the ordering by one task's walk over them.
 
-The walk takes the unseen point of least reachability (ties by id) and can't be split; it holds the
-range pairs of all points, at most ``WALK``. What is extracted from many orderings are window queries, one
+The walk takes the unseen point of least reachability (ties by id) and can't be split; it holds at most ``WALK``
+pairs. Where all pairs within max_epsilon could be more, it gets those that can decide a step. A step from p to
+o weighs the larger of p's core distance and their distance. Where some way from p to o has lighter steps only, one of these
+leaves what is seen whenever the step from p to o does, and goes first. The spanning tree of mutual reachability tells the
+heaviest step of such a way, so a pair is left out if it is farther apart than that. What is left are the nearest few
+of each point, a tree, and whatever ties with these, which is a few pairs a point. What is extracted from many orderings are window queries, one
 task an ordering; one ordering alone is cut into ranges of positions, each range tells how many clusters it starts,
 its last reachability and its last event, and what comes before a range is carried into it.
 """
@@ -9,6 +13,7 @@ its last reachability and its last event, and what comes before a range is carri
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,10 +23,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidParameter
-from ..functions.distance import EUCLIDEAN, Metric
+from ..functions.distance import EUCLIDEAN, Metric, by_products, of_rows
 from ..plans.ranges import PART, ranged, so_far, with_carry
 from ..plans.staging import partitions, stage
 from ..sources.points import validated
+from . import hierarchy, pairs
 from .pairs import both_ways, knn_join, range_join
 
 WALK = 50_000_000
@@ -59,6 +65,98 @@ def walk(ids: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray, min_point
     return out
 
 
+def leaves(t: pa.Table) -> pa.Table:
+    """(id, pos, gap) of a tree's vertices, so placed that the heaviest edge on the way between two is the largest gap after the first, up to the second."""
+    ids, ends = np.unique(np.concatenate([t["u"].to_numpy(), t["v"].to_numpy()]), return_inverse=True)
+    n, w = len(ids), t["w"].to_numpy()
+    u, v = ends[: len(w)].tolist(), ends[len(w) :].tolist()
+    sets, head, tail, after = hierarchy.Forest(n), list(range(n)), list(range(n)), [-1] * n
+    gap = np.full(n, -np.inf)
+    for e in np.argsort(w, kind="stable").tolist():
+        a, b = sets.find(u[e]), sets.find(v[e])
+        first, last = head[a], tail[b]
+        after[tail[a]] = head[b]
+        gap[head[b]] = w[e]
+        at = sets.unite(a, b)
+        head[at], tail[at] = first, last
+    order, at = [], head[sets.find(0)] if n else -1
+    while at >= 0:
+        order.append(at)
+        at = after[at]
+    return pa.table({"id": pa.array(ids[order], pa.int64()), "pos": pa.array(np.arange(len(order))), "gap": pa.array(gap[order])})
+
+
+@dataclass
+class Part:
+    """Points of one group in the order of their places; those that have none come last and are loose."""
+
+    ids: np.ndarray
+    x: np.ndarray
+    core: np.ndarray
+    gap: np.ndarray
+    loose: np.ndarray
+
+    @staticmethod
+    def of(t: pa.Table) -> Part:
+        t = t.sort_by("pos")  # nulls last
+        loose = pa.compute.is_null(t["pos"]).to_numpy()
+        return Part(t["id"].to_numpy(), pairs.matrix(t["features"]), t["core"].to_numpy(), np.where(loose, -np.inf, t["gap"].to_numpy()), loose)
+
+
+def heaviest(one: Part, x: slice, two: Part, y: slice, between: float) -> np.ndarray:
+    """The heaviest edge on the way from each row x of one to each row y of two, which come later; infinite for loose ones. One tile with itself: for later columns."""
+    if one is two and x == y:
+        out = np.maximum.accumulate(np.triu(np.broadcast_to(one.gap[x], (len(one.gap[x]),) * 2), 1) + np.where(np.tri(len(one.gap[x]), dtype=bool), -np.inf, 0.0), axis=1)
+    else:
+        after = np.append(np.maximum.accumulate(one.gap[x][:0:-1])[::-1], -np.inf)
+        out = np.maximum.outer(np.maximum(after, between), np.maximum.accumulate(two.gap[y]))
+    out[one.loose[x]] = np.inf
+    out[:, two.loose[y]] = np.inf
+    return out
+
+
+def deciding(p: DataFrame, core: DataFrame, d: int, epsilon: float, metric: Metric) -> DataFrame:
+    """(i, j, distance), i < j: pairs at most epsilon apart, without those that no walk's step can go by; core: (id, core), infinite beyond epsilon."""
+    spark, finite = p.sparkSession, F.col("core") < float("inf")
+    core = stage(core, "optics-core")
+    tree = hierarchy.spanning_tree(p.join(core.where(finite).select("id"), "id"), metric, core.where(finite))
+    order = stage(tree.groupBy(F.lit("all")).applyInArrow(lambda t: leaves(t), "id long, pos long, gap double"), "optics-leaves")
+    n, placed = core.count(), order.count()
+    groups = pairs.groups_for(n, d, spark.sparkContext.defaultParallelism, pairs.TILE)
+    group = F.coalesce(F.floor(F.col("pos") * groups / max(1, placed)), F.pmod(F.xxhash64("id"), F.lit(groups))).cast("int")
+    points = stage(p.select("id", "features").join(core, "id").join(order, "id", "left").withColumn("group", group), "optics-points")
+    most = {r["group"]: r["most"] for r in points.where("pos is not null").groupBy("group").agg(F.max("gap").alias("most")).collect()}  # one row a group
+    power = metric.power
+
+    def run(left: pa.Table, right: pa.Table, same: bool) -> Iterator[dict[str, np.ndarray]]:
+        if not left.num_rows or not right.num_rows:
+            return
+        one, tile = Part.of(left), pairs.TILE
+        two = one if same else Part.of(right)
+        mid = max([most.get(g, -np.inf) for g in range(left["group"][0].as_py() + 1, right["group"][0].as_py())], default=-np.inf)
+        for a in range(0, len(one.ids), tile):
+            for b in range(a if same else 0, len(two.ids), tile):
+                x, y = slice(a, a + tile), slice(b, b + tile)
+                between = one.gap[a + tile : b].max(initial=-np.inf) if same else max(mid, one.gap[a + tile :].max(initial=-np.inf), two.gap[:b].max(initial=-np.inf))
+                limit = heaviest(one, x, two, y, between)
+                limit *= 1 + 1e-9 * np.sign(limit)  # a metric's last bits may hang on the block; a pair too many does no harm
+                np.minimum(limit, epsilon, out=limit)
+                near = by_products(one.x[x], two.x[y]) if power else None
+                if near is None:
+                    found = metric.block(one.x[x], two.x[y])
+                    may = found <= limit
+                else:
+                    may = near[0] <= limit**power * (1 + 1e-12) + near[1]
+                may &= np.isfinite(one.core[x])[:, None] | np.isfinite(two.core[y])[None, :]
+                r, c = np.nonzero(np.triu(may, 1) if same and a == b else may)
+                gap = found[r, c] if near is None else of_rows(metric, one.x[x], two.x[y], r, c)
+                keep = gap <= limit[r, c]
+                i, j = one.ids[x][r[keep]], two.ids[y][c[keep]]
+                yield {"i": np.minimum(i, j), "j": np.maximum(i, j), "distance": gap[keep]}
+
+    return pairs.in_groups(points, run, "i long, j long, distance double", groups=groups, group=F.col("group"))
+
+
 @dataclass(frozen=True)
 class OPTICS:
     max_epsilon: float
@@ -79,12 +177,21 @@ class OPTICS:
         kth = knn_join(p, k, self.metric).where((F.col("rank") == k) & (F.col("distance") <= self.max_epsilon))
         return p.select("id").join(kth.select(F.col("i").alias("id"), "distance"), "id", "left").select("id", F.coalesce("distance", F.lit(float("inf"))).alias("core_distance"))
 
+    def steps(self, p: DataFrame, n: int, d: int) -> DataFrame:
+        """(i, j, distance), i < j: all pairs within max_epsilon where these can't be more than the walk holds, else those that can decide a step."""
+        if n * (n - 1) <= WALK or self.metric.block is None:
+            return range_join(p, self.max_epsilon, self.metric, dimensions=d)
+        pruned = pairs.pruning(p, self.max_epsilon, self.metric, dimensions=d)
+        if pruned is not None and 2 * pruned.count() <= WALK:
+            return pruned
+        return deciding(p, self.core_distances(p).select("id", F.col("core_distance").alias("core")), d, self.max_epsilon, self.metric)
+
     def fit(self, p: DataFrame) -> DataFrame:
         """(pos, id, reachability, core_distance); undefined ones are infinite."""
         shape = validated(p)
-        edges = stage(both_ways(range_join(p, self.max_epsilon, self.metric, dimensions=shape.d)), "optics-edges")
+        edges = stage(both_ways(self.steps(p, shape.n, shape.d)), "optics-edges")
         if edges.count() > WALK:
-            raise InvalidParameter("max_epsilon", f"gives more than {WALK} pairs, which one task would have to hold")
+            raise InvalidParameter("max_epsilon", f"gives more than {WALK} pairs that may decide a step, which one task would have to hold")
         every = p.select(F.col("id").alias("i"), F.lit(None).cast("long").alias("j"), F.lit(None).cast("double").alias("distance"))
         min_points = self.min_points
 
