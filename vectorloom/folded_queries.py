@@ -5,6 +5,7 @@ The SQL of a sequential algorithm is a recursive query whose working table is th
 
 from __future__ import annotations
 
+import math
 import uuid
 
 import numpy as np
@@ -252,8 +253,41 @@ def manhattan(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-MANHATTAN = Metric("manhattan", lambda x, y: V.total(F.zip_with(x, y, lambda a, b: F.abs(a - b))), manhattan)
-
+def manhattan_near(x: np.ndarray, y: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, distance) of pairs at most limit apart: small whole numbers tell which can be, and these alone are worked out.
+
+    A difference of two numbers is twice their maximum less their sum. Coordinates are cut into so many steps that
+    16 bits hold the sum of them all; each is then less than a step off, and so is each difference.
+    """
+    d = x.shape[1]
+    if not limit >= 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    low, high = (min(x.min(), y.min()), max(x.max(), y.max())) if d else (0.0, 0.0)
+    steps = 65_535 // max(1, d)
+    with np.errstate(all="ignore"):
+        scale = steps / (high - low) if high > low else 1.0
+        sound = np.isfinite(scale) and np.isfinite(high - low)
+    if steps < 64 or not d or not sound:
+        apart = manhattan(x, y)
+        row, column = np.nonzero(apart <= limit)
+        return row, column, apart[row, column]
+    a, b = (np.ascontiguousarray(np.minimum((v.T - low) * scale, steps).astype(np.uint16)) for v in (x, y))
+    top, larger = np.zeros((len(x), len(y)), np.uint16), np.empty((len(x), len(y)), np.uint16)
+    for k in range(d):
+        np.maximum.outer(a[k], b[k], out=larger)
+        np.add(top, larger, out=top)
+    most = math.ceil(min(limit * scale * (1 + 1e-9), 65_535.0)) + d + 1
+    both = np.add.outer(*(c.sum(0, dtype=np.int32) for c in (a, b)))
+    row, column = np.divmod(np.flatnonzero(2 * top.astype(np.int32) - both <= most), len(y))
+    out, step = np.empty(len(row)), max(1, 1_000_000 // d)
+    for at in range(0, len(row), step):
+        gaps = np.abs(x[row[at : at + step]] - y[column[at : at + step]])
+        out[at : at + step] = np.add.accumulate(gaps, axis=1)[:, -1]  # in order of the coordinates
+    kept = out <= limit
+    return row[kept], column[kept], out[kept]
+
+
+MANHATTAN = Metric("manhattan", lambda x, y: V.total(F.zip_with(x, y, lambda a, b: F.abs(a - b))), manhattan, near=manhattan_near)
 
 
 @query(f"WITH {E} SELECT a.id AS i, b.id AS j, round(list_sum(list_transform(list_zip(a.f, b.f), lambda z: abs(z[1] - z[2]))), 6) AS distance FROM e a JOIN e b ON a.id < b.id AND list_sum(list_transform(list_zip(a.f, b.f), lambda z: abs(z[1] - z[2]))) <= 7.5")
@@ -273,7 +307,7 @@ def scal_pruning_period(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", V.pruning_periods((2 + e % 9) / 10, (6 + F.col("user_id") % 15).cast("double"), (1 + e % 25) / 100).cast("long").alias("period"))
 
 
-MANHATTAN_METRIC = Metric("manhattan", MANHATTAN.column, manhattan, triangle="plain")
+MANHATTAN_METRIC = Metric("manhattan", MANHATTAN.column, manhattan, triangle="plain", near=manhattan_near)
 
 
 @query(f"WITH {E} SELECT a.id AS i, b.id AS j, round(list_sum(list_transform(list_zip(a.f, b.f), lambda z: abs(z[1] - z[2]))), 6) AS distance FROM e a JOIN e b ON a.id < b.id AND list_sum(list_transform(list_zip(a.f, b.f), lambda z: abs(z[1] - z[2]))) <= 7.5")

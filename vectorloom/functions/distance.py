@@ -30,6 +30,8 @@ class Metric:
     triangle: str | None = None
     #: The power of a distance that is the squared Euclidean one, so that products of rows tell what can be near; None for other metrics.
     power: int | None = None
+    #: (row, column, distance) of the rows of two blocks at most a limit apart, where that takes less than all distances; None if it doesn't.
+    near: Callable[[np.ndarray, np.ndarray, float], tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None
 
 
 def by_products(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float] | None:
@@ -65,6 +67,8 @@ def of_rows(metric: Metric, x: np.ndarray, y: np.ndarray, row: np.ndarray, colum
 
 def within(metric: Metric, x: np.ndarray, y: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, distance) of pairs at most limit apart."""
+    if metric.near is not None and len(x) and len(y):
+        return metric.near(x, y, limit)
     near = by_products(x, y) if metric.power else None
     if near is None:
         d = metric.block(x, y) if len(x) and len(y) else np.empty((len(x), len(y)))

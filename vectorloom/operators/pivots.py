@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..errors import InvalidParameter
 from ..functions import vectors as V
 from ..functions.distance import EUCLIDEAN, Metric
+from ..functions.distance import within as rows_within
 from ..plans.staging import partitions, stage
 from .pairs import cheapest_for, cheapest_ways, matrix, nearest_few, pairwise
 
@@ -273,11 +274,10 @@ def range_join(p: DataFrame, epsilon: float, metric: Metric = EUCLIDEAN, cells:
         a, b = left["id"].to_numpy(), right["id"].to_numpy()
         if not len(a) or not len(b):
             return {"i": np.empty(0, np.int64), "j": np.empty(0, np.int64), "distance": np.empty(0)}
-        d = metric.block(matrix(left["features"]), matrix(right["features"]))
-        keep = d <= epsilon
-        keep &= (a[:, None] < b[None, :]) | (right["cell"].to_numpy() != to)[None, :]
-        r, c = np.nonzero(keep)
-        return {"i": np.minimum(a[r], b[c]), "j": np.maximum(a[r], b[c]), "distance": d[r, c]}
+        r, c, d = rows_within(metric, matrix(left["features"]), matrix(right["features"]), epsilon)
+        keep = (a[r] < b[c]) | (right["cell"].to_numpy() != to)[c]
+        r, c, d = r[keep], c[keep], d[keep]
+        return {"i": np.minimum(a[r], b[c]), "j": np.maximum(a[r], b[c]), "distance": d}
 
     return visit(cells, homes, queries, PAIRS, kernel, forward=True)
 
