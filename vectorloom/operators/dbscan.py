@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, replace
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -70,15 +71,16 @@ class DBSCAN:
         if self.plan == "cells" or (self.plan == "auto" and euclidean and shape.d <= CELL_DIMENSIONS):
             if not euclidean:
                 raise InvalidParameter("plan", "cells are for Euclidean distances")
-            core, inner, edges = cell_links(p, self.epsilon, self.metric, self.min_points, shape.d)
+            core, seeds, edges = cell_links(p, self.epsilon, self.metric, self.min_points, shape.d)
         elif self.metric.block is not None and (self.plan == "block" or (self.plan == "auto" and (met := pruning(p, self.epsilon, self.metric, dimensions=shape.d)) is None)):
             core, inner, edges = block_links(p, self.epsilon, self.metric, self.min_points)
+            seeds = seeds_of(core, inner)
         else:
             met = met if self.plan == "auto" and self.metric.block is not None else range_join(p, self.epsilon, self.metric, self.plan, shape.d)
             edges = stage(both_ways(met.select("i", "j")), "dbscan-edges")
             core = stage(core_points(edges, p, self.min_points), "dbscan-core")
             inner = edges.join(core.select(F.col("id").alias("i")), "i").join(core.select(F.col("id").alias("j")), "j").where("i < j")
-        seeds = core.join(connected_components(inner), "id", "left").select("id", F.coalesce("component", "id").alias("seed"))
+            seeds = seeds_of(core, inner)
         ranked = rank_components(seeds.select(F.col("seed").alias("component")))
         touching = edges.join(seeds.select(F.col("id").alias("j"), "seed"), "j").join(core.select(F.col("id").alias("i")), "i", "left_anti")
         least = F.min("seed")
@@ -92,6 +94,11 @@ class DBSCAN:
         return p.select("id").join(labels, "id", "left").select("id", F.coalesce("label", F.lit(-1).cast("long")).alias("label")), core
 
 
+def seeds_of(core: DataFrame, inner: DataFrame) -> DataFrame:
+    """(id, seed) of core points: the smallest that the edges among them lead to."""
+    return core.join(connected_components(inner), "id", "left").select("id", F.coalesce("component", "id").alias("seed"))
+
+
 def block_links(p: DataFrame, epsilon: float, metric: Metric, min_points: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(core points, edges that link them as all edges among them would, edges from other points to them), over all pairs twice: first
     neighbours are counted, then linked. No pair of core points is written down that links nothing, and other points have few."""
@@ -111,7 +118,7 @@ def around(cell: Column, reach: int, d: int, half: bool = False) -> Column:
 
 
 def cell_links(p: DataFrame, epsilon: float, metric: Metric, min_points: int, d: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(core points, edges that link them as all edges among them would, edges of points that aren't in full cells)."""
+    """(core points, their seeds, edges of points that aren't in full cells)."""
     true = math.sqrt(epsilon) if metric.triangle == "root" else epsilon
     width = true / math.sqrt(d) * (1 - 1e-9)
     reach = math.ceil(math.sqrt(d) * (1 + 2e-9))
@@ -128,18 +135,30 @@ def cell_links(p: DataFrame, epsilon: float, metric: Metric, min_points: int, d:
     core = stage(inside.select("id", "cell").unionByName(rows.join(few, "id", "left_semi").select("id", "cell")), "dbscan-core")
     first = core.groupBy("cell").agg(F.min("id").alias("first"))
     named = stage(core.join(first, "cell").select("id", "first"), "dbscan-named")
-    stars = named.where("id <> first").select(F.col("first").alias("i"), F.col("id").alias("j"))
     ends = lambda end: named.select(F.col("id").alias(end), F.col("first").alias(f"first_{end}"))
     beside = edges.join(ends("i"), "i").join(ends("j"), "j").select(F.least("first_i", "first_j").alias("i"), F.greatest("first_i", "first_j").alias("j")).where("i < j").distinct()
-    links = full_cell_links(inside, full, epsilon, true, metric, reach, d).join(first.select(F.col("cell").alias("a"), F.col("first").alias("i")), "a").join(first.select(F.col("cell").alias("b"), F.col("first").alias("j")), "b")
-    inner = stars.unionByName(beside).unionByName(links.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")))
-    return core.select("id"), inner, edges
+    # a cell's core points have its first one's component
+    parts = connected_components(beside.unionByName(full_cell_links(inside, epsilon, true, metric, reach, d)))
+    seeds = named.join(parts.select(F.col("id").alias("first"), "component"), "first", "left").select("id", F.coalesce("component", "first").alias("seed"))
+    return core.select("id"), seeds, edges
+
 
+def full_cell_links(inside: DataFrame, epsilon: float, true: float, metric: Metric, reach: int, d: int) -> DataFrame:
+    """(i, j) of the smallest ids of full cells: edges that link cells as all pairs of them that hold rows within epsilon of each other would.
 
-def full_cell_links(inside: DataFrame, full: DataFrame, epsilon: float, true: float, metric: Metric, reach: int, d: int) -> DataFrame:
-    """(a, b) of neighbouring full cells that hold rows within epsilon of each other."""
+    Equal rows count once. Rows that lie farthest out in a cell link most neighbours; rows of two cells are gone over in blocks only where
+    these links don't join the two already.
+    """
+    at = lambda k: F.get("features", F.lit(k))
     bound = [(f"low{k}", f"high{k}") for k in range(d)]
-    box = stage(inside.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *[f(F.get("features", F.lit(k))).alias(name) for k, pair in enumerate(bound) for name, f in zip(pair, (F.min, F.max), strict=True)]), "dbscan-boxes")
+    spots = stage(inside.groupBy("cell", "features").agg(F.min("id").alias("id")), "dbscan-spots")
+    ways = [sum((at(k) * step for k, step in enumerate(steps) if step), F.lit(0.0)) for steps in product((-1, 0, 1), repeat=d) if any(steps)]
+    box = stage(
+        spots.groupBy("cell").agg(
+            F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.array(*[F.max_by("features", way) for way in ways]).alias("out"), *[f(at(k)).alias(name) for k, pair in enumerate(bound) for name, f in zip(pair, (F.min, F.max), strict=True)]
+        ),
+        "dbscan-boxes",
+    )
     other = lambda end: box.select(F.col("cell").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in box.columns if c != "cell"])
     apart = lambda k: F.greatest(F.col(f"low{k}_b") - F.col(f"high{k}_a"), F.col(f"low{k}_a") - F.col(f"high{k}_b"))
     near = F.lit(True)
@@ -147,32 +166,40 @@ def full_cell_links(inside: DataFrame, full: DataFrame, epsilon: float, true: fl
         near = near & (apart(k) <= true * (1 + 1e-9))
     pairs = other("a").withColumn("b", around(F.col("a"), reach, d, half=True)).join(other("b"), "b").where(near)
     pairs = stage(pairs.withColumn("pair", F.xxhash64("a", "b")), "dbscan-pairs")
+    edge = (F.least("first_a", "first_b").alias("i"), F.greatest("first_a", "first_b").alias("j"))
+    outer = pairs.select("first_a", "first_b", F.explode("out_a").alias("x"), "out_b").select("first_a", "first_b", "x", F.explode("out_b").alias("y"))
+    found = stage(outer.where(metric.column(F.col("x"), F.col("y")) <= epsilon).select(*edge).distinct(), "dbscan-found")
+    parts = connected_components(found)
+    part = lambda end: parts.select(F.col("id").alias(f"first_{end}"), F.col("component").alias(f"part_{end}"))
+    joined = pairs.join(part("a"), "first_a", "left").join(part("b"), "first_b", "left")
+    pairs = stage(joined.where(F.coalesce("part_a", "first_a") != F.coalesce("part_b", "first_b")).drop("part_a", "part_b", "out_a", "out_b"), "dbscan-open")
+    if pairs.isEmpty():
+        return found
 
     def side(end: str, opposite: str) -> DataFrame:
         """The rows of one cell of each pair that lie near the other's box, in blocks; once for each block of the other."""
-        facts = pairs.select(F.col(end).alias("cell"), "a", "b", "pair", F.ceil(F.col(f"n_{opposite}") / BLOCK).cast("int").alias("blocks"), *[F.col(f"{c}_{opposite}").alias(c) for pair in bound for c in pair])
-        here = inside.join(facts, "cell")
+        facts = pairs.select(F.col(end).alias("cell"), "first_a", "first_b", "pair", F.col(f"n_{end}").alias("own"), F.ceil(F.col(f"n_{opposite}") / BLOCK).cast("int").alias("blocks"), *[F.col(f"{c}_{opposite}").alias(c) for pair in bound for c in pair])
+        here = spots.join(facts, "cell")
         for k, (low, high) in enumerate(bound):
-            v = F.get("features", F.lit(k))
-            here = here.where((v >= F.col(low) - true * (1 + 1e-9)) & (v <= F.col(high) + true * (1 + 1e-9)))
+            here = here.where((at(k) >= F.col(low) - true * (1 + 1e-9)) & (at(k) <= F.col(high) + true * (1 + 1e-9)))
         own = F.pmod(F.xxhash64("id"), F.greatest(F.ceil(F.col("own") / BLOCK), F.lit(1))).cast("int")
-        here = here.join(box.select("cell", F.col("n").alias("own")), "cell")
         blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        return here.select("a", "b", "pair", own.alias(f"block_{end}"), blocks.alias(f"block_{opposite}"), "features")
+        return here.select("first_a", "first_b", "pair", own.alias(f"block_{end}"), blocks.alias(f"block_{opposite}"), "features")
 
-    keys = ["a", "b", "pair", "block_a", "block_b"]
+    keys = ["first_a", "first_b", "pair", "block_a", "block_b"]
 
     def linked(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows and right.num_rows:
             x, y = matrix(left["features"]), matrix(right["features"])
             for at in range(0, len(x), 256):
                 if np.any(metric.block(x[at : at + 256], y) <= epsilon):
-                    return left.select(["a", "b"]).slice(0, 1)
-        return left.select(["a", "b"]).slice(0, 0)
+                    return left.select(["first_a", "first_b"]).slice(0, 1)
+        return left.select(["first_a", "first_b"]).slice(0, 0)
 
     renamed = lambda df: df.select(*[F.col(c).alias(c) for c in (*keys, "features")])  # noqa: E731  as both sides come from one table
     met = renamed(side("a", "b")).groupBy(*keys).cogroup(renamed(side("b", "a")).groupBy(*keys))
-    return met.applyInArrow(lambda x, y: linked(x, y), "a array<long>, b array<long>").distinct()
+    more = met.applyInArrow(lambda x, y: linked(x, y), "first_a long, first_b long").select(*edge).distinct()
+    return found.unionByName(stage(more, "dbscan-linked"))
 
 
 def with_null_noise(labels: DataFrame) -> DataFrame:
