@@ -103,18 +103,20 @@ class Part:
         return Part(t["id"].to_numpy(), pairs.matrix(t["features"]), t["core"].to_numpy(), np.where(loose, -np.inf, t["gap"].to_numpy()), loose)
 
 
-def heaviest(one: Part, x: slice, two: Part, y: slice, between: float) -> np.ndarray:
-    """The heaviest edge on the way from each row x of one to each row y of two, which come later; infinite for loose ones. One tile with itself: for later columns."""
-    if one is two and x == y:
-        out = np.maximum.accumulate(np.triu(np.broadcast_to(one.gap[x], (len(one.gap[x]),) * 2), 1) + np.where(np.tri(len(one.gap[x]), dtype=bool), -np.inf, 0.0), axis=1)
-    else:
-        after = np.append(np.maximum.accumulate(one.gap[x][:0:-1])[::-1], -np.inf)
-        out = np.maximum.outer(np.maximum(after, between), np.maximum.accumulate(two.gap[y]))
+def heaviest(one: Part, x: slice) -> np.ndarray:
+    """The heaviest edge on the way from each row of a tile to each later one; infinite for loose ones."""
+    out = np.maximum.accumulate(np.triu(np.broadcast_to(one.gap[x], (len(one.gap[x]),) * 2), 1) + np.where(np.tri(len(one.gap[x]), dtype=bool), -np.inf, 0.0), axis=1)
     out[one.loose[x]] = np.inf
-    out[:, two.loose[y]] = np.inf
+    out[:, one.loose[x]] = np.inf
     return out
 
 
+def ways_out(one: Part, x: slice, two: Part, y: slice, between: float) -> tuple[np.ndarray, np.ndarray]:
+    """For rows x of one and rows y of two, which come later: two numbers whose larger is the heaviest edge on the way; infinite for loose ones."""
+    after = np.append(np.maximum.accumulate(one.gap[x][:0:-1])[::-1], -np.inf)
+    return np.where(one.loose[x], np.inf, np.maximum(after, between)), np.where(two.loose[y], np.inf, np.maximum.accumulate(two.gap[y]))
+
+
 def deciding(p: DataFrame, core: DataFrame, d: int, epsilon: float, metric: Metric) -> DataFrame:
     """(i, j, distance), i < j: pairs at most epsilon apart, without those that no walk's step can go by; core: (id, core), infinite beyond epsilon."""
     spark, finite = p.sparkSession, F.col("core") < float("inf")
@@ -138,19 +140,24 @@ def deciding(p: DataFrame, core: DataFrame, d: int, epsilon: float, metric: Metr
             for b in range(a if same else 0, len(two.ids), tile):
                 x, y = slice(a, a + tile), slice(b, b + tile)
                 between = one.gap[a + tile : b].max(initial=-np.inf) if same else max(mid, one.gap[a + tile :].max(initial=-np.inf), two.gap[:b].max(initial=-np.inf))
-                limit = heaviest(one, x, two, y, between)
-                limit *= 1 + 1e-9 * np.sign(limit)  # a metric's last bits may hang on the block; a pair too many does no harm
-                np.minimum(limit, epsilon, out=limit)
                 near = by_products(one.x[x], two.x[y]) if power else None
-                if near is None:
-                    found = metric.block(one.x[x], two.x[y])
-                    may = found <= limit
+                far, off = near or (metric.block(one.x[x], two.x[y]), 0.0)
+                reach = lambda limit: limit if near is None else np.maximum(limit, 0.0) ** power * (1 + 1e-12) + off  # noqa: E731, B023
+                # the largest limit of the tile leaves few pairs, whose own limits are then looked at; a pair too many does no harm
+                if same and a == b:
+                    own = heaviest(one, x)
+                    r, c = np.nonzero(np.triu(far <= reach(epsilon), 1))
+                    limit = own[r, c]
                 else:
-                    may = near[0] <= limit**power * (1 + 1e-12) + near[1]
-                may &= np.isfinite(one.core[x])[:, None] | np.isfinite(two.core[y])[None, :]
-                r, c = np.nonzero(np.triu(may, 1) if same and a == b else may)
-                gap = found[r, c] if near is None else of_rows(metric, one.x[x], two.x[y], r, c)
-                keep = gap <= limit[r, c]
+                    after, before = ways_out(one, x, two, y, between)
+                    top = max(after.max(), before.max())
+                    r, c = np.divmod(np.flatnonzero(far <= reach(min(epsilon, top * (1 + 2e-9 * np.sign(top))))), far.shape[1])
+                    limit = np.maximum(after[r], before[c])
+                limit = np.minimum(limit * (1 + 1e-9 * np.sign(limit)), epsilon)  # a metric's last bits may hang on the block
+                may = (far[r, c] <= reach(limit)) & (np.isfinite(one.core[x])[r] | np.isfinite(two.core[y])[c])
+                r, c, limit = r[may], c[may], limit[may]
+                gap = far[r, c] if near is None else of_rows(metric, one.x[x], two.x[y], r, c)
+                keep = gap <= limit
                 i, j = one.ids[x][r[keep]], two.ids[y][c[keep]]
                 yield {"i": np.minimum(i, j), "j": np.maximum(i, j), "distance": gap[keep]}
 
